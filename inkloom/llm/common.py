@@ -15,7 +15,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 def words(text: Column) -> Column:
     """The words of a text as an array; null and blank texts have none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+    inner = F.trim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, SPACE))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkloom.llm import simhash, substrings
+from inkloom.llm import minhash, quality, simhash, substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (substrings.op3_substring_dedup, simhash.op7_simhash_near_dedup)}
+    return {f.__name__: f for f in (substrings.op3_substring_dedup, minhash.op6_document_fingerprints, simhash.op7_simhash_near_dedup, quality.op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
