@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkloom.llm import minhash, mixing, quality, simhash, substrings
+from inkloom.llm import minhash, mixing, quality, sharding, simhash, substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (mixing.op2_mix_sources, substrings.op3_substring_dedup, minhash.op6_document_fingerprints, simhash.op7_simhash_near_dedup, quality.op9_quality_rules)}
+    return {f.__name__: f for f in (mixing.op2_mix_sources, substrings.op3_substring_dedup, sharding.op5_shard_documents, minhash.op6_document_fingerprints, simhash.op7_simhash_near_dedup, quality.op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
