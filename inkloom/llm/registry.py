@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkloom.llm import chat, minhash, mixing, pieces, quality, sharding, simhash, substrings
+from inkloom.llm import chat, minhash, mixing, pieces, quality, sharding, simhash, substrings, wrappers
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (chat.op1_chat_prefix_tree, mixing.op2_mix_sources, substrings.op3_substring_dedup, pieces.op4_sentencepiece, sharding.op5_shard_documents, minhash.op6_document_fingerprints, simhash.op7_simhash_near_dedup, quality.op9_quality_rules)}
+    return {f.__name__: f for f in (chat.op1_chat_prefix_tree, mixing.op2_mix_sources, substrings.op3_substring_dedup, pieces.op4_sentencepiece, sharding.op5_shard_documents, minhash.op6_document_fingerprints, simhash.op7_simhash_near_dedup, quality.op9_quality_rules, wrappers.op10_html_wrappers)}
 
 
 def oracle_sql() -> dict[str, str]:
