@@ -236,7 +236,7 @@ def blocks_of(docs: DataFrame, id_col: str, text_col: str, dummy_prefix: bool, b
         squeeze = zstandard.ZstdCompressor(level=3).compress
 
         def closed() -> pa.RecordBatch:
-            columns = [pa.array([part + n]), pa.array([list(known)], pa.list_(pa.string())), pa.array([ids], pa.list_(of_id)), pa.array([sizes], pa.list_(pa.int32())), pa.array([squeeze(np.array(seq, np.int32).tobytes())], pa.binary())]
+            columns = [pa.array([part + n]), pa.array([list(known)], pa.list_(pa.string())), pa.array([ids], pa.list_(of_id)), pa.array([sizes], pa.list_(pa.int32())), pa.array([squeeze(np.concatenate(seq).tobytes())], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, ["block", "words", "ids", "sizes", "seq"])
 
         for batch in batches:
@@ -245,7 +245,7 @@ def blocks_of(docs: DataFrame, id_col: str, text_col: str, dummy_prefix: bool, b
                 found = cut_words(text or "", dummy_prefix)
                 ids.append(i)
                 sizes.append(len(found))
-                seq += [known.setdefault(w, len(known)) for w in found]
+                seq.append(np.array([known.setdefault(w, len(known)) for w in found], np.int32))
                 size += len(text or "")
                 if size >= block_bytes:
                     yield closed()
@@ -258,31 +258,71 @@ def blocks_of(docs: DataFrame, id_col: str, text_col: str, dummy_prefix: bool, b
     return rows.mapInArrow(blocks, f"block bigint, words array<string>, ids array<{kind}>, sizes array<int>, seq binary")
 
 
-def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
+def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 32 << 20, part_words: int = 100_000) -> DataFrame:
     """(id, token_ids, decoded_sha256) of every row; the digest is that of the text that the ids decode to."""
     blocks = written(blocks_of(docs, id_col, text_col, model.dummy_prefix, block_bytes))
-    entries = blocks.select("block", F.posexplode("words").alias("nth", "word")).repartition("word")
-    codes = encode_words(entries.groupBy("word").agg(F.lit(1).alias("_")).select("word"), model).withColumnRenamed("word", "_w")
-    coded = entries.join(codes, F.col("word") == F.col("_w")).select(F.col("block").alias("of_block"), "nth", "ids")
+    n = blocks.agg(F.sum(F.size("words"))).first()[0] or 0
+    entries = blocks.select("block", F.posexplode("words").alias("nth", "word")).repartition(max(1, -(-n // part_words)), "word")
+    # The counts keep the columns, so both sides of the join read one exchange.
+    distinct = entries.groupBy("word").agg(F.count("block").alias("a"), F.count("nth").alias("b")).where("a > 0 AND b > 0").select("word")
+    codes = encode_words(distinct, model).withColumnRenamed("word", "_w")
+    coded = entries.join(codes, F.col("word") == F.col("_w")).select("block", "nth", "ids")
     shown, skip = model.byte_table(), int(model.dummy_prefix)
     id_type = docs.schema[id_col].dataType
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A blob for each block with the codes of the words in this partition: numbers, lengths, ids."""
+        held = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
+        if held is None:
+            return
+        block, nth = held.column("block").to_numpy(), held.column("nth").to_numpy()
+        order = np.lexsort((nth, block))
+        lists = held.column("ids").combine_chunks().take(pa.array(order))
+        offset, flat, block, nth = lists.offsets.to_numpy(), lists.values.to_numpy(), block[order], nth[order]
+        edges = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        blobs = []
+        for i, j in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            parts = (nth[i:j].astype(np.int32), np.diff(offset[i : j + 1]).astype(np.int32), flat[offset[i] : offset[j]].astype(np.int32))
+            blobs.append(squeeze(struct.pack("<q", j - i) + b"".join(x.tobytes() for x in parts)))
+        yield pa.RecordBatch.from_arrays([pa.array(block[edges[:-1]]), pa.array(blobs, pa.binary())], ["of_block", "blob"])
+
     def assemble(codes: pa.Table, block: pa.Table) -> pa.Table:
-        order = np.argsort(codes.column("nth").to_numpy(), kind="stable")
-        lists = codes.column("ids").combine_chunks().take(pa.array(order))
-        offset, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        expand = zstandard.ZstdDecompressor().decompress
+        nth, length, flat = [], [], []
+        for blob in map(expand, codes.column("blob").to_pylist()):
+            n = struct.unpack_from("<q", blob)[0]
+            x = np.frombuffer(blob, np.int32, offset=8)
+            nth.append(x[:n])
+            length.append(x[n : 2 * n])
+            flat.append(x[2 * n :])
+        nth, length, flat = (np.concatenate(x or [np.empty(0, np.int32)]) for x in (nth, length, flat))
+        begin = np.empty(len(nth), np.int64)
+        size = np.empty(len(nth), np.int64)
+        begin[nth] = np.cumsum(length, dtype=np.int64) - length
+        size[nth] = length
         row = block.slice(0, 1)
-        seq = np.frombuffer(zstandard.ZstdDecompressor().decompress(row.column("seq")[0].as_py()), np.int32)
-        ids, sizes = row.column("ids")[0].values, row.column("sizes")[0].values.to_numpy()
-        length = (offset[1:] - offset[:-1])[seq] if len(seq) else np.empty(0, np.int64)
-        ends = np.concatenate([[0], np.cumsum(length)])
-        tokens = flat[np.repeat(offset[:-1][seq] - ends[:-1], length) + np.arange(ends[-1])] if len(seq) else np.empty(0, np.int32)
-        stops = ends[np.concatenate([[0], np.cumsum(sizes)])]
-        digest = [hashlib.sha256(b"".join([shown[t] for t in tokens[a:b].tolist()])[skip:]).hexdigest() for a, b in zip(stops[:-1].tolist(), stops[1:].tolist())]
-        return pa.table([ids, pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(tokens, pa.int32())), pa.array(digest, pa.string())], ["id", "token_ids", "decoded_sha256"])
+        seq = np.frombuffer(expand(row.column("seq")[0].as_py()), np.int32)
+        last = np.concatenate([[0], np.cumsum(row.column("sizes")[0].values.to_numpy(), dtype=np.int64)])
+        tokens, stops, digest, low = [], [0], [], 0
+        for d in range(len(last) - 1):
+            # Documents are put together in stretches, so that the numbers held stay few.
+            if last[d + 1] - last[low] < 500_000 and d < len(last) - 2:
+                continue
+            mine = seq[last[low] : last[d + 1]]
+            ends = np.concatenate([[0], np.cumsum(size[mine])])
+            found = flat[np.repeat(begin[mine] - ends[:-1], size[mine]) + np.arange(ends[-1])]
+            cuts = ends[last[low : d + 2] - last[low]].tolist()
+            digest += [hashlib.sha256(b"".join([shown[t] for t in found[a:b].tolist()])[skip:]).hexdigest() for a, b in zip(cuts, cuts[1:])]
+            stops += [stops[-1] + c for c in cuts[1:]]
+            tokens.append(found)
+            low = d + 1
+        flat = np.concatenate(tokens) if tokens else np.empty(0, np.int32)
+        return pa.table([row.column("ids")[0].values, pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(flat, pa.int32())), pa.array(digest, pa.string())], ["id", "token_ids", "decoded_sha256"])
 
     out = T.StructType([T.StructField("id", id_type), T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded_sha256", T.StringType())])
-    return coded.groupBy("of_block").cogroup(blocks.select("block", "ids", "sizes", "seq").groupBy("block")).applyInArrow(assemble, out)
+    packed = coded.mapInArrow(pack, "of_block bigint, blob binary")
+    return packed.groupBy("of_block").cogroup(blocks.select("block", "ids", "sizes", "seq").groupBy("block")).applyInArrow(assemble, out)
 
 
 def decode(rows: DataFrame, model: PieceModel, ids_col: str = "token_ids", into: str = "decoded") -> DataFrame:
