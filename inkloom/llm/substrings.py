@@ -212,12 +212,13 @@ def repeated_runs(docs: DataFrame, width: int = 20, bucket_bytes: int = 4 << 20,
     return found.groupBy("id", "tag").agg(F.collect_list(F.struct(F.col("start").cast("int"), F.col("n").cast("int"))).alias("runs"))
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20, **layout: int) -> DataFrame:
-    """(id, n_words, n_removed, kept): every row with the words that stay, joined by one space."""
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("id", F.xxhash64("text").alias("tag"), F.col("text").cast("binary").alias("text"))
-    runs = repeated_runs(rows, width, **layout).withColumnsRenamed({"id": "_id", "tag": "_tag"})
-    joined = rows.join(runs, F.coalesce("id", F.lit(int(LAST))).eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag")), "left").select("id", "text", "runs")
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20, carry: list[str] | None = None, **layout: int) -> DataFrame:
+    """(id, n_words, n_removed, kept, rest): every row with the words that stay, joined by one space, and the columns `carry` as a struct (null without any)."""
+    rest = F.struct(*carry) if carry else F.lit(None).cast("boolean")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), rest.alias("rest"))
+    rows = rows.select("id", F.xxhash64("text").alias("tag"), F.col("text").cast("binary").alias("text"), "rest")
+    runs = repeated_runs(rows.select("id", "tag", "text"), width, **layout).withColumnsRenamed({"id": "_id", "tag": "_tag"})
+    joined = rows.join(runs, F.coalesce("id", F.lit(int(LAST))).eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag")), "left").select("id", "text", "runs", "rest")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,9 +235,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     parts = [parts[i] for i in np.flatnonzero(stays).tolist()]
                 gone.append(n[-1] - len(parts))
                 kept.append(b" ".join(parts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), batch.column(3)], ["id", "n_words", "n_removed", "kept", "rest"])
 
-    return joined.mapInArrow(keep, "id bigint, n_words bigint, n_removed bigint, kept string")
+    return joined.mapInArrow(keep, f"id bigint, n_words bigint, n_removed bigint, kept string, rest {rows.schema['rest'].dataType.simpleString()}")
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
