@@ -7,10 +7,12 @@ table on equality, the matches are the edges of the word's lattice, and the edge
 The fold follows the model's type. A unigram model's is Viterbi: the best score of each place over the edges that end there. A BPE
 model's encoder is not a best path but a row of merges, best score first, and Viterbi over its scores gives other ids than the model's; so there the fold
 merges: its state is the set of places where tokens end, and each step removes the place inside the best edge that spans exactly two tokens.
-Characters without a piece become their bytes' pieces. Words of more than SHORT characters are folded by a helper over the same edges.
+Characters without a piece become their bytes' pieces. The rare words of more than SHORT characters are encoded by a helper with the same rules where they
+are met, so that no lattice grows with a text.
 
-Documents are cut into blocks of about `block_bytes`, each with its own word list; words meet the codes of the whole corpus' words, and each block's codes
-go back to the block, where its documents are put together. A very common word travels once for each block.
+Documents are cut into blocks of about `block_bytes`. A block keeps its documents as word numbers and sends its word list, packed, to the word groups (by
+hash); a group's distinct words are encoded once, its codes go back to the blocks that asked, and there the documents are put together. A
+very common word travels once for each block. The input must be one that gives the same rows in the same partitions when it is read again, as stored tables do.
 
 Defined cases: null and empty texts have no tokens; blanks are kept, and so are all other characters but the blank's own sign U+2581, which decodes to
 a blank as the model's own decoder has it; repeated rows are encoded each; an empty table gives an empty table; other columns are ignored.
@@ -22,7 +24,8 @@ import hashlib
 import heapq
 import re
 import struct
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -33,8 +36,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkloom.llm.common import written
-
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 SHORT = 61
@@ -97,9 +98,21 @@ class PieceModel:
         self.worst = min(s for s, t in zip(self.scores, self.types) if t == NORMAL) - 10.0
 
     def table(self, spark: SparkSession) -> DataFrame:
-        """(piece, id, score) of the pieces that a text can hold."""
-        rows = [(p, i, float(s)) for i, (p, s, t) in enumerate(zip(self.pieces, self.scores, self.types)) if t in (NORMAL, USER_DEFINED)]
-        return spark.createDataFrame(pa.table(dict(zip(("piece", "piece_id", "score"), map(list, zip(*rows))))))
+        """(piece, piece_id, score, place) of the pieces that a text can hold; place: 0 for the best score, equal for equal scores."""
+        rows = [(p, i, float(s)) for p, (i, s) in self.vocabulary().items()]
+        place = {s: k for k, s in enumerate(sorted({r[2] for r in rows}, reverse=True))}
+        piece, number, score = map(list, zip(*rows))
+        return spark.createDataFrame(pa.table({"piece": piece, "piece_id": number, "score": score, "place": [place[s] for s in score]}))
+
+    def char_table(self, spark: SparkSession) -> DataFrame:
+        """One row: an array with the id of each one-character piece at its code point, -1 for others, up to the last one's."""
+        chars = {ord(p): i for i, (p, t) in enumerate(zip(self.pieces, self.types)) if t in (NORMAL, USER_DEFINED) and len(p) == 1}
+        ids = np.full(max(chars) + 1, -1, np.int32)
+        ids[list(chars)] = list(chars.values())
+        return spark.createDataFrame(pa.table({"chars": pa.array([ids.tolist()], pa.list_(pa.int32()))}))
+
+    def vocabulary(self) -> dict[str, tuple[int, float]]:
+        return {p: (i, s) for i, (p, s, t) in enumerate(zip(self.pieces, self.scores, self.types)) if t in (NORMAL, USER_DEFINED)}
 
     def byte_table(self) -> list[bytes]:
         """What each id decodes to."""
@@ -118,65 +131,108 @@ def cut_words(text: str, dummy_prefix: bool = True) -> list[str]:
 
 
 def lattice(words: DataFrame, model: PieceModel) -> DataFrame:
-    """(word, edges): the pieces found in each word of `words` (distinct), best first: struct(rank, start, end, ends, mid, ids).
+    """`words` (word: distinct, 1 to SHORT characters, at) with `edges`: the pieces of two or more characters found in each, best first, as one number each.
 
-    ends and mid are the edge's places as bits: its two ends, and all between (words up to SHORT). An edge of one character without a piece holds its bytes.
+    An edge's number is place, start, end and id, 17, 6, 6 and 20 bits from the top, so that numbers sort by place and then by start.
     """
-    # Bounded by the vocabulary, which doesn't grow with the input.
-    table = F.broadcast(model.table(words.sparkSession))
+    # Bounded by the vocabulary, which doesn't grow with the input. The hash is the join's key (no two pieces share one), the strings are compared after it.
+    table = F.broadcast(model.table(words.sparkSession).select(F.xxhash64("piece").alias("h"), "piece", "piece_id", "place"))
     n = F.length("word")
-    spans = words.select("word", F.explode(F.sequence(F.lit(1), n)).alias("a")).select("word", "a", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), n - F.col("a") + 1))).alias("k"))
-    found = spans.withColumn("part", F.expr("substring(word, a, k)")).join(table, F.col("part") == F.col("piece"), "left").where("piece_id IS NOT NULL OR k = 1")
-    pairs = F.transform(F.sequence(F.lit(1), F.octet_length("part")), lambda i: F.conv(F.substring(F.hex(F.encode("part", "utf-8")), 2 * i - 1, F.lit(2)), 16, 10).cast("int"))
-    codes = F.transform(pairs, lambda b: F.get(F.array(*map(F.lit, model.bytes)), b))
-    one = F.lit(1).cast("bigint")
-    bit = lambda at: F.when(n <= SHORT, F.call_function("shiftleft", one, at)).otherwise(F.lit(0).cast("bigint"))
-    start, end = F.col("a") - 1, F.col("a") + F.col("k") - 1
-    edge = F.struct(
-        (-F.coalesce("score", F.lit(model.worst))).alias("rank"), start.alias("start"), end.alias("end"), bit(start).bitwiseOR(bit(end)).alias("ends"),
-        F.when(F.col("k") > 1, bit(end) - bit(F.col("a"))).otherwise(F.lit(0).cast("bigint")).alias("mid"),
-        F.when(F.col("piece_id").isNotNull(), F.array("piece_id")).otherwise(codes).alias("ids"),
-    )
-    return found.select("word", edge.alias("edge")).groupBy("word").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
-
-
-def fold_merges(edges: Column, n: Column) -> Column:
-    """The ids of a word of up to SHORT characters after all merges, best first."""
-    one = F.lit(1).cast("bigint")
+    spans = words.select("word", "at", F.explode(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)))).alias("a"))
+    spans = spans.select("word", "at", "a", F.explode(F.sequence(F.least(F.lit(2), n), F.least(F.lit(model.longest), n - F.col("a") + 1))).alias("k"))
+    spans = spans.withColumn("part", F.expr("substring(word, a, k)"))
+    found = spans.join(table, F.xxhash64("part") == F.col("h"), "left")
+    hit = (F.col("part") == F.col("piece")) & (F.col("k") > 1)
+    number = F.expr("shiftleft(cast(place AS bigint), 32) | shiftleft(cast(a - 1 AS bigint), 26) | shiftleft(cast(a + k - 1 AS bigint), 20) | piece_id")
+    # A word's first span stays even if it is no piece, so no word is lost; as a null it is not collected.
+    found = found.where(hit | ((F.col("a") == 1) & (F.col("k") <= 2))).select("word", "at", F.when(hit, number).alias("edge"))
+    return found.groupBy("word", "at").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+
+
+def _start(x: Column) -> Column:
+    return F.shiftright(x, 26).bitwiseAND(F.lit(63)).cast("int")
+
+
+def _end(x: Column) -> Column:
+    return F.shiftright(x, 20).bitwiseAND(F.lit(63)).cast("int")
+
+
+def _id(x: Column) -> Column:
+    return x.bitwiseAND(F.lit((1 << 20) - 1)).cast("int")
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def char_codes(word: Column, at: Column, chars: Column, model: PieceModel) -> Column:
+    """The ids of the character of a word at a place: its piece's, or its bytes'."""
+    char = F.substring(word, at + 1, F.lit(1))
+    code = F.conv(F.hex(F.encode(char, "utf-32")), 16, 10).cast("int")
+    digits = F.hex(F.encode(char, "utf-8"))
+    as_bytes = F.transform(F.sequence(F.lit(1), F.length(digits), F.lit(2)), lambda i: F.get(F.array(*map(F.lit, model.bytes)), F.conv(F.substring(digits, i, F.lit(2)), 16, 10).cast("int")))
+    return let(F.coalesce(F.get(chars, code), F.lit(-1)), lambda i: F.when(i >= 0, F.array(i)).otherwise(as_bytes))
+
+
+def fold_merges(word: Column, edges: Column, chars: Column, model: PieceModel) -> Column:
+    """The ids of a word after all merges, best first."""
+    one, n = F.lit(1).cast("bigint"), F.length(word)
+    shift = lambda k: F.call_function("shiftleft", one, k)
+
+    def wide(x: Column) -> Column:
+        s, e = _start(x), _end(x)
+        return F.struct(shift(s).bitwiseOR(shift(e)).alias("ends"), (shift(e) - shift(s + 1)).alias("mid"), s.alias("s"), _id(x).alias("id"))
+
     both = lambda b, e: b.bitwiseAND(e["ends"]) == e["ends"]
-    wide = F.filter(edges, lambda e: e["mid"] != 0)
 
     def merged(b: Column, multi: Column) -> Column:
         best = F.get(F.filter(multi, lambda e: both(b, e) & (F.bit_count(b.bitwiseAND(e["mid"])) == 1)), F.lit(0))["mid"]
         return b.bitwiseAND(F.bitwise_not(F.coalesce(best, F.lit(0).cast("bigint"))))
 
-    places = F.transform(F.array(wide), lambda multi: F.aggregate(F.sequence(F.lit(1), n), F.call_function("shiftleft", one, n + 1) - 1, lambda b, _: merged(b, multi)))[0]
-    left = F.transform(F.array(places), lambda b: F.filter(edges, lambda e: both(b, e) & (b.bitwiseAND(e["mid"]) == 0)))[0]
-    return F.flatten(F.transform(F.sort_array(F.transform(left, lambda e: F.struct(e["start"].alias("s"), e["ids"].alias("ids")))), lambda x: x["ids"]))
+    def ids(multi: Column) -> Column:
+        rounds = F.sequence(F.lit(1), F.greatest(F.least(n - 1, F.size(multi)), F.lit(1)))
+        places = F.aggregate(rounds, shift(n + 1) - 1, lambda b, _: merged(b, multi))
+        return let(places, lambda b: read(b, multi))
+
+    def read(b: Column, multi: Column) -> Column:
+        tokens = F.transform(F.filter(multi, lambda e: both(b, e) & (b.bitwiseAND(e["mid"]) == 0)), lambda e: F.struct(e["s"].alias("s"), F.array(e["id"]).alias("ids")))
+        alone = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.call_function("shiftright", b, i).bitwiseAND(F.lit(3)) == 3)
+        singles = F.transform(alone, lambda i: F.struct(i.alias("s"), char_codes(word, i, chars, model).alias("ids")))
+        return F.flatten(F.transform(F.sort_array(F.concat(tokens, singles)), lambda x: x["ids"]))
 
+    return let(F.transform(edges, wide), ids)
 
-def fold_viterbi(edges: Column, n: Column) -> Column:
-    """The ids of a word's path of the best score sum (ties: the longer last piece)."""
+
+def fold_viterbi(word: Column, edges: Column, chars: Column, model: PieceModel, scores: Column) -> Column:
+    """The ids of a word's path of the best score sum (ties: the shorter last piece). scores: an array of the pieces' scores by id."""
     best = "struct<score:double,ids:array<int>>"
+    n = F.length(word)
 
     def place(state: Column, j: Column) -> Column:
-        ways = F.transform(F.filter(edges, lambda e: e["end"] == j), lambda e: F.struct((F.get(state, e["start"])["score"] - e["rank"]).alias("score"), (-e["start"]).alias("s"), e["start"].alias("from"), e["ids"].alias("ids")))
-        way = F.array_max(ways)
-        return F.transform(F.array(way), lambda w: F.array_append(state, F.struct(w["score"].alias("score"), F.concat(F.get(state, w["from"])["ids"], w["ids"]).alias("ids")).cast(best)))[0]
+        wide = F.transform(F.filter(edges, lambda e: _end(e) == j), lambda e: F.struct(_start(e).alias("from"), F.array(_id(e)).alias("ids"), F.get(scores, _id(e)).alias("w")))
+        single = let(char_codes(word, j - 1, chars, model), lambda c: F.struct((j - 1).alias("from"), c.alias("ids"), F.when(is_piece(word, j - 1, chars), F.get(scores, c[0])).otherwise(F.lit(model.worst)).alias("w")))
+        ways = F.transform(F.array_append(wide, single), lambda e: F.struct((F.get(state, e["from"])["score"] + e["w"]).alias("score"), e["from"].alias("from"), e["ids"].alias("ids")))
+        return let(F.array_max(ways), lambda w: F.array_append(state, F.struct(w["score"].alias("score"), F.concat(F.get(state, w["from"])["ids"], w["ids"]).alias("ids")).cast(best)))
 
     empty = F.array(F.struct(F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("ids")).cast(best))
     return F.element_at(F.aggregate(F.sequence(F.lit(1), n), empty, place), -1)["ids"]
 
 
-def merges_of(edges: list[dict], n: int) -> list[int]:
+def is_piece(word: Column, at: Column, chars: Column) -> Column:
+    code = F.conv(F.hex(F.encode(F.substring(word, at + 1, F.lit(1)), "utf-32")), 16, 10).cast("int")
+    return F.coalesce(F.get(chars, code), F.lit(-1)) >= 0
+
+
+def merges_of(word: str, known: dict[str, tuple[int, float]], of_bytes: list[int]) -> list[int]:
     """fold_merges for words of any length, with a heap."""
-    by_span = {(e["start"], e["end"]): e for e in edges}
+    n = len(word)
     after, before = list(range(1, n + 2)), list(range(-1, n + 1))
     here, heap = [True] * (n + 1), []
 
     def offer(a: int, m: int) -> None:
-        if 0 <= a and m < n and (e := by_span.get((a, after[m]))):
-            heapq.heappush(heap, (e["rank"], a, m, after[m]))
+        if 0 <= a and m < n and (e := known.get(word[a : after[m]])):
+            heapq.heappush(heap, (-e[1], a, m, after[m]))
 
     for m in range(1, n):
         offer(m - 1, m)
@@ -191,123 +247,161 @@ def merges_of(edges: list[dict], n: int) -> list[int]:
             offer(a, z)
     out, at = [], 0
     while at < n:
-        out += by_span[(at, after[at])]["ids"]
+        out += _codes(word[at : after[at]], known, of_bytes)
         at = after[at]
     return out
 
 
-def viterbi_of(edges: list[dict], n: int) -> list[int]:
+def viterbi_of(word: str, known: dict[str, tuple[int, float]], of_bytes: list[int], longest: int, worst: float) -> list[int]:
     """fold_viterbi for words of any length."""
-    best: list[tuple | None] = [(0.0, 0, None)] + [None] * n
-    for e in sorted(edges, key=lambda e: (e["end"], e["start"])):
-        score = best[e["start"]][0] - e["rank"]
-        if best[e["end"]] is None or score > best[e["end"]][0]:
-            best[e["end"]] = (score, e["start"], e["ids"])
-    parts, at = [], n
+    best = [(0.0, 0)]
+    for j in range(1, len(word) + 1):
+        ways = [(best[i][0] + (known[word[i:j]][1] if word[i:j] in known else worst), i) for i in range(max(0, j - longest), j) if word[i:j] in known or i == j - 1]
+        score, i = max(ways)
+        best.append((score, i))
+    parts, at = [], len(word)
     while at:
-        parts.append(best[at][2])
+        parts.append(_codes(word[best[at][1] : at], known, of_bytes))
         at = best[at][1]
     return [i for ids in reversed(parts) for i in ids]
 
 
+def _codes(part: str, known: dict[str, tuple[int, float]], of_bytes: list[int]) -> list[int]:
+    return [known[part][0]] if part in known else [of_bytes[b] for b in part.encode("utf-8", "surrogatepass")]
+
+
 def encode_words(words: DataFrame, model: PieceModel) -> DataFrame:
-    """(word, ids) of each word of `words` (distinct, not empty)."""
-    edges = lattice(words, model)
-    n = F.length("word")
-    fold, helper = (fold_merges, merges_of) if model.kind == BPE else (fold_viterbi, viterbi_of)
+    """(at, ids) of each word of `words` (word: distinct, of 1 to SHORT characters, at: its number)."""
+    spark = words.sparkSession
+    edges = lattice(words, model).withColumn("chars", model.char_table(spark).scalar())
+    if model.kind == BPE:
+        return edges.select("at", fold_merges(F.col("word"), F.col("edges"), F.col("chars"), model).alias("ids"))
+    scores = spark.createDataFrame(pa.table({"scores": pa.array([model.scores], pa.list_(pa.float64()))})).scalar()
+    return edges.withColumn("scores", scores).select("at", fold_viterbi(F.col("word"), F.col("edges"), F.col("chars"), model, F.col("scores")).alias("ids"))
 
-    def of_long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [helper(e, len(w)) for w, e in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
 
-    short = edges.where(n <= SHORT).select("word", fold(F.col("edges"), n).alias("ids"))
-    long = lattice(words.where(n > SHORT), model).mapInArrow(of_long, "word string, ids array<int>")
-    return short.unionByName(long)
+def _blob(*parts: np.ndarray) -> bytes:
+    """int32 arrays of one length each, with their lengths, squeezed."""
+    return zstandard.ZstdCompressor(level=3).compress(struct.pack(f"<{len(parts)}q", *map(len, parts)) + b"".join(np.ascontiguousarray(x, np.int32).tobytes() for x in parts))
+
 
+def _parts(blob: bytes, n: int) -> list[np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    return np.split(np.frombuffer(data, np.int32, offset=8 * n), np.cumsum(struct.unpack_from(f"<{n}q", data))[:-1])
 
-def blocks_of(docs: DataFrame, id_col: str, text_col: str, dummy_prefix: bool, block_bytes: int) -> DataFrame:
-    """(block, words, ids, sizes, seq): documents in blocks with the block's distinct words; seq has the words' numbers, document after document."""
+
+def packets(docs: DataFrame, model: PieceModel, id_col: str, text_col: str, block_bytes: int, groups: int) -> DataFrame:
+    """(key, block, ids, payload): for each block its documents (key: the block; payload: sizes, word numbers, and the numbers, lengths and ids of long words), and
+    its list of words for each word group (key: -1 - group; payload: the words' numbers and, after them, the words)."""
     kind = docs.schema[id_col].dataType.simpleString()
+    known, of_bytes, dummy, longest, worst, bpe = model.vocabulary(), model.bytes, model.dummy_prefix, model.longest, model.worst, model.kind == BPE
+    names = ["key", "block", "ids", "payload"]
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, n = TaskContext.get().partitionId() << 32, 0
-        ids, sizes, seq, known, size = [], [], [], {}, 0
-        squeeze = zstandard.ZstdCompressor(level=3).compress
+        block, of_id = TaskContext.get().partitionId() << 20, pa.int64()
+        ids, sizes, seq, words, size = [], [], [], {}, 0
 
         def closed() -> pa.RecordBatch:
-            columns = [pa.array([part + n]), pa.array([list(known)], pa.list_(pa.string())), pa.array([ids], pa.list_(of_id)), pa.array([sizes], pa.list_(pa.int32())), pa.array([squeeze(np.concatenate(seq).tobytes())], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, ["block", "words", "ids", "sizes", "seq"])
+            listed = list(words)
+            long = [i for i, w in enumerate(listed) if len(w) > SHORT or "\0" in w]  # the zero character parts the words of a list
+            codes = [merges_of(listed[i], known, of_bytes) if bpe else viterbi_of(listed[i], known, of_bytes, longest, worst) for i in long]
+            own = _blob(np.array(sizes), np.concatenate(seq), np.array(long, np.int32), np.array([len(c) for c in codes], np.int32), np.array([t for c in codes for t in c], np.int32))
+            keys, payloads = [block], [own]
+            group = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % groups for w in listed), np.int64, len(listed))
+            group[long] = groups
+            order = np.argsort(group, kind="stable")
+            edges = np.searchsorted(group[order], np.arange(groups + 1))
+            squeeze = zstandard.ZstdCompressor(level=3).compress
+            for g in range(groups):
+                mine = order[edges[g] : edges[g + 1]]
+                if len(mine):
+                    text = "\0".join([listed[i] for i in mine.tolist()]).encode("utf-8", "surrogatepass")
+                    keys.append(-1 - g)
+                    payloads.append(squeeze(struct.pack("<q", len(mine)) + mine.astype(np.int32).tobytes() + text))
+            rest = len(keys) - 1
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([block] * len(keys), pa.int64()), pa.array([ids] + [None] * rest, pa.list_(of_id)), pa.array(payloads, pa.binary())], names)
 
         for batch in batches:
             of_id = batch.schema.field(0).type
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = cut_words(text or "", dummy_prefix)
+                found = cut_words(text or "", dummy)
                 ids.append(i)
                 sizes.append(len(found))
-                seq.append(np.array([known.setdefault(w, len(known)) for w in found], np.int32))
+                seq.append(np.array([words.setdefault(w, len(words)) for w in found], np.int32))
                 size += len(text or "")
                 if size >= block_bytes:
                     yield closed()
-                    n += 1
-                    ids, sizes, seq, known, size = [], [], [], {}, 0
+                    block += 1
+                    ids, sizes, seq, words, size = [], [], [], {}, 0
         if ids:
             yield closed()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(blocks, f"block bigint, words array<string>, ids array<{kind}>, sizes array<int>, seq binary")
+    return rows.mapInArrow(blocks, f"key bigint, block bigint, ids array<{kind}>, payload binary")
+
 
+def _listed(payload: bytes) -> tuple[np.ndarray, list[str]]:
+    data = zstandard.ZstdDecompressor().decompress(payload)
+    n = struct.unpack_from("<q", data)[0]
+    return np.frombuffer(data, np.int32, n, 8), data[8 + 4 * n :].decode("utf-8", "surrogatepass").split("\0")
 
-def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 32 << 20, part_words: int = 100_000) -> DataFrame:
+
+def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 32 << 20, group_bytes: int = 4 << 20) -> DataFrame:
     """(id, token_ids, decoded_sha256) of every row; the digest is that of the text that the ids decode to."""
-    blocks = written(blocks_of(docs, id_col, text_col, model.dummy_prefix, block_bytes))
-    n = blocks.agg(F.sum(F.size("words"))).first()[0] or 0
-    entries = blocks.select("block", F.posexplode("words").alias("nth", "word")).repartition(max(1, -(-n // part_words)), "word")
-    # The counts keep the columns, so both sides of the join read one exchange.
-    distinct = entries.groupBy("word").agg(F.count("block").alias("a"), F.count("nth").alias("b")).where("a > 0 AND b > 0").select("word")
-    codes = encode_words(distinct, model).withColumnRenamed("word", "_w")
-    coded = entries.join(codes, F.col("word") == F.col("_w")).select("block", "nth", "ids")
+    total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    groups = max(1, -(-total // group_bytes))
+    # One exchange serves all three readers below: what they don't need they pass over themselves.
+    sent = packets(docs, model, id_col, text_col, block_bytes, groups).repartition(groups, "key")
     shown, skip = model.byte_table(), int(model.dummy_prefix)
     id_type = docs.schema[id_col].dataType
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A blob for each block with the codes of the words in this partition: numbers, lengths, ids."""
-        held = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if held is None:
-            return
-        block, nth = held.column("block").to_numpy(), held.column("nth").to_numpy()
-        order = np.lexsort((nth, block))
-        lists = held.column("ids").combine_chunks().take(pa.array(order))
-        offset, flat, block, nth = lists.offsets.to_numpy(), lists.values.to_numpy(), block[order], nth[order]
-        edges = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
-        squeeze = zstandard.ZstdCompressor(level=3).compress
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A group's words in order, numbered."""
+        found: dict[int, set[str]] = {}
+        for batch in batches:
+            for key, payload in zip(batch.column(0).to_pylist(), batch.column(3)):
+                if key < 0:
+                    found.setdefault(key, set()).update(_listed(payload.as_buffer().to_pybytes())[1])
+        for key, words in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(words), pa.string()), pa.array((np.int64(-1 - key) << 32) + np.arange(len(words)))], ["word", "at"])
+
+    words = sent.mapInArrow(distinct, "word string, at bigint").repartition(groups, "word")
+    codes = encode_words(words, model).select((-1 - F.shiftright("at", 32)).alias("to"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).alias("no"), "ids")
+
+    def answer(codes: pa.Table, asked: pa.Table) -> pa.Table:
+        """For each block that asked a group: the numbers, lengths and ids of its words."""
+        if not codes.num_rows:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.binary())], ["of_block", "blob"])
+        lists = codes.column("ids").combine_chunks().take(pa.array(np.argsort(codes.column("no").to_numpy())))
+        offset, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
+        asked = [(b, *_listed(p)) for b, p in zip(asked.column("block").to_pylist(), asked.column("payload").to_pylist())]
+        place = {w: i for i, w in enumerate(sorted({w for _, _, ws in asked for w in ws}))}
         blobs = []
-        for i, j in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            parts = (nth[i:j].astype(np.int32), np.diff(offset[i : j + 1]).astype(np.int32), flat[offset[i] : offset[j]].astype(np.int32))
-            blobs.append(squeeze(struct.pack("<q", j - i) + b"".join(x.tobytes() for x in parts)))
-        yield pa.RecordBatch.from_arrays([pa.array(block[edges[:-1]]), pa.array(blobs, pa.binary())], ["of_block", "blob"])
+        for _, nth, ws in asked:
+            mine = np.array([place[w] for w in ws])
+            length = offset[mine + 1] - offset[mine]
+            ends = np.concatenate([[0], np.cumsum(length)])
+            blobs.append(_blob(nth, length, flat[np.repeat(offset[mine] - ends[:-1], length) + np.arange(ends[-1])]))
+        return pa.table([pa.array([b for b, _, _ in asked], pa.int64()), pa.array(blobs, pa.binary())], ["of_block", "blob"])
+
+    answers = codes.groupBy("to").cogroup(sent.groupBy("key")).applyInArrow(answer, "of_block bigint, blob binary")
 
     def assemble(codes: pa.Table, block: pa.Table) -> pa.Table:
-        expand = zstandard.ZstdDecompressor().decompress
-        nth, length, flat = [], [], []
-        for blob in map(expand, codes.column("blob").to_pylist()):
-            n = struct.unpack_from("<q", blob)[0]
-            x = np.frombuffer(blob, np.int32, offset=8)
-            nth.append(x[:n])
-            length.append(x[n : 2 * n])
-            flat.append(x[2 * n :])
-        nth, length, flat = (np.concatenate(x or [np.empty(0, np.int32)]) for x in (nth, length, flat))
-        begin = np.empty(len(nth), np.int64)
-        size = np.empty(len(nth), np.int64)
+        names = ["id", "token_ids", "decoded_sha256"]
+        if block.column("key")[0].as_py() < 0:
+            return pa.table([pa.array([], block.schema.field("ids").type.value_type), pa.array([], pa.list_(pa.int32())), pa.array([], pa.string())], names)
+        row = block.slice(0, 1)
+        sizes, seq, *long = _parts(row.column("payload")[0].as_py(), 5)
+        parts = [long, *(_parts(b, 3) for b in codes.column("blob").to_pylist())]
+        nth, length, flat = (np.concatenate(x) for x in zip(*parts))
+        begin, size = np.empty(len(nth), np.int64), np.empty(len(nth), np.int64)
         begin[nth] = np.cumsum(length, dtype=np.int64) - length
         size[nth] = length
-        row = block.slice(0, 1)
-        seq = np.frombuffer(expand(row.column("seq")[0].as_py()), np.int32)
-        last = np.concatenate([[0], np.cumsum(row.column("sizes")[0].values.to_numpy(), dtype=np.int64)])
+        last = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
         tokens, stops, digest, low = [], [0], [], 0
-        for d in range(len(last) - 1):
+        for d in range(len(sizes)):
             # Documents are put together in stretches, so that the numbers held stay few.
-            if last[d + 1] - last[low] < 500_000 and d < len(last) - 2:
+            if last[d + 1] - last[low] < 500_000 and d < len(sizes) - 1:
                 continue
             mine = seq[last[low] : last[d + 1]]
             ends = np.concatenate([[0], np.cumsum(size[mine])])
@@ -317,12 +411,11 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
             stops += [stops[-1] + c for c in cuts[1:]]
             tokens.append(found)
             low = d + 1
-        flat = np.concatenate(tokens) if tokens else np.empty(0, np.int32)
-        return pa.table([row.column("ids")[0].values, pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(flat, pa.int32())), pa.array(digest, pa.string())], ["id", "token_ids", "decoded_sha256"])
+        flat = np.concatenate(tokens).astype(np.int32)
+        return pa.table([row.column("ids")[0].values, pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(flat)), pa.array(digest, pa.string())], names)
 
     out = T.StructType([T.StructField("id", id_type), T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded_sha256", T.StringType())])
-    packed = coded.mapInArrow(pack, "of_block bigint, blob binary")
-    return packed.groupBy("of_block").cogroup(blocks.select("block", "ids", "sizes", "seq").groupBy("block")).applyInArrow(assemble, out)
+    return answers.groupBy("of_block").cogroup(sent.groupBy("key")).applyInArrow(assemble, out)
 
 
 def decode(rows: DataFrame, model: PieceModel, ids_col: str = "token_ids", into: str = "decoded") -> DataFrame:
