@@ -205,14 +205,14 @@ def fold_merges(word: Column, edges: Column, chars: Column, model: PieceModel) -
 
 
 def fold_viterbi(word: Column, edges: Column, chars: Column, model: PieceModel, scores: Column) -> Column:
-    """The ids of a word's path of the best score sum (ties: the shorter last piece). scores: an array of the pieces' scores by id."""
+    """The ids of a word's path of the best score sum (ties: the longer last piece). scores: an array of the pieces' scores by id."""
     best = "struct<score:double,ids:array<int>>"
     n = F.length(word)
 
     def place(state: Column, j: Column) -> Column:
         wide = F.transform(F.filter(edges, lambda e: _end(e) == j), lambda e: F.struct(_start(e).alias("from"), F.array(_id(e)).alias("ids"), F.get(scores, _id(e)).alias("w")))
         single = let(char_codes(word, j - 1, chars, model), lambda c: F.struct((j - 1).alias("from"), c.alias("ids"), F.when(is_piece(word, j - 1, chars), F.get(scores, c[0])).otherwise(F.lit(model.worst)).alias("w")))
-        ways = F.transform(F.array_append(wide, single), lambda e: F.struct((F.get(state, e["from"])["score"] + e["w"]).alias("score"), e["from"].alias("from"), e["ids"].alias("ids")))
+        ways = F.transform(F.array_append(wide, single), lambda e: F.struct((F.get(state, e["from"])["score"] + e["w"]).alias("score"), (-e["from"]).alias("s"), e["from"].alias("from"), e["ids"].alias("ids")))
         return let(F.array_max(ways), lambda w: F.array_append(state, F.struct(w["score"].alias("score"), F.concat(F.get(state, w["from"])["ids"], w["ids"]).alias("ids")).cast(best)))
 
     empty = F.array(F.struct(F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("ids")).cast(best))
@@ -256,9 +256,9 @@ def viterbi_of(word: str, known: dict[str, tuple[int, float]], of_bytes: list[in
     """fold_viterbi for words of any length."""
     best = [(0.0, 0)]
     for j in range(1, len(word) + 1):
-        ways = [(best[i][0] + (known[word[i:j]][1] if word[i:j] in known else worst), i) for i in range(max(0, j - longest), j) if word[i:j] in known or i == j - 1]
+        ways = [(best[i][0] + (known[word[i:j]][1] if word[i:j] in known else worst), -i) for i in range(max(0, j - longest), j) if word[i:j] in known or i == j - 1]
         score, i = max(ways)
-        best.append((score, i))
+        best.append((score, -i))
     parts, at = [], len(word)
     while at:
         parts.append(_codes(word[best[at][1] : at], known, of_bytes))
