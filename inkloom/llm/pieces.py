@@ -95,6 +95,8 @@ class PieceModel:
         if any(BLANK in p.lstrip(BLANK) for p in normal):
             raise ValueError("a piece has a blank inside: words can't be encoded one by one")
         self.longest = max(map(len, normal))
+        # A character that no piece of two or more holds parts words exactly; line ends are the common case.
+        self.cut_lines = not any("\n" in p for p in normal if len(p) > 1)
         self.worst = min(s for s, t in zip(self.scores, self.types) if t == NORMAL) - 10.0
 
     def table(self, spark: SparkSession) -> DataFrame:
@@ -120,14 +122,22 @@ class PieceModel:
         return [plain(p, t) for p, t in zip(self.pieces, self.types)]
 
 
-def cut_words(text: str, dummy_prefix: bool = True) -> list[str]:
-    """The words of a text, blanks shown by their sign. Joined they are the text (after the dummy prefix)."""
+def cut_words(text: str, dummy_prefix: bool = True, cut_lines: bool = True) -> list[str]:
+    """The words of a text, blanks shown by their sign; with `cut_lines` line ends are words of their own. Joined they are the text (after the dummy prefix)."""
     if not text:
         return []
-    if dummy_prefix and "  " not in text and BLANK not in text and text[0] != " " and text[-1] != " ":
-        return [BLANK + w for w in text.split(" ")]
-    shown = (BLANK if dummy_prefix else "") + text.replace(" ", BLANK)
-    return re.findall(f"{BLANK}+[^{BLANK}]*|^[^{BLANK}]+", shown)
+    out: list[str] = []
+    for k, line in enumerate(text.split("\n") if cut_lines else (text,)):
+        if k:
+            out.append("\n")
+        lead = dummy_prefix and not k
+        if "  " in line or BLANK in line or line[:1] == " " or line[-1:] == " " or not line:
+            out += re.findall(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+", (BLANK if lead else "") + line.replace(" ", BLANK))
+            continue
+        first, *rest = line.split(" ")
+        out.append(BLANK + first if lead else first)
+        out += [BLANK + w for w in rest]
+    return out
 
 
 def lattice(words: DataFrame, model: PieceModel) -> DataFrame:
@@ -280,21 +290,33 @@ def encode_words(words: DataFrame, model: PieceModel) -> DataFrame:
     return edges.withColumn("scores", scores).select("at", fold_viterbi(F.col("word"), F.col("edges"), F.col("chars"), model, F.col("scores")).alias("ids"))
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """int32 numbers as all their first bytes, all their second ones and so on, which squeezes better."""
+    return np.ascontiguousarray(np.ascontiguousarray(x, np.int32).view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _numbers(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.int32).reshape(-1)
+
+
 def _blob(*parts: np.ndarray) -> bytes:
-    """int32 arrays of one length each, with their lengths, squeezed."""
-    return zstandard.ZstdCompressor(level=3).compress(struct.pack(f"<{len(parts)}q", *map(len, parts)) + b"".join(np.ascontiguousarray(x, np.int32).tobytes() for x in parts))
+    """int32 arrays with their lengths, squeezed."""
+    return zstandard.ZstdCompressor(level=3).compress(struct.pack(f"<{len(parts)}q", *map(len, parts)) + b"".join(map(_planes, parts)))
 
 
 def _parts(blob: bytes, n: int) -> list[np.ndarray]:
-    data = zstandard.ZstdDecompressor().decompress(blob)
-    return np.split(np.frombuffer(data, np.int32, offset=8 * n), np.cumsum(struct.unpack_from(f"<{n}q", data))[:-1])
+    data, at, out = zstandard.ZstdDecompressor().decompress(blob), 8 * n, []
+    for size in struct.unpack_from(f"<{n}q", data):
+        out.append(_numbers(data[at : at + 4 * size]))
+        at += 4 * size
+    return out
 
 
 def packets(docs: DataFrame, model: PieceModel, id_col: str, text_col: str, block_bytes: int, groups: int) -> DataFrame:
     """(key, block, ids, payload): for each block its documents (key: the block; payload: sizes, word numbers, and the numbers, lengths and ids of long words), and
     its list of words for each word group (key: -1 - group; payload: the words' numbers and, after them, the words)."""
     kind = docs.schema[id_col].dataType.simpleString()
-    known, of_bytes, dummy, longest, worst, bpe = model.vocabulary(), model.bytes, model.dummy_prefix, model.longest, model.worst, model.kind == BPE
+    known, of_bytes, dummy, lines, longest, worst, bpe = model.vocabulary(), model.bytes, model.dummy_prefix, model.cut_lines, model.longest, model.worst, model.kind == BPE
     names = ["key", "block", "ids", "payload"]
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,14 +339,14 @@ def packets(docs: DataFrame, model: PieceModel, id_col: str, text_col: str, bloc
                 if len(mine):
                     text = "\0".join([listed[i] for i in mine.tolist()]).encode("utf-8", "surrogatepass")
                     keys.append(-1 - g)
-                    payloads.append(squeeze(struct.pack("<q", len(mine)) + mine.astype(np.int32).tobytes() + text))
+                    payloads.append(squeeze(struct.pack("<q", len(mine)) + _planes(np.diff(mine, prepend=0)) + text))
             rest = len(keys) - 1
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([block] * len(keys), pa.int64()), pa.array([ids] + [None] * rest, pa.list_(of_id)), pa.array(payloads, pa.binary())], names)
 
         for batch in batches:
             of_id = batch.schema.field(0).type
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = cut_words(text or "", dummy)
+                found = cut_words(text or "", dummy, lines)
                 ids.append(i)
                 sizes.append(len(found))
                 seq.append(np.array([words.setdefault(w, len(words)) for w in found], np.int32))
@@ -343,7 +365,7 @@ def packets(docs: DataFrame, model: PieceModel, id_col: str, text_col: str, bloc
 def _listed(payload: bytes) -> tuple[np.ndarray, list[str]]:
     data = zstandard.ZstdDecompressor().decompress(payload)
     n = struct.unpack_from("<q", data)[0]
-    return np.frombuffer(data, np.int32, n, 8), data[8 + 4 * n :].decode("utf-8", "surrogatepass").split("\0")
+    return np.cumsum(_numbers(data[8 : 8 + 4 * n])), data[8 + 4 * n :].decode("utf-8", "surrogatepass").split("\0")
 
 
 def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 32 << 20, group_bytes: int = 4 << 20) -> DataFrame:
@@ -381,7 +403,7 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
             mine = np.array([place[w] for w in ws])
             length = offset[mine + 1] - offset[mine]
             ends = np.concatenate([[0], np.cumsum(length)])
-            blobs.append(_blob(nth, length, flat[np.repeat(offset[mine] - ends[:-1], length) + np.arange(ends[-1])]))
+            blobs.append(_blob(np.diff(nth, prepend=0), length, flat[np.repeat(offset[mine] - ends[:-1], length) + np.arange(ends[-1])]))
         return pa.table([pa.array([b for b, _, _ in asked], pa.int64()), pa.array(blobs, pa.binary())], ["of_block", "blob"])
 
     answers = codes.groupBy("to").cogroup(sent.groupBy("key")).applyInArrow(answer, "of_block bigint, blob binary")
@@ -392,7 +414,9 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
             return pa.table([pa.array([], block.schema.field("ids").type.value_type), pa.array([], pa.list_(pa.int32())), pa.array([], pa.string())], names)
         row = block.slice(0, 1)
         sizes, seq, *long = _parts(row.column("payload")[0].as_py(), 5)
-        parts = [long, *(_parts(b, 3) for b in codes.column("blob").to_pylist())]
+        parts = [long]
+        for step, *more in (_parts(b, 3) for b in codes.column("blob").to_pylist()):
+            parts.append([np.cumsum(step), *more])
         nth, length, flat = (np.concatenate(x) for x in zip(*parts))
         begin, size = np.empty(len(nth), np.int64), np.empty(len(nth), np.int64)
         begin[nth] = np.cumsum(length, dtype=np.int64) - length
