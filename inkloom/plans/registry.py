@@ -4,19 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from inkloom.plans import base, books  # noqa: F401
 
-FLAGSHIP = "scan_ordered"
+FLAGSHIP = "training_rows"
 
 
-def scan_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", "n_chars").orderBy(F.desc("n_chars"), F.desc("doc_id"))
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"scan_ordered": scan_ordered}
+def queries() -> dict[str, Callable]:
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"scan_ordered": "SELECT doc_id, lang, source, n_chars FROM documents ORDER BY n_chars DESC, doc_id DESC"}
+    return dict(base.SQL)
