@@ -140,13 +140,16 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     met = F.col("source").eqNullSafe(F.col("_s")) & (F.col("start") == F.col("_a")) & (F.col("size") > 0)
     # Repeated rows (same id and text) have stretches of their own; each is paired with one row by its number.
     number = F.row_number().over(Window.partitionBy("id", "tag").orderBy(F.col("source").asc_nulls_last(), "start"))
-    spans = laid.withColumn("_n", number).join(spans, met).select(F.col("id").alias("_id"), F.col("tag").alias("_tag"), "_n", "size", "a", "b")
-    rows = docs.withColumn("_t", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    rows = rows.withColumn("_m", F.row_number().over(Window.partitionBy(id_col, "_t").orderBy(F.col(source_col).asc_nulls_last())))
-    rows = rows.join(spans, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_tag")) & (F.col("_m") == F.col("_n")))
-    cut = F.array_join(F.slice(words(F.col(text_col)), (F.col("a") + 1).cast("int"), (F.col("b") - F.col("a")).cast("int")), " ")
-    text = F.when((F.col("a") == 0) & (F.col("b") == F.col("size")), F.col(text_col)).otherwise(cut)
-    return rows.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    spans = laid.withColumn("_n", number).join(spans, met).select("id", "tag", "_n", F.col("size"), "a", "b")
+    # The rows travel as one column, so their names can't clash with others.
+    rows = docs.select(F.struct("*").alias("row"))
+    of = lambda c: F.col("row")[c]
+    rows = rows.withColumn("row_tag", F.xxhash64(F.coalesce(of(text_col).cast("string"), F.lit(""))))
+    rows = rows.withColumn("row_n", F.row_number().over(Window.partitionBy(of(id_col), "row_tag").orderBy(of(source_col).asc_nulls_last())))
+    rows = rows.join(spans, of(id_col).eqNullSafe(F.col("id")) & (F.col("row_tag") == F.col("tag")) & (F.col("row_n") == F.col("_n")))
+    cut = F.array_join(F.slice(words(of(text_col)), (F.col("a") + 1).cast("int"), (F.col("b") - F.col("a")).cast("int")), " ")
+    text = F.when((F.col("a") == 0) & (F.col("b") == F.col("size")), of(text_col)).otherwise(cut)
+    return rows.select(*[(text if c == text_col else of(c)).alias(c) for c in docs.columns])
 
 
 def op2_mix_sources(spark, sf_dir: str) -> DataFrame:

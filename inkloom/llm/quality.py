@@ -92,14 +92,15 @@ def target_weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, most_trusted: int = MOST_TRUSTED) -> DataFrame:
-    """All rows and columns of `docs`, with a struct column _quality: the base features, score, base_failed and kept."""
-    # A scalar subquery: its one row becomes a constant of the plan, without a join.
-    rows = docs.select("*", target_weights(docs, labels, id_col, text_col, most_trusted).scalar().alias("_w"))
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = rows.select(*docs.columns, let(F.col("_w"), lambda w: let(text, lambda t: _judged(t, w))).alias("_q"))
-    failed = (F.col("_q.n_words") < 50) | (100 * F.col("_q.n_repeat_words") > 50 * F.col("_q.n_words"))
-    kept = ~failed & (F.col("_q.score") >= threshold)
-    return rows.withColumn("_quality", F.struct("_q.*", failed.alias("base_failed"), kept.alias("kept"))).drop("_q")
+    """All rows and columns of `docs`, with a struct column _quality (in place of one of that name): the base features, score, base_failed and kept."""
+    # The rows travel as one column, so their names can't clash. The scalar subquery's one row becomes a constant of the plan, without a join.
+    rows = docs.select(F.struct("*").alias("row"), target_weights(docs, labels, id_col, text_col, most_trusted).scalar().alias("weights"))
+    text = F.coalesce(F.col("row")[text_col].cast("string"), F.lit(""))
+    rows = rows.select("row", let(F.col("weights"), lambda w: let(text, lambda t: _judged(t, w))).alias("q"))
+    failed = (F.col("q.n_words") < 50) | (100 * F.col("q.n_repeat_words") > 50 * F.col("q.n_words"))
+    kept = ~failed & (F.col("q.score") >= threshold)
+    found = F.struct("q.*", failed.alias("base_failed"), kept.alias("kept")).alias("_quality")
+    return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "_quality"], found)
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -116,5 +116,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The rows of `docs` with one document of each component: that with the component's smallest id; of rows with that same id, the one with the smallest text."""
     found = simhash_components(docs, id_col, text_col)
     chosen = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("component_id").alias("_keep")).distinct()
-    kept = docs.join(chosen, docs[id_col].eqNullSafe(chosen["_keep"]), "left_semi")
-    return kept.withColumn("_n", F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))).where("_n = 1").drop("_n")
+    rows = docs.select(F.struct("*").alias("row")).join(chosen, F.col("row")[id_col].eqNullSafe(F.col("_keep")), "left_semi")
+    nth = F.row_number().over(Window.partitionBy(F.col("row")[id_col]).orderBy(F.col("row")[text_col]))
+    return rows.withColumn("nth", nth).where("nth = 1").select("row.*")
