@@ -368,7 +368,7 @@ def _listed(payload: bytes) -> tuple[np.ndarray, list[str]]:
     return np.cumsum(_numbers(data[8 : 8 + 4 * n])), data[8 + 4 * n :].decode("utf-8", "surrogatepass").split("\0")
 
 
-def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 32 << 20, group_bytes: int = 4 << 20) -> DataFrame:
+def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 32 << 20, group_bytes: int = 12 << 20) -> DataFrame:
     """(id, token_ids, decoded_sha256) of every row; the digest is that of the text that the ids decode to."""
     total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     groups = max(1, -(-total // group_bytes))
