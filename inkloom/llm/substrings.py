@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 from inkloom.llm.wordhash import cut, mixed, sliding_min, window_hashes, word_hashes
 
-GRAM = 5
+GRAM = 3
 LAST = np.iinfo(np.int64).max
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 4 << 20
 NEWLINE = 10
 
 
