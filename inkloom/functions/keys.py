@@ -7,6 +7,7 @@ import uuid
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkloom.functions.text import name_key
 
@@ -35,13 +36,13 @@ def version_hash(*columns: str) -> Column:
     return F.sha2(F.to_json(F.struct(*sorted(columns))), 256)
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def point_id(key: pd.Series) -> pd.Series:
     """A stable id of a key: its version 5 UUID, modulo 2^63 - 1."""
     return key.map(lambda k: uuid.uuid5(uuid.NAMESPACE_URL, k or "").int % ((1 << 63) - 1))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def session_id(scope: pd.Series) -> pd.Series:
     return scope.map(lambda k: str(uuid.uuid5(uuid.NAMESPACE_URL, k or "")))
 
