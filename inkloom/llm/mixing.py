@@ -8,7 +8,7 @@ that its target leaves, and a source that the points left a few slots short gets
 Targets: sources in code point order (null last) weigh 1, 2, 3, repeating, and share all words by weight; no target is above `most` times
 its source's words, what it exceeds is shared by the others by weight. This is t = min(most * size, level * weight) with one level for all sources.
 
-No source is gathered in one task: running sums and ranks go over hash buckets (of about 20,000 documents) and slot blocks whose sums are aggregated first. The list of
+No source is gathered in one task: running sums and ranks go over hash buckets (of about 2,000 documents) and slot blocks whose sums are aggregated first. The list of
 sources has one row for each source and is the only thing that is ordered as a whole.
 
 Defined cases: null texts and texts without words have size 0 and are never taken; repeated rows are documents of their own; a
@@ -25,7 +25,7 @@ from inkloom.llm.common import WORD, checkpointed, running_sum, words, written
 BLOCK = 64
 MOST = 3
 SEED = 17
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2000
 SLOT_ROWS = 1 << 16
 CELLS = 1024
 #: frac(golden ratio), and frac(2^20 * golden ratio): the fraction of i * golden ratio stays exact to 1e-9 for 10^12 slots.
