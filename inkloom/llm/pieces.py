@@ -345,12 +345,13 @@ def packets(docs: DataFrame, model: PieceModel, id_col: str, text_col: str, bloc
 
         for batch in batches:
             of_id = batch.schema.field(0).type
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = cut_words(text or "", dummy, lines)
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):  # one text at a time
+                text = text.as_py() or ""
+                found = cut_words(text, dummy, lines)
                 ids.append(i)
                 sizes.append(len(found))
                 seq.append(np.array([words.setdefault(w, len(words)) for w in found], np.int32))
-                size += len(text or "")
+                size += len(text)
                 if size >= block_bytes:
                     yield closed()
                     block += 1
@@ -368,7 +369,7 @@ def _listed(payload: bytes) -> tuple[np.ndarray, list[str]]:
     return np.cumsum(_numbers(data[8 : 8 + 4 * n])), data[8 + 4 * n :].decode("utf-8", "surrogatepass").split("\0")
 
 
-def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 32 << 20, group_bytes: int = 12 << 20) -> DataFrame:
+def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 32 << 20, group_bytes: int = 6 << 20) -> DataFrame:
     """(id, token_ids, decoded_sha256) of every row; the digest is that of the text that the ids decode to."""
     total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     groups = max(1, -(-total // group_bytes))
@@ -422,7 +423,8 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
         begin[nth] = np.cumsum(length, dtype=np.int64) - length
         size[nth] = length
         last = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-        tokens, stops, digest, low = [], [0], [], 0
+        tokens = np.empty(sum(int(size[seq[k : k + 500_000]].sum()) for k in range(0, len(seq), 500_000)), np.int32)
+        stops, digest, low = [0], [], 0
         for d in range(len(sizes)):
             # Documents are put together in stretches, so that the numbers held stay few.
             if last[d + 1] - last[low] < 500_000 and d < len(sizes) - 1:
@@ -432,11 +434,10 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
             found = flat[np.repeat(begin[mine] - ends[:-1], size[mine]) + np.arange(ends[-1])]
             cuts = ends[last[low : d + 2] - last[low]].tolist()
             digest += [hashlib.sha256(b"".join([shown[t] for t in found[a:b].tolist()])[skip:]).hexdigest() for a, b in zip(cuts, cuts[1:])]
+            tokens[stops[-1] : stops[-1] + len(found)] = found
             stops += [stops[-1] + c for c in cuts[1:]]
-            tokens.append(found)
             low = d + 1
-        flat = np.concatenate(tokens).astype(np.int32)
-        return pa.table([row.column("ids")[0].values, pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(flat)), pa.array(digest, pa.string())], names)
+        return pa.table([row.column("ids")[0].values, pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(tokens)), pa.array(digest, pa.string())], names)
 
     out = T.StructType([T.StructField("id", id_type), T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded_sha256", T.StringType())])
     return answers.groupBy("of_block").cogroup(sent.groupBy("key")).applyInArrow(assemble, out)
