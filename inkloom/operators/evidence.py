@@ -89,3 +89,15 @@ def conflicts(evidence: DataFrame, key: str) -> DataFrame:
     c, p = F.countDistinct("chapter_index"), F.countDistinct("plot_id")
     spread = (c >= 3) & (F.max("chapter_index") - F.min("chapter_index") > 40)
     return evidence.groupBy(key).agg(F.coalesce(spread | ((p >= 3) & ~F.bool_or(F.col("source") == "chapters")), F.lit(False)).alias("conflicting"))
+
+
+def structured(batches: DataFrame, key: str, coverage: list[str]) -> DataFrame:
+    """One row for each request of batch results (key, batch, status, hit_chapters, best_evidence, needs_fulltext, coverage flags): all hit chapters in order, any flag, the longest evidence (the first of
+    equally long ones), how many batches hit."""
+    text = F.trim(F.coalesce("best_evidence", F.lit("")))
+    hits = F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_chapters"))))
+    found = batches.groupBy(key).agg(
+        hits.alias("hit_chapters"), F.max_by(text, F.struct(F.length(text), -F.col("batch"))).alias("best_evidence"), F.bool_or("needs_fulltext").alias("needs_fulltext"),
+        F.count_if(F.upper("status") == "HIT").alias("matched_batches"), *[F.bool_or(c).alias(c) for c in coverage],
+    )
+    return found.withColumn("hit_count", F.size("hit_chapters")).withColumn("status", F.when(F.size("hit_chapters") > 0, "HIT").otherwise("MISS"))

@@ -66,3 +66,45 @@ def style_counts(samples: DataFrame, most: int = 30) -> DataFrame:
     key = F.lower(F.regexp_replace("signal", r"(?U)\s+", ""))
     found = samples.withColumn("_key", key).where("_key <> ''").groupBy("_key").agg(F.min_by("signal", "ord").alias("signal"), F.count(F.lit(1)).alias("occurrences"), F.min("ord").alias("_ord"))
     return found.orderBy(F.desc("occurrences"), "_ord").limit(most).select("signal", "occurrences")
+
+
+#: What keyword groups score in a chapter that mentions the other side.
+RELATION_WORDS = (
+    (6, ("救", "杀", "打", "护", "骗", "威胁", "命令", "联手", "交易", "安慰", "表白", "利用", "怀疑", "保护")),
+    (5, ("合作", "翻脸", "决裂", "和解", "确认关系", "互相怀疑", "建立信任", "依赖", "疏远", "亲近")),
+    (4, ("信任", "依赖", "厌恶", "恐惧", "爱慕", "警惕", "尊敬", "嫉妒", "愧疚", "关心")),
+    (4, ("父", "母", "兄", "姐", "弟", "妹", "师", "徒", "同学", "队友", "上司", "下属", "夫妻", "恋人", "朋友")),
+)
+
+
+def normalised(events: DataFrame, windows: DataFrame) -> DataFrame:
+    """Model events (window_id, source, target, start, end, relation_type, polarity, strength, summary, evidence) held within their window (window_id, low, high).
+
+    Events of a character with itself or with nobody are left out; a missing start is the window's, an end before the start is the start; polarity and strength have defaults; evidence
+    outside the event is left out, and the start stands in for none.
+    """
+    key = lambda c: F.lower(F.regexp_replace(c, r"(?U)\s+", ""))
+    text = lambda c, other: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(other)).alias(c)
+    rows = events.join(windows, "window_id").where((F.coalesce(F.trim("target"), F.lit("")) != "") & (key("target") != key("source")))
+    rows = rows.withColumn("start", F.greatest("low", F.coalesce("start", "low")))
+    rows = rows.withColumn("end", F.least("high", F.greatest("start", F.coalesce("end", "start"))))
+    inside = F.array_distinct(F.filter("evidence", lambda c: c.between(F.col("start"), F.col("end"))))
+    evidence = F.when(F.size(inside) > 0, inside).otherwise(F.array("start"))
+    return rows.select("window_id", "source", "target", "start", "end", text("relation_type", ""), text("polarity", "neutral"), text("strength", "medium"), text("summary", ""), evidence.alias("evidence"))
+
+
+def chapter_scores(entries: DataFrame, histories: DataFrame, words=RELATION_WORDS) -> DataFrame:
+    """(target, volume_id, chapter_index, score) of the chapters that a relation's history covers.
+
+    entries: (chapter_index, volume_id, text); histories: (target, start, end). A chapter in the history scores 6, mentions of the target with each keyword group more, two mentions 3,
+    the relation's first and last chapter of a volume 2 each.
+    """
+    span = F.explode(F.sequence(F.least("start", "end"), F.greatest("start", "end")))
+    rows = histories.select("target", span.alias("chapter_index")).distinct().join(entries, "chapter_index")
+    mentions = F.regexp_count("text", F.regexp_replace("target", r"([\\\[\](){}.*+?^$|])", r"\\$1"))
+    volume = Window.partitionBy("target", "volume_id")
+    score = F.lit(6) + F.when(mentions >= 2, 3).otherwise(0)
+    for points, group in words:
+        score = score + F.when((mentions > 0) & F.col("text").rlike("|".join(group)), points).otherwise(0)
+    score = score + F.when(F.col("chapter_index") == F.min("chapter_index").over(volume), 2).otherwise(0) + F.when(F.col("chapter_index") == F.max("chapter_index").over(volume), 2).otherwise(0)
+    return rows.select("target", "volume_id", "chapter_index", score.alias("score"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inkloom.functions import keys, text
-from inkloom.operators import dataset, entities, evidence, graph, planner, ranks, relations, retrieval, sessions, sync
+from inkloom.operators import dataset, entities, entries, evidence, graph, planner, ranks, relations, retrieval, search, sessions, sync
 from inkloom.plans.base import CHAPTERS, EVENTS, INDEX, MESSAGES, query
 from inkloom.sources import tables
 
@@ -442,3 +442,54 @@ def event_numbers(spark, sf_dir):
 def excerpts(spark, sf_dir):
     rows = tables.table(spark, sf_dir, "part", "p_partkey", "p_name").withColumn("word", F.lit("1"))
     return rows.select("p_partkey", text.keyword_excerpt("p_name", "word", 2).alias("excerpt"))
+
+
+# --- searches and merges without SQL, and the rest
+
+
+@query()
+def hybrid_search(spark, sf_dir):
+    """Every benchmark passage as a question to the book of its number, over all chapters."""
+    chapters = tables.chapters(spark, sf_dir)
+    asked = tables.table(spark, sf_dir, "benchmark", "item_id", "text").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 20 + 1).alias("book_id"), F.col("text").alias("query"))
+    found = search.hybrid(asked, chapters.select(F.col("doc_id").alias("id"), "book_id", F.col("content").alias("text")), "volumes")
+    return found.select("query_id", "id", F.round("fused_score", 9).alias("fused_score"), F.round("rerank_score", 6).alias("rerank_score"), F.col("final_rank").cast("bigint").alias("final_rank"))
+
+
+@query()
+def deep_search(spark, sf_dir):
+    """The windows, confidence and citations of every benchmark passage as a question."""
+    chapters = tables.chapters(spark, sf_dir).select(F.col("doc_id").alias("id"), "book_id", "chapter_index", F.col("chapter_summary").alias("text"))
+    asked = tables.table(spark, sf_dir, "benchmark", "item_id", "text").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 20 + 1).alias("book_id"), F.col("text").alias("query"))
+    return search.research(asked, chapters)
+
+
+@query()
+def plot_entity_merge(spark, sf_dir):
+    """The first words of chapters as named entries, merged within each plot."""
+    rows = tables.with_hierarchy(tables.chapters(spark, sf_dir).select("book_id", "chapter_index", "chapter_summary"))
+    words = rows.select("book_id", "plot_id", "chapter_index", F.slice(F.split("chapter_summary", r"\s+"), 1, 8).alias("w"))
+    named = words.select("book_id", "plot_id", "chapter_index", F.posexplode("w").alias("pos", "name")).where("name <> ''").withColumn("description", F.concat(F.lit("seen in "), F.col("chapter_index").cast("string")))
+    found = entries.merged_entries(named)
+    return found.select("book_id", "plot_id", "place", "name", F.array_join("aliases", "/").alias("aliases"), F.size("records").alias("n_records"))
+
+
+@query(f"""WITH {CHAPTERS}, b AS (SELECT book_id, (chapter_index - 1) // 5 AS batch, list(chapter_index ORDER BY chapter_index) FILTER (WHERE word_count % 3 = 0) AS hits, arg_max(left(content, 30), word_count * 1000 + chapter_index) AS ev, bool_or(word_count % 5 = 0) AS full_text, bool_or(word_count > 4000) AS has_long FROM chapters GROUP BY 1, 2)
+SELECT book_id, array_to_string(list_sort(list_distinct(flatten(list(coalesce(hits, []))))), ',') AS hit_chapters, arg_max(trim(ev), (length(trim(ev)), -batch)) AS best_evidence, bool_or(full_text) AS needs_fulltext, count(*) FILTER (WHERE hits IS NOT NULL) AS matched_batches, bool_or(has_long) AS has_long, CASE WHEN sum(coalesce(len(hits), 0)) > 0 THEN 'HIT' ELSE 'MISS' END AS status FROM b GROUP BY 1""")
+def structured_agg(spark, sf_dir):
+    c = tables.chapters(spark, sf_dir)
+    hit = F.array_sort(F.collect_list(F.when(F.col("word_count") % 3 == 0, F.col("chapter_index"))))
+    b = c.groupBy("book_id", F.floor((F.col("chapter_index") - 1) / 5).alias("batch")).agg(hit.alias("hit_chapters"), F.max_by(F.substring("content", 1, 30), F.col("word_count") * 1000 + F.col("chapter_index")).alias("best_evidence"), F.bool_or(F.col("word_count") % 5 == 0).alias("needs_fulltext"), F.bool_or(F.col("word_count") > 4000).alias("has_long"))
+    found = evidence.structured(b.withColumn("status", F.when(F.size("hit_chapters") > 0, "hit").otherwise("miss")), "book_id", ["has_long"])
+    return found.select("book_id", F.array_join(F.transform("hit_chapters", lambda x: x.cast("string")), ",").alias("hit_chapters"), "best_evidence", "needs_fulltext", "matched_batches", "has_long", "status")
+
+
+@query(f"""WITH {INDEX}, h AS (SELECT DISTINCT t AS target, a + d AS chapter_index FROM (VALUES ('the', 2, 9), ('est', 8, 14), ('the', 30, 25)) v(t, x, y), LATERAL (SELECT least(x, y) AS a, greatest(x, y) - least(x, y) AS n), LATERAL (SELECT unnest(range(0, n + 1)) AS d)),
+r AS (SELECT target, volume_id, chapter_index, book_id, content, len(regexp_extract_all(content, target)) AS m FROM h JOIN ci USING (chapter_index) WHERE book_id = 1)
+SELECT target, volume_id, chapter_index, (6 + CASE WHEN m >= 2 THEN 3 ELSE 0 END + CASE WHEN m > 0 AND regexp_matches(content, 'was|ist') THEN 6 ELSE 0 END + CASE WHEN chapter_index = min(chapter_index) OVER v THEN 2 ELSE 0 END + CASE WHEN chapter_index = max(chapter_index) OVER v THEN 2 ELSE 0 END)::BIGINT AS score
+FROM r WINDOW v AS (PARTITION BY target, volume_id)""")
+def relation_scores(spark, sf_dir):
+    rows = tables.with_hierarchy(tables.chapters(spark, sf_dir)).where("book_id = 1").select("chapter_index", "volume_id", F.col("content").alias("text"))
+    histories = spark.createDataFrame([("the", 2, 9), ("est", 8, 14), ("the", 30, 25)], "target string, start bigint, end bigint")
+    found = relations.chapter_scores(rows, histories, ((6, ("was", "ist")),))
+    return found.withColumn("score", F.col("score").cast("bigint"))

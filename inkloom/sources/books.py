@@ -99,6 +99,27 @@ def epub_title(data: bytes) -> dict[str, str]:
         return {k: next(((e.text or "").strip() for e in root.iter() if e.tag.rsplit("}", 1)[-1] == k), "") for k in ("title", "creator", "description")}
 
 
+def epub_cover(data: bytes) -> str | None:
+    """The path of an EPUB file's cover image: the item that the metadata names, the one with the cover-image property, the first image of a cover page, or an image called cover."""
+    local = lambda e: e.tag.rsplit("}", 1)[-1]
+    with zipfile.ZipFile(io.BytesIO(data)) as book:
+        container = ElementTree.fromstring(book.read("META-INF/container.xml"))
+        package = next(e.attrib["full-path"] for e in container.iter() if local(e) == "rootfile")
+        root = ElementTree.fromstring(book.read(package))
+        items = {e.attrib["id"]: e.attrib for e in root.iter() if local(e) == "item"}
+        named = next((e.attrib.get("content", "") for e in root.iter() if local(e) == "meta" and e.attrib.get("name") == "cover"), "")
+        beside = lambda base, href: posixpath.normpath(posixpath.join(posixpath.dirname(base), href))
+        images = {k: i for k, i in items.items() if i.get("media-type", "").startswith("image/")}
+        ranked = [i for k, i in images.items() if k == named] + [i for i in images.values() if "cover-image" in i.get("properties", "")]
+        if ranked:
+            return beside(package, ranked[0]["href"])
+        pages = [i for k, i in items.items() if k == named] + [i for i in items.values() if "cover" in i["href"].lower() and i.get("media-type") == "application/xhtml+xml"]
+        for page in (beside(package, i["href"]) for i in pages if i.get("media-type") == "application/xhtml+xml"):
+            if page in book.namelist() and (found := re.search(r"""(?:href|src)\s*=\s*['"]([^'"]+\.(?:jpe?g|png|webp|gif|bmp))['"]""", decoded(book.read(page)), re.I)):
+                return beside(page, found[1])
+        return next((beside(package, i["href"]) for k, i in images.items() if "cover" in k.lower() or "cover" in i["href"].lower()), None)
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, kind, content) of the book files under a path; other kinds are left out."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
