@@ -195,15 +195,22 @@ def fold_merges(word: Column, edges: Column, chars: Column, model: PieceModel) -
         return F.struct(shift(s).bitwiseOR(shift(e)).alias("ends"), (shift(e) - shift(s + 1)).alias("mid"), s.alias("s"), _id(x).alias("id"))
 
     both = lambda b, e: b.bitwiseAND(e["ends"]) == e["ends"]
+    state = "struct<b:bigint,left:array<struct<ends:bigint,mid:bigint,s:int,id:int>>>"
 
-    def merged(b: Column, multi: Column) -> Column:
-        best = F.get(F.filter(multi, lambda e: both(b, e) & (F.bit_count(b.bitwiseAND(e["mid"])) == 1)), F.lit(0))["mid"]
-        return b.bitwiseAND(F.bitwise_not(F.coalesce(best, F.lit(0).cast("bigint"))))
+    def merged(now: Column) -> Column:
+        """One merge; an edge that has lost an end leaves the list for good."""
+
+        def step(left: Column) -> Column:
+            best = F.get(F.filter(left, lambda e: F.bit_count(now["b"].bitwiseAND(e["mid"])) == 1), F.lit(0))["mid"]
+            b = now["b"].bitwiseAND(F.bitwise_not(F.coalesce(best, F.lit(0).cast("bigint"))))
+            return F.struct(b.alias("b"), left.alias("left")).cast(state)
+
+        return let(F.filter(now["left"], lambda e: both(now["b"], e)), step)
 
     def ids(multi: Column) -> Column:
         rounds = F.sequence(F.lit(1), F.greatest(F.least(n - 1, F.size(multi)), F.lit(1)))
-        places = F.aggregate(rounds, shift(n + 1) - 1, lambda b, _: merged(b, multi))
-        return let(places, lambda b: read(b, multi))
+        begin = F.struct((shift(n + 1) - 1).alias("b"), multi.alias("left")).cast(state)
+        return let(F.aggregate(rounds, begin, lambda now, _: merged(now)), lambda now: read(now["b"], now["left"]))
 
     def read(b: Column, multi: Column) -> Column:
         tokens = F.transform(F.filter(multi, lambda e: both(b, e) & (b.bitwiseAND(e["mid"]) == 0)), lambda e: F.struct(e["s"].alias("s"), F.array(e["id"]).alias("ids")))
@@ -312,6 +319,14 @@ def _parts(blob: bytes, n: int) -> list[np.ndarray]:
     return out
 
 
+class Numbering(dict):
+    """Gives every new key the next number."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 def packets(docs: DataFrame, model: PieceModel, id_col: str, text_col: str, block_bytes: int, groups: int) -> DataFrame:
     """(key, block, ids, payload): for each block its documents (key: the block; payload: sizes, word numbers, and the numbers, lengths and ids of long words), and
     its list of words for each word group (key: -1 - group; payload: the words' numbers and, after them, the words)."""
@@ -321,7 +336,7 @@ def packets(docs: DataFrame, model: PieceModel, id_col: str, text_col: str, bloc
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, of_id = TaskContext.get().partitionId() << 20, pa.int64()
-        ids, sizes, seq, words, size = [], [], [], {}, 0
+        ids, sizes, seq, words, size = [], [], [], Numbering(), 0
 
         def closed() -> pa.RecordBatch:
             listed = list(words)
@@ -350,12 +365,12 @@ def packets(docs: DataFrame, model: PieceModel, id_col: str, text_col: str, bloc
                 found = cut_words(text, dummy, lines)
                 ids.append(i)
                 sizes.append(len(found))
-                seq.append(np.array([words.setdefault(w, len(words)) for w in found], np.int32))
+                seq.append(np.fromiter(map(words.__getitem__, found), np.int32, len(found)))
                 size += len(text)
                 if size >= block_bytes:
                     yield closed()
                     block += 1
-                    ids, sizes, seq, words, size = [], [], [], {}, 0
+                    ids, sizes, seq, words, size = [], [], [], Numbering(), 0
         if ids:
             yield closed()
 
