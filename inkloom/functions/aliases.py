@@ -14,7 +14,7 @@ SEPARATORS, QUOTES, EDGES = "、/／,，|｜;；", "\"'“”‘’「」『』
 
 
 def flattened(text: str) -> list[str]:
-    """The single aliases of a text, the outer ones first: separated lists are parted, brackets are opened."""
+    """The single aliases of a text, in order of depth: lists are parted first, then brackets are opened."""
     level, out = [text or ""], []
     while level:
         below = []
@@ -22,7 +22,7 @@ def flattened(text: str) -> list[str]:
             x = x.strip().strip(QUOTES).strip()
             parts = [p.strip() for p in re.split(f"[{SEPARATORS}]+", x) if p.strip()]
             bracket = re.match(r"([^（(]*)[（(](.*)", x, re.S)
-            if len(parts) > 1 and not (bracket and re.search(f"[{SEPARATORS}]", bracket[2]) and not re.search(f"[{SEPARATORS}]", bracket[1])):
+            if len(parts) > 1:
                 below += parts
             elif bracket:
                 below += [p for p in (bracket[1].strip(), bracket[2].strip().rstrip("）)").strip()) if p]

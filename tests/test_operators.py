@@ -134,3 +134,65 @@ def test_streams(spark, small, tmp_path):
     streams.run_once(streams.sessions(events), str(tmp_path / "out"), str(tmp_path / "state"))
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert rows and all(r.ended > r.started and r.n >= 1 for r in rows)
+
+
+def test_hybrid_search(spark):
+    from inkloom.operators import search
+
+    chapters = spark.createDataFrame([(i, 1 + i % 2, i // 2 + 1, t) for i, t in enumerate(["red fox runs", "x", "blue fox", "y", "red fox red fox", "z", "nothing here", "red"])], "id bigint, book_id bigint, chapter_index bigint, text string")
+    asked = spark.createDataFrame([(7, 1, "red fox"), (8, 2, "red"), (9, 3, "none")], "query_id bigint, book_id bigint, query string")
+    rows = search.hybrid(asked, chapters, "volumes").orderBy("query_id", "final_rank").collect()
+    assert [(r.query_id, r.id) for r in rows if r.query_id == 7][:2] in ([(7, 4), (7, 0)], [(7, 0), (7, 4)]) and not [r for r in rows if r.query_id == 9]
+    assert rows[-1].query_id == 8 and {r.id for r in rows if r.query_id == 8} <= {1, 3, 5, 7}
+    assert next(r for r in rows if r.query_id == 8).id == 7
+    found = {r.query_id: r for r in search.research(asked, chapters).collect()}
+    assert found[7].best_chapter in (1, 3) and found[7].citations.startswith("Chapter ") and 0.9 <= found[7].confidence <= 0.95
+
+
+def test_filter_rule(spark):
+    from inkloom.operators import search
+
+    rows = [("what", 0, "", None, None, None), ("what", 1, "", 1.0, None, None), ("why", 5, "", 1.0, 0.9, 0.8), ("red fox", 2, "a red fox", 1.0, 0.5, None), ("red fox", 6, "a red fox", 1.0, 0.8, 0.7), ("red fox", 9, "no", 1.0, 0.99, 0.98), ("red fox", 5, "no", 1.0, 0.99, 0.98)]
+    df = spark.createDataFrame(rows, "q string, n int, t string, a double, b double, c double")
+    got = [r.r.reason for r in df.select(search.wants_filter(*map(F.col, "qntabc")).alias("r")).collect()]
+    assert got == ["no candidates", "single candidate", "complex question", "precise small set", "confident gap", "large set", "ambiguous"]
+
+
+def test_entries(spark):
+    from inkloom.operators.entries import merged_entries
+
+    rows = [(1, 1, 1, 0, "Anna（A/Ann）", "d1"), (1, 1, 1, 1, "Bob", "b"), (1, 1, 2, 0, "ann", "d2"), (1, 1, 2, 1, "Cid（bob、C）", "c"), (1, 1, 2, 2, "ann", "d2"), (1, 2, 6, 0, "Bob", None), (1, 2, 6, 1, " ", "x")]
+    got = {(r.plot_id, r.place): (r.name, [(x.chapter, x.text) for x in r.records]) for r in merged_entries(spark.createDataFrame(rows, "book_id bigint, plot_id bigint, chapter_index bigint, pos int, name string, description string")).collect()}
+    assert got == {(1, 0): ("Anna（A/Ann）", [(1, "d1"), (2, "d2")]), (1, 1): ("Bob（Cid/C）", [(1, "b"), (2, "c")]), (2, 0): ("Bob", [(6, "")])}
+
+
+def test_aliases(spark):
+    from inkloom.functions.aliases import display_name, flattened, stored_aliases
+
+    assert flattened("“甲”、乙（丙/丁）") == ["甲", "丁", "乙", "丙"] and flattened("甲（乙") == ["甲", "乙"] and flattened("") == [] and flattened("a.") == ["a"]
+    df = spark.createDataFrame([("甲", ["乙/甲", "丙（丁）"])], "n string, a array<string>")
+    assert df.select(stored_aliases("n", "a").alias("x")).first().x == ["甲", "乙", "丙", "丁"]
+    assert df.select(display_name(F.col("n"), F.array(F.lit("甲"), F.lit("x"))).alias("x")).first().x == "甲（x）"
+
+
+def test_normalised_events(spark):
+    windows = spark.createDataFrame([(1, 10, 20)], "window_id int, low int, high int")
+    rows = [(1, "A", "B", 5, 30, None, "", "high", " s ", [3, 12, 12, 40]), (1, "A", " a", 11, 12, "t", "p", "s", "x", [11]), (1, "A", "C", None, None, "t", "p", None, None, []), (1, "A", "", 11, 12, "t", "p", "s", "x", None), (1, "A", "D", 18, 12, "t", "p", "s", "x", [18])]
+    df = spark.createDataFrame(rows, "window_id int, source string, target string, start int, end int, relation_type string, polarity string, strength string, summary string, evidence array<int>")
+    got = {r.target: (r.start, r.end, r.polarity, r.strength, r.summary, r.evidence) for r in relations.normalised(df, windows).collect()}
+    assert got == {"B": (10, 20, "neutral", "high", "s", [12]), "C": (10, 10, "p", "medium", "", [10]), "D": (18, 18, "p", "s", "x", [18])}
+
+
+def test_sinks_and_models(spark, tmp_path):
+    from inkloom import models
+    from inkloom.sources import sinks
+
+    path = str(tmp_path / "c")
+    sinks.save_chapters(spark.createDataFrame([(1, "a"), (2, "b"), (2, "c")], "book_id int, x string"), path)
+    lost = sinks.delete_book(spark, {"chapters": path}, 2, str(tmp_path / "out"))
+    assert [tuple(r) for r in lost.collect()] == [("chapters", 2)] and spark.read.parquet(str(tmp_path / "out/chapters")).count() == 1
+    sinks.append_messages(spark.createDataFrame([(1, "robot", -5)], "session_id int, role string, token_count int"), str(tmp_path / "m"))
+    assert tuple(spark.read.parquet(str(tmp_path / "m")).first())[1:] == ("user", 0)
+    one = spark.createDataFrame([("One two. Three four",)], "t string")
+    assert one.select(models.first_sentences(15)(F.col("t")).alias("x")).first().x == "One two."
+    assert sum(one.select(models.hashed_embedding(8)(F.col("t")).alias("x")).first().x) == 4
