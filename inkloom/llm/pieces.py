@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding as relations.
 
-Words are the text's stretches of a blank (or more) and what follows it up to the next blank; no piece crosses into the next one, which is checked when a
-model is read. A word is encoded once, however often it occurs: its substrings of bounded length are exploded and joined with the piece
+Words are the text's stretches of a blank (or more) and what follows it up to the next blank, cut further between characters that are neighbours in no piece; no
+piece crosses into the next word, which is checked when a model is read. A word is encoded once, however often it occurs: its substrings of bounded length are exploded and joined with the piece
 table on equality, the matches are the edges of the word's lattice, and the edges, grouped by word, are folded with higher-order functions.
 
 The fold follows the model's type. A unigram model's is Viterbi: the best score of each place over the edges that end there. A BPE
@@ -26,6 +26,8 @@ import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
+from operator import add
 from pathlib import Path
 
 import numpy as np
@@ -97,6 +99,8 @@ class PieceModel:
         self.longest = max(map(len, normal))
         # A character that no piece of two or more holds parts words exactly; line ends are the common case.
         self.cut_lines = not any("\n" in p for p in normal if len(p) > 1)
+        #: Neighbouring characters that some piece holds: between others no piece can reach, so a word can be cut there without a change of its ids.
+        self.pairs = {p[i : i + 2] for p in normal for i in range(len(p) - 1)}
         self.worst = min(s for s, t in zip(self.scores, self.types) if t == NORMAL) - 10.0
 
     def table(self, spark: SparkSession) -> DataFrame:
@@ -140,6 +144,12 @@ def cut_words(text: str, dummy_prefix: bool = True, cut_lines: bool = True) -> l
     return out
 
 
+def cut_apart(word: str, pairs: set[str]) -> list[str]:
+    """The parts of a word between which no piece reaches."""
+    cuts = [i for i, pair in enumerate(map(add, word, word[1:]), 1) if pair not in pairs]
+    return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])] if cuts else [word]
+
+
 def lattice(words: DataFrame, model: PieceModel) -> DataFrame:
     """`words` (word: distinct, 1 to SHORT characters, at) with `edges`: the pieces of two or more characters found in each, best first, as one number each.
 
@@ -321,10 +331,10 @@ class Numbering(dict):
 
 
 def packets(docs: DataFrame, model: PieceModel, id_col: str, text_col: str, block_bytes: int, groups: int) -> DataFrame:
-    """(key, block, ids, payload): for each block its documents (key: the block; payload: sizes, word numbers, and the numbers, lengths and ids of long words), and
-    its list of words for each word group (key: -1 - group; payload: the words' numbers and, after them, the words)."""
+    """(key, block, ids, payload): for each block its documents (key: the block; payload: sizes, word numbers, each word's count of parts
+    and their numbers, and the numbers, lengths and ids of long parts), and its list of parts for each word group (key: -1 - group; payload: the words' numbers and, after them, the words)."""
     kind = docs.schema[id_col].dataType.simpleString()
-    known, of_bytes, dummy, lines, longest, worst, bpe = model.vocabulary(), model.bytes, model.dummy_prefix, model.cut_lines, model.longest, model.worst, model.kind == BPE
+    pairs, known, of_bytes, dummy, lines, longest, worst, bpe = model.pairs, model.vocabulary(), model.bytes, model.dummy_prefix, model.cut_lines, model.longest, model.worst, model.kind == BPE
     names = ["key", "block", "ids", "payload"]
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,10 +342,13 @@ def packets(docs: DataFrame, model: PieceModel, id_col: str, text_col: str, bloc
         ids, sizes, seq, words, size = [], [], [], Numbering(), 0
 
         def closed() -> pa.RecordBatch:
-            listed = list(words)
+            parts = Numbering()
+            cut = [cut_apart(w, pairs) for w in words]
+            made = np.fromiter(map(parts.__getitem__, chain.from_iterable(cut)), np.int32)
+            listed, counts = list(parts), np.fromiter(map(len, cut), np.int32, len(cut))
             long = [i for i, w in enumerate(listed) if len(w) > SHORT or "\0" in w]  # the zero character parts the words of a list
             codes = [merges_of(listed[i], known, of_bytes) if bpe else viterbi_of(listed[i], known, of_bytes, longest, worst) for i in long]
-            own = _blob(np.array(sizes), np.concatenate(seq), np.array(long, np.int32), np.array([len(c) for c in codes], np.int32), np.array([t for c in codes for t in c], np.int32))
+            own = _blob(np.array(sizes), np.concatenate(seq), counts, made, np.array(long, np.int32), np.array([len(c) for c in codes], np.int32), np.array([t for c in codes for t in c], np.int32))
             keys, payloads = [block], [own]
             group = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % groups for w in listed), np.int64, len(listed))
             group[long] = groups
@@ -422,7 +435,7 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
         if block.column("key")[0].as_py() < 0:
             return pa.table([pa.array([], block.schema.field("ids").type.value_type), pa.array([], pa.list_(pa.int32())), pa.array([], pa.string())], names)
         row = block.slice(0, 1)
-        sizes, seq, *long = _parts(row.column("payload")[0].as_py(), 5)
+        sizes, seq, counts, made, *long = _parts(row.column("payload")[0].as_py(), 7)
         parts = [long]
         for step, *more in (_parts(b, 3) for b in codes.column("blob").to_pylist()):
             parts.append([np.cumsum(step), *more])
@@ -430,6 +443,11 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
         begin, size = np.empty(len(nth), np.int64), np.empty(len(nth), np.int64)
         begin[nth] = np.cumsum(length, dtype=np.int64) - length
         size[nth] = length
+        # From parts to words.
+        ends = np.concatenate([[0], np.cumsum(size[made])])
+        flat = flat[np.repeat(begin[made] - ends[:-1], size[made]) + np.arange(ends[-1])]
+        begin = ends[np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)] if len(counts) else ends[:0]
+        size = np.diff(np.concatenate([begin, ends[-1:]]))
         last = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
         tokens = np.empty(sum(int(size[seq[k : k + 500_000]].sum()) for k in range(0, len(seq), 500_000)), np.int32)
         stops, digest, low = [0], [], 0
