@@ -25,8 +25,8 @@ import heapq
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain
 from operator import add
 from pathlib import Path
 
@@ -342,13 +342,15 @@ def packets(docs: DataFrame, model: PieceModel, id_col: str, text_col: str, bloc
         ids, sizes, seq, words, size = [], [], [], Numbering(), 0
 
         def closed() -> pa.RecordBatch:
-            parts = Numbering()
-            cut = [cut_apart(w, pairs) for w in words]
-            made = np.fromiter(map(parts.__getitem__, chain.from_iterable(cut)), np.int32)
-            listed, counts = list(parts), np.fromiter(map(len, cut), np.int32, len(cut))
+            parts, counts, made = Numbering(), array("i"), array("i")
+            for w in words:
+                found = cut_apart(w, pairs)
+                counts.append(len(found))
+                made.extend(map(parts.__getitem__, found))
+            listed = list(parts)
             long = [i for i, w in enumerate(listed) if len(w) > SHORT or "\0" in w]  # the zero character parts the words of a list
             codes = [merges_of(listed[i], known, of_bytes) if bpe else viterbi_of(listed[i], known, of_bytes, longest, worst) for i in long]
-            own = _blob(np.array(sizes), np.concatenate(seq), counts, made, np.array(long, np.int32), np.array([len(c) for c in codes], np.int32), np.array([t for c in codes for t in c], np.int32))
+            own = _blob(np.array(sizes), np.concatenate(seq), np.array(counts), np.array(made), np.array(long, np.int32), np.array([len(c) for c in codes], np.int32), np.array([t for c in codes for t in c], np.int32))
             keys, payloads = [block], [own]
             group = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % groups for w in listed), np.int64, len(listed))
             group[long] = groups
