@@ -212,3 +212,15 @@ def test_least_loaded(sizes, shards):
     for size, s in sorted(zip(sizes, sharding.least_loaded(sizes, shards)), reverse=True):
         loads[s] += size
     assert max(loads) <= sum(sizes) / shards + max(sizes, default=0)
+
+
+def test_quality_held_out(spark):
+    """Fitted on one half of the labels (exact copies stay on one side), judged on the other."""
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    side = docs.selectExpr("doc_id", "pmod(xxhash64(text), 2) AS side")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").join(side, "doc_id")
+    judged = quality.quality(docs, labels.where("side = 0").drop("side")).selectExpr("doc_id", "_quality.kept", "_quality.base_failed")
+    found = collections.Counter((r.quality, r.kept) for r in judged.where("NOT base_failed").join(labels.where("side = 1"), "doc_id").collect())
+    assert found[0, True] == 0 and found[0, False] > 5
+    assert found[1, False] <= 0.03 * found[1, True]
