@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkloom.llm.common import checkpointed
@@ -97,12 +97,16 @@ def near_links(points: DataFrame, most: int = 256) -> DataFrame:
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(id, fp, component_id) for every row: the smallest id that can be reached over links, the row's own included."""
+    """(id, fp, component_id) for every row: the smallest id that can be reached over links, the row's own included.
+
+    Components are of fingerprints, so rows link through rows with null ids, and different fingerprints under one id stay apart.
+    """
     rows = checkpointed(fingerprints(docs, id_col, text_col, width))
-    points = checkpointed(rows.groupBy("fp").agg(F.min("id").alias("node")))
-    edges = checkpointed(near_links(points.where(F.col("node").isNotNull())))
-    label = components(edges)
-    known = points.join(label, points["node"] == label["v"], "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "node").alias("component_id"))
+    points = checkpointed(rows.groupBy("fp").agg(F.min("id").alias("least")))
+    label = components(checkpointed(near_links(points.select("fp", F.col("fp").alias("node")))))
+    rooted = checkpointed(points.join(label, points["fp"] == label["v"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    known = rooted.select(F.col("fp").alias("_fp"), "root").join(least, "root").drop("root")
     return rows.join(known, F.col("fp") == F.col("_fp")).select("id", "fp", "component_id")
 
 
@@ -112,10 +116,20 @@ def op7_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` with one document of each component: that with the component's smallest id; of rows with that same id, the one with the smallest text."""
-    found = simhash_components(docs, id_col, text_col)
-    chosen = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("component_id").alias("_keep")).distinct()
-    rows = docs.select(F.struct("*").alias("row")).join(chosen, F.col("row")[id_col].eqNullSafe(F.col("_keep")), "left_semi")
-    nth = F.row_number().over(Window.partitionBy(F.col("row")[id_col]).orderBy(F.col("row")[text_col]))
+def row_key(id_col: str, text_col: str) -> Column:
+    """What tells rows apart: their id (null ids come last) and their text's hash."""
+    return F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("h"))
+
+
+def first_rows(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of `docs` for each row key in `keys` (key)."""
+    chosen = keys.select(F.col("key").alias("_keep")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), row_key(id_col, text_col).alias("key")).join(chosen, F.col("key") == F.col("_keep"), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("key").orderBy(F.col("row")[text_col]))
     return rows.withColumn("nth", nth).where("nth = 1").select("row.*")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` with one of each component: that with the smallest id (null only if there is no other), of equal ids the one with the smallest hash of its text."""
+    found = simhash_components(docs.select(row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text")), "key", "text")
+    return first_rows(docs, found.select(F.col("component_id").alias("key")), id_col, text_col)

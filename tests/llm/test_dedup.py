@@ -165,6 +165,22 @@ def test_keep_one_and_empty(spark):
     assert simhash.keep_one(frame(spark, [])).count() == 0
 
 
+def test_null_and_repeated_ids_neither_merge_nor_drop(spark):
+    text = lambda k: " ".join(f"w{k * 7 + j}x{k}" for j in range(30))
+    rows = [(None, text(1)), (None, text(2)), (None, text(2)), (4, text(3)), (4, text(4)), (9, text(4)), (8, text(3)), (None, text(3))]
+    kept = simhash.keep_one(frame(spark, rows)).collect()
+    assert sorted(((r.doc_id or -1), r.text) for r in kept) == sorted([(-1, text(1)), (-1, text(2)), (4, text(3)), (4, text(4))])
+    found = simhash.simhash_components(frame(spark, [(1, text(1)), (1, text(2)), (2, text(2)), (3, text(1))])).collect()
+    assert len({r.fp for r in found}) == 2 and {r.component_id for r in found} == {1}
+
+
+def test_components_link_through_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "fingerprint_of", lambda text, width=3: int(text))
+    rows = [(5, "0"), (None, "7"), (3, "63"), (None, str(2**40 - 2**30))]
+    found = simhash.simhash_components(frame(spark, rows)).collect()
+    assert {(r.id, r.fp): r.component_id for r in found} == {(5, 0): 3, (None, 7): 3, (3, 63): 3, (None, 2**40 - 2**30): None}
+
+
 def test_components_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(1, 60)] + [(100, 101), (7, 7), (None, 4)], "a bigint, b bigint")
     got = {r.v: r.root for r in components(edges).collect()}
