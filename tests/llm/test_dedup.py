@@ -9,7 +9,8 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from inkloom.llm import minhash, simhash, substrings, wordhash
+import corpus_pipeline
+from inkloom.llm import minhash, similar, simhash, substrings, wordhash
 from inkloom.llm.components import components
 
 SCHEMA = "doc_id bigint, text string, id string, tag int, fp int, _n int, runs string"
@@ -224,3 +225,40 @@ def test_minhash_small_tables(spark):
     assert minhash.neighbours(frame(spark, [])).count() == 0
     tied = minhash.neighbours(frame(spark, [(1, "b"), (1, "a"), (None, "c")])).collect()
     assert len(tied) == 3
+
+
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_similar_components(spark, rounds):
+    rng = random.Random(8)
+    rows = [(k, " ".join(f"v{rng.randrange(900)}" for _ in range(rng.randrange(0, 200)))) for k in range(12)]
+    for k in range(12, 60):
+        words = rng.choice(rows)[1].split()
+        for _ in range(rng.randrange(0, 5)):
+            if words:
+                words[rng.randrange(len(words))] = f"new{rng.randrange(99)}"
+        rows.append((k, " ".join(words)))
+    rows += [(100, None), (101, " "), (102, "short text"), (103, "Short  text"), (104, "short texts")]
+    sets = {i: shingles((t or "").lower()) for i, t in rows}
+
+    def similar_texts(a, b):
+        both = len(sets[a] & sets[b])
+        return sets[a] == sets[b] or 9 * both >= 4 * (len(sets[a]) + len(sets[b]))
+
+    docs = spark.createDataFrame(rows, "key bigint, text string")
+    found = similar.similar_components(docs, rounds).collect()
+    least = {}
+    for r in found:
+        least[r.root] = min(least.get(r.root, r.key), r.key)
+    assert {r.key: least[r.root] for r in found} == labels_of([i for i, _ in rows], similar_texts)
+
+
+def test_pipeline_removes_edited_copies(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
+    kept = {r.doc_id for r in stage(spark, docs, small).collect()}
+    assert {1, 6} <= kept and not {177, 145} & kept  # 0.83 similar, 11 and 7 bits apart
+    words = [f"w{k}" for k in range(60)]
+    rows = [(None, " ".join(words)), (None, " ".join(words[:-1])), (7, " ".join(words[::-1])), (7, "another text of one id"), (None, "a text without id")]
+    kept = similar.keep_one(frame(spark, rows)).collect()
+    assert sorted(len(r.text.split()) for r in kept if r.doc_id is None) in ([4, 59], [4, 60]) and sum(r.doc_id == 7 for r in kept) == 2
+    assert similar.keep_one(frame(spark, [])).count() == 0
