@@ -3,7 +3,7 @@
 A page is parsed into its element structure. A host's wrapper is a union-free regular expression over structures: a sequence of elements (each with a
 sequence of its own) and text slots, where an item can be optional or repeated. It is inferred by aligning structures again and again: runs of
 like elements become repeated groups, items that only one side has become optional, and texts become slots. A slot whose text is the same
-on every page is the template's.
+on all of a host's pages, over several different pages, is the template's; a page that has nothing else keeps it.
 
 The wrapper tells where a host keeps its article, and gives each slot a role by what encloses it; the page's texts are then read through the
 wrapper's slots. Equal structures of a host are one before anything is aligned (pages of one template have a handful), a host's structures are
@@ -243,7 +243,7 @@ def slots(items: list, path: tuple[str, ...] = ()) -> Iterator[tuple[str, ...]]:
 
 
 def roles(items: list, constant: set[str]) -> dict[str, int]:
-    """The role of each slot by its path: 2 in the host's article, 1 outside it and outside the furniture, 0 furniture."""
+    """The role of each slot by its path: 2 in the host's article, 1 outside it and outside the furniture, 3 there but the template's (read only where a page has nothing else), 0 furniture."""
     found = sorted(set(slots(items)))
     sure = max((is_article(s) for p in found for k, s in enumerate(p) if not any(is_furniture(x, False) for x in p[:k])), default=0)
     out = {}
@@ -251,7 +251,7 @@ def roles(items: list, constant: set[str]) -> dict[str, int]:
         at = next((k for k, s in enumerate(path) if sure and is_article(s) == sure), None)
         bad = any(is_furniture(s, at is not None and k > at) for k, s in enumerate(path) if k != at)
         name = "/".join(path)
-        out[name] = 0 if bad else 2 if at is not None else int(name not in constant)
+        out[name] = 0 if bad else 2 if at is not None else 3 if name in constant else 1
     return out
 
 
@@ -289,8 +289,12 @@ def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html", salts:
     parts = like.withColumn("salt", F.pmod(F.xxhash64("structure"), F.lit(salts))).groupBy("host", "salt").applyInPandas(fold, shape)
     whole = parts.groupBy("host").applyInPandas(fold, shape)
 
-    texts = parsed.select("host", F.explode("texts").alias("t")).groupBy("host", "t.path").agg(F.min("t.h").alias("a"), F.max("t.h").alias("b"), F.count(F.lit(1)).alias("n"))
-    fixed = texts.where("a = b AND n > 1").groupBy("host").agg(F.collect_list("path").alias("fixed")).withColumnRenamed("host", "_host")
+    # Copies of a page are one content: a host's contents are counted, and only a text that all of several contents have is the template's.
+    contents = parsed.select("host", F.explode("texts").alias("t"), F.xxhash64("texts").alias("content")).groupBy("host", "content", "t.path").agg(F.min("t.h").alias("h"))
+    texts = contents.groupBy("host", "path").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.count(F.lit(1)).alias("n"))
+    every = parsed.groupBy("host", F.xxhash64("texts").alias("content")).agg(F.first(F.size("texts")).alias("held")).where("held > 0").groupBy(F.col("host").alias("_every")).agg(F.count(F.lit(1)).alias("contents"))
+    texts = texts.join(every, F.col("host") == F.col("_every"))
+    fixed = texts.where("a = b AND n > 1 AND n = contents").groupBy("host").agg(F.collect_list("path").alias("fixed")).withColumnRenamed("host", "_host")
 
     def with_roles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -303,12 +307,12 @@ def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html", salts:
 
 def main_text(page: str, by_path: dict[str, int]) -> str:
     """A page's text in its host's article slots, or outside the furniture if it has none there."""
-    blocks: dict[int, list[str]] = {1: [], 2: []}
-    now: dict[int, list[str]] = {1: [], 2: []}
+    blocks: dict[int, list[str]] = {1: [], 2: [], 3: []}
+    now: dict[int, list[str]] = {1: [], 2: [], 3: []}
     known: dict[tuple[str, ...], int] = {}
 
     def close() -> None:
-        for role in (1, 2):
+        for role in (1, 2, 3):
             if x := " ".join("".join(now[role]).split()):
                 blocks[role].append(x)
             now[role] = []
@@ -325,7 +329,7 @@ def main_text(page: str, by_path: dict[str, int]) -> str:
         if role:
             now[role].append(text)
     close()
-    return " ".join(blocks[2] or blocks[1])
+    return " ".join(blocks[2] or blocks[1] or blocks[3])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

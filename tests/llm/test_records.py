@@ -121,6 +121,17 @@ def test_template_texts_are_left_out_without_an_article(spark):
     assert {r.id: r.text for r in wrappers.extract(df).collect()} == {i: f"page {i} says {i * i}" for i in range(3)}
 
 
+def test_copied_pages_keep_their_text(spark):
+    copy, other = "<body><div>one and the same page</div></body>", "<body><div>{}</div><article>page {}</article></body>"
+    special = "<body><div class=special>a copied text</div></body>"
+    rows = [(i, f"http://a/{i}", copy) for i in range(3)] + [(10 + i, f"http://b/{i}", other.format("we say this", i)) for i in range(4)] + [(20 + i, f"http://b/s{i}", special) for i in range(2)]
+    rows += [(30, "http://c/1", "<body><div>everywhere</div></body>"), (31, "http://c/2", "<body><div>everywhere</div><p>own</p></body>")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.id: r.text for r in wrappers.extract(df).collect()}
+    expected = {i: "one and the same page" for i in range(3)} | {10 + i: f"page {i}" for i in range(4)} | {20 + i: "a copied text" for i in range(2)}
+    assert got == expected | {30: "everywhere", 31: "own"}
+
+
 def warc_pages(spark, n=700):
     rng = random.Random(5)
     return spark.createDataFrame([(i, f"http://h/{i}", "x" * rng.randrange(0, 50) + str(i), "d") for i in range(0, 3 * n, 3)], "page_id bigint, url string, html string, digest string")
