@@ -39,6 +39,8 @@ SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("tabl
 FURNITURE = frozenset("nav header footer aside form script style noscript template head title menu select button input textarea iframe svg math dialog search object audio video canvas".split())
 FURNITURE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus discussion footer gdpr header legal login masthead menu menus modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promotion promoted related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
+#: Elements of running text.
+TITLED = INLINE | frozenset("h1 h2 h3 h4 h5 h6 section p".split())
 ARTICLE_WORDS = frozenset("article content entry post story main maincontent articlebody".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
@@ -50,11 +52,14 @@ PERIODS = (1, 2, 3)
 
 
 def _symbol(tag: str, attributes: str) -> str:
-    """The tag, with the words of its class, id and role (without numbers)."""
+    """The tag, with the words of its class, id and role (without numbers); "=" marks a whole class that is a word of furniture."""
     words = set()
     if attributes and "=" in attributes:
         for name, *values in ATTRIBUTE.findall(attributes):
-            for w in re.split(r"[\s_\-]+", html.unescape("".join(values)).lower()):
+            value = html.unescape("".join(values)).lower()
+            if name.lower() == "class":
+                words.update("=" + w for w in value.split() if w in FURNITURE_WORDS)
+            for w in re.split(r"[\s_\-]+", value):
                 w = re.sub(r"\d+", "", w)
                 if w:
                     words.add(("@" if name.lower() == "role" else "") + re.sub(r"[/\.\[\]@]", "", w))
@@ -68,6 +73,14 @@ def is_furniture(symbol: str, in_article: bool) -> bool:
     return any(w in FURNITURE_WORDS or w[:1] == "@" and w[1:] in FURNITURE_ROLES for w in words) and tag not in ("html", "body")
 
 
+def is_inner_furniture(symbol: str) -> bool:
+    """Furniture inside an article: headings, sections and paragraphs, whose ids come from titles, only by a role or a whole class; inline elements only by a role."""
+    tag, *words = symbol.split(".")
+    if tag in TITLED:
+        return any(w[:1] == "@" and w[1:] in FURNITURE_ROLES or w[:1] == "=" and tag not in INLINE for w in words)
+    return is_furniture(symbol, True)
+
+
 def is_article(symbol: str) -> int:
     """How surely an element is a page's article: 3 article, 2 main, 1 by its words, 0 not."""
     tag, *words = symbol.split(".")
@@ -249,7 +262,7 @@ def roles(items: list, constant: set[str]) -> dict[str, int]:
     out = {}
     for path in found:
         at = next((k for k, s in enumerate(path) if sure and is_article(s) == sure), None)
-        bad = any(is_furniture(s, at is not None and k > at) for k, s in enumerate(path) if k != at)
+        bad = any(is_inner_furniture(s) if at is not None and k > at else is_furniture(s, False) for k, s in enumerate(path) if k != at)
         name = "/".join(path)
         out[name] = 0 if bad else 2 if at is not None else 3 if name in constant else 1
     return out

@@ -132,6 +132,12 @@ def test_copied_pages_keep_their_text(spark):
     assert got == expected | {30: "everywhere", 31: "own"}
 
 
+def test_titles_in_an_article_are_not_furniture(spark):
+    page = '<body><div class=menu>m{0}</div><article><section id="legal-history"><h2 id="the-social-contract">h{0}</h2><p>a <a class="social">b</a> <span class=share>c</span> d{0}</p></section><section class="wide related">r</section><nav>n</nav><div class=comments>no</div></article></body>'
+    df = spark.createDataFrame([(i, f"http://a/{i}", page.format(i)) for i in range(3)], "page_id bigint, url string, html string")
+    assert {r.id: r.text for r in wrappers.extract(df).collect()} == {i: f"h{i} a b c d{i}" for i in range(3)}
+
+
 def warc_pages(spark, n=700):
     rng = random.Random(5)
     return spark.createDataFrame([(i, f"http://h/{i}", "x" * rng.randrange(0, 50) + str(i), "d") for i in range(0, 3 * n, 3)], "page_id bigint, url string, html string, digest string")
