@@ -95,6 +95,15 @@ def pages(n=40):
     return out
 
 
+def read_alone(page):
+    """A page's text through its own expression."""
+    items, texts = wrappers.structure(page)
+    role = wrappers.roles(items, {}, 1)
+    slot = dict(wrappers.Matcher(items).match(wrappers.parse(page)[0]))
+    best = max((role[slot[t]] for t in range(len(texts)) if role[slot[t]] < 3), default=0)
+    return " ".join("".join(x for t, (x, _) in enumerate(texts) if best and role[slot[t]] == best).split())
+
+
 def test_wrappers(spark):
     rows = pages()
     df = spark.createDataFrame([(i, u, p, "x", "y") for i, u, p, _ in rows] + [(100, None, None, "x", "y"), (101, "http://hot.example/", "", "x", "y"), (102, "http://hot.example/n", "<nav>menu</nav><div>no article</div>", "x", "y")], "page_id bigint, url string, html string, host string, roles string")
@@ -111,8 +120,7 @@ def test_wrapper_inference():
     assert wrappers.aligned(both, a) == both and wrappers.aligned(a, a) == a
     assert wrappers.expression(of("<dl><dt>a<dd>b<dt>c<dd>d</dl>")) == "<dl>((<dt>#text</dt><dd>#text</dd>))+</dl>"
     deep = "<div>" * 5000 + "deep" + "<nav>menu" + "<nav>" * 3000
-    items, _ = wrappers.structure(deep)
-    assert wrappers.main_text(deep, wrappers.roles(items, set())) == "deep"
+    assert read_alone(deep) == "deep"
 
 
 def test_template_texts_are_left_out_without_an_article(spark):
@@ -138,6 +146,93 @@ def test_titles_in_an_article_are_not_furniture(spark):
     assert {r.id: r.text for r in wrappers.extract(df).collect()} == {i: f"h{i} a b c d{i}" for i in range(3)}
 
 
+def soup(i):
+    """A page whose elements and classes say nothing: a menu of links, an article, a line that all pages have."""
+    rng = random.Random(i)
+    word = lambda: "".join(rng.choice("xyzw") for _ in range(rng.randrange(2, 8)))
+    menu = "".join(f"<li><a href='/{k}'>{word()} {word()}</a></li>" for k in range(rng.randrange(3, 7)))
+    blocks = [" ".join(word() for _ in range(rng.randrange(8, 40))) for _ in range(rng.randrange(1, 6))]
+    body = "".join(rng.choice(["<p>{}</p>", "<p>{}</p>", "<ul><li>{}</ul>"]).format(b) for b in blocks)
+    title = word()
+    tip = "<div class=k9>one more line of ours</div>" if i % 3 == 0 else ""
+    return f"<body><div class=k1><ul>{menu}</ul></div>{tip}<div class=k2><h1>{title}</h1>{body}</div><div class=k3>the same line on every page</div></body>", " ".join([title, *blocks])
+
+
+@pytest.mark.parametrize("fan", [2, 16])
+def test_the_wrapper_decides(spark, fan, monkeypatch):
+    """Nothing but what the host's pages have in common tells this article; without a wrapper the text is another one."""
+    monkeypatch.setattr(wrappers.infer, "__defaults__", ("url", "html", fan))
+    made = [soup(i) for i in range(40)]
+    df = spark.createDataFrame([(i, f"http://soup/{i}", p) for i, (p, _) in enumerate(made)], "page_id bigint, url string, html string")
+    assert {r.id: r.text for r in wrappers.extract(df).collect()} == {i: t for i, (_, t) in enumerate(made)}
+    none = spark.createDataFrame([("soup", "[]")], "host string, wrapper string")
+    bound = wrappers.matched(df, none)
+    assert {p.slot for r in bound.collect() for p in r.parts} == {-1}
+    assert wrappers.slot_roles(bound, none).first().roles == []
+
+
+def random_stream(rng, depth=0):
+    tags = ["div", "p", "li", "div.a", "h2"]
+    return [["#", [], []] if rng.random() < 0.3 else [rng.choice(tags), random_stream(rng, depth + 1) if depth < 2 else [], []] for _ in range(rng.randrange(0, 5))]
+
+
+def plain(raw):
+    return wrappers.folded([[s, 0, 0, plain(inner)] for s, inner, _ in raw])
+
+
+def accepts(items, raw):
+    """Brute force: a wrapper level as a regular expression of Python over letters, one for each pair of item and position."""
+    pattern, seen = [], []
+
+    def walk(xs):
+        for s, optional, repeated, inner in xs:
+            if s[0] == "(":
+                pattern.append("(?:")
+                walk(inner)
+                pattern.append(")")
+            else:
+                pattern.append(f"(?:<{len(seen)}>)")
+                seen.append((s, inner))
+            pattern.append({(0, 0): "", (1, 0): "?", (0, 1): "+", (1, 1): "*"}[optional, repeated])
+
+    walk(items)
+    expr = "".join(pattern)
+    options = [[f"<{k}>" for k, (s, inner) in enumerate(seen) if s == x[0] and (s == "#" or accepts(inner, x[1]))] for x in raw]
+    states = {""}
+    for o in options:  # all readings of the stream, as far as they are few
+        states = {a + b for a in states for b in o}
+        if len(states) > 3000:
+            return None
+    return any(re.fullmatch(expr, s) for s in states)
+
+
+def test_matching_against_regular_expressions():
+    """A wrapper matches each page that it was inferred from, and what it matches is what its regular expression matches."""
+    rng = random.Random(9)
+    met = 0
+    for _ in range(400):
+        pages = [random_stream(rng) for _ in range(4)]
+        wrapper = plain(pages[0])
+        for p in pages[1:3]:
+            wrapper = wrappers.aligned(wrapper, plain(p))
+        ready = wrappers.Matcher(wrapper)
+        for p in pages[:3]:
+            assert ready.match(p) is not None, (wrapper, p)
+        expected = accepts(wrapper, pages[3])
+        if expected is not None:
+            met += expected
+            assert (ready.match(pages[3]) is not None) == expected
+    assert met > 5
+
+
+def test_deep_articles_and_long_pages(spark):
+    deep = "<body>" + "<div>" * 70 + "<article>main text<nav>menu</nav></article>" + "</div>" * 70 + "<p>outside words</p></body>"
+    long = "<body><article>" + "".join(f"<p>{'w ' * 40}{k}</p>" for k in range(3000)) + "</article></body>"
+    df = spark.createDataFrame([(1, "http://d/1", deep), (2, "http://l/2", long), (2, "http://l/2", long)], "page_id bigint, url string, html string")
+    got = [r.text for r in wrappers.extract(df).orderBy("id").collect()]
+    assert got[0] == "main text" and got[1] == got[2] == " ".join(f"{'w ' * 40}{k}" for k in range(3000))
+
+
 def warc_pages(spark, n=700):
     rng = random.Random(5)
     return spark.createDataFrame([(i, f"http://h/{i}", "x" * rng.randrange(0, 50) + str(i), "d") for i in range(0, 3 * n, 3)], "page_id bigint, url string, html string, digest string")
