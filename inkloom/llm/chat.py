@@ -8,13 +8,15 @@ tokens are all that its tokens may attend to.
 
 The template is <|im_start|>role newline text <|im_end|> newline. The two control strings are tokens of their own. Inside roles and texts a backslash is
 doubled and <| becomes <\\|, so no text can spell a control string, and the original comes back exactly; in roles a line break becomes \\n.
-The loss mask covers the texts of assistant turns.
+The loss mask covers the texts of assistant turns. Every text is encoded whole.
 
-No tree is gathered: a tree of any size is dealt over ranges of its sorted conversations, whose totals are aggregated first. Copies of a conversation are
-one conversation before anything is sorted, and a common turn is one node. One conversation must fit in a task.
+The order is found on the paths (a hash for each turn) alone. The turns then travel once, to the range of sorted conversations that they belong to, where a walk with a stack
+lays out the new ones; a tree of any size is dealt over such ranges. What a range needs of earlier ones is its first conversation's path: its places are joined in, a
+row for each range. Reading back walks the same ranges, so shared tokens are decoded once. A task holds one conversation, its path's stack and a batch; one conversation must fit in a task.
+Copies of a conversation are one conversation before anything is sorted, and a common turn is one node.
 
 Defined cases: null texts and roles are empty; rows with one turn number are ordered by role and text; rows without a turn number come
-first; repeated rows are turns of their own; rows without a conversation id are one conversation; an empty table gives empty tables; other columns are ignored.
+first; repeated rows are turns of their own; rows without a conversation id are one conversation; very long texts are not cut; an empty table gives empty tables; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,14 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkloom.llm.common import checkpointed, running_sum
+from inkloom.llm.common import checkpointed, written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pre-tokenizer's pattern of the byte-level BPE vocabulary, and the template's control strings.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 BEGIN, END = "<|im_start|>", "<|im_end|>"
-PIECE = 4000
-RANGE_ROWS = 5000
+#: A range of sorted conversations has about so many rows, and so many bytes of text.
+RANGE_ROWS, RANGE_BYTES = 5000, 32 << 20
 
 
 def escaped(text: str, role: bool = False) -> str:
@@ -80,19 +82,18 @@ class Vocabulary:
     def turn(self, role: str, text: str) -> tuple[list[int], int, int]:
         """A turn's tokens, and where its text's tokens begin and end."""
         encoding, top, _ = self._loaded()
-        cut = lambda s: [t for i in range(0, len(s), PIECE) for t in encoding.encode_ordinary(s[i : i + PIECE])]
-        head, body = [top, *cut(escaped(role, True) + "\n")], cut(escaped(text))
-        return [*head, *body, top + 1, *cut("\n")], len(head), len(head) + len(body)
+        head, body = [top, *encoding.encode_ordinary(escaped(role, True) + "\n")], encoding.encode_ordinary(escaped(text))
+        return [*head, *body, top + 1, *encoding.encode_ordinary("\n")], len(head), len(head) + len(body)
+
+    def begins(self, tokens: np.ndarray) -> np.ndarray:
+        """Where turns begin."""
+        return np.flatnonzero(tokens == self._loaded()[1])
 
     def text(self, tokens: list[int]) -> str:
         table = self._loaded()[2]
         return b"".join([table[t] for t in tokens]).decode("utf-8", "replace")
 
 
-def _strings(column: pa.Array) -> list[str]:
-    return [x or "" for x in column.to_pylist()]
-
-
 def conversations_of(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conv, path, turns): a row for each conversation; path has the hash of each of its beginnings, so that equal beginnings have equal nodes."""
     clean = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
@@ -116,61 +117,111 @@ def conversations_of(rows: DataFrame, conv: str = "conv_id", turn: str = "turn",
     return whole.mapInArrow(paths, f"conv {kind}, path array<string>, turns array<struct<role:string,text:string>>")
 
 
-def prefix_trees(rows: DataFrame, vocabulary: Vocabulary, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(segments, members).
+SPAN = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
+ABOVE = pa.list_(pa.struct([("segment", pa.string()), ("from", pa.int64()), ("to", pa.int64())]))
 
-    segments: tree, segment, start and end (in the tree's tokens), position (of the first token), tokens, loss (intervals under the loss mask), above
-    (segment, from, to of each ancestor interval, from the root down). members: conv, tree, segment (its last), n_turns.
-    """
-    whole = checkpointed(conversations_of(rows, conv, turn, role, text))
-    leaf = F.element_at("path", -1)
-    members = whole.select("conv", F.col("path")[0].alias("tree"), leaf.alias("segment"), F.size("path").alias("n_turns"))
-    leaves = whole.groupBy(leaf.alias("segment")).agg(F.first("path").alias("path"), F.first("turns").alias("turns"))
-    ranges = max(1, whole.count() // RANGE_ROWS)
-    ordered = checkpointed(leaves.repartitionByRange(ranges, "path").withColumn("part", F.spark_partition_id()))
-
-    # What a leaf shares with the one before it; the first of a range looks at the last of an earlier one.
-    ends = ordered.groupBy("part").agg(F.max("path").alias("last"))
+
+def ordered(whole: DataFrame) -> tuple[DataFrame, int]:
+    """((segment, owner, path, part, shared), ranges): every different conversation by its last node, with one that has it, the range it lies in, and how many nodes it shares with those before it."""
+    leaf = F.element_at("path", -1).alias("segment")
+    size = F.aggregate("turns", F.lit(0).cast("bigint"), lambda n, t: n + F.octet_length(t["text"]))
+    rows, held = whole.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    ranges = max(1, rows // RANGE_ROWS, held // RANGE_BYTES)
+    leaves = whole.select(leaf, "conv", "path").groupBy("segment").agg(F.min("conv").alias("owner"), F.first("path").alias("path"))
+    dealt = checkpointed(leaves.repartitionByRange(ranges, "path").withColumn("part", F.spark_partition_id()))
+    # The first of a range looks at the last of the range before it.
+    ends = dealt.groupBy("part").agg(F.max("path").alias("last"))
     ends = ends.select(F.col("part").alias("_p"), F.lag("last").over(Window.orderBy("part")).alias("before"))
-    in_range = Window.partitionBy("part").orderBy("path")
-    ordered = ordered.join(ends, F.col("part") == F.col("_p")).withColumn("before", F.coalesce(F.lag("path").over(in_range), "before"))
-    shared = F.coalesce(F.size(F.array_intersect("path", "before")), F.lit(0))
-    fresh = ordered.select("segment", "path", "part", shared.alias("shared"), F.slice("turns", shared + 1, F.size("path")).alias("turns"))
+    before = F.coalesce(F.lag("path").over(Window.partitionBy("part").orderBy("path")), "before")
+    dealt = dealt.join(ends, F.col("part") == F.col("_p")).withColumn("before", before)
+    return dealt.select("segment", "owner", "path", "part", F.coalesce(F.size(F.array_intersect("path", "before")), F.lit(0)).alias("shared")), ranges
+
+
+def walked(turns: DataFrame, ranges: int, vocabulary: Vocabulary) -> DataFrame:
+    """Segments with places relative to where their tree begins in their range: of `turns` (part, path, shared, turns: the new ones).
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    (part, nth, tree, segment, shared, nodes, sizes, start, tokens, loss, held, above): `held` nodes of the path above belong to earlier ranges, the others are in `above`.
+    """
+    names = ["part", "nth", "tree", "segment", "shared", "nodes", "sizes", "start", "tokens", "loss", "held", "above"]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, tree, nth, at, first = None, None, 0, 0, 0
+        stack: list[tuple[str, int, int]] = []  # segment, from, to of each node of the path after the first `first` ones
         for batch in batches:
-            tokens, sizes, loss = [], [], []
-            for turns in batch.column(4):
-                mine, lengths, spans = [], [], []
+            rows = []
+            for part, path, shared, turns in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                if part != now:
+                    now, tree, nth, first, stack = part, None, 0, shared, []
+                if path[0] != tree:
+                    tree, at = path[0], 0
+                    first = shared if nth == 0 else 0
+                    stack = []
+                held = min(shared, first)
+                del stack[max(0, shared - first) :]
+                above: list[list] = []
+                for segment, a, z in stack:
+                    if above and above[-1][0] == segment:
+                        above[-1][2] = z
+                    else:
+                        above.append([segment, a, z])
+                first = held
+                start, tokens, sizes, loss = at, [], [], []
                 for t in turns.values.to_pylist():
-                    ids, a, b = vocabulary.turn(t["role"], t["text"])
+                    ids, a, z = vocabulary.turn(t["role"], t["text"])
                     if t["role"] == "assistant":
-                        spans.append({"from": len(mine) + a, "to": len(mine) + b})
-                    mine += ids
-                    lengths.append(len(ids))
-                tokens.append(mine)
-                sizes.append(lengths)
-                loss.append(spans)
-            span = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(tokens, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int64())), pa.array(loss, span)], ["segment", "path", "part", "shared", "tokens", "sizes", "loss"])
-
-    made = fresh.mapInArrow(encode, "segment string, path array<string>, part int, shared int, tokens array<int>, sizes array<bigint>, loss array<struct<from:bigint,to:bigint>>")
-    made = checkpointed(made.withColumn("tree", F.col("path")[0]))
-    placed = running_sum(made, "tree", "part", [F.col("path")], F.size("tokens"), "start")
-    placed = placed.withColumn("end", F.col("start") + F.size("tokens"))
+                        loss.append({"from": len(tokens) + a, "to": len(tokens) + z})
+                    stack.append((path[-1], at, at + len(ids)))
+                    at += len(ids)
+                    tokens += ids
+                    sizes.append(len(ids))
+                rows.append((part, nth, tree, path[-1], shared, path[shared:], sizes, start, np.array(tokens, np.int32), loss, held, [{"segment": s, "from": a, "to": z} for s, a, z in above]))
+                nth += 1
+            kinds = [pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int32()), SPAN, pa.int32(), ABOVE]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else ((),) * len(kinds), kinds)], names)
 
+    shape = "part int, nth bigint, tree string, segment string, shared int, nodes array<string>, sizes array<bigint>, start bigint, tokens array<int>, loss array<struct<from:bigint,to:bigint>>, held int, above array<struct<segment:string,from:bigint,to:bigint>>"
+    sorted_ = turns.repartitionById(ranges, F.col("part")).sortWithinPartitions("part", "path").select("part", "path", "shared", "turns")
+    return sorted_.mapInArrow(walk, shape)
+
+
+def prefix_trees(rows: DataFrame, vocabulary: Vocabulary, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(segments, members).
+
+    segments: tree, segment, start and end (in the tree's tokens), position (of the first token), tokens, loss (intervals under the loss mask), above
+    (segment, from, to of each ancestor interval, from the root down), part and nth (the range, and the segment's number in it). members: conv, tree, segment (its last), n_turns.
+    """
+    whole = written(conversations_of(rows, conv, turn, role, text))
+    members = whole.select("conv", F.col("path")[0].alias("tree"), F.element_at("path", -1).alias("segment"), F.size("path").alias("n_turns"))
+    order, ranges = ordered(whole)
+    mine = F.col("owner").eqNullSafe(F.col("conv")) & (F.col("segment") == F.element_at("_path", -1))
+    turns = whole.select("conv", F.col("path").alias("_path"), "turns").join(order, mine).select("part", "path", "shared", F.slice("turns", F.col("shared") + 1, F.size("turns")).alias("turns"))
+    made = written(walked(turns, ranges, vocabulary))
+
+    # Where each range's part of a tree begins; only the first tree of a range can begin in an earlier one.
+    size = F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, n: a + n)
+    held = made.groupBy("tree", "part").agg(F.sum(size).alias("size"))
+    before = Window.partitionBy("tree").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = checkpointed(held.select(F.col("tree").alias("_tree"), F.col("part").alias("_part"), F.sum("size").over(before).alias("base")).where("base > 0"))
+    of_base = lambda df: df.join(bases, (F.col("tree") == F.col("_tree")) & (F.col("part") == F.col("_part")), "left").withColumn("base", F.coalesce("base", F.lit(0))).drop("_tree", "_part")
+
+    # The path above a range's first segment: its nodes' places in earlier ranges, a row for each range.
+    firsts = made.where("nth = 0 AND shared > 0").select("part", "shared", "segment").join(order.select(F.col("segment").alias("_s"), "path"), F.col("segment") == F.col("_s"))
+    firsts = firsts.select(F.col("part").alias("of_part"), F.posexplode(F.slice("path", 1, F.col("shared"))).alias("depth", "wanted"))
+    placed = of_base(made.select("tree", "part", "segment", "nodes", "sizes", "start"))
     step = F.aggregate(F.slice("sizes", 1, F.col("i")), F.lit(0).cast("bigint"), lambda a, n: a + n)
-    nodes = placed.select("segment", "path", "shared", "sizes", "start", F.posexplode("sizes").alias("i", "size"))
-    nodes = nodes.select(F.get("path", F.col("shared") + F.col("i")).alias("node"), F.col("segment").alias("in"), (F.col("start") + step).alias("from"), "size")
-    above = made.where("shared > 0").select("segment", F.posexplode(F.slice("path", 1, F.col("shared"))).alias("depth", "node"))
-    above = above.join(nodes, "node").groupBy("segment", "in").agg(F.min("depth").alias("depth"), F.min("from").alias("from"), F.max(F.col("from") + F.col("size")).alias("to"))
-    above = above.groupBy("segment").agg(F.sum(F.col("to") - F.col("from")).alias("position"), F.sort_array(F.collect_list(F.struct("depth", F.col("in").alias("segment"), "from", "to"))).alias("above"))
-    above = above.withColumnRenamed("segment", "_s")
-    out = placed.join(above, F.col("segment") == F.col("_s"), "left")
-    loss = F.transform("loss", lambda x: F.struct((x["from"] + F.col("start")).alias("from"), (x["to"] + F.col("start")).alias("to")))
+    nodes = placed.select("segment", "sizes", (F.col("start") + F.col("base")).alias("start"), F.posexplode("nodes").alias("i", "node"))
+    nodes = nodes.join(firsts, F.col("node") == F.col("wanted")).select("of_part", "depth", "segment", (F.col("start") + step).alias("from"), F.get("sizes", F.col("i")).alias("size"))
+    stacks = nodes.groupBy("of_part").agg(F.transform(F.sort_array(F.collect_list(F.struct("depth", "segment", "from", (F.col("from") + F.col("size")).alias("to")))), lambda x: F.struct(x["segment"].alias("segment"), x["from"].alias("from"), x["to"].alias("to"))).alias("stack"))
+    stacks = checkpointed(stacks)
+
+    rows = of_base(made).join(stacks, F.col("part") == F.col("of_part"), "left").drop("of_part")
+    shifted = lambda c: F.transform(c, lambda x: F.struct(x["segment"].alias("segment"), (x["from"] + F.col("base")).alias("from"), (x["to"] + F.col("base")).alias("to")))
     none = F.array().cast("array<struct<segment:string,from:bigint,to:bigint>>")
-    intervals = F.coalesce(F.transform("above", lambda x: F.struct(x["segment"].alias("segment"), x["from"].alias("from"), x["to"].alias("to"))), none)
-    segments = out.select("tree", "segment", "start", "end", F.coalesce("position", F.lit(0)).alias("position"), "tokens", loss.alias("loss"), intervals.alias("above"))
+    merged = F.aggregate(F.slice(F.coalesce("stack", none), 1, F.col("held")), none, lambda a, x: F.when(F.try_element_at(a, F.lit(-1))["segment"] == x["segment"], F.array_append(F.slice(a, 1, F.size(a) - 1), F.struct(x["segment"].alias("segment"), F.element_at(a, -1)["from"].alias("from"), x["to"].alias("to")))).otherwise(F.array_append(a, x)))
+    rows = rows.withColumn("above", F.concat(merged, shifted("above"))).withColumn("start", F.col("start") + F.col("base"))
+    position = F.aggregate("above", F.lit(0).cast("bigint"), lambda n, x: n + x["to"] - x["from"])
+    loss = F.transform("loss", lambda x: F.struct((x["from"] + F.col("start")).alias("from"), (x["to"] + F.col("start")).alias("to")))
+    segments = rows.select("tree", "segment", "start", (F.col("start") + F.size("tokens")).alias("end"), position.alias("position"), "tokens", loss.alias("loss"), "above", "part", "nth")
     return segments, members
 
 
@@ -180,29 +231,52 @@ def with_position_ids(segments: DataFrame) -> DataFrame:
 
 
 def read_back(segments: DataFrame, members: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(conv, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars): every conversation, put together from its segment and those above and decoded."""
-    own = F.array(F.struct(F.col("segment"), F.col("start").alias("from"), F.col("end").alias("to")))
-    parts = segments.select(F.col("segment").alias("leaf"), F.posexplode(F.concat("above", own)).alias("nth", "p"))
-    parts = parts.select("leaf", "nth", "p.segment", "p.from", "p.to").join(segments.select("segment", "start", "tokens", "loss"), "segment")
-    low, n = (F.col("from") - F.col("start") + 1).cast("int"), (F.col("to") - F.col("from")).cast("int")
-    spans = F.transform(F.filter("loss", lambda x: x["to"] <= F.col("to")), lambda x: F.struct((x["from"] - F.col("from")).alias("from"), (x["to"] - F.col("from")).alias("to")))
-    parts = parts.select("leaf", F.struct("nth", F.slice("tokens", low, n).alias("tokens"), spans.alias("loss")).alias("part"))
-    whole = parts.groupBy("leaf").agg(F.sort_array(F.collect_list("part")).alias("parts"))
+    """(conv, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars): every conversation, decoded.
+
+    Ranges are walked in order with a stack of the path's turns, so a shared turn is decoded once; the turns above a range's first segment are sent to the range with it.
+    """
+    of = lambda df, part, nth, depth, low, n, loss: df.select(part.alias("part"), nth.alias("nth"), depth.alias("depth"), "segment", F.slice("tokens", low, n).alias("tokens"), loss.alias("loss"), "position")
+    relative = lambda base, top: F.transform(F.filter("loss", lambda x: (x["from"] >= base) & (x["to"] <= top)), lambda x: F.struct((x["from"] - base).alias("from"), (x["to"] - base).alias("to")))
+    zero, whole = F.lit(0), F.size("tokens")
+    own = of(segments, F.col("part"), F.col("nth"), zero, F.lit(1), whole, relative(F.col("start"), F.col("end")))
+    heads = segments.where("nth = 0").select(F.col("part").alias("to_part"), F.posexplode("above").alias("depth", "a")).select("to_part", "depth", F.col("a.segment").alias("_s"), F.col("a.from").alias("low"), F.col("a.to").alias("high"))
+    heads = segments.join(heads, F.col("segment") == F.col("_s"))
+    cut = (F.col("low") - F.col("start") + 1).cast("int")
+    heads = of(heads, F.col("to_part"), F.lit(-1).cast("bigint"), F.col("depth"), cut, (F.col("high") - F.col("low")).cast("int"), relative(F.col("low"), F.col("high")))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # For each turn of the path: tokens so far, hashes so far, turns, characters under the mask, characters.
+        empty = (0, hashlib.sha256(), hashlib.sha256(), 0, 0, 0)
+        now, stack = None, [empty]
         for batch in batches:
             rows = []
-            for parts in batch.column(1):
-                parts = parts.as_py()
-                formatted = vocabulary.text([t for p in parts for t in p["tokens"]])
-                loss = "".join(unescaped(vocabulary.text(p["tokens"][x["from"] : x["to"]])) for p in parts for x in p["loss"])
-                turns = parsed(formatted)
-                sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-                rows.append((len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss), len(formatted)))
-            n, turns, chars, sha, formatted = zip(*rows) if rows else ((),) * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(turns, pa.string()), pa.array(chars, pa.int64()), pa.array(sha, pa.string()), pa.array(formatted, pa.int64())], ["leaf", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-
-    found = whole.mapInArrow(digest, "leaf string, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+            for k, (part, nth, segment, position) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 3, 6)))):
+                if part != now:
+                    now, stack = part, [empty]
+                while nth >= 0 and stack[-1][0] > position:
+                    stack.pop()
+                tokens = batch.column(4)[k].values.to_numpy()
+                spans = {x["from"]: x["to"] for x in batch.column(5)[k].as_py()}
+                begins = vocabulary.begins(tokens).tolist()
+                masked = sorted(spans)
+                for a, z in zip(begins, [*begins[1:], len(tokens)]):
+                    formatted = vocabulary.text(tokens[a:z].tolist())
+                    ((role, text),) = parsed(formatted)
+                    loss = "".join(unescaped(vocabulary.text(tokens[f : spans[f]].tolist())) for f in masked if a <= f < z)
+                    size, turns, under, n, chars, length = stack[-1]
+                    turns, under = turns.copy(), under.copy()
+                    turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+                    under.update(loss.encode("utf-8", "surrogatepass"))
+                    stack.append((size + z - a, turns, under, n + 1, chars + len(loss), length + len(formatted)))
+                if nth >= 0:
+                    _, turns, under, n, chars, length = stack[-1]
+                    rows.append((segment, n, turns.hexdigest(), chars, under.hexdigest(), length))
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else ((),) * 6, kinds)], ["leaf", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+
+    ranges = (segments.agg(F.max("part")).first()[0] or 0) + 1
+    rows = own.unionByName(heads).repartitionById(ranges, F.col("part")).sortWithinPartitions("part", "nth", "depth")
+    found = rows.mapInArrow(digest, "leaf string, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
     return members.select("conv", "segment").join(found, F.col("segment") == F.col("leaf")).drop("segment", "leaf")
 
 
@@ -213,4 +287,4 @@ def op1_chat_prefix_tree(spark, sf_dir: str) -> DataFrame:
     rows = rows.unionByName(spark.createDataFrame([(-1, 0, "user", spelled), (-1, 1, "assistant", spelled)], "conv_id bigint, turn bigint, role string, text string"))
     vocabulary = Vocabulary()
     segments, members = prefix_trees(rows, vocabulary)
-    return read_back(checkpointed(segments), members, vocabulary).withColumnRenamed("conv", "conv_id")
+    return read_back(written(segments), members, vocabulary).withColumnRenamed("conv", "conv_id")
