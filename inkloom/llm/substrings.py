@@ -3,16 +3,21 @@
 A window is `width` consecutive words of one document. Every word covered by a window whose word sequence also starts earlier
 (smaller id, or same document and earlier start) is removed; windows are judged on the input.
 
-A window's minimiser is the smallest hash among its word 5-grams, so equal windows have equal minimisers. Consecutive windows that share
+A window's minimiser is the smallest hash among its word 3-grams, so equal windows have equal minimisers. Consecutive windows that share
 one travel together as a super-k-mer, one packed string instead of a string per window, to their minimiser's bucket. There the windows are
 sorted by hash, and equal hashes are settled by comparing the words themselves. Before that, windows that occur in a batch already are
-settled in the batch, so a passage of many documents reaches its bucket once for each batch.
+settled in the batch.
 
-Minimisers of very many different windows (those around a common passage) would fill one bucket. A sample of documents shows which they
-are; their windows travel one by one, to buckets by their own hash. The sample steers the layout only: the result is the same for any.
+Minimisers of very many windows (those in and around a common passage) would fill one bucket. A sample of documents shows which they
+are; their windows travel one by one, to buckets by their own hash, and a task settles those that an earlier document of its own batches has sent already. So
+a passage of many documents reaches its buckets once or a few times for each task, whatever its copies. The sample steers the layout only: the result is the same for any.
 
-Defined cases: null texts have no words; a null id comes after all others; documents with one id and different texts are ordered by
-their texts' hash; repeated rows (same id and text) are one document and each row gets its result; other columns are ignored.
+What bounds a task's memory: batches of BATCH_BYTES of text (a longer document is its own batch), SEEN remembered windows, and a few buckets of `bucket_bytes`
+at a time, whose number grows with the input.
+
+Defined cases: null texts have no words; very long texts are read whole; a null id comes after all others; documents with one id and different texts are ordered by
+their texts' hash; repeated rows (same id and text) are one document and each row gets its result; ids must be whole numbers or their text (others fail); an empty table
+gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +36,7 @@ from inkloom.llm.wordhash import cut, mixed, sliding_min, window_hashes, word_ha
 GRAM = 3
 LAST = np.iinfo(np.int64).max
 BATCH_BYTES = 4 << 20
+SEEN = 100_000
 NEWLINE = 10
 
 
@@ -105,11 +111,29 @@ class _Batch:
         self.least = sliding_min(grams, width - GRAM + 1)
 
 
-def _packed(b: _Batch, width: int, hot: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+def _sent_before(b: _Batch, width: int, at: np.ndarray, seen: dict[int, tuple[tuple[int, int, int], bytes]]) -> np.ndarray:
+    """Which of the windows that begin at the words `at` an earlier batch of the task has sent for an earlier place. Remembers the others."""
+    found = np.zeros(len(at), bool)
+    rows = zip(b.hash[at].tolist(), b.ids[b.doc[at]].tolist(), b.tags[b.doc[at]].tolist(), b.place[at].tolist(), b.start[at].tolist(), b.end[at + width - 1].tolist())
+    for k, (h, i, tag, place, a, z) in enumerate(rows):
+        known, here = seen.get(h), (i, tag, place)
+        if known is None:
+            if len(seen) < SEEN:
+                seen[h] = here, b.data[a:z]
+        elif known[1] == b.data[a:z]:
+            found[k] = known[0] < here
+            if here < known[0]:
+                seen[h] = here, known[1]
+    return found
+
+
+def _packed(b: _Batch, width: int, hot: np.ndarray, buckets: int, seen: dict) -> Iterator[tuple[int, bytes]]:
     """(bucket, blob) of the batch's super-k-mers, and the runs of windows that are settled here."""
     at = np.flatnonzero(b.valid)
     doc = b.doc[at]
     repeated = _repeats(b.data, b.start, b.end, at, b.hash[at], np.arange(len(at)), width)
+    often = np.flatnonzero(np.isin(b.least[at], hot) & ~repeated)
+    repeated[often] = _sent_before(b, width, at[often], seen)
     dup = at[repeated]
     first, last = _runs(dup, b.doc[dup])
     settled = np.stack([b.ids[b.doc[dup[first]]], b.tags[b.doc[dup[first]]], b.place[dup[first]], last - first + 1]).astype(np.int64) if len(dup) else np.empty((4, 0), np.int64)
@@ -199,15 +223,16 @@ def repeated_runs(docs: DataFrame, width: int = 20, bucket_bytes: int = 4 << 20,
     hot = np.array([r.m for r in hot.orderBy(F.desc("n"), "m").limit(most_hot).collect()], np.int64).view(np.uint64)
 
     def pack(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict = {}
         for b in _batches(rows, width):
-            bucket, blob = zip(*x) if (x := list(_packed(b, width, hot, buckets))) else ((), ())
+            bucket, blob = zip(*x) if (x := list(_packed(b, width, hot, buckets, seen))) else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(blob, pa.binary())], ["bucket", "blob"])
 
     def count(table: pa.Table) -> pa.Table:
         found = _counted(table.column("blob").to_pylist(), width)
         return pa.table([pa.array(x) for x in found], ["id", "tag", "start", "n"])
 
-    packed = docs.mapInArrow(pack, "bucket bigint, blob binary")
+    packed = docs.mapInArrow(pack, "bucket bigint, blob binary").repartition(max(1, buckets // 4), "bucket")
     found = packed.groupBy("bucket").applyInArrow(count, "id bigint, tag bigint, start bigint, n bigint")
     return found.groupBy("id", "tag").agg(F.collect_list(F.struct(F.col("start").cast("int"), F.col("n").cast("int"))).alias("runs"))
 
