@@ -81,7 +81,7 @@ def test_pieces_match_the_model(spark):
     rng = random.Random(2)
     texts = ODD + ["".join(rng.choice("abcde  \n.éß語") for _ in range(rng.randrange(90))) for _ in range(60)]
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(0, texts[0], "y")], "doc_id bigint, text string, word string").repartition(3)
-    got = pieces.encode(docs, pieces.PieceModel(), block_bytes=100, group_bytes=200)
+    got = pieces.encode(docs, pieces.PieceModel(), block_bytes=100)
     rows = got.collect()
     assert len(rows) == len(texts) + 1
     for r in rows:
