@@ -227,8 +227,8 @@ def test_minhash_small_tables(spark):
     assert len(tied) == 3
 
 
-@pytest.mark.parametrize("rounds", [0, 2])
-def test_similar_components(spark, rounds):
+@pytest.mark.parametrize("leaders", [2, 3])
+def test_similar_components(spark, leaders):
     rng = random.Random(8)
     rows = [(k, " ".join(f"v{rng.randrange(900)}" for _ in range(rng.randrange(0, 200)))) for k in range(12)]
     for k in range(12, 60):
@@ -245,7 +245,7 @@ def test_similar_components(spark, rounds):
         return sets[a] == sets[b] or 9 * both >= 4 * (len(sets[a]) + len(sets[b]))
 
     docs = spark.createDataFrame(rows, "key bigint, text string")
-    found = similar.similar_components(docs, rounds).collect()
+    found = similar.similar_components(docs, leaders).collect()
     least = {}
     for r in found:
         least[r.root] = min(least.get(r.root, r.key), r.key)
