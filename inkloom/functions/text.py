@@ -110,3 +110,75 @@ def embedding_name(name: Column, aliases: Column, most: int = 3) -> Column:
     """A name and up to three other aliases."""
     others = F.slice(F.filter(F.array_distinct(aliases), lambda a: (a != name) & (a != "")), 1, most)
     return F.array_join(F.concat(F.array(name), others), "、")
+
+
+#: What a heading of a chapter or a section is.
+HEADING = r"\s*第[0-9零一二三四五六七八九十百千万两〇]+[章节][^\n\r]*\s*"
+
+
+def _lines(text: Column) -> Column:
+    return F.transform(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n"), "\n"), lambda x: x)
+
+
+def heading(text: Column) -> Column:
+    """The heading that a text begins with: its first non-blank line, or the first two or three joined, if that is one; null without."""
+    full = F.filter(F.transform(_lines(text), lambda x: F.trim(x)), lambda x: x != "")
+    of = lambda k: F.array_join(F.slice(full, 1, k), " ")
+    return F.coalesce(*[F.when(of(k).rlike(f"^{HEADING}$"), of(k)) for k in (1, 2, 3)])
+
+
+def without_heading(text: Column, title: Column) -> Column:
+    """A text without the heading that it begins with, on one line or two; trimmed."""
+    lines = F.transform(_lines(text), lambda x, i: F.struct(i.alias("i"), F.trim(x).alias("line"), x.alias("raw")))
+
+    def cut(all_: Column) -> Column:
+        full = F.filter(all_, lambda s: s["line"] != "")
+        two = F.concat_ws(" ", F.get(full, F.lit(0))["line"], F.get(full, F.lit(1))["line"])
+        name = F.trim(F.coalesce(title, F.lit("")))
+        after = F.when(name == "", -1).when((F.size(full) >= 2) & (two == name), F.get(full, F.lit(1))["i"]).when(F.get(full, F.lit(0))["line"] == name, F.get(full, F.lit(0))["i"]).otherwise(-1)
+        return trimmed(F.array_join(F.transform(F.filter(all_, lambda s: s["i"] > F.coalesce(after, F.lit(-1))), lambda s: s["raw"]), "\n"))
+
+    return F.transform(F.array(lines), cut)[0]
+
+
+def takes_docs(headed: Column, docs: Column, sliced: Column) -> Column:
+    """Whether a book's files are its chapters: enough of them have headings, or slicing its text finds one chapter at most."""
+    return (headed >= F.greatest(F.lit(3), F.floor(docs / 3))) | (sliced <= 1)
+
+
+def brief(items: Column, most: int, none: str = "无") -> Column:
+    """The first texts of a list, joined; a word for none."""
+    full = F.array_distinct(F.filter(F.transform(F.coalesce(items, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != ""))
+    return F.when(F.size(full) > 0, F.array_join(F.slice(full, 1, most), "；")).otherwise(none)
+
+
+def entity_card(items: Column, most: int = 4, records: int = 2) -> Column:
+    """The first four entities (array<struct<name, records: array<string>>>) with two records each, as one line."""
+    one = lambda x: F.trim(F.when(F.size(x["records"]) > 0, F.concat(x["name"], F.lit(": "), F.array_join(F.slice(x["records"], 1, records), "；"))).otherwise(x["name"]))
+    shown = F.filter(F.transform(F.slice(F.coalesce(items, F.array().cast("array<struct<name:string,records:array<string>>>")), 1, most), one), lambda x: x != "")
+    return F.when(F.size(shown) > 0, F.array_join(shown, "；")).otherwise("无")
+
+
+def plot_card(number: Column, title: Column, summary: Column, special: Column, organizations: Column, rules: Column) -> Column:
+    """What a plot shows when plots are grouped into volumes."""
+    line = lambda head, c: F.concat(F.lit(f"{head}: "), F.coalesce(c, F.lit("")))
+    return F.concat_ws("\n", F.concat(F.lit("Plot "), number.cast("string")), line("Title", title), line("Summary", summary), line("SpecialExistence", entity_card(special)), line("Organizations", entity_card(organizations)), line("WorldRules", entity_card(rules)))
+
+
+def deltas(items: Column, notes: dict[str, str], most: int = 4) -> Column:
+    """How the first four of `items` (array of structs with a name) changed: the three first texts of each list that `notes` names, under its word."""
+    of = lambda x: F.array_compact(F.array(*[F.when(brief(x[c], 3) != "无", F.concat(F.lit(f"{word}="), brief(x[c], 3))) for c, word in notes.items()]))
+    one = lambda x: F.concat(F.trim(x["name"]), F.lit(": "), F.when(F.size(of(x)) > 0, F.array_join(of(x), " | ")).otherwise("无明显变化"))
+    shown = F.transform(F.filter(F.slice(items, 1, most), lambda x: F.trim(F.coalesce(x["name"], F.lit(""))) != ""), one)
+    return F.when(F.size(shown) > 0, F.array_join(shown, "；")).otherwise("无")
+
+
+def message_text(parts: Column) -> Column:
+    """The text of a message in parts (array<struct<text, content>>): each part's text, or its content, a line each."""
+    each = F.transform(parts, lambda p: F.coalesce(F.nullif(F.trim(p["text"]), F.lit("")), F.nullif(F.trim(p["content"]), F.lit("")), F.lit("")))
+    return F.array_join(F.filter(each, lambda x: x != ""), "\n")
+
+
+def labelled_lines(**values: Column) -> Column:
+    """Lines `label: value` of the values that say something; lists and structs as JSON."""
+    return F.concat_ws("\n", *[F.when(F.coalesce(v, F.lit("")) != "", F.concat(F.lit(f"{name}: "), v)) for name, v in values.items()])

@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The frame written to the shared checkpoint folder (spark.checkpoint.dir; one of our own where it is unset) and cut from its lineage."""
+    """The frame written to the shared checkpoint folder (spark.checkpoint.dir; one of our own where it is unset and the master is local) and cut from its lineage."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
 
 

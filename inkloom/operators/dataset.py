@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkloom.operators.ranks import numbered_whole
+
 #: The summary that marks a chapter without one, and the length below which a chapter is no training row.
 NO_SUMMARY, LEAST_CHARS, TAIL_CHARS = "", 200, 600
 
@@ -44,9 +46,20 @@ def export(rows: DataFrame, path: str) -> None:
     manifest.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
 
 
+def checked_split(available: DataFrame, train: DataFrame, validation: DataFrame) -> DataFrame:
+    """(book_id, split, fault) of given lists of books: unknown ones, and those in both lists, are faults."""
+    known = available.select("book_id").distinct().withColumn("_known", F.lit(True))
+    both = train.select("book_id", F.lit("train").alias("split")).unionByName(validation.select("book_id", F.lit("validation").alias("split"))).distinct()
+    twice = both.groupBy("book_id").agg(F.count(F.lit(1)).alias("_n"))
+    rows = both.join(twice, "book_id").join(known, "book_id", "left")
+    fault = F.when(F.col("_known").isNull(), "unknown book").when(F.col("_n") > 1, "in both lists")
+    return rows.select("book_id", "split", fault.alias("fault"))
+
+
 def book_split(books: DataFrame, ratio: float = 0.25, seed: int = 7) -> DataFrame:
     """(book_id, split): whole books; the share `ratio` (one at least if there are two books) with the smallest seeded hash validates."""
-    order = Window.orderBy(F.xxhash64("book_id", F.lit(seed)), "book_id")
-    rows = books.select("book_id").distinct().withColumn("_n", F.row_number().over(order)).withColumn("_all", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
-    held = F.when(F.col("_all") < 2, 0).otherwise(F.greatest(F.lit(1), F.round(F.col("_all") * ratio)))
+    names = books.select("book_id").distinct()
+    luck = F.md5(F.concat_ws(":", F.col("book_id").cast("string"), F.lit(str(seed))))
+    rows = numbered_whole(names.withColumn("_luck", luck), [F.col("_luck"), F.col("book_id")], "_n").withColumn("_all", names.agg(F.count(F.lit(1))).scalar())
+    held = F.when(F.col("_all") < 2, 0).otherwise(F.greatest(F.lit(1), F.bround(F.col("_all") * ratio)))
     return rows.select("book_id", F.when(F.col("_n") <= held, "validation").otherwise("train").alias("split"))

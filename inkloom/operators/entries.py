@@ -7,38 +7,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkloom.functions.aliases import primary_and_aliases
+from inkloom.functions.text import name_key
 
 
 def merged_entries(entries: DataFrame) -> DataFrame:
     """(book_id, plot_id, place, name, aliases, records) of entries (book_id, plot_id, chapter_index, pos, name, description).
 
-    Entries come in order of chapter and place. Each joins the first merged entry with which it shares a name or alias (blanks and case aside), or begins one; so what an
-    entry joins depends on those before it, and a plot (a few chapters) is one group. Records are distinct (chapter, description), in order.
+    Entries come in order of chapter and place. Each joins the earliest merged entry that has one of its names (blanks and case aside), or begins one; so where an entry goes
+    depends on those before it. Only this numbering is done plot by plot in Python, on name keys; names, aliases and records are aggregated. Records are distinct (chapter, description), in order.
     """
-    named = entries.withColumn("_n", primary_and_aliases(F.col("name"))).select("book_id", "plot_id", "chapter_index", "pos", F.col("_n.primary").alias("primary"), F.col("_n.aliases").alias("aliases"), "description")
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        token = lambda s: "".join(s.split()).lower()
-        found: list[dict] = []
-        for row in pdf.sort_values(["chapter_index", "pos"]).itertuples():
-            names = [x for x in (row.primary, *row.aliases) if token(x)]
-            if not names:
-                continue
-            keys = {token(x) for x in names}
-            home = next((f for f in found if f["keys"] & keys), None)
-            if home is None:
-                home = {"primary": names[0], "aliases": {}, "records": {}, "keys": set()}
-                found.append(home)
-            for x in names:
-                home["aliases"].setdefault(token(x), x)
-            home["keys"] |= keys
-            home["records"][(row.chapter_index, (row.description or "").strip())] = None
-        rows = []
-        for place, f in enumerate(found):
-            others = [a for a in f["aliases"].values() if token(a) != token(f["primary"])]
-            name = f"{f['primary']}（{'/'.join(others)}）" if others else f["primary"]
-            rows.append((place, name, list(f["aliases"].values()), [{"chapter": c, "text": t} for c, t in sorted(f["records"])]))
-        out = pd.DataFrame(rows, columns=["place", "name", "aliases", "records"])
-        return out.assign(book_id=pdf["book_id"].iloc[0], plot_id=pdf["plot_id"].iloc[0])
-
-    return named.groupBy("book_id", "plot_id").applyInPandas(merge, "book_id bigint, plot_id bigint, place int, name string, aliases array<string>, records array<struct<chapter:bigint,text:string>>")
+    keys = ["book_id", "plot_id"]
+    named = entries.withColumn("_n", primary_and_aliases(F.col("name")))
+    names = F.filter(F.concat(F.array("_n.primary"), "_n.aliases"), lambda x: name_key(x) != "")
+    named = named.select(*keys, F.struct("chapter_index", "pos").alias("at"), names.alias("names"), F.trim(F.coalesce("description", F.lit(""))).alias("description")).where(F.size("names") > 0)
+
+    def places(pdf: pd.DataFrame) -> pd.DataFrame:
+        home: dict[str, int] = {}
+        out = []
+        for tokens in pdf.sort_values(["chapter_index", "pos"])["tokens"]:
+            here = min((home[t] for t in tokens if t in home), default=len(set(home.values())))
+            home |= {t: min(home.get(t, here), here) for t in tokens}
+            out.append(here)
+        return pdf.sort_values(["chapter_index", "pos"]).assign(place=out).drop(columns="tokens")
+
+    tokens = named.select(*keys, "at.chapter_index", "at.pos", F.transform("names", lambda x: name_key(x)).alias("tokens"))
+    placed = tokens.groupBy(*keys).applyInPandas(places, "book_id bigint, plot_id bigint, chapter_index bigint, pos int, place int")
+    placed = placed.select(*keys, F.struct("chapter_index", "pos").alias("at"), "place")
+    rows = named.join(placed, [*keys, "at"])
+    home = [*keys, "place"]
+    # The first spelling of each name counts.
+    spelled = rows.select(*home, "at", F.posexplode("names").alias("nth", "spelling")).groupBy(*home, name_key(F.col("spelling")).alias("token")).agg(F.min(F.struct("at", "nth", "spelling")).alias("first"))
+    lists = spelled.groupBy(*home).agg(F.transform(F.sort_array(F.collect_list("first")), lambda x: x["spelling"]).alias("aliases"))
+    records = rows.groupBy(*home).agg(F.sort_array(F.collect_set(F.struct(F.col("at.chapter_index").cast("bigint").alias("chapter"), F.col("description").alias("text")))).alias("records"))
+    primary = F.col("aliases")[0]
+    others = F.filter("aliases", lambda a: name_key(a) != name_key(primary))
+    shown = F.when(F.size(others) > 0, F.concat(primary, F.lit("（"), F.array_join(others, "/"), F.lit("）"))).otherwise(primary)
+    return lists.join(records, home).select(*home, shown.alias("name"), "aliases", "records")

@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 #: What a source's evidence weighs, and the least confidence that it gives.
 WEIGHTS = {"chapters": 1.0, "chapter_summaries_verify": 0.7, "chapter_summaries": 0.62, "plots": 0.72, "volumes": 0.55}
 OTHER_WEIGHT = 0.65
-FLOORS = (("chapters", 0.9), ("chapter_summaries_verify", 0.68), ("chapter_summaries", 0.6), ("plots", 0.62), ("entities", 0.55))
+ENTITIES = ("characters", "origanizations", "special_existences", "world_rules")
+FLOORS = ((("chapters",), 0.9), (("chapter_summaries_verify",), 0.68), (("chapter_summaries",), 0.6), (("plots",), 0.62), (ENTITIES, 0.55))
+NO_EVIDENCE = 0.18
+SUMMARY_ONLY = ("chapter_summaries", "chapter_summaries_verify")
+#: What a text says that is no evidence.
+NEGATIVE = ("未提及", "未发现", "无相关", "没有提及", "无法确认", "证据不足", "不支持", "未在本次", "未找到")
 
 
 def source_weight(source: Column) -> Column:
@@ -24,26 +29,40 @@ def evidence_score(source: Column, rank: Column, *scores: Column) -> Column:
     return F.when(base <= 0, 1.0 / F.when(rank > 0, rank).otherwise(5)).otherwise(base) * source_weight(source)
 
 
+#: The longest character runs on which short passages meet texts, and how many anchors of longer ones may go to every task as one constant.
+GRAMS = (8, 4, 2, 1)
+MOST_ANCHORS = 10_000
+
+
 def contained(passages: DataFrame, texts: DataFrame, anchor: int = 4) -> DataFrame:
-    """(item_id, doc_id): which texts contain which passages, as substrings.
+    """(item_id, doc_id): which texts contain which passages, as substrings. Null and empty passages are in no text.
 
-    Both sides meet on the hash of `anchor` whole words: a passage offers its words 2 to anchor+1 (its first may begin inside a word), a text all its runs of that many.
-    Only pairs that meet are searched. Passages with fewer words meet all texts, the passages broadcast, if there are a thousand at most.
+    Both sides meet on equal hashes and only pairs that meet are searched. A passage of at least anchor + 2 words offers its words 2 to anchor + 1 (its first may begin inside a word), a text all its
+    runs of that many words. A shorter passage offers its first characters, as many as the longest of GRAMS that it has, a text all its runs of that many characters; these are made
+    only for the lengths that passages need. Up to MOST_ANCHORS anchors of words are a constant that sorts out texts before anything is exploded; more of them meet by a shuffle.
     """
-    pieces = F.split(F.trim("passage"), r"\s+")
-    p = passages.withColumn("_w", pieces)
-    long = p.where(F.size("_w") >= anchor + 2).select("item_id", "passage", F.xxhash64(F.array_join(F.slice("_w", 2, anchor), " ")).alias("_h"))
-    w = F.split(F.trim("text"), r"\s+")
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_t") - anchor + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("_t", i, F.lit(anchor)), " ")))
-    anchors = texts.select("doc_id", w.alias("_t")).select("doc_id", F.explode(F.array_distinct(runs)).alias("_g"))
-    pairs = anchors.join(long, F.col("_g") == F.col("_h")).select("doc_id", "item_id", "passage")
-    found = pairs.join(texts.select("doc_id", "text"), "doc_id").where(F.contains("text", "passage")).select("item_id", "doc_id")
-    short = p.where(F.size("_w") < anchor + 2).select("item_id", "passage")
-    n = short.limit(1001).count()
-    if n > 1000:
-        raise ValueError("too many passages of a few words: give longer ones")
-    if n:
-        found = found.unionByName(texts.join(F.broadcast(short), F.contains("text", "passage")).select("item_id", "doc_id"))  # a thousand rows at most
+    w = F.split(F.trim("passage"), r"\s+")
+    given = passages.where("passage <> ''").withColumn("_w", w)
+    long = given.where(F.size("_w") >= anchor + 2).select("item_id", "passage", F.xxhash64(F.array_join(F.slice("_w", 2, anchor), " ")).alias("_h"))
+    runs = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - anchor + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(t, i, F.lit(anchor)), " ")))
+    # The words are bound once, or every run would split the text again.
+    grams = texts.select("doc_id", "text", F.array_distinct(F.transform(F.array(F.split(F.trim("text"), r"\s+")), runs)[0]).alias("_g"))
+    anchors = [r[0] for r in long.select("_h").distinct().limit(MOST_ANCHORS + 1).collect()]
+    if len(anchors) <= MOST_ANCHORS:
+        # A few of the texts stay, with their text.
+        met = grams.select("doc_id", "text", F.array_intersect("_g", F.array(*map(F.lit, anchors)) if anchors else F.array().cast("array<bigint>")).alias("_g")).where(F.size("_g") > 0)
+        found = met.select("doc_id", "text", F.explode("_g").alias("_g")).join(long, F.col("_g") == F.col("_h")).where(F.contains("text", "passage")).select("item_id", "doc_id")
+    else:
+        pairs = grams.select("doc_id", F.explode("_g").alias("_g")).join(long, F.col("_g") == F.col("_h")).select("doc_id", "item_id", "passage").distinct()
+        found = pairs.join(texts.select("doc_id", "text"), "doc_id").where(F.contains("text", "passage")).select("item_id", "doc_id")
+    size = F.coalesce(*[F.when(F.length("passage") >= k, k) for k in GRAMS])
+    short = given.where(F.size("_w") < anchor + 2).select("item_id", "passage", size.alias("_k"))
+    for k in sorted(r[0] for r in short.select("_k").distinct().collect()):  # at most as many as GRAMS
+        mine = short.where(F.col("_k") == k).select("item_id", "passage", F.substring("passage", 1, k).alias("_s"))
+        pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - k + 1, F.lit(1))), lambda i: F.substring(F.col("text"), i, F.lit(k)))  # noqa: B023
+        spelled = texts.where(F.length("text") >= k).select("doc_id", F.explode(F.array_distinct(pieces)).alias("_p"))
+        pairs = spelled.join(mine, F.col("_p") == F.col("_s")).select("doc_id", "item_id", "passage")
+        found = found.unionByName(pairs.join(texts.select("doc_id", "text"), "doc_id").where(F.contains("text", "passage")).select("item_id", "doc_id"))
     return found.distinct()
 
 
@@ -52,28 +71,69 @@ def merged(evidence: DataFrame, keys: list[str]) -> DataFrame:
     return evidence.groupBy(*keys).agg(F.max("score").alias("score"), F.array_join(F.array_sort(F.collect_set("subquery_id")), ",").alias("subquery_ids"), F.count(F.lit(1)).alias("n"))
 
 
-def clusters(scores: DataFrame, gap: int = 2) -> DataFrame:
-    """(book_id, start, end, chapters, score): chapters whose distance is at most `gap` make a cluster."""
-    by = Window.partitionBy("book_id").orderBy("chapter_index")
+def clusters(scores: DataFrame, gap: int = 2, keys: list[str] | None = None) -> DataFrame:
+    """(keys, start, end, chapters, score): chapters of a key whose distance is at most `gap` make a cluster. Scores of one chapter are summed before anything is sorted."""
+    keys = keys or ["book_id"]
+    rows = scores.groupBy(*keys, "chapter_index").agg(F.sum("score").alias("score"))
+    by = Window.partitionBy(*keys).orderBy("chapter_index")
     new = F.coalesce(F.col("chapter_index") - F.lag("chapter_index").over(by) > gap, F.lit(True))
-    rows = scores.withColumn("_c", F.sum(new.cast("int")).over(by))
-    return rows.groupBy("book_id", "_c").agg(F.min("chapter_index").alias("start"), F.max("chapter_index").alias("end"), F.count(F.lit(1)).alias("chapters"), F.sum("score").alias("score")).drop("_c")
+    rows = rows.withColumn("_c", F.sum(new.cast("int")).over(by))
+    return rows.groupBy(*keys, "_c").agg(F.min("chapter_index").alias("start"), F.max("chapter_index").alias("end"), F.count(F.lit(1)).alias("chapters"), F.sum("score").alias("score")).drop("_c")
+
+
+def clipped(start: Column, end: Column, limit: int) -> tuple[Column, Column]:
+    """A window from 1 on that spans `limit` chapters at most."""
+    low = F.greatest(F.lit(1), start)
+    return low, F.least(F.greatest(low, end), low + limit - 1)
+
+
+def candidate_windows(found: DataFrame, limit: int = 8, keys: list[str] | None = None) -> DataFrame:
+    """(keys, start, end): each key's best cluster (the earliest of equal ones), clipped to `limit` chapters."""
+    keys = keys or ["book_id"]
+    best = found.groupBy(*keys).agg(F.max_by(F.struct("start", "end"), F.struct("score", -F.col("start"))).alias("w"))
+    low, high = clipped(F.col("w.start"), F.col("w.end"), limit)
+    return best.select(*keys, low.alias("start"), high.alias("end"))
 
 
-def candidate_windows(found: DataFrame, limit: int = 8) -> DataFrame:
-    """(book_id, start, end): each book's best cluster, one chapter wider on both sides, clipped to `limit` chapters."""
-    best = found.groupBy("book_id").agg(F.max_by(F.struct("start", "end"), F.struct("score", -F.col("start"))).alias("w"))
-    low = F.greatest(F.lit(1), F.col("w.start") - 1)
-    return best.select("book_id", low.alias("start"), F.least(F.col("w.end") + 1, low + limit - 1).alias("end"))
+def edge_windows(scores: DataFrame, edge: str = "first", keys: list[str] | None = None) -> DataFrame:
+    """(keys, start, end): the earliest (or latest) found chapter with its neighbours, four chapters at most."""
+    keys = keys or ["book_id"]
+    at = F.col("_at")
+    rows = scores.groupBy(*keys).agg((F.min if edge == "first" else F.max)("chapter_index").alias("_at"))
+    low, high = clipped(at - 1, at + 1, 4)
+    return rows.select(*keys, low.alias("start"), high.alias("end"))
 
 
-def confidence(evidence: DataFrame, key: str, tools: str) -> DataFrame:
-    """(key, confidence): the best score, .95 at most and at least the floor of the best source; .03 more from four tools on."""
+def confidence(evidence: DataFrame, key: str, tools: str, keys: DataFrame | None = None) -> DataFrame:
+    """(key, confidence): the best score, .95 at most and at least the floor of the best source; .03 more from four tools on. Keys of `keys` without evidence have NO_EVIDENCE."""
     floor = F.lit(0.0)
-    for name, value in reversed(FLOORS):
-        floor = F.when(F.bool_or(F.col("source") == name), F.lit(value)).otherwise(floor)
+    for names, value in reversed(FLOORS):
+        floor = F.when(F.bool_or(F.col("source").isin(*names)), F.lit(value)).otherwise(floor)
     found = evidence.groupBy(key).agg(F.greatest(F.least(F.lit(0.95), F.max("score")), floor).alias("c"), F.max(tools).alias("t"))
-    return found.select(key, F.round(F.when((F.col("t") >= 4) & (F.col("c") > 0.1), F.least(F.lit(0.95), F.col("c") + 0.03)).otherwise(F.col("c")), 3).alias("confidence"))
+    found = found.select(key, F.round(F.when((F.col("t") >= 4) & (F.col("c") > 0.1), F.least(F.lit(0.95), F.col("c") + 0.03)).otherwise(F.col("c")), 3).alias("confidence"))
+    if keys is None:
+        return found
+    found = found.withColumnRenamed(key, "_key")
+    return keys.select(key).distinct().join(found, F.col(key).eqNullSafe(F.col("_key")), "left").select(key, F.coalesce("confidence", F.lit(NO_EVIDENCE)).alias("confidence"))
+
+
+def negative(text: Column) -> Column:
+    """Whether a text is no evidence: empty, or it says that nothing was found."""
+    clean = F.trim(F.coalesce(text, F.lit("")))
+    return (clean == "") | clean.rlike("|".join(NEGATIVE))
+
+
+def without_summaries(evidence: DataFrame, windows: DataFrame) -> DataFrame:
+    """`evidence` (subquery_id, source, chapter_index, ...) without what only summaries say inside its subquery's window (subquery_id, low, high), whose chapters have been read."""
+    w = windows.select(F.col("subquery_id").alias("_s"), F.col("low").alias("_low"), F.col("high").alias("_high"))
+    inside = (F.col("subquery_id") == F.col("_s")) & F.col("source").isin(*SUMMARY_ONLY) & F.col("chapter_index").between(F.col("_low"), F.col("_high"))
+    return evidence.join(w, inside, "left_anti")
+
+
+def coordinates(evidence: DataFrame, key: str) -> DataFrame:
+    """(key, kind, place): the distinct chapters, plots and volumes that a key's evidence names."""
+    each = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).cast("bigint").alias("place")) for k, c in (("chapter", "chapter_index"), ("plot", "plot_id"), ("volume", "volume_id"))])
+    return evidence.select(key, F.explode(each).alias("c")).select(key, "c.kind", "c.place").where("place > 0").distinct()
 
 
 def citations(evidence: DataFrame, key: str, most: int = 6) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkloom.operators.ranks import numbered_whole
+
 
 def registry(mentions: DataFrame) -> DataFrame:
     """(entity_type, name_key, name, first_chapter, last_chapter, first_plot, last_plot, is_core) of mentions (entity_type, name, chapter_index, plot_id, is_core)."""
@@ -15,8 +17,8 @@ def registry(mentions: DataFrame) -> DataFrame:
 
 
 def with_ids(entities: DataFrame) -> DataFrame:
-    """Registry rows numbered by type and key. The registry has one row for each entity."""
-    return entities.withColumn("entity_id", F.row_number().over(Window.orderBy("entity_type", "name_key")).cast("bigint"))
+    """Registry rows numbered by type and key."""
+    return numbered_whole(entities, [F.col("entity_type"), F.col("name_key")], "entity_id")
 
 
 def mentions(flagged: DataFrame) -> DataFrame:
@@ -32,7 +34,66 @@ def unpivoted(rows: DataFrame, key: str, lists: list[str]) -> DataFrame:
     return flat.where("fact IS NOT NULL AND fact <> ''")
 
 
-def canonical(name):
+def unwrapped(name: Column) -> Column:
+    """A trimmed name without the brackets around it."""
+    clean = F.trim(F.coalesce(name, F.lit("")))
+    for pattern in ("(?s)^<(.+)>$", "(?s)^《(.+)》$"):
+        clean = F.when(clean.rlike(pattern), F.trim(F.regexp_replace(clean, pattern, "$1"))).otherwise(clean)
+    return clean
+
+
+def canonical(name: Column) -> Column:
     """An entity's name without brackets and what follows a dash."""
-    bare = F.regexp_replace(F.trim(F.coalesce(name, F.lit(""))), r"^[<《](.*)[>》]$", "$1")
-    return F.trim(F.get(F.split(bare, r"\s+-\s+"), F.lit(0)))
+    clean = unwrapped(name)
+    head = F.trim(F.substring_index(clean, " - ", 1))
+    return F.when(head != "", head).otherwise(clean)
+
+
+def entity_key(name: Column) -> Column:
+    """What tells entities of a type apart."""
+    return F.lower(F.regexp_replace(canonical(name), r"(?U)\s+", ""))
+
+
+def aliases_seen(mentions: DataFrame) -> DataFrame:
+    """(entity_type, name_key, alias_key, alias_type, alias, first_seen, last_seen) of mentions (entity_type, name, alias, alias_type, chapter_index); chapters may be unknown."""
+    rows = mentions.select("entity_type", entity_key(F.col("name")).alias("name_key"), entity_key(F.col("alias")).alias("alias_key"), "alias_type", canonical(F.col("alias")).alias("alias"), "chapter_index")
+    return rows.where("alias_key <> ''").groupBy("entity_type", "name_key", "alias_key", "alias_type").agg(F.min("alias").alias("alias"), F.min("chapter_index").alias("first_seen"), F.max("chapter_index").alias("last_seen"))
+
+
+def plot_entities(plots: DataFrame) -> DataFrame:
+    """(entity_type, name_key, first_plot, last_plot, volume_id, is_core, importance) of plots (plot_id, volume_id, protagonists, important, organizations, people, factions): who appears, and
+    whether the plot's key lists name it. Without a list of factions the organizations count."""
+    factions = F.when(F.size("factions") > 0, F.col("factions")).otherwise(F.col("organizations"))
+    listed = lambda kind, names: F.transform(names, lambda n: F.struct(F.lit(kind).alias("entity_type"), n.alias("name")))
+    rows = plots.withColumn("e", F.explode(F.concat(listed("character", F.col("people")), listed("faction", factions)))).select("*", "e.*")
+    name = canonical(F.col("name"))
+    has = lambda c: F.array_contains(c, name)
+    person = F.col("entity_type") == "character"
+    importance = F.when(person & has("protagonists"), "protagonist").when(person & has("important") | ~person & has("organizations"), "important")
+    rows = rows.withColumn("importance", importance).where(name != "")
+    worth = F.when(F.col("importance") == "protagonist", 2).when(F.col("importance") == "important", 1).otherwise(0)
+    return rows.groupBy("entity_type", entity_key(F.col("name")).alias("name_key")).agg(
+        F.min("plot_id").alias("first_plot"), F.max("plot_id").alias("last_plot"), F.min_by("volume_id", F.when(F.col("volume_id").isNotNull(), F.col("plot_id"))).alias("volume_id"), F.bool_or(F.col("importance").isNotNull()).alias("is_core"), F.max_by("importance", worth).alias("importance")
+    )
+
+
+def with_entity_ids(facts: DataFrame, registry: DataFrame) -> DataFrame:
+    """`facts` (name) with entity_id: the character's of that name, else the faction's."""
+    of = lambda kind: registry.where(F.col("entity_type") == kind).select(F.col("name_key").alias(f"_{kind}"), F.col("entity_id").alias(f"_{kind}_id"))
+    rows = facts.withColumn("_key", entity_key(F.col("name")))
+    rows = rows.join(of("character"), F.col("_key") == F.col("_character"), "left").join(of("faction"), F.col("_key") == F.col("_faction"), "left")
+    return rows.withColumn("entity_id", F.coalesce("_character_id", "_faction_id")).drop("_key", "_character", "_character_id", "_faction", "_faction_id")
+
+
+def presence(entries: DataFrame, lists: list[str], scalars: list[str]) -> DataFrame:
+    """One row for each name of entries (name, ord, lists, scalars): lists' distinct non-empty elements in order, scalars' last non-empty values."""
+    rows = entries.withColumn("name", F.trim("name")).where("name <> ''")
+    union = lambda c: F.array_distinct(F.filter(F.transform(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("ord", F.coalesce(c, F.array().cast("array<string>")).alias("x")))), lambda s: s["x"])), lambda x: F.trim(x)), lambda x: x != "")).alias(c)
+    last = lambda c: F.max_by(c, F.when(F.coalesce(F.trim(c), F.lit("")) != "", F.col("ord"))).alias(c)
+    return rows.groupBy("name").agg(F.min("ord").alias("ord"), *map(union, lists), *map(last, scalars))
+
+
+def latest_asset(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """(book_id, asset_id, path): where a book's cover goes: the new path at its latest stored asset, or a new one (no id yet)."""
+    held = stored.where("asset_type = 'cover'").groupBy("book_id").agg(F.max("asset_id").alias("asset_id")).withColumnRenamed("book_id", "_book")
+    return new.join(held, F.col("book_id") == F.col("_book"), "left").select("book_id", "asset_id", "path")

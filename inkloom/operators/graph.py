@@ -5,17 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: What in a status makes an edge hostile, friendly or neutral, in order of precedence.
-STATUS = (("hostile", ("negative", "hostile", "敌")), ("friendly", ("positive", "friendly", "友")))
+#: What in a status makes an edge hostile, friendly or neutral, in order of precedence, with the edge's colour; and the colours of nodes with and without a profile.
+STATUS = (("hostile", ("敌", "冲突"), "rgba(248,113,113,0.72)"), ("friendly", ("盟", "信任", "合作"), "rgba(56,189,248,0.72)"), ("neutral", (), "rgba(148,163,184,0.5)"))
+READY, STUB = "#38BDF8", "#94A3B8"
 
 
 def category(status: Column) -> Column:
-    out = F.lit("neutral")
-    for name, words in reversed(STATUS):
+    out = F.lit(STATUS[-1][0])
+    for name, words, _ in reversed(STATUS[:-1]):
         out = F.when(F.coalesce(status, F.lit("")).rlike("|".join(words)), name).otherwise(out)
     return out
 
 
+def edge_color(status: Column) -> Column:
+    kind = category(status)
+    return F.coalesce(*[F.when(kind == name, color) for name, _, color in STATUS])
+
+
+def node_color(profile_status: Column) -> Column:
+    return F.when(F.coalesce(profile_status, F.lit("")) == "ready", READY).otherwise(STUB)
+
+
+def highlights(edges: DataFrame, kind: str, key: str) -> DataFrame:
+    """(edge_key, graph_key): what a chosen node or edge lights up: a node its edges, an edge itself and its two ends."""
+    if kind == "node":
+        return edges.where((F.col("source_key") == key) | (F.col("target_key") == key)).select("edge_key", F.lit(key).alias("graph_key"))
+    return edges.where(F.col("edge_key") == key).select("edge_key", F.explode(F.array("source_key", "target_key")).alias("graph_key"))
+
+
+def stub_upgrades(found: DataFrame) -> DataFrame:
+    """Of resolved nodes (want_id, character_id, graph_key, how) those whose stub a character with an id takes over, with the key that it had."""
+    return found.where(F.col("graph_key").startswith("stub:") & (F.col("how") == "stub") & (F.col("character_id") > 0)).select("want_id", "character_id", F.col("graph_key").alias("old_key"))
+
+
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """`nodes` (node_id) with degree (a loop counts twice) and size. Edge ends are counted before they meet the nodes."""
     ends = edges.groupBy(F.col("source_id").alias("n")).agg(F.count(F.lit(1)).alias("d")).unionAll(edges.groupBy(F.col("target_id").alias("n")).agg(F.count(F.lit(1)).alias("d")))
@@ -62,7 +84,7 @@ def history(islands: DataFrame) -> DataFrame:
 
 
 def canvas(nodes: DataFrame, width: float = 1000.0) -> DataFrame:
-    """`nodes` (x, y) scaled to 0..width by the extent of all."""
-    everywhere = Window.partitionBy(F.lit(0))
-    scaled = lambda c: (F.col(c) - F.min(c).over(everywhere)) / F.nullif(F.max(c).over(everywhere) - F.min(c).over(everywhere), F.lit(0.0)) * width
+    """`nodes` (x, y) scaled to 0..width by the extent of all, which is aggregated first and becomes a constant of the plan."""
+    extent = nodes.agg(F.struct(*[f(c).alias(f"{n}_{c}") for c in ("x", "y") for n, f in (("low", F.min), ("high", F.max))]).alias("e")).scalar()
+    scaled = lambda c: (F.col(c) - extent[f"low_{c}"]) / F.nullif(extent[f"high_{c}"] - extent[f"low_{c}"], F.lit(0.0)) * width
     return nodes.withColumn("cx", F.coalesce(scaled("x"), F.lit(width / 2))).withColumn("cy", F.coalesce(scaled("y"), F.lit(width / 2)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkloom.functions.text import overlap_tokens
+from inkloom.operators.components import checkpointed
 
 
 def plots_of(chapters: DataFrame) -> DataFrame:
@@ -36,7 +37,7 @@ def segments(chapters: DataFrame, batch: int = 10) -> DataFrame:
     return rows.groupBy("book_id", "batch_no", "segment").agg(F.min("chapter_index").alias("start_chapter"), F.max("chapter_index").alias("end_chapter")).drop("segment")
 
 
-def stitched(ranges: DataFrame, key: str, order: str, joins: str, most_rounds: int = 1) -> DataFrame:
+def stitched(ranges: DataFrame, key: str, order: str, joins: str) -> DataFrame:
     """One pass of pairwise stitching: of neighbouring ranges where `joins` (the boundary to the next one) holds, pairs are taken from left to right and a range is used once.
 
     In a run of boundaries that all hold, that takes the first, third, fifth and so on. Adds `group`, the number of the stitched range.
@@ -49,6 +50,52 @@ def stitched(ranges: DataFrame, key: str, order: str, joins: str, most_rounds: i
     return rows.withColumn("group", F.sum(F.col("_first").cast("int")).over(by)).drop("_joins", "_run", "_nth", "_first")
 
 
+def _round(ranges: DataFrame, disjoint: bool) -> DataFrame:
+    """Ranges (book_id, start, end, head, tail: tokens of the first and last chapter) after one pass; with `disjoint` only the pairs (1, 2), (3, 4) and so on are looked at."""
+    by = Window.partitionBy("book_id").orderBy("start")
+    met = F.arrays_overlap("tail", F.lead("head").over(by))
+    rows = ranges.withColumn("_met", F.coalesce(met, F.lit(False)))
+    if disjoint:
+        rows = rows.withColumn("_n", F.row_number().over(by) - 1)
+        pair = F.floor(F.col("_n") / 2)
+        joined = F.max(F.when(F.col("_n") % 2 == 0, F.col("_met")).otherwise(F.lit(False))).over(Window.partitionBy("book_id", pair))
+        rows = rows.withColumn("group", F.when(joined, 2 * pair).otherwise(F.col("_n")))
+    else:
+        rows = stitched(rows, "book_id", "start", "_met")
+    return rows.groupBy("book_id", "group").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("head", "start").alias("head"), F.max_by("tail", "start").alias("tail")).drop("group")
+
+
+def stitched_rounds(ranges: DataFrame, most_rounds: int = 5, disjoint: bool = False) -> DataFrame:
+    """(book_id, start, end): ranges stitched at boundaries whose chapters share a token, pass after pass until one changes nothing, `most_rounds` at most (plots take 5, volumes 8 of disjoint pairs)."""
+    now = checkpointed(ranges.select("book_id", "start", "end", "head", "tail"))
+    n = now.count()
+    for _ in range(most_rounds):
+        now = checkpointed(_round(now, disjoint))
+        before, n = n, now.count()
+        if n == before:
+            break
+    return now.select("book_id", "start", "end")
+
+
+def clamped(ranges: DataFrame, batches: DataFrame) -> DataFrame:
+    """(book_id, batch_no, start, end) of a model's ranges (book_id, batch_no, start, end) held within their batch (book_id, batch_no, low, high): missing ends are the batch's, inverted ranges are left out, a batch without any is one range."""
+    b = batches.select(F.col("book_id").alias("_b"), F.col("batch_no").alias("_n"), "low", "high")
+    rows = b.join(ranges, (F.col("book_id") == F.col("_b")) & (F.col("batch_no") == F.col("_n")), "left")
+    start, end = F.greatest("low", F.coalesce(F.nullif("start", F.lit(0)), "low")), F.least("high", F.coalesce(F.nullif("end", F.lit(0)), "high"))
+    rows = rows.select(F.col("_b").alias("book_id"), F.col("_n").alias("batch_no"), "low", "high", start.alias("start"), end.alias("end"), F.col("book_id").isNotNull().alias("given"))
+    good = F.array_sort(F.collect_set(F.when(F.col("given") & (F.col("start") <= F.col("end")), F.struct("start", "end"))))
+    per = rows.groupBy("book_id", "batch_no", "low", "high").agg(good.alias("good"))
+    chosen = F.when(F.size("good") > 0, F.col("good")).otherwise(F.array(F.struct(F.col("low").alias("start"), F.col("high").alias("end"))))
+    return per.select("book_id", "batch_no", F.explode(chosen).alias("r")).select("book_id", "batch_no", "r.*")
+
+
+def halved(windows: DataFrame) -> DataFrame:
+    """(key, half, chapters) of windows (key, chapters: array): both halves, the first one shorter if they differ; a window of one chapter stays away."""
+    middle = F.greatest(F.lit(1), F.floor(F.size("chapters") / 2)).cast("int")
+    halves = F.array(F.slice("chapters", F.lit(1), middle), F.slice("chapters", middle + 1, F.size("chapters")))
+    return windows.where(F.size("chapters") > 1).select("key", F.posexplode(halves).alias("half", "chapters"))
+
+
 def labelled_by_ranges(rows: DataFrame, ranges: DataFrame, coordinate: str = "chapter_index", start: str = "start_chapter", end: str = "end_chapter", label: str = "plot_id", width: int = 64) -> DataFrame:
     """`rows` with `label`: the number (by start, within the book) of the last range that holds the row's coordinate, 0 for none.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkloom.operators.components import checkpointed
+
 
 def numbered(df: DataFrame, key: str, order: str, name: str, width: int = 4096) -> DataFrame:
     """Adds `name`: the row's number (from 1) among its key's rows by the integer column `order`.
@@ -22,6 +24,17 @@ def numbered(df: DataFrame, key: str, order: str, name: str, width: int = 4096)
     return out.withColumn(name, F.col("_base") + F.col("_inside")).drop("_part", "_k", "_p", "_base", "_inside")
 
 
+def numbered_whole(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds `name`: the row's number (from 1) among all rows by `order`. Rows are dealt over ranges of the order; only the ranges' counts are added up in one place."""
+    dealt = checkpointed(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    counts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    out = dealt.withColumn("_inside", inside).join(counts, F.col("_part") == F.col("_p"))
+    return out.withColumn(name, F.col("_base") + F.col("_inside")).drop("_part", "_p", "_base", "_inside")
+
+
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], most: int, name: str = "rank") -> DataFrame:
     """The first `most` rows of each key by `order`, numbered. Spark keeps `most` rows of each key before the shuffle."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= most)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkloom.operators.profiles import chosen_chapters
+
 KIND = ["relation_type", "polarity", "strength"]
 
 
@@ -14,7 +16,9 @@ def islands(events: DataFrame, keys: list[str]) -> DataFrame:
     In order of start, end, type, polarity, strength and summary, neighbouring rows of one kind are one entry as long as each begins at the latest a chapter after what the entry
     has reached. Result: keys, island, kind, chapter_start, chapter_end, n_events, first_summary.
     """
-    order = [F.col(c) for c in ("chapter_start", "chapter_end", *KIND, "summary")]
+    # Events that differ in their summary only are neighbours of one kind: they are one row before anything is sorted.
+    order = [F.col(c) for c in ("chapter_start", "chapter_end", *KIND)]
+    events = events.groupBy(*keys, "chapter_start", "chapter_end", *KIND).agg(F.count(F.lit(1)).alias("_events"), F.min("summary").alias("summary"))
     by = Window.partitionBy(*keys).orderBy(*order)
     other = F.lit(False)
     for c in KIND:
@@ -25,7 +29,7 @@ def islands(events: DataFrame, keys: list[str]) -> DataFrame:
     reached = F.max("chapter_end").over(in_run.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("_new", F.coalesce(F.col("chapter_start") > reached + 1, F.lit(True)).cast("int"))
     rows = rows.withColumn("island", F.sum("_new").over(by))
-    return rows.groupBy(*keys, "island").agg(*[F.first(c).alias(c) for c in KIND], F.min("chapter_start").alias("chapter_start"), F.max("chapter_end").alias("chapter_end"), F.count(F.lit(1)).alias("n_events"), F.min_by("summary", "_n").alias("first_summary"))
+    return rows.groupBy(*keys, "island").agg(*[F.first(c).alias(c) for c in KIND], F.min("chapter_start").alias("chapter_start"), F.max("chapter_end").alias("chapter_end"), F.sum("_events").alias("n_events"), F.min_by("summary", "_n").alias("first_summary"))
 
 
 def grouped(events: DataFrame) -> DataFrame:
@@ -93,18 +97,26 @@ def normalised(events: DataFrame, windows: DataFrame) -> DataFrame:
     return rows.select("window_id", "source", "target", "start", "end", text("relation_type", ""), text("polarity", "neutral"), text("strength", "medium"), text("summary", ""), evidence.alias("evidence"))
 
 
-def chapter_scores(entries: DataFrame, histories: DataFrame, words=RELATION_WORDS) -> DataFrame:
+def chapter_scores(entries: DataFrame, histories: DataFrame, words=RELATION_WORDS, keys: list[str] | None = None) -> DataFrame:
     """(target, volume_id, chapter_index, score) of the chapters that a relation's history covers.
 
-    entries: (chapter_index, volume_id, text); histories: (target, start, end). A chapter in the history scores 6, mentions of the target with each keyword group more, two mentions 3,
-    the relation's first and last chapter of a volume 2 each.
+    entries: (keys, chapter_index, volume_id, text); histories: (keys, target, start, end). A chapter in the history scores 6, mentions of the target with each keyword group more, two mentions 3,
+    the relation's first and last chapter of a volume 2 each. Texts meet their histories and are scored before anything is sorted.
     """
+    keys = keys or []
     span = F.explode(F.sequence(F.least("start", "end"), F.greatest("start", "end")))
-    rows = histories.select("target", span.alias("chapter_index")).distinct().join(entries, "chapter_index")
+    rows = histories.select(*keys, "target", span.alias("chapter_index")).distinct().join(entries, [*keys, "chapter_index"])
     mentions = F.regexp_count("text", F.regexp_replace("target", r"([\\\[\](){}.*+?^$|])", r"\\$1"))
-    volume = Window.partitionBy("target", "volume_id")
-    score = F.lit(6) + F.when(mentions >= 2, 3).otherwise(0)
-    for points, group in words:
-        score = score + F.when((mentions > 0) & F.col("text").rlike("|".join(group)), points).otherwise(0)
-    score = score + F.when(F.col("chapter_index") == F.min("chapter_index").over(volume), 2).otherwise(0) + F.when(F.col("chapter_index") == F.max("chapter_index").over(volume), 2).otherwise(0)
-    return rows.select("target", "volume_id", "chapter_index", score.alias("score"))
+    volume = Window.partitionBy(*keys, "target", "volume_id")
+    points = F.lit(6) + F.when(mentions >= 2, 3).otherwise(0)
+    for worth, group in words:
+        points = points + F.when((mentions > 0) & F.col("text").rlike("|".join(group)), worth).otherwise(0)
+    rows = rows.select(*keys, "target", "volume_id", "chapter_index", points.alias("_points"))
+    score = F.col("_points") + F.when(F.col("chapter_index") == F.min("chapter_index").over(volume), 2).otherwise(0) + F.when(F.col("chapter_index") == F.max("chapter_index").over(volume), 2).otherwise(0)
+    return rows.select(*keys, "target", "volume_id", "chapter_index", score.alias("score"))
+
+
+def critical_chapters(scored: DataFrame, keys: list[str] | None = None, strong: int = 10, fair: int = 6, most: int = 5) -> DataFrame:
+    """Of each relation and volume the first and last chapter, all from `strong` points on and the best two from `fair` on; of these the best five."""
+    volume = Window.partitionBy(*(keys or []), "target", "volume_id")
+    return chosen_chapters(scored, volume, strong, fair, 2, most)

@@ -31,6 +31,20 @@ def sparse(hits: DataFrame, most: int, query: str = "query", text: str = "text")
     return scored.withColumn("sparse_rank", F.row_number().over(order)).where(F.col("sparse_rank") <= most).select("query_id", "id", "sparse_score", "sparse_rank")
 
 
+def overlap_topk(questions: DataFrame, documents: DataFrame, most: int) -> DataFrame:
+    """(query_id, id, sparse_score, sparse_rank): for every question (query_id, query) the documents (id, text) that share most of its tokens, over all documents.
+
+    Documents' distinct tokens meet the questions' on equality; shared tokens are counted before they are shuffled, as a document's tokens lie in one task.
+    """
+    q = questions.select("query_id", overlap_tokens(F.col("query")).alias("tokens"))
+    q = q.select("query_id", F.size("tokens").alias("_all"), F.explode("tokens").alias("_token"))
+    d = documents.select("id", F.explode(overlap_tokens(F.col("text"))).alias("token"))
+    both = d.join(q, F.col("token") == F.col("_token")).groupBy("query_id", "id", "_all").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("sparse_score"), "id")
+    scored = both.select("query_id", "id", (F.col("n") / F.col("_all")).alias("sparse_score"))
+    return scored.withColumn("sparse_rank", F.row_number().over(order)).where(F.col("sparse_rank") <= most)
+
+
 def fused(dense_hits: DataFrame, sparse_hits: DataFrame, most: int) -> DataFrame:
     """(query_id, id, fused_score, fused_rank): both lists' points by the sum of their reciprocal ranks."""
     both = dense_hits.select("query_id", "id", F.col("rank").alias("dense_rank")).join(sparse_hits.select("query_id", "id", "sparse_rank"), ["query_id", "id"], "full")

@@ -9,9 +9,11 @@ from inkloom.functions.keys import cosine
 from inkloom.functions.text import coverage, query_terms
 from inkloom.models import Embedder, Reranker, hashed_embedding, overlap_reranker
 from inkloom.operators import evidence, retrieval
+from inkloom.operators.components import checkpointed
 
-#: What makes a question complex for the relevance filter.
-COMPLEX = ("为什么", "原因", "对比", "区别", "关系", "演变", "why", "compare", "relation")
+#: What makes a question complex for the relevance filter, and the words that a question's terms leave out.
+COMPLEX = ("为什么", "原因", "动机", "时间线", "演变", "完整", "全过程", "结局", "影响", "意义")
+STOPWORDS = ["的", "了", "吗", "呢", "和", "与", "中", "里", "是", "谁", "什么", "多少", "哪", "哪些", "请问", "小说"]
 
 
 def hybrid(questions: DataFrame, points: DataFrame, collection: str = "chapters", embed: Embedder | None = None, rerank: Reranker = overlap_reranker, top: int | None = None) -> DataFrame:
@@ -25,7 +27,9 @@ def hybrid(questions: DataFrame, points: DataFrame, collection: str = "chapters"
     q = questions.select("query_id", F.col("book_id").alias("_book"), "query", embed(F.col("query")).alias("_q"))
     met = points.withColumn("_v", embed(F.col("text"))).join(q, F.col("book_id") == F.col("_book"))
     scored = met.select("query_id", "id", "query", "text", F.coalesce(cosine(F.col("_v"), F.col("_q")), F.lit(0.0)).alias("score"))
+    # Several branches read the pool: it is computed once.
     dense = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= pool)
+    dense = checkpointed(dense)
     fused = retrieval.fused(dense, retrieval.sparse(dense, few), keep)
     texts = dense.select("query_id", "id", "score", rerank(F.col("query"), F.col("text")).alias("rerank_score"))
     best = retrieval.reranked(fused, texts, top or keep)
@@ -34,19 +38,33 @@ def hybrid(questions: DataFrame, points: DataFrame, collection: str = "chapters"
     return out.select("query_id", "id", F.col("score").alias("dense_score"), F.coalesce("sparse_score", F.lit(0.0)).alias("sparse_score"), "fused_score", "rerank_score", "final_rank")
 
 
+def gap(first: Column, other: Column) -> Column:
+    """How far a score lies below the first, as a share of it; null without one of them."""
+    return F.when((F.abs(first) > 1e-6) & other.isNotNull(), F.greatest(F.lit(0.0), (first - other) / F.abs(first)))
+
+
+def skips_rerank(question: Column, n: Column, first_text: Column, first: Column, second: Column, top: Column) -> Column:
+    """Whether a result needs no reranking, and why: struct(skip, reason)."""
+    answer = lambda skip, reason: F.struct(F.lit(skip).alias("skip"), F.lit(reason).alias("reason"))
+    covered, near = coverage(query_terms(question, STOPWORDS), F.lower(F.trim(first_text))), gap(first, second)
+    return (
+        F.when(n == 0, answer(True, "no_candidates")).when(n == 1, answer(True, "skip_single_candidate")).when((n <= 3) & (top <= 3) & (covered >= 0.6), answer(True, "skip_rerank_small_precise_set"))
+        .when((n <= 5) & (covered >= 0.7) & (near.isNull() | (near >= 0.18)), answer(True, "skip_rerank_high_coverage_gap")).otherwise(answer(False, "rerank_needed"))
+    )
+
+
 def wants_filter(question: Column, n: Column, first_text: Column, first: Column, second: Column, third: Column, mode: str = "auto") -> Column:
     """Whether a result goes through the relevance filter, and why: struct(run, reason)."""
     answer = lambda run, reason: F.struct(F.lit(run).alias("run"), F.lit(reason).alias("reason"))
     if mode in ("always", "never"):
-        return answer(mode == "always", mode)
-    gap = lambda other: F.when(F.abs(first) > 1e-6, F.greatest(F.lit(0.0), (first - other) / F.abs(first)))
-    covered = coverage(query_terms(question, []), F.lower(first_text))
-    near, far = gap(second), gap(third)
+        return answer(mode == "always", "llm_filtered_forced" if mode == "always" else "filter_skipped_never")
+    covered = coverage(query_terms(question, STOPWORDS), F.lower(F.trim(first_text)))
+    near, far = gap(first, second), gap(first, third)
     precise = (n <= 3) & (covered >= 0.6) & (near.isNull() | (near >= 0.2))
     certain = (covered >= 0.6) & (near >= 0.15) & (far.isNull() | (far >= 0.2))
     return (
-        F.when(n == 0, answer(False, "no candidates")).when(n == 1, answer(False, "single candidate")).when(question.rlike("|".join(COMPLEX)), answer(True, "complex question"))
-        .when(precise, answer(False, "precise small set")).when(F.coalesce(certain, F.lit(False)), answer(False, "confident gap")).when(n >= 8, answer(True, "large set")).otherwise(answer(True, "ambiguous"))
+        F.when(n == 0, answer(False, "empty_candidates")).when(n == 1, answer(False, "heuristic_skip_single_candidate")).when(question.rlike("|".join(COMPLEX)), answer(True, "auto_complex_query"))
+        .when(precise, answer(False, "heuristic_skip_precise_small_set")).when(F.coalesce(certain, F.lit(False)), answer(False, "heuristic_skip_high_confidence_gap")).when(n >= 8, answer(True, "auto_large_candidate_set")).otherwise(answer(True, "auto_ambiguous_candidates"))
     )
 
 

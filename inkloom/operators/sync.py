@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkloom.operators.ranks import numbered_whole
+
 
 def actions(new: DataFrame, old: DataFrame, keys: list[str], content: str) -> DataFrame:
     """(keys, action): insert, update, skip or delete, by key and content hash."""
@@ -33,9 +35,9 @@ def upserted(new: DataFrame, old: DataFrame, key: str, replaced: list[str]) -> D
 
 
 def next_ids(rows: DataFrame, stored: DataFrame, order: list[str], id_col: str = "id") -> DataFrame:
-    """`rows` with ids that follow the largest stored one, without gaps, in order. The rows are new ones of one write; they are numbered as a whole."""
+    """`rows` with ids that follow the largest stored one, without gaps, in order."""
     top = stored.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("top")).scalar()
-    return rows.withColumn(id_col, F.row_number().over(Window.orderBy(*order)) + top)
+    return numbered_whole(rows, [F.col(c) for c in order], "_nth").withColumn(id_col, F.col("_nth") + top).drop("_nth")
 
 
 def stale(stored: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:

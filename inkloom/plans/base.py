@@ -7,15 +7,18 @@ from collections.abc import Callable
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 
-CHAPTERS = r"""chapters AS (
-  SELECT CAST(substr(source, 4) AS BIGINT) + 1 AS book_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS chapter_index, doc_id,
-    text AS content, substr(text, 1, 200) AS chapter_summary, length(regexp_replace(text, '\s+', '', 'g'))::BIGINT AS word_count
-  FROM documents)"""
+BOOKS = "books AS (SELECT source, row_number() OVER (ORDER BY source NULLS LAST) AS book_id FROM (SELECT DISTINCT source FROM documents))"
+CHAPTERS = rf"""{BOOKS}, sentences AS (SELECT doc_id, source, coalesce(text, '') AS content, regexp_extract_all(coalesce(text, ''), '[^.!?。！？]+[.!?。！？]*') AS s FROM documents),
+edges AS (SELECT *, trim(left(trim(coalesce(s[1], '')), 120)) AS a, trim(left(trim(CASE WHEN len(s) > 0 THEN list_reduce(s, lambda x, y: CASE WHEN length(y) > length(x) THEN y ELSE x END) ELSE '' END), 120)) AS b, trim(left(trim(coalesce(s[-1], '')), 120)) AS c FROM sentences),
+chapters AS (
+  SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY doc_id) AS chapter_index, doc_id, content,
+    trim(a || CASE WHEN b NOT IN (a, '') THEN ' ' || b ELSE '' END || CASE WHEN c NOT IN (a, b, '') THEN ' ' || c ELSE '' END) AS chapter_summary, length(regexp_replace(content, '\s+', '', 'g'))::BIGINT AS word_count
+  FROM edges e JOIN books ON e.source IS NOT DISTINCT FROM books.source)"""
 INDEX = CHAPTERS + """, ci AS (
   SELECT *, ((chapter_index - 1) // 5 + 1)::BIGINT AS plot_id, (((chapter_index - 1) // 5) // 4 + 1)::BIGINT AS volume_id FROM chapters)"""
 PLOTS = INDEX + """, plots AS (
   SELECT book_id, plot_id, min(volume_id) AS volume_id, min(chapter_index) AS start_chapter, max(chapter_index) AS end_chapter, count(*) AS chapter_count,
-    string_agg(chapter_index || ': ' || substr(chapter_summary, 1, 40), chr(10) ORDER BY chapter_index) AS chapter_data
+    string_agg(chapter_index || ': ' || chapter_summary, chr(10) ORDER BY chapter_index) AS chapter_data
   FROM ci GROUP BY book_id, plot_id)"""
 VOLUMES = PLOTS + """, volumes AS (
   SELECT book_id, volume_id, min(plot_id) AS start_plot, max(plot_id) AS end_plot, arg_min(start_chapter, plot_id) AS start_chapter, arg_max(end_chapter, plot_id) AS end_chapter, count(*) AS plot_count

@@ -12,7 +12,7 @@ from inkloom.sources import tables
 
 
 def _plots(spark, sf_dir) -> DataFrame:
-    rows = tables.with_hierarchy(tables.chapters(spark, sf_dir).select("book_id", "chapter_index", F.substring("chapter_summary", 1, 40).alias("chapter_summary")))
+    rows = tables.with_hierarchy(tables.chapters(spark, sf_dir).select("book_id", "chapter_index", "chapter_summary"))
     volume = F.floor((F.col("plot_id") - 1) / 4) + 1
     return hierarchy.plots_of(rows).withColumn("volume_id", volume)
 
@@ -29,7 +29,7 @@ def scan_ordered(spark, sf_dir):
 
 
 @query(f"""WITH {VOLUMES}, rows AS (
-  SELECT ci.book_id, ci.chapter_index, content, chapter_summary, left(p.chapter_data, 200) AS plot_summary, 'plots ' || v.start_plot || '-' || v.end_plot AS volume_summary,
+  SELECT ci.book_id, ci.chapter_index, content, chapter_summary, p.chapter_data AS plot_summary, 'plots ' || v.start_plot || '-' || v.end_plot AS volume_summary,
     coalesce(lag(right(content, 600)) OVER (PARTITION BY ci.book_id ORDER BY chapter_index), '') AS tail
   FROM ci LEFT JOIN plots p ON ci.book_id = p.book_id AND ci.plot_id = p.plot_id LEFT JOIN volumes v ON ci.book_id = v.book_id AND ci.volume_id = v.volume_id
   WHERE length(trim(content)) >= 200 AND trim(chapter_summary) <> '')
@@ -39,7 +39,7 @@ SELECT book_id, chapter_index, book_id || ':' || chapter_index AS sample_id, len
 def training_rows(spark, sf_dir):
     plots = _plots(spark, sf_dir)
     volumes = hierarchy.volumes_of(plots).select("book_id", "volume_id", F.concat(F.lit("plots "), F.col("start_plot").cast("string"), F.lit("-"), F.col("end_plot").cast("string")).alias("volume_summary"))
-    plots = plots.select("book_id", "plot_id", F.substring("chapter_data", 1, 200).alias("plot_summary"))
+    plots = plots.select("book_id", "plot_id", F.col("chapter_data").alias("plot_summary"))
     rows = dataset.usable(dataset.joined(tables.with_hierarchy(tables.chapters(spark, sf_dir)), plots, volumes))
     rows = dataset.with_prompt(dataset.with_previous_tail(rows))
     return rows.select("book_id", "chapter_index", "sample_id", F.length("previous_tail").cast("bigint").alias("tail_chars"), F.sha2("prompt", 256).alias("prompt_sha256"))
@@ -52,8 +52,8 @@ def usable_chapters(spark, sf_dir):
 
 @query(f"WITH {CHAPTERS} SELECT book_id, sum(word_count)::BIGINT AS words, count(*) AS chapters FROM chapters GROUP BY book_id")
 def book_words(spark, sf_dir):
-    rows = tables.table(spark, sf_dir, "documents", "source", "text").select((F.substring("source", 4, 9).cast("bigint") + 1).alias("book_id"), text.word_count(F.col("text")).alias("n"))
-    return rows.groupBy("book_id").agg(F.sum("n").cast("bigint").alias("words"), F.count(F.lit(1)).alias("chapters"))
+    rows = tables.table(spark, sf_dir, "documents", "source", "text").groupBy("source").agg(F.sum(text.word_count(F.coalesce("text", F.lit("")))).cast("bigint").alias("words"), F.count(F.lit(1)).alias("chapters"))
+    return tables.with_book(rows).select("book_id", "words", "chapters")
 
 
 @query(f"WITH {PLOTS} SELECT book_id, plot_id, start_chapter, end_chapter, chapter_count, sha256(chapter_data) AS data_sha256 FROM plots")
@@ -119,7 +119,7 @@ def context_expand(spark, sf_dir):
 
 
 _WORDS = ((6, ("become", "trash")), (3, ("license", "disgusting")), (2, ("the", "est")))
-_SCORES = r""", e AS (SELECT book_id AS character_id, chapter_index, volume_id, content, word_count AS chars FROM ci WHERE word_count % 3 = 0),
+_SCORES = r""", e AS (SELECT book_id AS character_id, chapter_index, volume_id, content, word_count AS chars FROM ci),
 sc AS (SELECT *, CASE WHEN lag(chapter_index) OVER c IS NULL THEN 8 ELSE 0 END + CASE WHEN chapter_index - lag(chapter_index) OVER c >= 30 THEN 4 ELSE 0 END
     + CASE WHEN chapter_index = min(chapter_index) OVER v THEN 4 ELSE 0 END + CASE WHEN chapter_index = max(chapter_index) OVER v THEN 3 ELSE 0 END
     + CASE WHEN regexp_matches(content, 'become|trash') THEN 6 ELSE 0 END + CASE WHEN regexp_matches(content, 'license|disgusting') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(content, 'the|est') THEN 2 ELSE 0 END AS score
@@ -127,7 +127,7 @@ sc AS (SELECT *, CASE WHEN lag(chapter_index) OVER c IS NULL THEN 8 ELSE 0 END +
 
 
 def _scored(spark, sf_dir):
-    return profiles.chapter_scores(_entries(spark, sf_dir).where("chars % 3 = 0"), _WORDS)
+    return profiles.chapter_scores(_entries(spark, sf_dir), _WORDS)
 
 
 @query(f"WITH {INDEX}{_SCORES} SELECT character_id, chapter_index, volume_id, score::BIGINT AS score FROM sc")

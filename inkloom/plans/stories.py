@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inkloom.functions import keys, text
-from inkloom.operators import dataset, entities, entries, evidence, graph, planner, ranks, relations, retrieval, search, sessions, sync
+from inkloom.operators import dataset, entities, entries, evidence, graph, profiles, ranks, relations, retrieval, search, sessions, sync
 from inkloom.plans.base import CHAPTERS, EVENTS, INDEX, MESSAGES, query
 from inkloom.sources import tables
 
@@ -71,11 +71,11 @@ def style_counts(spark, sf_dir):
 
 
 @query("""WITH s AS (SELECT o_orderkey AS segment_id, o_custkey AS k, (o_orderkey % 50)::BIGINT AS a, (o_orderkey % 50 + o_orderkey % 4)::BIGINT AS z FROM orders),
-g AS (SELECT l_orderkey * 10 + l_linenumber AS group_id, o_custkey AS k, (l_partkey % 60)::BIGINT AS a, (l_partkey % 60 + l_linenumber)::BIGINT AS z FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1),
+g AS (SELECT l_orderkey * 10 + l_linenumber AS group_id, o_custkey AS k, (l_partkey % 60)::BIGINT AS a, (l_partkey % 60 + l_linenumber)::BIGINT AS z FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 m AS (SELECT segment_id, group_id FROM s JOIN g ON s.k = g.k AND s.a <= g.z AND g.a <= s.z), last AS (SELECT k, arg_max(group_id, (a, group_id)) AS group_id FROM g GROUP BY k)
 SELECT * FROM m UNION ALL SELECT segment_id, last.group_id FROM s JOIN last USING (k) WHERE segment_id NOT IN (SELECT segment_id FROM m)""")
 def segment_overlap(spark, sf_dir):
-    o, li = tables.table(spark, sf_dir, "orders", "o_orderkey", "o_custkey"), tables.table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_linenumber").where("l_linenumber = 1")
+    o, li = tables.table(spark, sf_dir, "orders", "o_orderkey", "o_custkey"), tables.table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_linenumber")
     segments = o.select(F.col("o_orderkey").alias("segment_id"), F.col("o_custkey").alias("k"), (F.col("o_orderkey") % 50).alias("start"), (F.col("o_orderkey") % 50 + F.col("o_orderkey") % 4).alias("end"))
     groups = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("group_id"), F.col("o_custkey").alias("k"), (F.col("l_partkey") % 60).alias("start"), (F.col("l_partkey") % 60 + F.col("l_linenumber")).alias("end"))
     return relations.overlapping(segments, groups, "k")
@@ -168,16 +168,16 @@ def dense_topk(spark, sf_dir):
     return _dense(spark, sf_dir).select("query_id", "id", F.col("rank").cast("bigint").alias("rank"), (F.round("score", 6) + 0.0).alias("score"))
 
 
-_SPARSE = """b AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[一-鿿]+|[a-z0-9_]+')) AS qt FROM benchmark WHERE item_id < 20),
-t AS (SELECT doc_id AS id, list_distinct(regexp_extract_all(lower(text), '[一-鿿]+|[a-z0-9_]+')) AS dt FROM documents WHERE lang = 'en'),
-o AS (SELECT query_id, id, round(len(list_intersect(qt, dt)) / greatest(1, len(qt)), 6) AS sparse_score FROM b JOIN t ON id % 20 = query_id WHERE list_has_any(qt, dt)),
+_SPARSE = """b AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[一-鿿]+|[a-z0-9_]+')) AS qt FROM benchmark),
+qt AS (SELECT query_id, len(qt) AS n, unnest(qt) AS t FROM b), dt AS (SELECT doc_id AS id, unnest(list_distinct(regexp_extract_all(lower(text), '[一-鿿]+|[a-z0-9_]+'))) AS t FROM documents),
+o AS (SELECT query_id, id, round(count(*) / any_value(n), 6) AS sparse_score FROM dt JOIN qt USING (t) GROUP BY query_id, id),
 s AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sparse_score DESC, id) AS sparse_rank FROM o QUALIFY sparse_rank <= 25)"""
 
 
 def _sparse(spark, sf_dir):
-    q = tables.table(spark, sf_dir, "benchmark", "item_id", "text").where("item_id < 20").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    d = tables.table(spark, sf_dir, "documents", "doc_id", "text", "lang").where("lang = 'en'")
-    return retrieval.sparse(d.join(q, F.col("doc_id") % 20 == F.col("query_id")).select("query_id", F.col("doc_id").alias("id"), "query", "text"), 25)
+    """Every benchmark passage as a question to all documents."""
+    q = tables.table(spark, sf_dir, "benchmark", "item_id", "text").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return retrieval.overlap_topk(q, tables.table(spark, sf_dir, "documents", "doc_id", "text").withColumnRenamed("doc_id", "id"), 25)
 
 
 @query(f"WITH {_SPARSE} SELECT * FROM s")
@@ -208,10 +208,10 @@ def source_filter_retry(spark, sf_dir):
     return retrieval.with_retry(found.where("query_id % 2 = 0 AND id % 5 = 0"), found)
 
 
-@query("""WITH v AS (SELECT o_orderkey % 200 AS id, o_custkey AS i, sum(o_orderkey % 7 + 1)::BIGINT AS x FROM orders GROUP BY 1, 2) SELECT a.id AS left_id, b.id AS right_id, sum(a.x * b.x)::BIGINT AS dot FROM v a JOIN v b USING (i) WHERE a.id < 20 GROUP BY 1, 2""")
+@query("""WITH v AS (SELECT o_orderkey % 200 AS id, o_custkey AS i, sum(o_orderkey % 7 + 1)::BIGINT AS x FROM orders GROUP BY 1, 2) SELECT a.id AS left_id, b.id AS right_id, sum(a.x * b.x)::BIGINT AS dot FROM v a JOIN v b USING (i) GROUP BY 1, 2""")
 def sparse_dot(spark, sf_dir):
     rows = tables.table(spark, sf_dir, "orders", "o_orderkey", "o_custkey").groupBy((F.col("o_orderkey") % 200).alias("id"), F.col("o_custkey").alias("index")).agg(F.sum(F.col("o_orderkey") % 7 + 1).alias("value"))
-    return retrieval.sparse_dot(rows.where("id < 20"), rows)
+    return retrieval.sparse_dot(rows, rows)
 
 
 @query("""WITH w AS (SELECT vec_id AS id, 'h' || (label % 4) AS hash FROM embeddings WHERE vec_id % 9 <> 0), s AS (SELECT vec_id AS id, 'h' || (label % 3) AS hash FROM embeddings WHERE vec_id % 7 <> 0)
@@ -249,29 +249,44 @@ def evidence_merge(spark, sf_dir):
     return found.withColumn("score", F.round("score", 9)).na.fill(0, ["chapter_index", "plot_id", "volume_id"])
 
 
-_CLUSTERS = f"""{CHAPTERS}, sc AS (SELECT book_id, chapter_index, word_count AS score FROM chapters WHERE word_count % 3 = 0), l AS (SELECT *, CASE WHEN chapter_index - lag(chapter_index) OVER (PARTITION BY book_id ORDER BY chapter_index) <= 2 THEN 0 ELSE 1 END AS new FROM sc),
-c AS (SELECT *, sum(new) OVER (PARTITION BY book_id ORDER BY chapter_index) AS c FROM l), cl AS (SELECT book_id, min(chapter_index) AS "start", max(chapter_index) AS "end", count(*) AS chapters, sum(score)::BIGINT AS score FROM c GROUP BY book_id, c)"""
+_CLUSTERS = f"""{CHAPTERS}, {_SPARSE}, sc AS (SELECT query_id, book_id, chapter_index, (sparse_score * 1000000)::BIGINT AS score FROM s JOIN chapters ON doc_id = id),
+l AS (SELECT *, CASE WHEN chapter_index - lag(chapter_index) OVER (PARTITION BY query_id, book_id ORDER BY chapter_index) <= 2 THEN 0 ELSE 1 END AS new FROM sc),
+c AS (SELECT *, sum(new) OVER (PARTITION BY query_id, book_id ORDER BY chapter_index) AS c FROM l), cl AS (SELECT query_id, book_id, min(chapter_index) AS "start", max(chapter_index) AS "end", count(*) AS chapters, sum(score)::BIGINT AS score FROM c GROUP BY query_id, book_id, c)"""
+_BY = ["query_id", "book_id"]
 
 
-def _clusters(spark, sf_dir):
-    return evidence.clusters(tables.chapters(spark, sf_dir).where("word_count % 3 = 0").select("book_id", "chapter_index", F.col("word_count").alias("score")))
+def _found(spark, sf_dir):
+    """The chapters that each question finds, with their scores in millionths."""
+    hits = _sparse(spark, sf_dir).select("query_id", "id", F.round(F.round("sparse_score", 6) * 1000000).cast("bigint").alias("score"))
+    places = tables.chapter_index(spark, sf_dir).select("doc_id", "book_id", "chapter_index")
+    return hits.join(places, F.col("id") == F.col("doc_id")).select(*_BY, "chapter_index", "score")
 
 
 @query(f"WITH {_CLUSTERS} SELECT * FROM cl")
 def chapter_clusters(spark, sf_dir):
-    return _clusters(spark, sf_dir)
+    return evidence.clusters(_found(spark, sf_dir), keys=_BY)
 
 
-@query(f"""WITH {_CLUSTERS}, best AS (SELECT * FROM cl QUALIFY row_number() OVER (PARTITION BY book_id ORDER BY score DESC, "start") = 1) SELECT book_id, greatest(1, "start" - 1) AS "start", least("end" + 1, greatest(1, "start" - 1) + 7) AS "end" FROM best""")
+@query(f"""WITH {_CLUSTERS}, best AS (SELECT * FROM cl QUALIFY row_number() OVER (PARTITION BY query_id, book_id ORDER BY score DESC, "start") = 1) SELECT query_id, book_id, greatest(1, "start") AS "start", least("end", greatest(1, "start") + 7) AS "end" FROM best""")
 def candidate_window(spark, sf_dir):
-    return evidence.candidate_windows(_clusters(spark, sf_dir))
+    return evidence.candidate_windows(evidence.clusters(_found(spark, sf_dir), keys=_BY), keys=_BY)
 
 
-@query(f"""WITH {_SCORED}, g AS (SELECT book_id, rank // 5 AS part, greatest(least(0.95, max(score)), CASE WHEN bool_or(source = 'chapters') THEN 0.9 WHEN bool_or(source = 'plots') THEN 0.62 ELSE 0 END) AS c, max(rank % 6) AS t FROM sv GROUP BY 1, 2)
-SELECT book_id, part, round(CASE WHEN t >= 4 AND c > 0.1 THEN least(0.95, c + 0.03) ELSE c END, 3) AS confidence FROM g""")
+@query(f"""WITH {_CLUSTERS}, e AS (SELECT query_id, book_id, min(chapter_index) AS a, max(chapter_index) AS z FROM sc GROUP BY 1, 2)
+SELECT query_id, book_id, 'first' AS edge, greatest(1, a - 1) AS "start", least(greatest(greatest(1, a - 1), a + 1), greatest(1, a - 1) + 3) AS "end" FROM e UNION ALL SELECT query_id, book_id, 'last', greatest(1, z - 1), least(greatest(greatest(1, z - 1), z + 1), greatest(1, z - 1) + 3) FROM e""")
+def edge_windows(spark, sf_dir):
+    found = _found(spark, sf_dir)
+    return evidence.edge_windows(found, "first", _BY).withColumn("edge", F.lit("first")).unionByName(evidence.edge_windows(found, "last", _BY).withColumn("edge", F.lit("last")))
+
+
+@query(f"""WITH {_SCORED}, g AS (SELECT book_id, rank // 5 AS part, greatest(least(0.95, max(score)), CASE WHEN bool_or(source = 'chapters') THEN 0.9 WHEN bool_or(source = 'plots') THEN 0.62 WHEN bool_or(source IN ('characters', 'origanizations', 'special_existences', 'world_rules')) THEN 0.55 ELSE 0 END) AS c, max(rank % 6) AS t FROM sv GROUP BY 1, 2)
+SELECT book_id, part, round(CASE WHEN t >= 4 AND c > 0.1 THEN least(0.95, c + 0.03) ELSE c END, 3) AS confidence FROM g UNION ALL SELECT DISTINCT book_id, -1, 0.18 FROM sv""")
 def confidence(spark, sf_dir):
     rows = _scored(spark, sf_dir).withColumn("part", F.floor(F.col("rank") / 5)).withColumn("tools", F.col("rank") % 6)
-    found = evidence.confidence(rows.withColumn("k", F.struct("book_id", "part")), "k", "tools")
+    rows = rows.withColumn("k", F.struct("book_id", "part"))
+    # Every book has a part that nothing was found for.
+    asked = rows.select("k").unionAll(rows.select(F.struct("book_id", F.lit(-1).cast("bigint").alias("part")).alias("k")))
+    found = evidence.confidence(rows, "k", "tools", asked)
     return found.select("k.book_id", "k.part", "confidence")
 
 
@@ -303,16 +318,21 @@ def graph_nodes(spark, sf_dir):
     return graph.degrees(nodes, edges).withColumn("size", F.col("size").cast("bigint"))
 
 
-@query(f"""WITH {EVENTS}, l AS (SELECT source_id, target_id, polarity FROM rel QUALIFY row_number() OVER (PARTITION BY source_id, target_id ORDER BY chapter_end DESC, summary DESC, polarity DESC) = 1)
-SELECT source_id, target_id, a.n_name AS source_name, b.n_name AS target_name, CASE polarity WHEN 'negative' THEN 'hostile' WHEN 'positive' THEN 'friendly' ELSE 'neutral' END AS category,
+_STATUS = "CASE polarity WHEN 'negative' THEN CASE strength WHEN 'high' THEN '公开冲突' ELSE '敌对' END WHEN 'positive' THEN CASE strength WHEN 'high' THEN '结盟' ELSE '合作信任' END ELSE '普通相识' END"
+
+
+@query(f"""WITH {EVENTS}, l AS (SELECT source_id, target_id, {_STATUS} AS status FROM rel QUALIFY row_number() OVER (PARTITION BY source_id, target_id ORDER BY chapter_end DESC, summary DESC, polarity DESC, strength DESC) = 1)
+SELECT source_id, target_id, a.n_name AS source_name, b.n_name AS target_name, CASE WHEN contains(status, '敌') OR contains(status, '冲突') THEN 'hostile' WHEN contains(status, '盟') OR contains(status, '信任') OR contains(status, '合作') THEN 'friendly' ELSE 'neutral' END AS category,
+  CASE WHEN contains(status, '敌') OR contains(status, '冲突') THEN 'rgba(248,113,113,0.72)' WHEN contains(status, '盟') OR contains(status, '信任') OR contains(status, '合作') THEN 'rgba(56,189,248,0.72)' ELSE 'rgba(148,163,184,0.5)' END AS color,
   row_number() OVER (PARTITION BY least(source_id, target_id), greatest(source_id, target_id) ORDER BY source_id, target_id) AS pair_index, count(*) OVER (PARTITION BY least(source_id, target_id), greatest(source_id, target_id)) AS pair_count
 FROM l JOIN nation a ON a.n_nationkey = source_id JOIN nation b ON b.n_nationkey = target_id""")
 def graph_edges(spark, sf_dir):
-    rows = tables.relation_events(spark, sf_dir).select("source_id", "target_id", "chapter_end", "summary", "polarity")
+    rows = tables.relation_events(spark, sf_dir).select("source_id", "target_id", "chapter_end", "summary", "polarity", "strength")
     edges = graph.latest(rows, ["source_id", "target_id"], "chapter_end")
     nodes = tables.table(spark, sf_dir, "nation", "n_nationkey", "n_name").select(F.col("n_nationkey").cast("bigint").alias("node_id"), F.col("n_name").alias("name"))
     found = graph.parallel(graph.with_ends(edges, nodes))
-    return found.select("source_id", "target_id", "source_name", "target_name", graph.category(F.col("polarity")).alias("category"), F.col("pair_index").cast("bigint").alias("pair_index"), "pair_count")
+    status = tables.statuses(F.col("polarity"), F.col("strength"))
+    return found.select("source_id", "target_id", "source_name", "target_name", graph.category(status).alias("category"), graph.edge_color(status).alias("color"), F.col("pair_index").cast("bigint").alias("pair_index"), "pair_count")
 
 
 @query("""WITH n AS (SELECT 'k' || c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN c_custkey ELSE 0 END AS cid, [c_name, c_mktsegment || (c_custkey % 900)] AS al FROM customer WHERE c_custkey % 3 <> 0),
@@ -409,20 +429,19 @@ def paged_cards(spark, sf_dir):
     return sessions.page(tables.table(spark, sf_dir, "customer", "c_custkey", "c_acctbal"), [F.desc("c_acctbal"), F.asc("c_custkey")], 3)
 
 
-@query()
+@query("""WITH b AS (SELECT DISTINCT source AS book_id FROM documents), n AS (SELECT *, row_number() OVER (ORDER BY md5(book_id || ':7'), book_id) AS i, count(*) OVER () AS c FROM b)
+SELECT book_id, CASE WHEN c >= 2 AND i <= greatest(1, round_even(c * 0.25, 0)) THEN 'validation' ELSE 'train' END AS split FROM n""")
 def book_split(spark, sf_dir):
     return dataset.book_split(tables.table(spark, sf_dir, "documents", "source").select(F.col("source").alias("book_id")))
 
 
-@query("""WITH q AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '他为什么叫这个名字' WHEN 1 THEN '主角第一次出现在哪' WHEN 2 THEN '他是谁？有没有兄弟' WHEN 3 THEN '这个组织的规则' WHEN 4 THEN '最后怎样以及原因' ELSE '随便问问' END AS question FROM documents)
-SELECT doc_id, CASE WHEN regexp_matches(question, '为什么.*叫|为何.*叫|为什么.*称为|为何.*称为|称号|名字来源|得名') THEN 'identity_ability' WHEN regexp_matches(question, '是否存在|有没有|有无|是否出现') THEN 'existence_check' WHEN regexp_matches(question, '第一次出场|首次出场|第一次出现|首次出现|初登场') THEN 'first_appearance'
-  WHEN regexp_matches(question, '是谁|身份|什么能力|能力|背景') THEN 'identity_ability' WHEN regexp_matches(question, '为什么|动机|原因|为何|怎么导致|故意') THEN 'causal_motivation' WHEN regexp_matches(question, '结局|最后怎样|下场') THEN 'ending_fate' ELSE 'general_fact' END AS intent,
-  CASE WHEN regexp_matches(question, '规则|设定') THEN 'world_rules' WHEN regexp_matches(question, '组织|势力') THEN 'organisations' ELSE 'characters' END AS domain,
-  CASE WHEN contains(question, '以及') OR contains(question, '？有') THEN 2 ELSE 1 END::BIGINT AS n_parts FROM q""")
-def intent_rules(spark, sf_dir):
-    asked = ["他为什么叫这个名字", "主角第一次出现在哪", "他是谁？有没有兄弟", "这个组织的规则", "最后怎样以及原因", "随便问问"]
-    rows = tables.table(spark, sf_dir, "documents", "doc_id").withColumn("question", F.get(F.array(*map(F.lit, asked)), (F.col("doc_id") % 6).cast("int")))
-    return rows.select("doc_id", planner.intent(F.col("question")).alias("intent"), planner.entity_domain(F.col("question")).alias("domain"), F.size(planner.parts(F.col("question"))).cast("bigint").alias("n_parts"))
+@query("""WITH b AS (SELECT DISTINCT source AS book_id FROM documents), t AS (SELECT book_id, 'train' AS split FROM b WHERE right(book_id, 1) < '6' UNION ALL SELECT book_id || 'x', 'train' FROM b WHERE right(book_id, 1) = '9' UNION ALL SELECT book_id, 'validation' FROM b WHERE right(book_id, 1) > '4')
+SELECT book_id, split, CASE WHEN book_id NOT IN (SELECT book_id FROM b) THEN 'unknown book' WHEN count(*) OVER (PARTITION BY book_id) > 1 THEN 'in both lists' END AS fault FROM t""")
+def checked_split(spark, sf_dir):
+    b = tables.table(spark, sf_dir, "documents", "source").select(F.col("source").alias("book_id")).distinct()
+    last = F.expr("right(book_id, 1)")
+    train = b.where(last < "6").unionByName(b.where(last == "9").select(F.concat("book_id", F.lit("x")).alias("book_id")))
+    return dataset.checked_split(b, train, b.where(last > "4"))
 
 
 @query("SELECT l_suppkey, l_orderkey, l_linenumber, l_extendedprice FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) <= 5")
@@ -438,9 +457,23 @@ def event_numbers(spark, sf_dir):
     return rows.select("event_id", keys.retry_delay(n % 9).alias("delay"), F.greatest(F.lit(1), n % 50).cast("bigint").alias("window_start"), keys.clipped_end(n % 50, n % 77).cast("bigint").alias("window_end"), F.get_json_object("props", "$.k").cast("bigint").alias("k"))
 
 
-@query("SELECT p_partkey, CASE WHEN instr(p_name, '1') > 0 THEN substr(p_name, greatest(1, instr(p_name, '1') - 2), least(instr(p_name, '1'), 3) + 2) ELSE substr(p_name, 1, 4) END AS excerpt FROM part")
+_KEYS = "k AS (SELECT doc_id, trim(text) AS t, list_sort([source, lang, string_split_regex(trim(text), '\\s+')[5], string_split_regex(trim(text), '\\s+')[-1]]) AS words FROM documents)"
+
+
+@query(rf"""WITH {_KEYS}, h AS (SELECT doc_id, t, unnest(list_filter(words, lambda w: w IS NOT NULL AND w <> '')) AS w FROM k), sp AS (SELECT doc_id, t, greatest(0, instr(t, w) - 1 - 100) AS a, least(length(t), instr(t, w) - 1 + 150) AS z FROM h WHERE instr(t, w) > 0),
+p AS (SELECT doc_id, a, z, row_number() OVER (PARTITION BY doc_id ORDER BY a, z) AS n, trim(substr(t, a + 1, z - a)) AS piece FROM sp), c AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM p WHERE piece <> ''),
+j AS (SELECT doc_id, string_agg(left(piece, (300 - used)::BIGINT), chr(10) || '...' || chr(10) ORDER BY n) AS x FROM c WHERE used < 300 GROUP BY doc_id)
+SELECT k.doc_id, sha256(CASE WHEN EXISTS (SELECT 1 FROM sp WHERE sp.doc_id = k.doc_id) THEN left(trim(coalesce(x, '')), 300) ELSE left(t, 300) END) AS excerpt_sha256 FROM k LEFT JOIN j USING (doc_id)""")
 def excerpts(spark, sf_dir):
-    rows = tables.table(spark, sf_dir, "part", "p_partkey", "p_name").withColumn("word", F.lit("1"))
+    words = F.split(F.trim("text"), r"\s+")
+    keywords = F.filter(F.array("source", "lang", F.get(words, F.lit(4)), F.try_element_at(words, F.lit(-1))), lambda w: F.coalesce(w, F.lit("")) != "")
+    rows = tables.table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang")
+    return rows.select("doc_id", F.sha2(profiles.excerpts(F.col("text"), keywords, 300), 256).alias("excerpt_sha256"))
+
+
+@query("SELECT p_partkey, CASE WHEN instr(p_name, right(p_brand, 1)) > 0 THEN substr(p_name, greatest(1, instr(p_name, right(p_brand, 1)) - 2), least(instr(p_name, right(p_brand, 1)), 3) + 2) ELSE substr(p_name, 1, 4) END AS excerpt FROM part")
+def keyword_excerpts(spark, sf_dir):
+    rows = tables.table(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand").withColumn("word", F.expr("right(p_brand, 1)"))
     return rows.select("p_partkey", text.keyword_excerpt("p_name", "word", 2).alias("excerpt"))
 
 
@@ -459,37 +492,55 @@ def hybrid_search(spark, sf_dir):
 @query()
 def deep_search(spark, sf_dir):
     """The windows, confidence and citations of every benchmark passage as a question."""
-    chapters = tables.chapters(spark, sf_dir).select(F.col("doc_id").alias("id"), "book_id", "chapter_index", F.col("chapter_summary").alias("text"))
+    chapters = tables.chapters(spark, sf_dir).select(F.col("doc_id").alias("id"), "book_id", "chapter_index", F.col("content").alias("text"))
     asked = tables.table(spark, sf_dir, "benchmark", "item_id", "text").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 20 + 1).alias("book_id"), F.col("text").alias("query"))
     return search.research(asked, chapters)
 
 
 @query()
 def plot_entity_merge(spark, sf_dir):
-    """The first words of chapters as named entries, merged within each plot."""
-    rows = tables.with_hierarchy(tables.chapters(spark, sf_dir).select("book_id", "chapter_index", "chapter_summary"))
-    words = rows.select("book_id", "plot_id", "chapter_index", F.slice(F.split("chapter_summary", r"\s+"), 1, 8).alias("w"))
-    named = words.select("book_id", "plot_id", "chapter_index", F.posexplode("w").alias("pos", "name")).where("name <> ''").withColumn("description", F.concat(F.lit("seen in "), F.col("chapter_index").cast("string")))
-    found = entries.merged_entries(named)
-    return found.select("book_id", "plot_id", "place", "name", F.array_join("aliases", "/").alias("aliases"), F.size("records").alias("n_records"))
+    """The distinct capitalised words of whole chapters as named entries, with the word that follows each as an alias, merged within each plot."""
+    rows = tables.with_hierarchy(tables.chapters(spark, sf_dir).select("book_id", "chapter_index", "content"))
+    found = F.array_distinct(F.regexp_extract_all("content", F.lit(r"(\p{Lu}\p{Ll}{3,}) (\p{L}{4,})"), F.lit(0)))
+    words = rows.select("book_id", "plot_id", "chapter_index", F.posexplode(found).alias("pos", "w"))
+    named = words.select("book_id", "plot_id", "chapter_index", "pos", F.concat(F.substring_index("w", " ", 1), F.lit("（"), F.substring_index("w", " ", -1), F.lit("）")).alias("name"), F.concat(F.lit("seen in "), F.col("chapter_index").cast("string")).alias("description"))
+    merged = entries.merged_entries(named)
+    return merged.select("book_id", "plot_id", "place", "name", F.array_join("aliases", "/").alias("aliases"), F.size("records").alias("n_records"))
 
 
-@query(f"""WITH {CHAPTERS}, b AS (SELECT book_id, (chapter_index - 1) // 5 AS batch, list(chapter_index ORDER BY chapter_index) FILTER (WHERE word_count % 3 = 0) AS hits, arg_max(left(content, 30), word_count * 1000 + chapter_index) AS ev, bool_or(word_count % 5 = 0) AS full_text, bool_or(word_count > 4000) AS has_long FROM chapters GROUP BY 1, 2)
+@query(f"""WITH {CHAPTERS}, b AS (SELECT book_id, (chapter_index - 1) // 5 AS batch, list(chapter_index ORDER BY chapter_index) FILTER (WHERE word_count % 3 = 0) AS hits, arg_max(chapter_summary, word_count * 1000 + chapter_index) AS ev, bool_or(word_count % 5 = 0) AS full_text, bool_or(word_count > 4000) AS has_long FROM chapters GROUP BY 1, 2)
 SELECT book_id, array_to_string(list_sort(list_distinct(flatten(list(coalesce(hits, []))))), ',') AS hit_chapters, arg_max(trim(ev), (length(trim(ev)), -batch)) AS best_evidence, bool_or(full_text) AS needs_fulltext, count(*) FILTER (WHERE hits IS NOT NULL) AS matched_batches, bool_or(has_long) AS has_long, CASE WHEN sum(coalesce(len(hits), 0)) > 0 THEN 'HIT' ELSE 'MISS' END AS status FROM b GROUP BY 1""")
 def structured_agg(spark, sf_dir):
     c = tables.chapters(spark, sf_dir)
     hit = F.array_sort(F.collect_list(F.when(F.col("word_count") % 3 == 0, F.col("chapter_index"))))
-    b = c.groupBy("book_id", F.floor((F.col("chapter_index") - 1) / 5).alias("batch")).agg(hit.alias("hit_chapters"), F.max_by(F.substring("content", 1, 30), F.col("word_count") * 1000 + F.col("chapter_index")).alias("best_evidence"), F.bool_or(F.col("word_count") % 5 == 0).alias("needs_fulltext"), F.bool_or(F.col("word_count") > 4000).alias("has_long"))
+    b = c.groupBy("book_id", F.floor((F.col("chapter_index") - 1) / 5).alias("batch")).agg(hit.alias("hit_chapters"), F.max_by("chapter_summary", F.col("word_count") * 1000 + F.col("chapter_index")).alias("best_evidence"), F.bool_or(F.col("word_count") % 5 == 0).alias("needs_fulltext"), F.bool_or(F.col("word_count") > 4000).alias("has_long"))
     found = evidence.structured(b.withColumn("status", F.when(F.size("hit_chapters") > 0, "hit").otherwise("miss")), "book_id", ["has_long"])
     return found.select("book_id", F.array_join(F.transform("hit_chapters", lambda x: x.cast("string")), ",").alias("hit_chapters"), "best_evidence", "needs_fulltext", "matched_batches", "has_long", "status")
 
 
-@query(f"""WITH {INDEX}, h AS (SELECT DISTINCT t AS target, a + d AS chapter_index FROM (VALUES ('the', 2, 9), ('est', 8, 14), ('the', 30, 25)) v(t, x, y), LATERAL (SELECT least(x, y) AS a, greatest(x, y) - least(x, y) AS n), LATERAL (SELECT unnest(range(0, n + 1)) AS d)),
-r AS (SELECT target, volume_id, chapter_index, book_id, content, len(regexp_extract_all(content, target)) AS m FROM h JOIN ci USING (chapter_index) WHERE book_id = 1)
-SELECT target, volume_id, chapter_index, (6 + CASE WHEN m >= 2 THEN 3 ELSE 0 END + CASE WHEN m > 0 AND regexp_matches(content, 'was|ist') THEN 6 ELSE 0 END + CASE WHEN chapter_index = min(chapter_index) OVER v THEN 2 ELSE 0 END + CASE WHEN chapter_index = max(chapter_index) OVER v THEN 2 ELSE 0 END)::BIGINT AS score
-FROM r WINDOW v AS (PARTITION BY target, volume_id)""")
+_HISTORIES = """hist AS (SELECT DISTINCT book_id, target, unnest(range(least(x, y), greatest(x, y) + 1)) AS chapter_index FROM (SELECT lower(string_split(trim(text), ' ')[1]) AS target, item_id % 17 + 1 AS x, item_id % 29 + 1 AS y FROM benchmark), books)"""
+_RELATED = f"""{INDEX}, {_HISTORIES}, rr AS (SELECT book_id, target, volume_id, chapter_index, content, (length(content) - length(replace(content, target, ''))) // length(target) AS m FROM hist JOIN ci USING (book_id, chapter_index)),
+rs AS (SELECT book_id, target, volume_id, chapter_index, (6 + CASE WHEN m >= 2 THEN 3 ELSE 0 END + CASE WHEN m > 0 AND (contains(content, 'was') OR contains(content, 'ist')) THEN 6 ELSE 0 END + CASE WHEN chapter_index = min(chapter_index) OVER v THEN 2 ELSE 0 END + CASE WHEN chapter_index = max(chapter_index) OVER v THEN 2 ELSE 0 END)::BIGINT AS score
+FROM rr WINDOW v AS (PARTITION BY book_id, target, volume_id))"""
+
+
+def _related(spark, sf_dir):
+    """Every benchmark passage's first word as a relation's other side, in every book, over chapters that the passage's number gives."""
+    rows = tables.with_hierarchy(tables.chapters(spark, sf_dir)).select("book_id", "chapter_index", "volume_id", F.col("content").alias("text"))
+    books = tables.with_book(tables.table(spark, sf_dir, "documents", "source").distinct()).select("book_id")
+    n = F.col("item_id")
+    spans = tables.table(spark, sf_dir, "benchmark", "item_id", "text").select(F.lower(F.split(F.trim("text"), " ")[0]).alias("target"), (n % 17 + 1).alias("start"), (n % 29 + 1).alias("end")).distinct()
+    # A stated set of relations for each book.
+    histories = books.select("book_id", F.explode(spans.agg(F.collect_set(F.struct("target", "start", "end")).alias("h")).scalar()).alias("h")).select("book_id", "h.*")
+    return relations.chapter_scores(rows, histories, ((6, ("was", "ist")),), ["book_id"]).withColumn("score", F.col("score").cast("bigint"))
+
+
+@query(f"WITH {_RELATED} SELECT * FROM rs")
 def relation_scores(spark, sf_dir):
-    rows = tables.with_hierarchy(tables.chapters(spark, sf_dir)).where("book_id = 1").select("chapter_index", "volume_id", F.col("content").alias("text"))
-    histories = spark.createDataFrame([("the", 2, 9), ("est", 8, 14), ("the", 30, 25)], "target string, start bigint, end bigint")
-    found = relations.chapter_scores(rows, histories, ((6, ("was", "ist")),))
-    return found.withColumn("score", F.col("score").cast("bigint"))
+    return _related(spark, sf_dir)
+
+
+@query(f"""WITH {_RELATED}, f AS (SELECT *, sum(CASE WHEN score >= 6 AND score < 10 THEN 1 ELSE 0 END) OVER (PARTITION BY book_id, target, volume_id ORDER BY score DESC, chapter_index ROWS UNBOUNDED PRECEDING) AS nth, chapter_index IN (min(chapter_index) OVER v, max(chapter_index) OVER v) AS edge FROM rs WINDOW v AS (PARTITION BY book_id, target, volume_id))
+SELECT book_id, target, volume_id, chapter_index, score FROM f WHERE edge OR score >= 10 OR (score >= 6 AND nth <= 2) QUALIFY row_number() OVER (PARTITION BY book_id, target, volume_id ORDER BY score DESC, chapter_index) <= 5""")
+def relation_critical(spark, sf_dir):
+    return relations.critical_chapters(_related(spark, sf_dir), ["book_id"])

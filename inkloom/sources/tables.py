@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkloom.functions.text import word_count
+from inkloom.models import edge_sentences
 from inkloom.operators.ranks import numbered
 
 
@@ -14,17 +15,26 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return found.select(*columns) if columns else found
 
 
+def with_book(rows: DataFrame) -> DataFrame:
+    """`rows` (source) with book_id: the source's number among the distinct ones by code point, null last. The list of sources has one row for each."""
+    names = rows.select(F.col("source").alias("_source")).distinct().withColumn("book_id", F.row_number().over(Window.orderBy(F.col("_source").asc_nulls_last())).cast("bigint"))
+    return rows.join(names, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+
+
 def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(book_id, chapter_index, doc_id, content, chapter_summary, word_count): a source is a book, its documents are its chapters."""
+    """(book_id, chapter_index, doc_id, content, chapter_summary, word_count): a source is a book, its documents are its chapters.
+
+    The summary and the count are made of the whole text before the chapters are numbered: a query that needs only them sends no texts through the numbering.
+    """
     rows = table(spark, sf_dir, "documents", "doc_id", "text", "source")
-    rows = rows.withColumn("book_id", F.substring("source", 4, 9).cast("bigint") + 1)
-    rows = numbered(rows, "book_id", "doc_id", "chapter_index")
-    return rows.select("book_id", "chapter_index", "doc_id", F.col("text").alias("content"), F.substring("text", 1, 200).alias("chapter_summary"), word_count(F.col("text")).cast("bigint").alias("word_count"))
+    text = F.coalesce("text", F.lit(""))
+    rows = rows.select("doc_id", "source", text.alias("content"), edge_sentences()(text).alias("chapter_summary"), word_count(text).cast("bigint").alias("word_count"))
+    return numbered(with_book(rows), "book_id", "doc_id", "chapter_index").select("book_id", "chapter_index", "doc_id", "content", "chapter_summary", "word_count")
 
 
 def chapter_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(book_id, chapter_index, plot_id, volume_id) without the texts: five chapters a plot, four plots a volume."""
-    rows = table(spark, sf_dir, "documents", "doc_id", "source").withColumn("book_id", F.substring("source", 4, 9).cast("bigint") + 1)
+    rows = with_book(table(spark, sf_dir, "documents", "doc_id", "source"))
     rows = numbered(rows, "book_id", "doc_id", "chapter_index").select("book_id", "chapter_index", "doc_id")
     return with_hierarchy(rows)
 
@@ -34,6 +44,12 @@ def with_hierarchy(rows: DataFrame, plot_chapters: int = 5, volume_plots: int =
     return rows.withColumn("plot_id", plot).withColumn("volume_id", F.floor((F.col("plot_id") - 1) / volume_plots) + 1)
 
 
+def statuses(polarity, strength):
+    """What a relation stands at, by its polarity and strength."""
+    high = strength == "high"
+    return F.when(polarity == "negative", F.when(high, "公开冲突").otherwise("敌对")).when(polarity == "positive", F.when(high, "结盟").otherwise("合作信任")).otherwise("普通相识")
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(session_id, message_id, role, content, token_count)."""
     rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")

@@ -77,6 +77,64 @@ def test_grounding(spark):
     assert {tuple(r) for r in got.collect()} == {(i, d) for i, p in passages for d, t in texts if p and t and p in t}
 
 
+def test_grounding_of_many_short_passages(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 12))) for _ in range(40)]
+    texts = [(i, " ".join(rng.choice(words) for _ in range(30))) for i in range(50)] + [(90, ""), (91, None), (92, "a")]
+    whole = " ".join(t for _, t in texts if t)
+    passages = [(i, whole[a : a + rng.randrange(1, 14)]) for i, a in enumerate(rng.randrange(len(whole)) for _ in range(1500))] + [(9000, ""), (9001, "zzz"), (9002, "a long passage of words that no text has")]
+    got = evidence.contained(spark.createDataFrame(passages, "item_id int, passage string"), spark.createDataFrame(texts, "doc_id int, text string"))
+    assert {tuple(r) for r in got.collect()} == {(i, d) for i, p in passages for d, t in texts if p and t and p in t}
+
+
+def test_stitching_rounds(spark):
+    rng = random.Random(2)
+    rows = [(b, i, i, [rng.choice("xyz")], [rng.choice("xyz")]) for b in range(4) for i in range(1, 40 - 9 * b)]
+    df = spark.createDataFrame(rows, "book_id bigint, start bigint, end bigint, head array<string>, tail array<string>")
+
+    def greedy(now, disjoint):
+        out, i = [], 0
+        while i < len(now):
+            if i + 1 < len(now) and set(now[i][3]) & set(now[i + 1][2]):
+                out.append((now[i][0], now[i + 1][1], now[i][2], now[i + 1][3]))
+                i += 2
+            else:
+                out.append(now[i])
+                i += 1
+                if disjoint and i < len(now):
+                    out.append(now[i])
+                    i += 1
+        return out
+
+    for disjoint, most in ((False, 5), (True, 8)):
+        expected = set()
+        for b in range(4):
+            now = [(s, e, h, t) for x, s, e, h, t in rows if x == b]
+            for _ in range(most):
+                now = greedy(now, disjoint)
+            expected |= {(b, s, e) for s, e, _, _ in now}
+        assert {tuple(r) for r in hierarchy.stitched_rounds(df, most, disjoint).collect()} == expected
+
+
+def test_excerpts(spark):
+    rng = random.Random(6)
+    rows = [("".join(rng.choice("abc ") for _ in range(rng.randrange(0, 200))), [rng.choice(["ab", "c a", "zz", " ", "b", ""]) for _ in range(rng.randrange(0, 5))]) for _ in range(80)] + [(None, ["a"]), ("x" * 500, ["x", "x"])]
+
+    def by_hand(text, words, most):
+        text = (text or "").strip(" ")
+        spans = sorted((max(0, at - most // 3), min(len(text), at + most // 2)) for w in words if w.strip(" ") and (at := text.find(w.strip(" "))) >= 0)
+        parts, used = [], 0
+        for a, z in spans:
+            piece = text[a:z].strip(" ")
+            if piece and used < most:
+                parts.append(piece[: most - used])
+                used += len(parts[-1])
+        return "\n...\n".join(parts).strip(" ")[:most] if spans else text[:most]
+
+    df = spark.createDataFrame(rows, "t string, w array<string>")
+    assert [r.x for r in df.select(profiles.excerpts(F.col("t"), F.col("w"), 60).alias("x")).collect()] == [by_hand(t, w, 60) for t, w in rows]
+
+
 def test_evidence_scores(spark):
     rows = [("chapters", 2, 0.5), ("plots", 3, -1.0), ("other", None, None)]
     df = spark.createDataFrame(rows, "source string, rank int, score double")
@@ -152,10 +210,10 @@ def test_hybrid_search(spark):
 def test_filter_rule(spark):
     from inkloom.operators import search
 
-    rows = [("what", 0, "", None, None, None), ("what", 1, "", 1.0, None, None), ("why", 5, "", 1.0, 0.9, 0.8), ("red fox", 2, "a red fox", 1.0, 0.5, None), ("red fox", 6, "a red fox", 1.0, 0.8, 0.7), ("red fox", 9, "no", 1.0, 0.99, 0.98), ("red fox", 5, "no", 1.0, 0.99, 0.98)]
+    rows = [("what", 0, "", None, None, None), ("what", 1, "", 1.0, None, None), ("为什么", 5, "", 1.0, 0.9, 0.8), ("red fox", 2, "a red fox", 1.0, 0.5, None), ("red fox", 6, "a red fox", 1.0, 0.8, 0.7), ("red fox", 9, "no", 1.0, 0.99, 0.98), ("red fox", 5, "no", 1.0, 0.99, 0.98)]
     df = spark.createDataFrame(rows, "q string, n int, t string, a double, b double, c double")
     got = [r.r.reason for r in df.select(search.wants_filter(*map(F.col, "qntabc")).alias("r")).collect()]
-    assert got == ["no candidates", "single candidate", "complex question", "precise small set", "confident gap", "large set", "ambiguous"]
+    assert got == ["empty_candidates", "heuristic_skip_single_candidate", "auto_complex_query", "heuristic_skip_precise_small_set", "heuristic_skip_high_confidence_gap", "auto_large_candidate_set", "auto_ambiguous_candidates"]
 
 
 def test_entries(spark):
@@ -169,9 +227,11 @@ def test_entries(spark):
 def test_aliases(spark):
     from inkloom.functions.aliases import display_name, flattened, stored_aliases
 
-    assert flattened("“甲”、乙（丙/丁）") == ["甲", "丁", "乙", "丙"] and flattened("甲（乙") == ["甲", "乙"] and flattened("") == [] and flattened("a.") == ["a"]
-    df = spark.createDataFrame([("甲", ["乙/甲", "丙（丁）"])], "n string, a array<string>")
-    assert df.select(stored_aliases("n", "a").alias("x")).first().x == ["甲", "乙", "丙", "丁"]
+    cases = {"“甲”、乙（丙/丁）": ["甲", "丁", "乙", "丙"], "甲（乙": ["甲", "乙"], "": [], None: [], "a.": ["a."], "[甲]": ["甲"], "J.R.": ["J.R."], "a（b）（c）": ["c", "a", "b"], "a(b(c(d": ["a", "b", "c", "d"], "'`x`'": ["x"], "）": []}
+    rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", flattened(F.col("t")).alias("x")).collect()
+    assert {r.t: r.x for r in rows} == cases
+    df = spark.createDataFrame([("甲", ["乙/甲", "丙（丁）"]), ("甲", None)], "n string, a array<string>")
+    assert [r.x for r in df.select(stored_aliases(F.col("n"), F.col("a")).alias("x")).collect()] == [["甲", "乙", "丙", "丁"], ["甲"]]
     assert df.select(display_name(F.col("n"), F.array(F.lit("甲"), F.lit("x"))).alias("x")).first().x == "甲（x）"
 
 

@@ -90,7 +90,7 @@ def test_intents(spark):
     df = spark.createDataFrame([(q,) for q in asked], "q string")
     assert {r.q: r.i for r in df.select("q", planner.intent(F.col("q")).alias("i")).collect()} == asked
     parts = df.limit(1).select(planner.parts(F.lit("他是谁？以及他的结局。另外他在哪;还有什么")).alias("p")).first().p
-    assert parts == ["他是谁", "他的结局", "他在哪"]
+    assert (parts.source, parts.parts) == ("explicit", ["以及他是谁？", "以及他的结局？", "另外他在哪？"])  # the name is what stands before 的
 
 
 def test_dsn():
