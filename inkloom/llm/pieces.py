@@ -11,9 +11,10 @@ over the same lattice merges (fold_merges): its state is the set of places where
 Characters without a piece become their bytes' pieces. The rare words of more than SHORT characters are encoded by a helper with the same rules where they
 are met, so that no lattice grows with a text. Models whose rules are not these (a normaliser that changes characters or blanks, user-defined pieces, blanks as suffixes) are refused when read.
 
-Documents are cut into blocks of about `block_bytes`. A block keeps its documents as word numbers and lists its distinct words, a row each. These rows, as many as blocks have
-words, meet the codes of the distinct words by an equality and go back to their block, where its documents are put together; all of it grows in proportion to the input. A very common word has one
-row for each block. What bounds a task's memory: one block, and one text at a time beside it.
+Documents are cut into blocks of about `block_bytes`. A block keeps its documents as word numbers and sends its word list, packed, to the word groups (by
+hash, MOST_GROUPS at most, so that packets grow in proportion to the input); a group's distinct words are encoded once, its codes go back to the blocks that asked, a packet at a time, and there the documents are put together. A
+very common word travels once for each block. The input must be one that gives the same rows in the same partitions when it is read again, as stored tables do. What bounds a task's memory: one block with one text at a time beside it, or
+the distinct words of one group with its codes and the packed lists that ask for them.
 
 Defined cases: null and empty texts have no tokens; very long texts are one block, whole; blanks are kept, and so are all other characters but the blank's own sign U+2581, which decodes to
 a blank as the model's own decoder has it; ties between paths go to the longer last piece, between merges to the first place; repeated rows are encoded each; an empty table gives an empty table;
@@ -26,6 +27,7 @@ import hashlib
 import heapq
 import re
 import struct
+import zlib
 from array import array
 from collections.abc import Callable, Iterator
 from operator import add
@@ -39,11 +41,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkloom.llm.common import written
-
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 SHORT = 61
+#: Word groups, and so packets that a block sends, are this many at most.
+MOST_GROUPS = 8192
 #: Fixed values of the model file's format: piece types, model types.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -166,22 +168,22 @@ def cut_apart(word: str, pairs: set[str]) -> list[str]:
 
 
 def lattice(words: DataFrame, model: PieceModel) -> DataFrame:
-    """`words` (word: distinct, 1 to SHORT characters) with `edges`: the pieces of two or more characters found in each, best first, as one number each.
+    """`words` (word: distinct, 1 to SHORT characters, at) with `edges`: the pieces of two or more characters found in each, best first, as one number each.
 
     An edge's number is place, start, end and id, 17, 6, 6 and 20 bits from the top, so that numbers sort by place and then by start.
     """
     # Bounded by the vocabulary, which doesn't grow with the input. The hash is the join's key (no two pieces share one), the strings are compared after it.
     table = F.broadcast(model.table(words.sparkSession).select(F.xxhash64("piece").alias("h"), "piece", "piece_id", "place"))
     n = F.length("word")
-    spans = words.select("word", F.explode(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)))).alias("a"))
-    spans = spans.select("word", "a", F.explode(F.sequence(F.least(F.lit(2), n), F.least(F.lit(model.longest), n - F.col("a") + 1))).alias("k"))
+    spans = words.select("word", "at", F.explode(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)))).alias("a"))
+    spans = spans.select("word", "at", "a", F.explode(F.sequence(F.least(F.lit(2), n), F.least(F.lit(model.longest), n - F.col("a") + 1))).alias("k"))
     spans = spans.withColumn("part", F.expr("substring(word, a, k)"))
     found = spans.join(table, F.xxhash64("part") == F.col("h"), "left")
     hit = (F.col("part") == F.col("piece")) & (F.col("k") > 1)
     number = F.expr("shiftleft(cast(place AS bigint), 32) | shiftleft(cast(a - 1 AS bigint), 26) | shiftleft(cast(a + k - 1 AS bigint), 20) | piece_id")
     # A word's first span stays even if it is no piece, so no word is lost; as a null it is not collected.
-    found = found.where(hit | ((F.col("a") == 1) & (F.col("k") <= 2))).select("word", F.when(hit, number).alias("edge"))
-    return found.groupBy("word").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    found = found.where(hit | ((F.col("a") == 1) & (F.col("k") <= 2))).select("word", "at", F.when(hit, number).alias("edge"))
+    return found.groupBy("word", "at").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
 
 
 def _start(x: Column) -> Column:
@@ -306,13 +308,13 @@ def _codes(part: str, known: dict[str, tuple[int, float]], of_bytes: list[int])
 
 
 def encode_words(words: DataFrame, model: PieceModel) -> DataFrame:
-    """(word, ids) of each word of `words` (word: distinct, of 1 to SHORT characters)."""
+    """(at, ids) of each word of `words` (word: distinct, of 1 to SHORT characters, at: its number)."""
     spark = words.sparkSession
     edges = lattice(words, model).withColumn("chars", model.char_table(spark).scalar())
     if model.kind == BPE:
-        return edges.select("word", fold_merges(F.col("word"), F.col("edges"), F.col("chars"), model).alias("ids"))
+        return edges.select("at", fold_merges(F.col("word"), F.col("edges"), F.col("chars"), model).alias("ids"))
     scores = spark.createDataFrame(pa.table({"scores": pa.array([model.scores], pa.list_(pa.float64()))})).scalar()
-    return edges.withColumn("scores", scores).select("word", fold_viterbi(F.col("word"), F.col("edges"), F.col("chars"), model, F.col("scores")).alias("ids"))
+    return edges.withColumn("scores", scores).select("at", fold_viterbi(F.col("word"), F.col("edges"), F.col("chars"), model, F.col("scores")).alias("ids"))
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -345,34 +347,41 @@ class Numbering(dict):
         return n
 
 
-def blocks(docs: DataFrame, model: PieceModel, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
-    """(block, ids, payload, no, word): for each block a row with its documents (payload: sizes, word numbers, each word's count of parts and their numbers, and the numbers,
-    lengths and ids of long parts), and a row for each of its other parts (no, word)."""
+def packets(docs: DataFrame, model: PieceModel, id_col: str, text_col: str, block_bytes: int, groups: int) -> DataFrame:
+    """(key, block, ids, payload): for each block its documents (key: the block; payload: sizes, word numbers, each word's count of parts
+    and their numbers, and the numbers, lengths and ids of long parts), and its list of parts for each word group (key: -1 - group; payload: the words' numbers and, after them, the words)."""
     kind = docs.schema[id_col].dataType.simpleString()
     pairs, known, of_bytes, dummy, lines, longest, worst, bpe = model.pairs, model.vocabulary(), model.bytes, model.dummy_prefix, model.cut_lines, model.longest, model.worst, model.kind == BPE
-    names = ["block", "ids", "payload", "no", "word"]
+    names = ["key", "block", "ids", "payload"]
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, of_id = TaskContext.get().partitionId() << 20, pa.int64()
         ids, sizes, seq, words, size = [], [], [], Numbering(), 0
 
-        def closed() -> Iterator[pa.RecordBatch]:
+        def closed() -> pa.RecordBatch:
             parts, counts, made = Numbering(), array("i"), array("i")
             for w in words:
                 found = cut_apart(w, pairs)
                 counts.append(len(found))
                 made.extend(map(parts.__getitem__, found))
             listed = list(parts)
-            long = [i for i, w in enumerate(listed) if len(w) > SHORT]
+            long = [i for i, w in enumerate(listed) if len(w) > SHORT or "\0" in w]  # the zero character parts the words of a list
             codes = [merges_of(listed[i], known, of_bytes) if bpe else viterbi_of(listed[i], known, of_bytes, longest, worst) for i in long]
             own = _blob(np.array(sizes), np.concatenate(seq), np.array(counts), np.array(made), np.array(long, np.int32), np.array([len(c) for c in codes], np.int32), np.array([t for c in codes for t in c], np.int32))
-            kinds = [pa.int64(), pa.list_(of_id), pa.binary(), pa.int32(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(([block], [ids], [own], [None], [None]), kinds)], names)
-            short = np.setdiff1d(np.arange(len(listed), dtype=np.int32), np.array(long, np.int32))
-            for a in range(0, len(short), 10_000):
-                mine = short[a : a + 10_000]
-                none = [None] * len(mine)
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(([block] * len(mine), none, none, mine, [listed[i] for i in mine.tolist()]), kinds)], names)
+            keys, payloads = [block], [own]
+            group = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % groups for w in listed), np.int64, len(listed))
+            group[long] = groups
+            order = np.argsort(group, kind="stable")
+            wanted, first = np.unique(group[order], return_index=True)
+            squeeze = zstandard.ZstdCompressor(level=3).compress
+            for g, a, z in zip(wanted.tolist(), first.tolist(), [*first[1:].tolist(), len(order)]):
+                if g < groups:  # the groups that the block has words of, and not its long parts
+                    mine = order[a:z]
+                    text = "\0".join([listed[i] for i in mine.tolist()]).encode("utf-8", "surrogatepass")
+                    keys.append(-1 - g)
+                    payloads.append(squeeze(struct.pack("<q", len(mine)) + _planes(np.diff(mine, prepend=0)) + text))
+            rest = len(keys) - 1
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([block] * len(keys), pa.int64()), pa.array([ids] + [None] * rest, pa.list_(of_id)), pa.array(payloads, pa.binary())], names)
 
         for batch in batches:
             of_id = batch.schema.field(0).type
@@ -384,33 +393,76 @@ def blocks(docs: DataFrame, model: PieceModel, id_col: str, text_col: str, block
                 seq.append(np.fromiter(map(words.__getitem__, found), np.int32, len(found)))
                 size += len(text)
                 if size >= block_bytes:
-                    yield from closed()
+                    yield closed()
                     block += 1
                     ids, sizes, seq, words, size = [], [], [], Numbering(), 0
         if ids:
-            yield from closed()
+            yield closed()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(cut, f"block bigint, ids array<{kind}>, payload binary, no int, word string")
+    return rows.mapInArrow(blocks, f"key bigint, block bigint, ids array<{kind}>, payload binary")
+
+
+def _listed(payload: bytes) -> tuple[np.ndarray, list[str]]:
+    data = zstandard.ZstdDecompressor().decompress(payload)
+    n = struct.unpack_from("<q", data)[0]
+    return np.cumsum(_numbers(data[8 : 8 + 4 * n])), data[8 + 4 * n :].decode("utf-8", "surrogatepass").split("\0")
 
 
-def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 32 << 20) -> DataFrame:
+def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 32 << 20, group_bytes: int = 6 << 20) -> DataFrame:
     """(id, token_ids, decoded_sha256) of every row; the digest is that of the text that the ids decode to."""
-    sent = written(blocks(docs, model, id_col, text_col, block_bytes))
+    total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    groups = max(1, min(MOST_GROUPS, -(-total // group_bytes)))
+    # One exchange serves all three readers below: what they don't need they pass over themselves.
+    sent = packets(docs, model, id_col, text_col, block_bytes, groups).repartition(groups, "key")
     shown, skip = model.byte_table(), int(model.dummy_prefix)
     id_type = docs.schema[id_col].dataType
-    asked = sent.where("word IS NOT NULL").select("block", "no", "word")
-    coded = encode_words(asked.select("word").distinct(), model).withColumnRenamed("word", "_word")
-    codes = asked.join(coded, F.col("word") == F.col("_word")).select(F.col("block").alias("of_block"), "no", "ids")
-    held = sent.where("word IS NULL").select("block", "ids", "payload")
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A group's words in order, numbered."""
+        found: dict[int, set[str]] = {}
+        for batch in batches:
+            for key, payload in zip(batch.column(0).to_pylist(), batch.column(3)):
+                if key < 0:
+                    found.setdefault(key, set()).update(_listed(payload.as_buffer().to_pybytes())[1])
+        for key, words in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(words), pa.string()), pa.array((np.int64(-1 - key) << 32) + np.arange(len(words)))], ["word", "at"])
+
+    words = sent.mapInArrow(distinct, "word string, at bigint").repartition(groups, "word")
+    codes = encode_words(words, model).select((-1 - F.shiftright("at", 32)).alias("to"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).alias("no"), "ids")
+
+    def answer(codes: pa.Table, asked: pa.Table) -> pa.Table:
+        """For each block that asked a group: the numbers, lengths and ids of its words."""
+        if not codes.num_rows:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.binary())], ["of_block", "blob"])
+        lists = codes.column("ids").combine_chunks().take(pa.array(np.argsort(codes.column("no").to_numpy())))
+        offset, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
+        # Numbers follow the order of the words, which the packed lists hold.
+        place: dict[str, int] = {}
+        for packed in asked.column("payload"):
+            place.update(dict.fromkeys(_listed(packed.as_buffer().to_pybytes())[1], 0))
+        place = {w: i for i, w in enumerate(sorted(place))}
+        blobs = []
+        for packed in asked.column("payload"):
+            nth, ws = _listed(packed.as_buffer().to_pybytes())
+            mine = np.array([place[w] for w in ws])
+            length = offset[mine + 1] - offset[mine]
+            ends = np.concatenate([[0], np.cumsum(length)])
+            blobs.append(_blob(np.diff(nth, prepend=0), length, flat[np.repeat(offset[mine] - ends[:-1], length) + np.arange(ends[-1])]))
+        return pa.table([asked.column("block").combine_chunks(), pa.array(blobs, pa.binary())], ["of_block", "blob"])
+
+    answers = codes.groupBy("to").cogroup(sent.groupBy("key")).applyInArrow(answer, "of_block bigint, blob binary")
 
     def assemble(codes: pa.Table, block: pa.Table) -> pa.Table:
+        names = ["id", "token_ids", "decoded_sha256"]
+        if block.column("key")[0].as_py() < 0:
+            return pa.table([pa.array([], block.schema.field("ids").type.value_type), pa.array([], pa.list_(pa.int32())), pa.array([], pa.string())], names)
         row = block.slice(0, 1)
         sizes, seq, counts, made, *long = _parts(row.column("payload")[0].as_py(), 7)
-        lists = codes.column("ids").combine_chunks()
-        if isinstance(lists, pa.ChunkedArray):
-            lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
-        nth, length, flat = (np.concatenate(x) for x in zip(long, (codes.column("no").to_numpy(), np.diff(lists.offsets.to_numpy()) if len(lists) else np.empty(0, np.int32), lists.flatten().to_numpy())))
+        parts = [long]
+        for step, *more in (_parts(b, 3) for b in codes.column("blob").to_pylist()):
+            parts.append([np.cumsum(step), *more])
+        nth, length, flat = (np.concatenate(x) for x in zip(*parts))
         begin, size = np.empty(len(nth), np.int64), np.empty(len(nth), np.int64)
         begin[nth] = np.cumsum(length, dtype=np.int64) - length
         size[nth] = length
@@ -434,10 +486,10 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
             tokens[stops[-1] : stops[-1] + len(found)] = found
             stops += [stops[-1] + c for c in cuts[1:]]
             low = d + 1
-        return pa.table([row.column("ids")[0].values, pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(tokens)), pa.array(digest, pa.string())], ["id", "token_ids", "decoded_sha256"])
+        return pa.table([row.column("ids")[0].values, pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(tokens)), pa.array(digest, pa.string())], names)
 
     out = T.StructType([T.StructField("id", id_type), T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded_sha256", T.StringType())])
-    return codes.groupBy("of_block").cogroup(held.groupBy("block")).applyInArrow(assemble, out)
+    return answers.groupBy("of_block").cogroup(sent.groupBy("key")).applyInArrow(assemble, out)
 
 
 def decode(rows: DataFrame, model: PieceModel, ids_col: str = "token_ids", into: str = "decoded") -> DataFrame:
