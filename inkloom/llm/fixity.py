@@ -7,8 +7,11 @@ roots that differ the next level is looked at, and so on down to the records, wh
 
 A record's place in the tree is its number in its file, which stays when a neighbour is lost; so a lost record spoils its own branch only.
 
-Defined cases: null payloads and URLs are empty; a null number belongs to file -1; rows of one number are ordered by id and payload, and the second and
-later ones are further records of the leaf, audited by their order; a record that only the other replica has is `extra`; empty tables give empty trees; other columns are ignored.
+What bounds a task's memory: one record while its digest is made; then a file's `file_rows` numbers, of which no task gathers more than FANOUT at a time into a node.
+
+Defined cases: null payloads and URLs are empty; rows without a number are dealt over SPARE files of negative numbers by what they hold; very long payloads are hashed whole; rows of one number are ordered by their digest, and the second and
+later ones are further records of the leaf, audited by their order (rows of one number lie in one file's window: numbers are meant to tell records apart); a record that only the other replica has is `extra`; repeated rows are records of
+their own; empty tables give empty trees; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,19 +27,22 @@ from inkloom.llm.common import checkpointed
 FANOUT = 16
 FILE_ROWS = 1000
 END = "\r\n\r\n"
+SPARE = 1 << 16
+#: When the records were made, for tables that don't say.
+DATE = "2000-01-01T00:00:00Z"
 
 
-def record(number: Column, url: Column, payload: Column) -> Column:
+def record(number: Column, url: Column, payload: Column, date: str = DATE) -> Column:
     """A WARC resource record, without the empty lines that end it."""
     payload, clean = F.coalesce(payload, F.lit("")), lambda c: F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), "[\r\n]", " ")
-    head = F.concat(F.lit("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:record:"), clean(number), F.lit(">\r\nWARC-Target-URI: "), clean(url), F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(payload).cast("string"), F.lit(END))
+    head = F.concat(F.lit("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:record:"), clean(number), F.lit(f">\r\nWARC-Date: {date}\r\nWARC-Target-URI: "), clean(url), F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(payload).cast("string"), F.lit(END))
     return F.concat(head, payload)
 
 
 def layout(pages: DataFrame, number_col: str = "page_id", url_col: str = "url", payload_col: str = "html", file_rows: int = FILE_ROWS) -> DataFrame:
     """(number, file, slot, offset, length, digest, record): where each page's record lies in its file. A file holds `file_rows` numbers, so a window over it is bounded."""
     n = F.col(number_col).cast("bigint")
-    rows = pages.select(n.alias("number"), F.coalesce(F.floor(n / file_rows), F.lit(-1)).cast("bigint").alias("file"), F.coalesce(F.pmod(n, F.lit(file_rows)), F.lit(0)).cast("bigint").alias("slot"), record(n, F.col(url_col), F.col(payload_col)).alias("record"))
+    rows = pages.select(n.alias("number"), F.coalesce(F.floor(n / file_rows), -1 - F.pmod(F.xxhash64(url_col, payload_col), F.lit(SPARE))).cast("bigint").alias("file"), F.coalesce(F.pmod(n, F.lit(file_rows)), F.lit(0)).cast("bigint").alias("slot"), record(n, F.col(url_col), F.col(payload_col)).alias("record"))
     rows = rows.withColumn("digest", F.sha2(F.concat("record", F.lit(END)), 256)).withColumn("length", (F.octet_length("record") + len(END)).cast("bigint"))
     in_file = Window.partitionBy("file").orderBy("slot", "digest")
     return rows.withColumn("offset", F.coalesce(F.sum("length").over(in_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -108,7 +114,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows = list(records(content.as_buffer().to_pybytes()))
+                rows = list(records(content.as_buffer()))
                 offset, number, url, payload = zip(*rows) if rows else ((),) * 4
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), pa.array(offset, pa.int64()), pa.array(number, pa.string()), pa.array(url, pa.string()), pa.array(payload, pa.binary())], ["path", "offset", "id", "url", "payload"])
 
@@ -136,7 +142,7 @@ OP8_SQL = """
 WITH rec AS (
   SELECT page_id, page_id // 1000 AS file, page_id % 1000 AS slot,
     'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:record:' || page_id || '>' || chr(13) || chr(10)
-      || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10)
+      || 'WARC-Date: 2000-01-01T00:00:00Z' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10)
       || html || chr(13) || chr(10) || chr(13) || chr(10) AS record,
     ('0x' || substr(md5(url || '|' || page_id), 1, 2))::INT AS luck
   FROM pages),

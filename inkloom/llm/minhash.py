@@ -6,9 +6,12 @@ minimum. An empty bin takes the value of a filled one, found by a walk of hashes
 hold one value by densification don't agree by one chance. Two fingerprints agree in a bin with probability
 J + (1 - J) / 2^BITS, so the likeness is (share - 2^-BITS) / (1 - 2^-BITS), held within 0 and 1.
 
+What bounds a task's memory: texts are read in slices of SLICE_BYTES or SLICE_ROWS; a longer text is a slice of its own, whole.
+
 Defined cases: a text of fewer than 5 words has one shingle, all of it; null texts and texts without words have an empty
-fingerprint, which is wholly like another empty one and unlike all others; other columns are ignored; an empty table gives an empty table.
-In the chain of neighbours a null id comes first, rows of one id follow each other by text, and the row after the last is the first.
+fingerprint, which is wholly like another empty one and unlike all others; ties (hashes of one bin) are settled by the smaller value; repeated rows get a row each; ids must be whole numbers or their text
+(others fail); other columns are ignored; an empty table gives an empty table.
+In the chain of neighbours a null id comes first, rows of one id follow each other by text, and the row after the last is the first. Rows of one id, null included, lie in one range: ids are meant to tell documents apart.
 """
 
 from __future__ import annotations

@@ -11,7 +11,10 @@ its source's words, what it exceeds is shared by the others by weight. This is t
 No source is gathered in one task: running sums and ranks go over hash buckets (of about 2,000 documents) and slot blocks whose sums are aggregated first. The list of
 sources has one row for each source and is the only thing that is ordered as a whole.
 
-Defined cases: null texts and texts without words have size 0 and are never taken; repeated rows are documents of their own; a
+What bounds a task's memory: one text, whose words are counted where it lies and cut only where a part of it is taken, and one bucket of numbers.
+
+Defined cases: null texts and texts without words have size 0 and are never taken; very long texts are counted whole and may be taken in stretches; ties of the shuffle's hash are settled by id, size and the
+text's hash, so reruns agree; rows equal in all of these are interchangeable; repeated rows are documents of their own; a
 source without words has target 0; an empty table gives an empty table; other columns are ignored.
 """
 
@@ -59,7 +62,7 @@ def _laid(rows: DataFrame, sources: DataFrame) -> DataFrame:
     # The line's order is the hash's order: the buckets are equal stretches of the hash's range.
     buckets = F.ceil(F.col("n") / BUCKET_ROWS)
     rows = rows.withColumn("part", F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * buckets).cast("bigint"))
-    return running_sum(rows, "source", "part", [F.col("h"), F.col("id"), F.col("size")], F.col("size"), "start")
+    return running_sum(rows, "source", "part", [F.col("h"), F.col("id"), F.col("size"), F.col("tag")], F.col("size"), "start")
 
 
 def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -8,7 +8,10 @@ is at or above the threshold.
 The raw counts cover every document. The target is fitted on `most_trusted` labelled documents at most (those with the smallest id hash), which bounds
 what is broadcast; the table of scores has BUCKETS entries whatever the input's size.
 
-Defined cases: null texts have no words and fail the base rules; a document with contradictory labels is not trusted; without any
+What bounds a task's memory: one text with its words and their hashes, and the table of BUCKETS scores.
+
+Defined cases: null texts have no words and fail the base rules; very long texts are judged whole; a score equal to the threshold is kept, and ties for the last trusted place go by id; a document with contradictory
+labels is not trusted; without any
 trusted document, or with an empty table, all scores are 0; repeated rows are counted and judged each; other columns are ignored.
 """
 

@@ -9,7 +9,10 @@ Laws: `bytes` makes the shards' sizes near equal; `rows` deals single rows so th
 its id and the shard count alone (jump hash), so that one more shard takes rows only into itself. Only `bytes` schedules, and only it keeps groups together
 by what they hold; `key` keeps rows of one id together.
 
-Defined cases: a null text is empty (size 16) and a group with empty texts; repeated rows get slots of their own; a group larger than a shard is a
+What bounds a task's memory: the one task with the heap holds 2 * shards * per_shard items at most; all others hold one text, whose hash and size are taken where it lies, or a bucket of numbers.
+
+Defined cases: a null text is empty (size 16) and a group with empty texts; very long texts count whole; ties of size go in the order of the items' names and to the lowest shard, and slots are
+numbered by id and then by the text's hash; repeated rows get slots of their own; a group larger than a shard is a
 shard's alone; with fewer groups than shards some shards stay empty; an empty table gives an empty table; other columns are ignored.
 """
 

@@ -11,7 +11,11 @@ of pairs: fingerprints are within distance 3 exactly if the ball of radius 1 of
 lie within 1 of a point are linked with each other. So a point with at least one such fingerprint links all within 2 of it to that one, in
 as many rows as it has members, and no link is lost.
 
-Defined cases: null texts and texts without words have fingerprint 0 and link like any other; repeated rows each get their row;
+Values next to a crowded one go by points too, or each fingerprint of the crowded value would meet all of theirs.
+
+What bounds a task's memory: one text and its shingles' hashes, of which 65,536 at a time are counted; all else is rows of numbers that Spark sorts and spills.
+
+Defined cases: null texts and texts without words have fingerprint 0 and link like any other; very long texts are read whole; a bit that exactly half the shingles have is 0; repeated rows each get their row;
 null ids never become a component's id while the component has another; an empty table gives an empty table; other columns are ignored.
 """
 
@@ -75,6 +79,9 @@ def near_links(points: DataFrame, most: int = 256) -> DataFrame:
     flips = halves.withColumn("k", F.explode(zero_bits)).select("fp", "node", "half", F.expr("v | shiftleft(1L, k)").alias("v"), "other")
     full = halves.groupBy("half", "v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
     hot_keys = checkpointed(full.select("half", "v"))
+    # The values one bit above a crowded one, as far as there are any.
+    beside = hot_keys.withColumn("k", F.explode(F.filter(F.sequence(F.lit(0), F.lit(31)), lambda k: F.call_function("getbit", F.col("v"), k) == 0))).select("half", F.expr("v | shiftleft(1L, k)").alias("v"))
+    hot_keys = checkpointed(hot_keys.unionByName(halves.select("half", "v").join(beside, ["half", "v"], "left_semi")).distinct())
 
     table = halves.join(hot_keys, ["half", "v"], "left_anti")
     apart = F.bit_count(F.col("p.fp").bitwiseXOR(F.col("t.fp")))

@@ -63,6 +63,35 @@ def test_substrings_hot_minimisers(spark, monkeypatch):
     assert {r.id: (r.n_words, r.n_removed, r.kept) for r in got} == removed(rows)
 
 
+@pytest.mark.parametrize("seen", [3, 100_000])
+def test_substrings_settled_by_tasks(spark, monkeypatch, seen):
+    """Whatever the order in which a task meets copies, and however many windows it remembers."""
+    rows = documents(7)
+    random.Random(1).shuffle(rows)
+    monkeypatch.setattr(substrings, "BATCH_BYTES", 300)
+    monkeypatch.setattr(substrings, "SEEN", seen)
+    got = substrings.dedup_substrings(frame(spark, rows).coalesce(1), bucket_bytes=2000, layout_sample=1).collect()
+    assert {r.id: (r.n_words, r.n_removed, r.kept) for r in got} == removed(rows)
+
+
+def test_very_long_texts(spark):
+    """One text far beyond every slice, beside short ones: windows, fingerprints and bands are those of the whole text."""
+    rng = random.Random(3)
+    long = " ".join(f"v{rng.randrange(10**6)}" for _ in range(320_000))
+    rows = [(1, long), (2, " ".join(long.split()[:40])), (3, long + " end")]
+    got = {r.id: (r.n_words, r.n_removed) for r in substrings.dedup_substrings(frame(spark, rows)).collect()}
+    assert got == {1: (320_000, 0), 2: (40, 40), 3: (320_001, 320_000)}
+    prints = {r.id: r.fp for r in simhash.fingerprints(frame(spark, rows)).collect()}
+    words = long.split()
+    h = [xxhash.xxh64_intdigest(" ".join(words[k : k + 3]).encode(), 42) for k in range(320_000 - 2)]
+    ones = np.unpackbits(np.array(h, dtype=">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0)
+    assert prints[1] & (2**64 - 1) == int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
+    marks = {r.id: r.fingerprint for r in minhash.fingerprints(frame(spark, rows)).collect()}
+    near = sum(a == b for a, b in zip(marks[1], marks[3])) / 512
+    assert near > 0.98 and len(marks[1]) == 512
+    assert sorted(r.doc_id for r in similar.keep_one(frame(spark, rows)).collect()) == [1, 2]
+
+
 def test_substrings_repeated_rows_are_one_document(spark):
     text = " ".join(f"a{k}" for k in range(30))
     got = substrings.dedup_substrings(frame(spark, [(1, text), (1, text), (None, text)])).collect()

@@ -272,6 +272,19 @@ def test_warc_files(spark, tmp_path):
     assert {(int(re.sub(r"\D", "", r.id)), r.offset) for r in got} == places
 
 
+def test_gzipped_and_broken_records():
+    import gzip
+
+    from inkloom.llm.warcfile import records
+
+    one = lambda n, body, size=None: f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <{n}>\r\nWARC-Date: 2000-01-01T00:00:00Z\r\nContent-Length: {len(body) if size is None else size}\r\n\r\n{body}\r\n\r\n".encode()
+    a, b = gzip.compress(one(1, "first")), gzip.compress(one(2, "second"))
+    assert [(o, i, p) for o, i, _, p in records(a + b)] == [(0, "<1>", b"first"), (len(a), "<2>", b"second")]
+    plain = one(1, "x") + one(2, "lost", "many") + one(3, "kept")
+    assert [(i, p) for _, i, _, p in records(plain)] == [("<1>", b"x"), ("<3>", b"kept")]
+    assert list(records(b"")) == [] and [p for *_, p in records(one(4, "short", 900))] == [b"short\r\n\r\n"]
+
+
 def test_pipeline(spark, small):
     """Each stage on what its predecessor kept, held against its operator's brute-force rule."""
     docs = spark.read.parquet(f"{small}/documents.parquet").cache()
