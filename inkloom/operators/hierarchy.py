@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkloom.functions.text import overlap_tokens
+from inkloom.models import Summariser
 from inkloom.operators.components import checkpointed
 
 
@@ -118,6 +119,14 @@ def containing_range(rows: DataFrame, ranges: DataFrame, coordinate: str = "chap
     return rows.join(met, (F.col("book_id") == F.col("_b")) & (F.col(coordinate) == F.col("_c")), "left").withColumn(number, F.coalesce("_first", F.lit(0))).drop("_b", "_c", "_first")
 
 
+def compressed(rows: DataFrame, size: int, summarise: Summariser) -> DataFrame:
+    """(book_id, batch_no, first_chapter, last_chapter, packet): rows (book_id, chapter_index, text) in batches of `size` neighbours (volumes take 1, plots and chapters 5), each as one text, summarised."""
+    line = F.struct("chapter_index", F.concat(F.col("chapter_index").cast("string"), F.lit(": "), F.coalesce("text", F.lit(""))).alias("line"))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda x: x["line"]), "\n")
+    found = rows.withColumn("batch_no", batch_number(F.col("chapter_index"), size)).groupBy("book_id", "batch_no").agg(F.min("chapter_index").alias("first_chapter"), F.max("chapter_index").alias("last_chapter"), whole.alias("_whole"))
+    return found.select("book_id", "batch_no", "first_chapter", "last_chapter", summarise(F.col("_whole")).alias("packet"))
+
+
 def precheck(chapters: DataFrame, label: str = "plot_id") -> DataFrame:
     """(book_id, total, grouped, complete)."""
     found = chapters.groupBy("book_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col(label) > 0).alias("grouped"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inkloom.functions import text
+from inkloom.models import edge_sentences
 from inkloom.operators import graph, hierarchy, states, sync
 from inkloom.plans.base import CHAPTERS, INDEX, VOLUMES, query
 from inkloom.sources import tables
@@ -178,6 +179,14 @@ def complete_sets(spark, sf_dir):
     return rows.select("l_suppkey").distinct().join(left, F.col("l_suppkey") == F.col("_s"), "left").select("l_suppkey", F.col("_s").isNull().alias("complete"))
 
 
+@query(f"""WITH {CHAPTERS}, w AS (SELECT book_id, (chapter_index - 1) // 5 AS batch_no, min(chapter_index) AS first_chapter, max(chapter_index) AS last_chapter, string_agg(chapter_index || ': ' || chapter_summary, chr(10) ORDER BY chapter_index) AS t FROM chapters GROUP BY 1, 2),
+x AS (SELECT *, regexp_extract_all(t, '[^.!?。！？]+[.!?。！？]*') AS s FROM w), y AS (SELECT *, trim(left(trim(s[1]), 120)) AS a, trim(left(trim(list_reduce(s, lambda p, q: CASE WHEN length(q) > length(p) THEN q ELSE p END)), 120)) AS b, trim(left(trim(s[-1]), 120)) AS c FROM x)
+SELECT book_id, batch_no, first_chapter, last_chapter, trim(a || CASE WHEN b NOT IN (a, '') THEN ' ' || b ELSE '' END || CASE WHEN c NOT IN (a, b, '') THEN ' ' || c ELSE '' END) AS packet FROM y""")
+def compressed_context(spark, sf_dir):
+    rows = tables.chapters(spark, sf_dir).select("book_id", "chapter_index", F.col("chapter_summary").alias("text"))
+    return hierarchy.compressed(rows, 5, edge_sentences())
+
+
 # --- headings, cards
 
 
