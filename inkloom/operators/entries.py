@@ -23,9 +23,10 @@ def merged_entries(entries: DataFrame) -> DataFrame:
 
     def places(pdf: pd.DataFrame) -> pd.DataFrame:
         home: dict[str, int] = {}
-        out = []
+        out, begun = [], 0
         for tokens in pdf.sort_values(["chapter_index", "pos"])["tokens"]:
-            here = min((home[t] for t in tokens if t in home), default=len(set(home.values())))
+            here = min((home[t] for t in tokens if t in home), default=begun)
+            begun += here == begun
             home |= {t: min(home.get(t, here), here) for t in tokens}
             out.append(here)
         return pdf.sort_values(["chapter_index", "pos"]).assign(place=out).drop(columns="tokens")

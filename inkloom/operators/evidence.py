@@ -66,9 +66,21 @@ def contained(passages: DataFrame, texts: DataFrame, anchor: int = 4) -> DataFra
     return found.distinct()
 
 
-def merged(evidence: DataFrame, keys: list[str]) -> DataFrame:
-    """Evidence rows of one key as one: the highest score (the earliest on ties), all subquery ids."""
-    return evidence.groupBy(*keys).agg(F.max("score").alias("score"), F.array_join(F.array_sort(F.collect_set("subquery_id")), ",").alias("subquery_ids"), F.count(F.lit(1)).alias("n"))
+#: What makes two pieces of evidence one, besides the first characters of their snippet.
+IDENTITY = ["source", "chapter_index", "plot_id", "volume_id", "start_chapter", "end_chapter", "source_name"]
+SNIPPET = 120
+
+
+def merged(evidence: DataFrame, scope: list[str]) -> DataFrame:
+    """Evidence (scope, IDENTITY, snippet, score, ord, subquery_id) of one identity and one beginning of the snippet as one: the snippet of the highest score (the earliest by `ord` on ties), all subquery ids in order, how many; nth
+    is its place by falling score, then by the place of the identity's first piece."""
+    start = F.substring(F.coalesce("snippet", F.lit("")), 1, SNIPPET).alias("_start")
+    rows = evidence.groupBy(*scope, *IDENTITY, start).agg(
+        F.max("score").alias("score"), F.max_by("snippet", F.struct("score", -F.col("ord"))).alias("snippet"), F.array_join(F.array_sort(F.collect_set("subquery_id")), ",").alias("subquery_ids"),
+        F.count(F.lit(1)).alias("n"), F.min("ord").alias("_first"),
+    )
+    nth = F.row_number().over(Window.partitionBy(*scope).orderBy(F.desc("score"), "_first", "_start"))
+    return rows.withColumn("nth", nth.cast("bigint")).drop("_start", "_first")
 
 
 def clusters(scores: DataFrame, gap: int = 2, keys: list[str] | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkloom.functions.text import name_key
 from inkloom.operators.profiles import chosen_chapters
 
 KIND = ["relation_type", "polarity", "strength"]
@@ -65,11 +66,18 @@ def overlapping(segments: DataFrame, groups: DataFrame, key: str) -> DataFrame:
     return met.unionByName(alone)
 
 
-def style_counts(samples: DataFrame, most: int = 30) -> DataFrame:
-    """(signal, occurrences): signals by a key without blanks and case, shown as first seen, most frequent first."""
-    key = F.lower(F.regexp_replace("signal", r"(?U)\s+", ""))
-    found = samples.withColumn("_key", key).where("_key <> ''").groupBy("_key").agg(F.min_by("signal", "ord").alias("signal"), F.count(F.lit(1)).alias("occurrences"), F.min("ord").alias("_ord"))
-    return found.orderBy(F.desc("occurrences"), "_ord").limit(most).select("signal", "occurrences")
+def style_counts(samples: DataFrame) -> DataFrame:
+    """(signal, occurrences) of `samples` (signal, ord): signals by a key without blanks and case, shown as first seen; the most frequent first, equally frequent ones by their text."""
+    shown = F.trim("signal")
+    found = samples.withColumn("_key", name_key(shown)).where("_key <> ''").groupBy("_key").agg(F.min_by(shown, "ord").alias("signal"), F.count(F.lit(1)).alias("occurrences"))
+    return found.orderBy(F.desc("occurrences"), "signal").select("signal", "occurrences")
+
+
+def style_scenes(samples: DataFrame, most: int = 30) -> DataFrame:
+    """(scene, quote, occurrences) of `samples` (scene, quote, ord): pairs without an empty side, by a key without blanks and case, shown as first seen; the `most` most frequent, equally frequent ones by scene and quote."""
+    clean = samples.select(F.trim(F.coalesce("scene", F.lit(""))).alias("scene"), F.trim(F.coalesce("quote", F.lit(""))).alias("quote"), "ord").where("scene <> '' AND quote <> ''")
+    found = clean.groupBy(name_key(F.concat_ws("|", "scene", "quote")).alias("_key")).agg(F.min_by(F.struct("scene", "quote"), "ord").alias("s"), F.count(F.lit(1)).alias("occurrences"))
+    return found.select("s.scene", "s.quote", "occurrences").orderBy(F.desc("occurrences"), "scene", "quote").limit(most)
 
 
 #: What keyword groups score in a chapter that mentions the other side.

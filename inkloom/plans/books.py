@@ -162,9 +162,9 @@ def windows_packed(spark, sf_dir):
     return profiles.packed_windows(_entries(spark, sf_dir))
 
 
-@query(f"WITH {CHAPTERS} SELECT book_id AS character_id, chapter_index, row_number() OVER (PARTITION BY book_id ORDER BY chapter_index DESC) AS nth FROM chapters WHERE word_count > 500 QUALIFY nth <= 3")
+@query(f"WITH {CHAPTERS} SELECT book_id AS character_id, chapter_index, row_number() OVER (PARTITION BY book_id ORDER BY chapter_index DESC) AS nth FROM chapters QUALIFY nth <= 3")
 def edge_records(spark, sf_dir):
-    rows = tables.chapters(spark, sf_dir).where("word_count > 500").select(F.col("book_id").alias("character_id"), "chapter_index")
+    rows = tables.chapter_index(spark, sf_dir).select(F.col("book_id").alias("character_id"), "chapter_index")
     return profiles.edge_records(rows, last=True).withColumn("nth", F.col("nth").cast("bigint"))
 
 

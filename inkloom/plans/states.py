@@ -125,13 +125,13 @@ def stitched_plots(spark, sf_dir):
     return hierarchy.stitched_rounds(_single(spark, sf_dir), 5)
 
 
-@query(f"""WITH {CHAPTERS}, ba AS (SELECT book_id, (chapter_index - 1) // 10 AS batch_no, min(chapter_index) AS low, max(chapter_index) AS high FROM chapters GROUP BY 1, 2), ra AS (SELECT DISTINCT book_id, (chapter_index - 1) // 10 AS batch_no, CASE WHEN word_count % 5 = 0 THEN 0 ELSE chapter_index - word_count % 4 END AS s, CASE WHEN word_count % 7 = 0 THEN 0 ELSE chapter_index + word_count % 9 - 4 END AS e FROM chapters WHERE word_count % 2 = 0),
+@query(f"""WITH {CHAPTERS}, ba AS (SELECT book_id, (chapter_index - 1) // 10 AS batch_no, min(chapter_index) AS low, max(chapter_index) AS high FROM chapters GROUP BY 1, 2), ra AS (SELECT DISTINCT book_id, (chapter_index - 1) // 10 AS batch_no, CASE WHEN word_count % 5 = 0 THEN 0 ELSE chapter_index - word_count % 4 END AS s, CASE WHEN word_count % 7 = 0 THEN 0 ELSE chapter_index + word_count % 9 - 4 END AS e FROM chapters),
 g AS (SELECT DISTINCT book_id, batch_no, greatest(low, CASE WHEN s = 0 THEN low ELSE s END) AS "start", least(high, CASE WHEN e = 0 THEN high ELSE e END) AS "end" FROM ra JOIN ba USING (book_id, batch_no)), ok AS (SELECT * FROM g WHERE "start" <= "end")
 SELECT * FROM ok UNION ALL SELECT book_id, batch_no, low, high FROM ba WHERE (book_id, batch_no) NOT IN (SELECT (book_id, batch_no) FROM ok)""")
 def clamped_ranges(spark, sf_dir):
     rows = tables.chapters(spark, sf_dir).select("book_id", "chapter_index", "word_count").withColumn("batch_no", F.floor((F.col("chapter_index") - 1) / 10))
     n, at = F.col("word_count"), F.col("chapter_index")
-    ranges = rows.where("word_count % 2 = 0").select("book_id", "batch_no", F.when(n % 5 == 0, 0).otherwise(at - n % 4).alias("start"), F.when(n % 7 == 0, 0).otherwise(at + n % 9 - 4).alias("end"))
+    ranges = rows.select("book_id", "batch_no", F.when(n % 5 == 0, 0).otherwise(at - n % 4).alias("start"), F.when(n % 7 == 0, 0).otherwise(at + n % 9 - 4).alias("end"))
     return hierarchy.clamped(ranges, rows.groupBy("book_id", "batch_no").agg(F.min("chapter_index").alias("low"), F.max("chapter_index").alias("high")))
 
 
@@ -162,12 +162,12 @@ def listed_books(spark, sf_dir):
     return rows.orderBy(F.desc("latest"), F.desc("source"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_acctbal <= 5000 AND c_custkey > 0 AND trim(c_name) <> '' AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P' GROUP BY o_custkey HAVING count(*) = 1)")
+@query("SELECT c_custkey FROM customer WHERE c_acctbal <= 5000 AND c_custkey > 0 AND trim(c_name) <> '' AND c_custkey IN (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(DISTINCT year(o_orderdate)) = 1)")
 def single_record_people(spark, sf_dir):
-    """Valid characters (not to be deleted, with id and name) that have one record only; their records are their urgent open orders."""
+    """Valid characters (not to be deleted, with id and name) that have one record only; a record is a year with orders."""
     people = tables.table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_acctbal").withColumn("need_delete", F.when(F.col("c_acctbal") > 5000, "yes").otherwise("no"))
     valid = people.where("need_delete <> 'yes' AND c_custkey > 0 AND trim(c_name) <> ''")
-    records = tables.table(spark, sf_dir, "orders", "o_custkey", "o_orderpriority", "o_orderstatus").where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")).where("n = 1")
+    records = tables.table(spark, sf_dir, "orders", "o_custkey", "o_orderdate").groupBy("o_custkey").agg(F.count_distinct(F.year("o_orderdate")).alias("n")).where("n = 1")
     return valid.join(records, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 

@@ -64,12 +64,20 @@ def emotion_score(spark, sf_dir):
 
 
 @query("""WITH w AS (SELECT doc_id * 1000000 + pos AS ord, w AS signal FROM (SELECT doc_id, unnest(string_split_regex(text, '\\s+')) AS w, generate_subscripts(string_split_regex(text, '\\s+'), 1) AS pos FROM documents))
-SELECT arg_min(signal, ord) AS signal, count(*) AS occurrences FROM w WHERE signal <> '' GROUP BY lower(signal) ORDER BY occurrences DESC, min(ord) LIMIT 30""")
+SELECT arg_min(signal, ord) AS signal, count(*) AS occurrences FROM w WHERE signal <> '' GROUP BY lower(signal)""")
 def style_counts(spark, sf_dir):
     rows = tables.table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.posexplode(F.split("text", r"\s+")).alias("pos", "signal"))
     return relations.style_counts(rows.select((F.col("doc_id") * 1000000 + F.col("pos") + 1).alias("ord"), "signal"))
 
 
+@query(r"""WITH q AS (SELECT conv_id * 1000 + turn AS ord, trim(role) AS scene, trim(split_part(regexp_replace(text, '\s+', ' ', 'g'), '.', 1)) AS quote FROM conversations)
+SELECT arg_min(scene, ord) AS scene, arg_min(quote, ord) AS quote, count(*) AS occurrences FROM q WHERE scene <> '' AND quote <> '' GROUP BY lower(regexp_replace(scene || '|' || quote, '\s+', '', 'g')) ORDER BY occurrences DESC, scene, quote LIMIT 30""")
+def style_scenes(spark, sf_dir):
+    """The most frequent first sentences of each role."""
+    rows = tables.table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return relations.style_scenes(rows.select(F.col("role").alias("scene"), F.substring_index(F.regexp_replace("text", r"(?U)\s+", " "), ".", 1).alias("quote"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ord")))
+
+
 @query("""WITH s AS (SELECT o_orderkey AS segment_id, o_custkey AS k, (o_orderkey % 50)::BIGINT AS a, (o_orderkey % 50 + o_orderkey % 4)::BIGINT AS z FROM orders),
 g AS (SELECT l_orderkey * 10 + l_linenumber AS group_id, o_custkey AS k, (l_partkey % 60)::BIGINT AS a, (l_partkey % 60 + l_linenumber)::BIGINT AS z FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 m AS (SELECT segment_id, group_id FROM s JOIN g ON s.k = g.k AND s.a <= g.z AND g.a <= s.z), last AS (SELECT k, arg_max(group_id, (a, group_id)) AS group_id FROM g GROUP BY k)
@@ -146,9 +154,9 @@ def character_cards(spark, sf_dir):
     return found.where("record_count > 20").orderBy(F.desc("record_count"), "character_id")
 
 
-@query("SELECT r AS root, count(DISTINCT p_name) AS n FROM part, (VALUES ('1'), ('22'), ('7'), ('zz')) t(r) WHERE right(p_name, length(r)) = r GROUP BY r HAVING n >= 2")
+@query("SELECT r AS root, count(DISTINCT p_name) AS n FROM part, (VALUES ('rod'), ('plate'), ('ring'), ('zz')) t(r) WHERE right(p_name, length(r)) = r GROUP BY r HAVING n >= 2")
 def candidate_groups(spark, sf_dir):
-    return entities.shared_root_groups(tables.table(spark, sf_dir, "part", "p_name").withColumnRenamed("p_name", "name"), ["1", "22", "7", "zz"])
+    return entities.shared_root_groups(tables.table(spark, sf_dir, "part", "p_name").withColumnRenamed("p_name", "name"), ["rod", "plate", "ring", "zz"])
 
 
 # --- retrieval
@@ -195,10 +203,10 @@ def rrf_fusion(spark, sf_dir):
     return found.select("query_id", "id", F.round("fused_score", 9).alias("fused_score"), F.col("fused_rank").cast("bigint").alias("fused_rank"))
 
 
-@query(f"""WITH {_FUSED} SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN id % 3 = 0 THEN id % 17 END DESC NULLS LAST, fused_rank) AS final_rank FROM f QUALIFY final_rank <= 10""")
+@query(f"""WITH {_FUSED} SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN fused_rank <= 7 THEN id * 7 % 17 END DESC NULLS LAST, fused_rank) AS final_rank FROM f QUALIFY final_rank <= 10""")
 def rerank_pad(spark, sf_dir):
     found = retrieval.fused(_dense(spark, sf_dir), _sparse(spark, sf_dir), 25)
-    scores = found.where("id % 3 = 0").select("query_id", "id", (F.col("id") % 17).alias("rerank_score"))
+    scores = found.where("fused_rank <= 7").select("query_id", "id", (F.col("id") * 7 % 17).alias("rerank_score"))  # the reranker answers for the first seven only; the rest pads
     return retrieval.reranked(found, scores, 10).withColumn("final_rank", F.col("final_rank").cast("bigint"))
 
 
@@ -208,10 +216,13 @@ def source_filter_retry(spark, sf_dir):
     return retrieval.with_retry(found.where("query_id % 2 = 0 AND id % 5 = 0"), found)
 
 
-@query("""WITH v AS (SELECT o_orderkey % 200 AS id, o_custkey AS i, sum(o_orderkey % 7 + 1)::BIGINT AS x FROM orders GROUP BY 1, 2) SELECT a.id AS left_id, b.id AS right_id, sum(a.x * b.x)::BIGINT AS dot FROM v a JOIN v b USING (i) GROUP BY 1, 2""")
+@query("""WITH v AS (SELECT o_custkey AS id, l_partkey AS i, sum(l_linenumber)::BIGINT AS x FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)
+SELECT a.id AS left_id, b.id AS right_id, sum(a.x * b.x)::BIGINT AS dot FROM v a JOIN v b USING (i) WHERE a.id % 20 = 0 GROUP BY 1, 2""")
 def sparse_dot(spark, sf_dir):
-    rows = tables.table(spark, sf_dir, "orders", "o_orderkey", "o_custkey").groupBy((F.col("o_orderkey") % 200).alias("id"), F.col("o_custkey").alias("index")).agg(F.sum(F.col("o_orderkey") % 7 + 1).alias("value"))
-    return retrieval.sparse_dot(rows, rows)
+    """Customers as sparse vectors over parts: every twentieth is a question to all."""
+    li, o = tables.table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_linenumber"), tables.table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
+    rows = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("id"), F.col("l_partkey").alias("index")).agg(F.sum("l_linenumber").alias("value"))
+    return retrieval.sparse_dot(rows.where("id % 20 = 0"), rows)
 
 
 @query("""WITH w AS (SELECT vec_id AS id, 'h' || (label % 4) AS hash FROM embeddings WHERE vec_id % 9 <> 0), s AS (SELECT vec_id AS id, 'h' || (label % 3) AS hash FROM embeddings WHERE vec_id % 7 <> 0)
@@ -243,10 +254,29 @@ def _scored(spark, sf_dir):
     return _evidence(spark, sf_dir).withColumn("score", evidence.evidence_score(F.col("source"), F.col("rank")))
 
 
-@query(f"WITH {_SCORED} SELECT book_id, source, coalesce(chapter_index, 0) AS chapter_index, coalesce(plot_id, 0) AS plot_id, coalesce(volume_id, 0) AS volume_id, round(max(score), 9) AS score, array_to_string(list_sort(list_distinct(list(subquery_id))), ',') AS subquery_ids, count(*) AS n FROM sv GROUP BY 1, 2, 3, 4, 5")
+_POOL = f"""{_SCORED}, places AS (SELECT book_id, chapter_index AS at, plot_id AS p, split_part(chapter_summary, ' ', 1) AS source_name, chapter_summary AS snippet FROM ci),
+pool AS (SELECT sv.*, source_name, snippet, CASE WHEN sv.plot_id IS NOT NULL THEN (p - 1) * 5 + 1 END AS start_chapter, CASE WHEN sv.plot_id IS NOT NULL THEN p * 5 END AS end_chapter FROM sv JOIN places ON sv.book_id = places.book_id AND sv.rank = places.at),
+parts AS (SELECT * REPLACE (rank * 2 AS rank) FROM pool UNION ALL SELECT * REPLACE (rank * 2 + 1 AS rank, score * 1.1 AS score, 'sq' || (rank % 4) AS subquery_id, snippet || ' again' AS snippet) FROM pool WHERE length(snippet) > 120 UNION ALL SELECT * REPLACE (rank * 2 + 1 AS rank, 'sq9' AS subquery_id) FROM pool WHERE rank % 2 = 0)"""
+_PLACES = ["chapter_index", "plot_id", "volume_id", "start_chapter", "end_chapter"]
+
+
+@query(f"""WITH {_POOL}, m AS (SELECT book_id, source, chapter_index, plot_id, volume_id, start_chapter, end_chapter, source_name, left(snippet, 120) AS st, max(score) AS score, arg_max(snippet, (score, -rank)) AS snippet, array_to_string(list_sort(list_distinct(list(subquery_id))), ',') AS subquery_ids, count(*) AS n, min(rank) AS first_rank
+  FROM parts GROUP BY ALL) SELECT book_id, source, coalesce(chapter_index, 0) AS chapter_index, coalesce(plot_id, 0) AS plot_id, coalesce(volume_id, 0) AS volume_id, coalesce(start_chapter, 0) AS start_chapter, coalesce(end_chapter, 0) AS end_chapter, source_name, sha256(snippet) AS snippet_sha256, round(score, 9) AS score, subquery_ids, n,
+  row_number() OVER (PARTITION BY book_id ORDER BY score DESC, first_rank, st) AS nth FROM m""")
 def evidence_merge(spark, sf_dir):
-    found = evidence.merged(_scored(spark, sf_dir), ["book_id", "source", "chapter_index", "plot_id", "volume_id"])
-    return found.withColumn("score", F.round("score", 9)).na.fill(0, ["chapter_index", "plot_id", "volume_id"])
+    """Two passes over every book's evidence as one pool: the second finds long pieces again with a higher score and a longer text, a third finds every other piece again."""
+    summaries = tables.with_hierarchy(tables.chapters(spark, sf_dir).select("book_id", "chapter_index", "chapter_summary"))
+    places = summaries.select(F.col("book_id").alias("_b"), F.col("chapter_index").alias("_c"), F.col("plot_id").alias("_p"), F.substring_index("chapter_summary", " ", 1).alias("source_name"), F.col("chapter_summary").alias("snippet"))
+    pool = _scored(spark, sf_dir).join(places, (F.col("book_id") == F.col("_b")) & (F.col("rank") == F.col("_c")))
+    ranged = lambda c: F.when(F.col("plot_id").isNotNull(), c)
+    pool = pool.withColumns({"start_chapter": ranged((F.col("_p") - 1) * 5 + 1), "end_chapter": ranged(F.col("_p") * 5)}).drop("_b", "_c", "_p")
+    later = (F.col("rank") * 2 + 1).alias("ord")
+    keep = [c for c in pool.columns if c not in ("score", "subquery_id", "snippet")]
+    first = pool.select(*keep, "snippet", "score", "subquery_id", (F.col("rank") * 2).alias("ord"))
+    second = pool.where(F.length("snippet") > 120).select(*keep, F.concat("snippet", F.lit(" again")).alias("snippet"), (F.col("score") * 1.1).alias("score"), F.concat(F.lit("sq"), (F.col("rank") % 4).cast("string")).alias("subquery_id"), later)
+    third = pool.where("rank % 2 = 0").select(*keep, "snippet", "score", F.lit("sq9").alias("subquery_id"), later)
+    found = evidence.merged(first.unionByName(second).unionByName(third), ["book_id"])
+    return found.select("book_id", "source", *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in _PLACES], "source_name", F.sha2("snippet", 256).alias("snippet_sha256"), F.round("score", 9).alias("score"), "subquery_ids", "n", "nth")
 
 
 _CLUSTERS = f"""{CHAPTERS}, {_SPARSE}, sc AS (SELECT query_id, book_id, chapter_index, (sparse_score * 1000000)::BIGINT AS score FROM s JOIN chapters ON doc_id = id),
@@ -379,10 +409,11 @@ def session_upsert(spark, sf_dir):
     return sync.upserted(new, old, "session_id", ["kind"])
 
 
-@query("SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
+@query("SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45)")
 def stale_ids(spark, sf_dir):
-    rows = tables.table(spark, sf_dir, "lineitem", "l_partkey", "l_returnflag").withColumnRenamed("l_partkey", "id")
-    return sync.stale(rows, rows.where("l_returnflag = 'R'"), ["id"])
+    """Parts that no large returned item wants any more."""
+    rows = tables.table(spark, sf_dir, "lineitem", "l_partkey", "l_returnflag", "l_quantity").withColumnRenamed("l_partkey", "id")
+    return sync.stale(rows, rows.where("l_returnflag = 'R' AND l_quantity > 45"), ["id"])
 
 
 @query(f"WITH {INDEX} SELECT 'chapters' AS store, count(*) AS deleted FROM ci WHERE book_id = 3 UNION ALL SELECT 'vectors', count(*) FROM embeddings WHERE label = 3 UNION ALL SELECT 'characters', count(*) FROM customer WHERE c_nationkey = 3")
@@ -480,11 +511,17 @@ def keyword_excerpts(spark, sf_dir):
 # --- searches and merges without SQL, and the rest
 
 
+def _asked(spark, sf_dir):
+    """Every benchmark passage as a question to the book of its number; numbers go round the books that there are."""
+    books = tables.table(spark, sf_dir, "documents", "source").agg(F.count_distinct(F.coalesce("source", F.lit("")))).scalar()
+    return tables.table(spark, sf_dir, "benchmark", "item_id", "text").select(F.col("item_id").alias("query_id"), (F.col("item_id") % books + 1).alias("book_id"), F.col("text").alias("query"))
+
+
 @query()
 def hybrid_search(spark, sf_dir):
     """Every benchmark passage as a question to the book of its number, over all chapters."""
     chapters = tables.chapters(spark, sf_dir)
-    asked = tables.table(spark, sf_dir, "benchmark", "item_id", "text").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 20 + 1).alias("book_id"), F.col("text").alias("query"))
+    asked = _asked(spark, sf_dir)
     found = search.hybrid(asked, chapters.select(F.col("doc_id").alias("id"), "book_id", F.col("content").alias("text")), "volumes")
     return found.select("query_id", "id", F.round("fused_score", 9).alias("fused_score"), F.round("rerank_score", 6).alias("rerank_score"), F.col("final_rank").cast("bigint").alias("final_rank"))
 
@@ -493,8 +530,7 @@ def hybrid_search(spark, sf_dir):
 def deep_search(spark, sf_dir):
     """The windows, confidence and citations of every benchmark passage as a question."""
     chapters = tables.chapters(spark, sf_dir).select(F.col("doc_id").alias("id"), "book_id", "chapter_index", F.col("content").alias("text"))
-    asked = tables.table(spark, sf_dir, "benchmark", "item_id", "text").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 20 + 1).alias("book_id"), F.col("text").alias("query"))
-    return search.research(asked, chapters)
+    return search.research(_asked(spark, sf_dir), chapters)
 
 
 @query()
@@ -518,20 +554,17 @@ def structured_agg(spark, sf_dir):
     return found.select("book_id", F.array_join(F.transform("hit_chapters", lambda x: x.cast("string")), ",").alias("hit_chapters"), "best_evidence", "needs_fulltext", "matched_batches", "has_long", "status")
 
 
-_HISTORIES = """hist AS (SELECT DISTINCT book_id, target, unnest(range(least(x, y), greatest(x, y) + 1)) AS chapter_index FROM (SELECT lower(string_split(trim(text), ' ')[1]) AS target, item_id % 17 + 1 AS x, item_id % 29 + 1 AS y FROM benchmark), books)"""
+_HISTORIES = """hist AS (SELECT DISTINCT item_id % (SELECT count(*) FROM books) + 1 AS book_id, target, unnest(range(least(x, y), greatest(x, y) + 1)) AS chapter_index FROM (SELECT item_id, lower(string_split(trim(text), ' ')[1]) AS target, item_id % 17 + 1 AS x, item_id % 29 + 1 AS y FROM benchmark))"""
 _RELATED = f"""{INDEX}, {_HISTORIES}, rr AS (SELECT book_id, target, volume_id, chapter_index, content, (length(content) - length(replace(content, target, ''))) // length(target) AS m FROM hist JOIN ci USING (book_id, chapter_index)),
 rs AS (SELECT book_id, target, volume_id, chapter_index, (6 + CASE WHEN m >= 2 THEN 3 ELSE 0 END + CASE WHEN m > 0 AND (contains(content, 'was') OR contains(content, 'ist')) THEN 6 ELSE 0 END + CASE WHEN chapter_index = min(chapter_index) OVER v THEN 2 ELSE 0 END + CASE WHEN chapter_index = max(chapter_index) OVER v THEN 2 ELSE 0 END)::BIGINT AS score
 FROM rr WINDOW v AS (PARTITION BY book_id, target, volume_id))"""
 
 
 def _related(spark, sf_dir):
-    """Every benchmark passage's first word as a relation's other side, in every book, over chapters that the passage's number gives."""
+    """Every benchmark passage's first word as a relation's other side in the book of the passage's number, over chapters that the number gives."""
     rows = tables.with_hierarchy(tables.chapters(spark, sf_dir)).select("book_id", "chapter_index", "volume_id", F.col("content").alias("text"))
-    books = tables.with_book(tables.table(spark, sf_dir, "documents", "source").distinct()).select("book_id")
-    n = F.col("item_id")
-    spans = tables.table(spark, sf_dir, "benchmark", "item_id", "text").select(F.lower(F.split(F.trim("text"), " ")[0]).alias("target"), (n % 17 + 1).alias("start"), (n % 29 + 1).alias("end")).distinct()
-    # A stated set of relations for each book.
-    histories = books.select("book_id", F.explode(spans.agg(F.collect_set(F.struct("target", "start", "end")).alias("h")).scalar()).alias("h")).select("book_id", "h.*")
+    n = F.col("query_id")
+    histories = _asked(spark, sf_dir).select("book_id", F.lower(F.split(F.trim("query"), " ")[0]).alias("target"), (n % 17 + 1).alias("start"), (n % 29 + 1).alias("end"))
     return relations.chapter_scores(rows, histories, ((6, ("was", "ist")),), ["book_id"]).withColumn("score", F.col("score").cast("bigint"))
 
 
