@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inkloom.functions.text import question as ended
-from inkloom.operators import answers, evidence, planner, search
+from inkloom.operators import answers, evidence, planner, rounds, search
 from inkloom.plans.base import CHAPTERS, INDEX, MESSAGES, query
 from inkloom.plans.stories import _SPARSE, _sparse
 from inkloom.sources import tables
@@ -236,3 +236,28 @@ def style_samples(spark, sf_dir):
 @query(f"""WITH {_FORMS}, q AS (SELECT c_custkey, replace(question, '{{}}', who) AS q FROM asked) SELECT c_custkey, CASE WHEN q = '' THEN '' WHEN right(q, 1) IN ('？', '?', '。') THEN q ELSE q || '？' END AS question FROM q""")
 def ended_questions(spark, sf_dir):
     return _asked(spark, sf_dir).select("c_custkey", ended(F.col("question")).alias("question"))
+
+
+_INTENTS = tuple(planner.TOOL_CALLS)
+
+
+def round_parts(spark, sf_dir):
+    """(parts, hits) of the rounds: three benchmark passages make a question; a part is asked to the book of its best hit, and the other hits of that book are its first evidence."""
+    places = tables.chapter_index(spark, sf_dir).select("doc_id", "book_id", "chapter_index")
+    found = _sparse(spark, sf_dir).join(places, F.col("id") == F.col("doc_id"))
+    home = found.groupBy("query_id").agg(F.min_by("book_id", "sparse_rank").alias("_book"))
+    hits = found.join(home, "query_id").where("book_id = _book").select(F.col("query_id").alias("part_id"), F.lit("plots").alias("source"), "chapter_index", (F.round("sparse_score", 6) * evidence.WEIGHTS["plots"]).alias("score"))
+    n = F.col("item_id")
+    kind = lambda at: F.get(F.array(*map(F.lit, _INTENTS)), (at % len(_INTENTS)).cast("int"))
+    asked = tables.table(spark, sf_dir, "benchmark", "item_id", "text").join(home, n == F.col("query_id")).drop("query_id")
+    question = F.floor(n / 3)
+    budget = planner.budget(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: kind(question * 3 + i)), F.lit(4), F.lit(1))
+    return asked.select(question.alias("query_id"), n.alias("part_id"), (n % 3).alias("priority"), (n % 2 == 0).alias("explicit"), F.col("_book").alias("book_id"), kind(n).alias("intent"), F.col("text").alias("question"), (budget["tool_calls"] - 3).cast("bigint").alias("tool_calls"), budget["fulltext_windows"].cast("bigint").alias("fulltext_windows")), hits
+
+
+@query()
+def research_rounds(spark, sf_dir):
+    """Every benchmark passage as a part of a question, searched in rounds until it is resolved or its question's budget is spent; held against a plain loop in the tests."""
+    parts, hits = round_parts(spark, sf_dir)
+    chapters = tables.chapters(spark, sf_dir).select("book_id", "chapter_index", "chapter_summary", "content")
+    return rounds.research_rounds(parts, hits, chapters, search.STOPWORDS)

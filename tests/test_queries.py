@@ -7,7 +7,7 @@ import pytest
 from inkloom.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-WITHOUT_SQL = {"html_text", "chapter_slices", "hybrid_search", "deep_search", "plot_entity_merge", "stitched_plots"}
+WITHOUT_SQL = {"html_text", "chapter_slices", "hybrid_search", "deep_search", "plot_entity_merge", "stitched_plots", "research_rounds"}
 
 
 @pytest.fixture(scope="module")
