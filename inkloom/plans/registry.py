@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from inkloom.plans import base, books, payloads, people, questions, sources, states, stories  # noqa: F401
+from inkloom.plans import base, books, payloads, people, questions, sources, states, stores, stories  # noqa: F401
 
 FLAGSHIP = "training_rows"
 
