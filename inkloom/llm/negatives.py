@@ -1,6 +1,6 @@
 """Hard negatives: for anchors and their nearest rows of the same label, the nearest rows of other labels inside a window of scores, exactly, by an inverted multi-index.
 
-The index: vectors are cut into two halves, each with a codebook; a row's cell is its pair of codewords. Codebooks are fitted on SAMPLE rows at most (those with the smallest hash of their id); every row is indexed. A cell's
+The index: vectors are cut into two halves, each with a codebook; a row's cell is its pair of codewords. Codebooks are fitted on about SAMPLE rows, twice as many at most (by a hash); every row is indexed. A cell's
 rows are stored as blocks of BLOCK rows at most, so a cell with most rows is many blocks.
 A search: for an anchor the inner product with any row of a cell is at most the sum of two half scores, each the codeword's inner product plus the half anchor's length times the codeword's radius. A multi-sequence heap over the two
 sorted lists visits cells by falling sums. Two passes make a search exact: the first visits cells until they hold FIRST rows, which gives every window its last place's score so far; the second goes on in
@@ -147,10 +147,11 @@ def mapped(df: DataFrame, run, schema: str) -> DataFrame:
 
 def indexed(rows: DataFrame, width: int, codewords: int | None, sample: int) -> tuple[DataFrame, Books]:
     """The blocks (cell, ids, labels, vectors) of all rows (id, label, vector), and the codebooks."""
-    half = width // 2
+    half, n = width // 2, rows.count()
     if codewords is None:
-        codewords = min(MOST_CODEWORDS, max(4, 1 << round(math.log2(max(rows.count(), 1)) / 4)))
-    chosen = rows.orderBy(F.xxhash64("id", "label"), "vector").limit(sample).select("vector").toArrow().column(0).combine_chunks()
+        codewords = min(MOST_CODEWORDS, max(4, 1 << round(math.log2(max(n, 1)) / 4)))
+    share = round(min(1.0, sample / max(n, 1)) * (1 << 30))
+    chosen = rows.where(F.pmod(F.xxhash64("id", "label", "vector"), F.lit(1 << 30)) < share).limit(2 * sample).select("vector").toArrow().column(0).combine_chunks()
     points = matrix(chosen, width).astype(np.float64)
     left, right = fitted(points[:, :half], codewords), fitted(points[:, half:], codewords)
 
@@ -228,7 +229,8 @@ def searched(anchors: DataFrame, blocks: DataFrame, books: Books, width: int, wi
                         yield pa.RecordBatch.from_arrays([pa.array(anchor[r]), pa.array(np.full(len(r), w, np.int32)), pa.array(scores[r, c]), pa.array(ids[c])], ["anchor", "w", "score", "id"])
 
     packs = mapped(anchors, visit, "cell int, anchors binary, q_ids binary, q_labels binary, q_vectors binary, lows binary, highs binary")
-    return mapped(blocks.join(packs, "cell"), score, "anchor bigint, w int, score bigint, id bigint")
+    # What visits send has no size that the planner could know, so it never goes to every task.
+    return mapped(blocks.join(packs.hint("merge"), "cell"), score, "anchor bigint, w int, score bigint, id bigint")
 
 
 def top(found: DataFrame, k: int) -> DataFrame:
