@@ -8,7 +8,7 @@ from inkloom.functions import text
 from inkloom.models import edge_sentences
 from inkloom.operators import graph, hierarchy, states, sync
 from inkloom.plans.base import CHAPTERS, INDEX, VOLUMES, query
-from inkloom.sources import tables
+from inkloom.sources import jdbc, tables
 
 
 @query("""SELECT o_orderkey AS job_id, CASE o_orderkey % 5 WHEN 0 THEN 'running' WHEN 1 THEN 'completed' WHEN 2 THEN 'queued' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 5 = 0 AND o_orderkey % 3 > 0 THEN 'now' WHEN o_orderkey % 3 = 0 THEN 'then' END AS started_at, CASE WHEN o_orderkey % 5 = 1 THEN 'now' END AS finished_at,
@@ -243,3 +243,12 @@ def stub_upgrades(spark, sf_dir):
     wanted = c.select(k.alias("want_id"), F.when(k % 5 > 0, k).otherwise(0).alias("character_id"), F.col("c_name").alias("name"), none.alias("aliases"))
     found = graph.resolve_nodes(wanted, nodes).join(wanted.select("want_id", "character_id"), "want_id")
     return graph.stub_upgrades(found)
+
+
+@query(f"WITH {INDEX}, n AS (SELECT count(*) AS n FROM books), w AS (SELECT DISTINCT item_id % n + 1 AS book_id, item_id % 40 - 3 AS chapter_index FROM benchmark, n) SELECT book_id, chapter_index, sha256(content) AS content_sha256 FROM ci SEMI JOIN w USING (book_id, chapter_index)")
+def in_list_fetch(spark, sf_dir):
+    """The chapters that lists of (book, chapter) ask for; every benchmark passage's number makes one entry, some of them no chapters."""
+    books = tables.with_book(tables.table(spark, sf_dir, "documents", "source").distinct()).agg(F.count(F.lit(1))).scalar()
+    wanted = tables.table(spark, sf_dir, "benchmark", "item_id").select((F.col("item_id") % books + 1).alias("book_id"), (F.col("item_id") % 40 - 3).alias("chapter_index"))
+    found = jdbc.among(tables.chapters(spark, sf_dir).select("book_id", "chapter_index", "content"), wanted, ["book_id", "chapter_index"])
+    return found.select("book_id", "chapter_index", F.sha2("content", 256).alias("content_sha256"))
