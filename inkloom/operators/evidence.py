@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkloom.operators.patterns import MOST_BYTES, counted, within_bound
+
 #: What a source's evidence weighs, and the least confidence that it gives.
 WEIGHTS = {"chapters": 1.0, "chapter_summaries_verify": 0.7, "chapter_summaries": 0.62, "plots": 0.72, "volumes": 0.55}
 OTHER_WEIGHT = 0.65
@@ -34,9 +36,21 @@ GRAMS = (8, 4, 2, 1)
 MOST_ANCHORS = 10_000
 
 
-def contained(passages: DataFrame, texts: DataFrame, anchor: int = 4) -> DataFrame:
+def contained(passages: DataFrame, texts: DataFrame, anchor: int = 4, most_bytes: int = MOST_BYTES) -> DataFrame:
     """(item_id, doc_id): which texts contain which passages, as substrings. Null and empty passages are in no text.
 
+    Passages of `most_bytes` together at most are found by one automaton in one pass over the texts. More of them meet the texts by a shuffle.
+    """
+    given = within_bound(passages, "passage", most_bytes)
+    if given is None:
+        return contained_by_runs(passages, texts, anchor)
+    hits = counted(texts.select("doc_id", "text"), "text", given).select("doc_id", F.explode("hits").alias("_hit")).select("doc_id", F.col("_hit.pattern").alias("_p"))
+    return hits.join(passages.select("item_id", "passage"), F.col("_p") == F.col("passage")).select("item_id", "doc_id").distinct()
+
+
+def contained_by_runs(passages: DataFrame, texts: DataFrame, anchor: int = 4) -> DataFrame:
+    """The same for any number of passages.
+
     Both sides meet on equal hashes and only pairs that meet are searched. A passage of at least anchor + 2 words offers its words 2 to anchor + 1 (its first may begin inside a word), a text all its
     runs of that many words. A shorter passage offers its first characters, as many as the longest of GRAMS that it has, a text all its runs of that many characters; these are made
     only for the lengths that passages need. Up to MOST_ANCHORS anchors of words are a constant that sorts out texts before anything is exploded; more of them meet by a shuffle.

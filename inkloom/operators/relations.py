@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkloom.functions.text import name_key
-from inkloom.operators.profiles import chosen_chapters
+from inkloom.operators.evidence import contained_by_runs
+from inkloom.operators.patterns import MOST_BYTES, counted, within_bound
+from inkloom.operators.profiles import chosen_chapters, excerpts
 
 KIND = ["relation_type", "polarity", "strength"]
 
@@ -80,13 +82,14 @@ def style_scenes(samples: DataFrame, most: int = 30) -> DataFrame:
     return found.select("s.scene", "s.quote", "occurrences").orderBy(F.desc("occurrences"), "scene", "quote").limit(most)
 
 
-#: What keyword groups score in a chapter that mentions the other side.
+#: What keyword groups score in a chapter that mentions the other side, and the reason that each gives.
 RELATION_WORDS = (
-    (6, ("救", "杀", "打", "护", "骗", "威胁", "命令", "联手", "交易", "安慰", "表白", "利用", "怀疑", "保护")),
-    (5, ("合作", "翻脸", "决裂", "和解", "确认关系", "互相怀疑", "建立信任", "依赖", "疏远", "亲近")),
-    (4, ("信任", "依赖", "厌恶", "恐惧", "爱慕", "警惕", "尊敬", "嫉妒", "愧疚", "关心")),
-    (4, ("父", "母", "兄", "姐", "弟", "妹", "师", "徒", "同学", "队友", "上司", "下属", "夫妻", "恋人", "朋友")),
+    (6, ("救", "杀", "打", "护", "骗", "威胁", "命令", "联手", "交易", "安慰", "表白", "利用", "怀疑", "保护"), "存在明确互动"),
+    (5, ("合作", "翻脸", "决裂", "和解", "确认关系", "互相怀疑", "建立信任", "依赖", "疏远", "亲近"), "关系变化信号"),
+    (4, ("信任", "依赖", "厌恶", "恐惧", "爱慕", "警惕", "尊敬", "嫉妒", "愧疚", "关心"), "情感指向明确"),
+    (4, ("父", "母", "兄", "姐", "弟", "妹", "师", "徒", "同学", "队友", "上司", "下属", "夫妻", "恋人", "朋友"), "结构关系线索"),
 )
+EVIDENCE, TWICE, STARTS, ENDS, CONTEXT = "已识别关系证据", "双向提及概率较高", "本卷关系起点", "本卷关系终点", "邻接上下文"
 
 
 def normalised(events: DataFrame, windows: DataFrame) -> DataFrame:
@@ -105,26 +108,69 @@ def normalised(events: DataFrame, windows: DataFrame) -> DataFrame:
     return rows.select("window_id", "source", "target", "start", "end", text("relation_type", ""), text("polarity", "neutral"), text("strength", "medium"), text("summary", ""), evidence.alias("evidence"))
 
 
-def chapter_scores(entries: DataFrame, histories: DataFrame, words=RELATION_WORDS, keys: list[str] | None = None) -> DataFrame:
-    """(target, volume_id, chapter_index, score) of the chapters that a relation's history covers.
+def alias_sets(aliases: DataFrame) -> DataFrame:
+    """(target, names): every target's name and aliases (target, aliases), trimmed, each once and none empty."""
+    return aliases.select("target", F.array_distinct(F.filter(F.transform(F.concat(F.array("target"), F.coalesce("aliases", F.array().cast("array<string>"))), lambda a: F.trim(a)), lambda a: a != "")).alias("names"))
 
-    entries: (keys, chapter_index, volume_id, text); histories: (keys, target, start, end). A chapter in the history scores 6, mentions of the target with each keyword group more, two mentions 3,
-    the relation's first and last chapter of a volume 2 each. Texts meet their histories and are scored before anything is sorted.
+
+def with_hits(entries: DataFrame, names: DataFrame, words=RELATION_WORDS, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """`entries` (keys, text) with groups (which keyword groups the text has) and hits (how often each name is in it) in place of the text: each text is gone over once for all names."""
+    rows = entries.withColumn("groups", F.array(*[F.coalesce(F.col("text").rlike("|".join(w)), F.lit(False)) for _, w, _ in words]))
+    given = within_bound(names.select(F.explode("names").alias("name")), "name", most_bytes)
+    if given is not None:
+        return counted(rows, "text", given)
+    found = contained_by_runs(names.select(F.explode("names").alias("passage")).distinct().select(F.col("passage").alias("item_id"), "passage"), rows.select(F.xxhash64("text").alias("doc_id"), "text").distinct())
+    texts = rows.select(F.xxhash64("text").alias("_d"), "text").distinct()
+    times = lambda: ((F.length("text") - F.length(F.replace("text", F.col("item_id"), F.lit("")))) / F.length("item_id")).cast("bigint")
+    hits = found.join(texts, F.col("doc_id") == F.col("_d")).select("text", F.struct(F.col("item_id").alias("pattern"), times().alias("n")).alias("h")).where("h.n > 0").groupBy(F.col("text").alias("_t")).agg(F.array_sort(F.collect_list("h")).alias("hits"))
+    return rows.join(hits, F.col("text") == F.col("_t"), "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<struct<pattern:string,n:bigint>>"))).drop("text", "_t")
+
+
+def chapter_scores(entries: DataFrame, histories: DataFrame, words=RELATION_WORDS, keys: list[str] | None = None, aliases: DataFrame | None = None, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """(target, volume_id, chapter_index, score, reasons) of the chapters that a relation's history covers.
+
+    entries: (keys, chapter_index, volume_id, text); histories: (keys, target, start, end); aliases: (target, aliases), the target alone where it has none. A chapter in the history scores 6, mentions of the target by any of its
+    names with each keyword group more, two mentions 3, the relation's first and last chapter of a volume 2 each. Texts are scored before anything is joined: only counts go on.
     """
     keys = keys or []
+    targets = histories.select("target").where("trim(target) <> ''").distinct()
+    known = targets if aliases is None else targets.join(aliases, "target", "left")
+    names = alias_sets(known if aliases is not None else known.withColumn("aliases", F.array().cast("array<string>")))
+    found = with_hits(entries.select(*keys, "chapter_index", "volume_id", "text"), names, words, most_bytes)
     span = F.explode(F.sequence(F.least("start", "end"), F.greatest("start", "end")))
-    rows = histories.select(*keys, "target", span.alias("chapter_index")).distinct().join(entries, [*keys, "chapter_index"])
-    mentions = F.regexp_count("text", F.regexp_replace("target", r"([\\\[\](){}.*+?^$|])", r"\\$1"))
+    rows = histories.select(*keys, "target", span.alias("chapter_index")).distinct().join(found, [*keys, "chapter_index"]).join(names, "target")
+    mentions = F.aggregate(F.filter("hits", lambda h: F.array_contains("names", h["pattern"])), F.lit(0).cast("bigint"), lambda a, h: a + h["n"])
+    rows = rows.withColumn("_m", mentions)
+    signs = [(6, EVIDENCE, F.lit(True)), *((worth, reason, (F.col("_m") > 0) & F.get("groups", F.lit(i))) for i, (worth, _, reason) in enumerate(words)), (3, TWICE, F.col("_m") >= 2)]
+    marks = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(worth).alias("worth"), F.lit(reason).alias("reason"))) for worth, reason, c in signs]))
+    rows = rows.select(*keys, "target", "volume_id", "chapter_index", marks.alias("_marks"))
     volume = Window.partitionBy(*keys, "target", "volume_id")
-    points = F.lit(6) + F.when(mentions >= 2, 3).otherwise(0)
-    for worth, group in words:
-        points = points + F.when((mentions > 0) & F.col("text").rlike("|".join(group)), worth).otherwise(0)
-    rows = rows.select(*keys, "target", "volume_id", "chapter_index", points.alias("_points"))
-    score = F.col("_points") + F.when(F.col("chapter_index") == F.min("chapter_index").over(volume), 2).otherwise(0) + F.when(F.col("chapter_index") == F.max("chapter_index").over(volume), 2).otherwise(0)
-    return rows.select(*keys, "target", "volume_id", "chapter_index", score.alias("score"))
+    edge = lambda bound, reason: F.when(F.col("chapter_index") == bound("chapter_index").over(volume), F.struct(F.lit(2).alias("worth"), F.lit(reason).alias("reason")))
+    rows = rows.withColumn("_marks", F.concat("_marks", F.array_compact(F.array(edge(F.min, STARTS), edge(F.max, ENDS)))))
+    return rows.select(*keys, "target", "volume_id", "chapter_index", F.aggregate("_marks", F.lit(0), lambda a, m: a + m["worth"]).alias("score"), F.array_distinct(F.transform("_marks", lambda m: m["reason"])).alias("reasons"))
 
 
 def critical_chapters(scored: DataFrame, keys: list[str] | None = None, strong: int = 10, fair: int = 6, most: int = 5) -> DataFrame:
     """Of each relation and volume the first and last chapter, all from `strong` points on and the best two from `fair` on; of these the best five."""
     volume = Window.partitionBy(*(keys or []), "target", "volume_id")
     return chosen_chapters(scored, volume, strong, fair, 2, most)
+
+
+def with_context(chosen: DataFrame, chapters: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """`chosen` (keys, target, chapter_index, score, reasons) and the chapters on either side that there are (chapters: keys, chapter_index), with is_context: those score nothing and have CONTEXT as their reason."""
+    keys = keys or []
+    near = chosen.select(*keys, "target", F.explode(F.array(F.col("chapter_index") - 1, F.col("chapter_index") + 1)).alias("chapter_index")).distinct()
+    there = near.join(chapters.select(*keys, "chapter_index").distinct(), [*keys, "chapter_index"], "left_semi")
+    beside = there.join(chosen.select(*keys, "target", "chapter_index"), [*keys, "target", "chapter_index"], "left_anti")
+    own = chosen.select(*keys, "target", "chapter_index", F.col("score").cast("bigint").alias("score"), "reasons", F.lit(False).alias("is_context"))
+    return own.unionByName(beside.select(*keys, "target", "chapter_index", F.lit(0).cast("bigint").alias("score"), F.array(F.lit(CONTEXT)).alias("reasons"), F.lit(True).alias("is_context")))
+
+
+def packets(rows: DataFrame, chapters: DataFrame, own_names: DataFrame, aliases: DataFrame, keys: list[str], chars: int = 1800) -> DataFrame:
+    """`rows` (of with_context) with chapter_summary, volume_id and excerpt: the chapter's text around the names of both sides (own_names: keys, own; aliases: target, aliases; chapters: keys, chapter_index, volume_id,
+    chapter_summary, content)."""
+    names = alias_sets(rows.select("target").distinct().join(aliases, "target", "left"))
+    words = F.array_distinct(F.concat(F.coalesce("own", F.array().cast("array<string>")), F.coalesce("names", F.array("target"))))
+    met = rows.join(names, "target", "left").join(own_names, keys, "left")
+    met = met.withColumn("_words", words).drop("names", "own").join(chapters, [*keys, "chapter_index"])
+    return met.select(*rows.columns, "volume_id", "chapter_summary", excerpts(F.col("content"), F.col("_words"), chars).alias("excerpt"))

@@ -554,26 +554,59 @@ def structured_agg(spark, sf_dir):
     return found.select("book_id", F.array_join(F.transform("hit_chapters", lambda x: x.cast("string")), ",").alias("hit_chapters"), "best_evidence", "needs_fulltext", "matched_batches", "has_long", "status")
 
 
-_HISTORIES = """hist AS (SELECT DISTINCT item_id % (SELECT count(*) FROM books) + 1 AS book_id, target, unnest(range(least(x, y), greatest(x, y) + 1)) AS chapter_index FROM (SELECT item_id, lower(string_split(trim(text), ' ')[1]) AS target, item_id % 17 + 1 AS x, item_id % 29 + 1 AS y FROM benchmark))"""
-_RELATED = f"""{INDEX}, {_HISTORIES}, rr AS (SELECT book_id, target, volume_id, chapter_index, content, (length(content) - length(replace(content, target, ''))) // length(target) AS m FROM hist JOIN ci USING (book_id, chapter_index)),
-rs AS (SELECT book_id, target, volume_id, chapter_index, (6 + CASE WHEN m >= 2 THEN 3 ELSE 0 END + CASE WHEN m > 0 AND (contains(content, 'was') OR contains(content, 'ist')) THEN 6 ELSE 0 END + CASE WHEN chapter_index = min(chapter_index) OVER v THEN 2 ELSE 0 END + CASE WHEN chapter_index = max(chapter_index) OVER v THEN 2 ELSE 0 END)::BIGINT AS score
+_HISTORIES = """asked AS (SELECT item_id % (SELECT count(*) FROM books) + 1 AS book_id, item_id, lower(string_split(trim(text), ' ')[1]) AS target, lower(string_split(trim(text), ' ')[2]) AS second, string_split(trim(text), ' ')[3] AS third FROM benchmark),
+names AS (SELECT target, list_distinct(list_filter([target, trim(coalesce(arg_min(second, item_id), '')), trim(coalesce(arg_min(third, item_id), ''))], lambda x: x <> '')) AS names FROM asked GROUP BY target),
+hist AS (SELECT DISTINCT book_id, target, unnest(range(least(x, y), greatest(x, y) + 1)) AS chapter_index FROM (SELECT book_id, target, item_id % 17 + 1 AS x, item_id % 29 + 1 AS y FROM asked WHERE target <> ''))"""
+_RELATED = f"""{INDEX}, {_HISTORIES}, rr AS (SELECT book_id, target, volume_id, chapter_index, content, list_sum(list_transform(names, lambda a: (length(content) - length(replace(content, a, ''))) // length(a))) AS m FROM hist JOIN ci USING (book_id, chapter_index) JOIN names USING (target)),
+rs AS (SELECT book_id, target, volume_id, chapter_index, m, m > 0 AND (contains(content, 'was') OR contains(content, 'ist')) AS acts, chapter_index = min(chapter_index) OVER v AS starts, chapter_index = max(chapter_index) OVER v AS ends,
+  (6 + CASE WHEN m >= 2 THEN 3 ELSE 0 END + CASE WHEN acts THEN 6 ELSE 0 END + CASE WHEN starts THEN 2 ELSE 0 END + CASE WHEN ends THEN 2 ELSE 0 END)::BIGINT AS score,
+  concat_ws('；', '已识别关系证据', CASE WHEN acts THEN '存在明确互动' END, CASE WHEN m >= 2 THEN '双向提及概率较高' END, CASE WHEN starts THEN '本卷关系起点' END, CASE WHEN ends THEN '本卷关系终点' END) AS reasons
 FROM rr WINDOW v AS (PARTITION BY book_id, target, volume_id))"""
 
 
+def _relations(spark, sf_dir):
+    """(histories, aliases): every benchmark passage's first word as a relation's other side in the book of the passage's number, over chapters that the number gives; the next two words are its aliases."""
+    n, w = F.col("query_id"), F.split(F.trim("query"), " ")
+    asked = _asked(spark, sf_dir).select(n, "book_id", F.lower(w[0]).alias("target"), F.lower(F.get(w, F.lit(1))).alias("second"), F.get(w, F.lit(2)).alias("third"))
+    aliases = asked.groupBy("target").agg(F.min_by("second", "query_id").alias("a"), F.min_by("third", "query_id").alias("b")).select("target", F.array_compact(F.array("a", "b")).alias("aliases"))
+    return asked.where("target <> ''").select("book_id", "target", (n % 17 + 1).alias("start"), (n % 29 + 1).alias("end")), aliases
+
+
 def _related(spark, sf_dir):
-    """Every benchmark passage's first word as a relation's other side in the book of the passage's number, over chapters that the number gives."""
     rows = tables.with_hierarchy(tables.chapters(spark, sf_dir)).select("book_id", "chapter_index", "volume_id", F.col("content").alias("text"))
-    n = F.col("query_id")
-    histories = _asked(spark, sf_dir).select("book_id", F.lower(F.split(F.trim("query"), " ")[0]).alias("target"), (n % 17 + 1).alias("start"), (n % 29 + 1).alias("end"))
-    return relations.chapter_scores(rows, histories, ((6, ("was", "ist")),), ["book_id"]).withColumn("score", F.col("score").cast("bigint"))
+    histories, aliases = _relations(spark, sf_dir)
+    return relations.chapter_scores(rows, histories, ((6, ("was", "ist"), "存在明确互动"),), ["book_id"], aliases).withColumn("score", F.col("score").cast("bigint"))
 
 
-@query(f"WITH {_RELATED} SELECT * FROM rs")
+@query(f"WITH {_RELATED} SELECT book_id, target, volume_id, chapter_index, score, reasons FROM rs")
 def relation_scores(spark, sf_dir):
-    return _related(spark, sf_dir)
+    return _related(spark, sf_dir).withColumn("reasons", F.array_join("reasons", "；"))
+
+
+_CHOSEN = f"""{_RELATED}, f AS (SELECT *, sum(CASE WHEN score >= 6 AND score < 10 THEN 1 ELSE 0 END) OVER (PARTITION BY book_id, target, volume_id ORDER BY score DESC, chapter_index ROWS UNBOUNDED PRECEDING) AS nth, chapter_index IN (min(chapter_index) OVER v, max(chapter_index) OVER v) AS edge FROM rs WINDOW v AS (PARTITION BY book_id, target, volume_id)),
+ch AS (SELECT book_id, target, volume_id, chapter_index, score, reasons FROM f WHERE edge OR score >= 10 OR (score >= 6 AND nth <= 2) QUALIFY row_number() OVER (PARTITION BY book_id, target, volume_id ORDER BY score DESC, chapter_index) <= 5),
+near AS (SELECT DISTINCT book_id, target, chapter_index + d AS chapter_index FROM ch, (VALUES (-1), (1)) t(d)),
+cx AS (SELECT book_id, target, chapter_index, score, reasons, false AS is_context FROM ch UNION ALL SELECT book_id, target, chapter_index, 0, '邻接上下文', true FROM near SEMI JOIN ci USING (book_id, chapter_index) ANTI JOIN ch USING (book_id, target, chapter_index))"""
 
 
-@query(f"""WITH {_RELATED}, f AS (SELECT *, sum(CASE WHEN score >= 6 AND score < 10 THEN 1 ELSE 0 END) OVER (PARTITION BY book_id, target, volume_id ORDER BY score DESC, chapter_index ROWS UNBOUNDED PRECEDING) AS nth, chapter_index IN (min(chapter_index) OVER v, max(chapter_index) OVER v) AS edge FROM rs WINDOW v AS (PARTITION BY book_id, target, volume_id))
-SELECT book_id, target, volume_id, chapter_index, score FROM f WHERE edge OR score >= 10 OR (score >= 6 AND nth <= 2) QUALIFY row_number() OVER (PARTITION BY book_id, target, volume_id ORDER BY score DESC, chapter_index) <= 5""")
+@query(f"WITH {_CHOSEN} SELECT * FROM cx")
 def relation_critical(spark, sf_dir):
-    return relations.critical_chapters(_related(spark, sf_dir), ["book_id"])
+    """The critical chapters of every relation with their reasons, and the chapters beside them as context."""
+    chosen = relations.critical_chapters(_related(spark, sf_dir), ["book_id"])
+    return relations.with_context(chosen, tables.chapter_index(spark, sf_dir), ["book_id"]).withColumn("reasons", F.array_join("reasons", "；"))
+
+
+@query(f"""WITH {_CHOSEN}, k AS (SELECT cx.*, volume_id, chapter_summary, trim(content) AS t, list_distinct(list_concat([b.source], names)) AS words FROM cx JOIN names USING (target) JOIN books b USING (book_id) JOIN ci USING (book_id, chapter_index)),
+h AS (SELECT book_id, target, chapter_index, t, unnest(list_filter(words, lambda w: coalesce(trim(w), '') <> '')) AS w FROM k), sp AS (SELECT *, greatest(0, instr(t, trim(w)) - 1 - 80) AS a, least(length(t), instr(t, trim(w)) - 1 + 120) AS z FROM h WHERE instr(t, trim(w)) > 0),
+p AS (SELECT book_id, target, chapter_index, a, z, row_number() OVER (PARTITION BY book_id, target, chapter_index ORDER BY a, z) AS n, trim(substr(t, a + 1, z - a)) AS piece FROM sp), c AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY book_id, target, chapter_index ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM p WHERE piece <> ''),
+j AS (SELECT book_id, target, chapter_index, string_agg(left(piece, (240 - used)::BIGINT), chr(10) || '...' || chr(10) ORDER BY n) AS x FROM c WHERE used < 240 GROUP BY ALL)
+SELECT book_id, target, chapter_index, score, reasons, is_context, volume_id, chapter_summary, sha256(CASE WHEN EXISTS (SELECT 1 FROM sp WHERE sp.book_id = k.book_id AND sp.target = k.target AND sp.chapter_index = k.chapter_index) THEN left(trim(coalesce(x, '')), 240) ELSE left(t, 240) END) AS excerpt_sha256 FROM k LEFT JOIN j USING (book_id, target, chapter_index)""")
+def relation_packets(spark, sf_dir):
+    """The critical chapters and their context with summaries and the text around the names of both sides; a book's own name is its source."""
+    histories, aliases = _relations(spark, sf_dir)
+    chapters = tables.with_hierarchy(tables.chapters(spark, sf_dir)).select("book_id", "chapter_index", "volume_id", "chapter_summary", "content")
+    chosen = relations.critical_chapters(_related(spark, sf_dir), ["book_id"])
+    rows = relations.with_context(chosen, tables.chapter_index(spark, sf_dir), ["book_id"])
+    own = tables.with_book(tables.table(spark, sf_dir, "documents", "source").distinct()).select("book_id", F.array_compact(F.array("source")).alias("own"))
+    found = relations.packets(rows, chapters, own, aliases, ["book_id"], 240)
+    return found.withColumn("reasons", F.array_join("reasons", "；")).withColumn("excerpt_sha256", F.sha2("excerpt", 256)).drop("excerpt")
