@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkloom.operators.ranks import numbered_whole
+from inkloom.operators.ranks import numbered_whole, previous
 
 #: The summary that marks a chapter without one, and the length below which a chapter is no training row.
 NO_SUMMARY, LEAST_CHARS, TAIL_CHARS = "", 200, 600
@@ -24,9 +24,11 @@ def usable(rows: DataFrame, least_chars: int = LEAST_CHARS, no_summary: str = NO
 
 
 def with_previous_tail(rows: DataFrame, chars: int = TAIL_CHARS) -> DataFrame:
-    """`rows` with previous_tail: the last characters of the same book's previous row; empty for the first. Only tails go through the window, not texts."""
+    """`rows` with previous_tail: the last characters of the same book's previous row; empty for the first. Only tails are gathered, by stretches of a book, not texts."""
     tail = F.when(F.length("content") > chars, F.expr(f"right(content, {chars})")).otherwise(F.col("content"))
-    return rows.withColumn("_tail", tail).withColumn("previous_tail", F.coalesce(F.lag("_tail").over(Window.partitionBy("book_id").orderBy("chapter_index")), F.lit(""))).drop("_tail")
+    found = previous(rows.select("book_id", "chapter_index", tail.alias("_tail")), "book_id", "chapter_index", "_tail", "previous_tail")
+    tails = found.select(F.col("book_id").alias("_b"), F.col("chapter_index").alias("_c"), F.coalesce("previous_tail", F.lit("")).alias("previous_tail"))
+    return rows.join(tails, F.col("book_id").eqNullSafe(F.col("_b")) & (F.col("chapter_index") == F.col("_c"))).drop("_b", "_c")
 
 
 def with_prompt(rows: DataFrame) -> DataFrame:

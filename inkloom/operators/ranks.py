@@ -24,6 +24,19 @@ def numbered(df: DataFrame, key: str, order: str, name: str, width: int = 4096)
     return out.withColumn(name, F.col("_base") + F.col("_inside")).drop("_part", "_k", "_p", "_base", "_inside")
 
 
+def previous(df: DataFrame, key: str, order: str, value: str, name: str, width: int = 4096) -> DataFrame:
+    """Adds `name`: `value` of the key's row before by the integer column `order`, which no two of its rows share; null for the first.
+
+    Rows meet in stretches of `width` order values only; a stretch's first row gets the last value of the nearest stretch before that has any, and these last values are few.
+    """
+    df = df.withColumn("_part", F.floor(F.col(order) / width))
+    ends = df.groupBy(F.col(key).alias("_k"), F.col("_part").alias("_p")).agg(F.max_by(F.struct(F.col(value).alias("v")), order).alias("_end"))
+    ends = ends.select("_k", "_p", F.lag("_end").over(Window.partitionBy("_k").orderBy("_p")).alias("_before"))
+    inside = F.lag(F.struct(F.col(value).alias("v"))).over(Window.partitionBy(key, "_part").orderBy(order))
+    out = df.withColumn("_inside", inside).join(ends, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_part") == F.col("_p")))
+    return out.withColumn(name, F.coalesce("_inside", "_before")["v"]).drop("_part", "_k", "_p", "_before", "_inside")
+
+
 def numbered_whole(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Adds `name`: the row's number (from 1) among all rows by `order`. Rows are dealt over ranges of the order; only the ranges' counts are added up in one place."""
     dealt = checkpointed(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))

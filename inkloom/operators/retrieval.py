@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,20 +35,77 @@ def sparse(hits: DataFrame, most: int, query: str = "query", text: str = "text")
     return scored.withColumn("sparse_rank", F.row_number().over(order)).where(F.col("sparse_rank") <= most).select("query_id", "id", "sparse_score", "sparse_rank")
 
 
-def overlap_topk(questions: DataFrame, documents: DataFrame, most: int) -> DataFrame:
-    """(query_id, id, sparse_score, sparse_rank): for every question (query_id, query) the documents (id, text) that share most of its tokens, over all documents.
+#: What the tokens of the questions of one pass may take, and how many counts a task holds at a time.
+MOST_BYTES, MOST_COUNTS = 16 << 20, 4_000_000
+
+
+def overlap_topk(questions: DataFrame, documents: DataFrame, most: int, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """(query_id, id, sparse_score, sparse_rank): for every question (query_id, query) the documents (id, text) that share most of its tokens, over all documents; ids are never null.
 
-    Documents' distinct tokens meet the questions' on equality; shared tokens are counted before they are shuffled, as a document's tokens lie in one task.
+    Questions of `most_bytes` together at most are an inverted index in every task: a task counts shared tokens document by document and sends `most` documents a question at most. More questions meet the documents by a shuffle.
     """
     q = questions.select("query_id", overlap_tokens(F.col("query")).alias("tokens"))
-    q = q.select("query_id", F.size("tokens").alias("_all"), F.explode("tokens").alias("_token"))
-    d = documents.select("id", F.explode(overlap_tokens(F.col("text"))).alias("token"))
-    both = d.join(q, F.col("token") == F.col("_token")).groupBy("query_id", "id", "_all").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy("query_id").orderBy(F.desc("sparse_score"), "id")
+    size = q.agg(F.sum(F.aggregate("tokens", F.lit(0).cast("bigint"), lambda a, t: a + F.octet_length(t) + 16))).first()[0] or 0
+    if size > most_bytes:
+        both = shared_tokens(q, documents)
+    else:
+        rows = q.where(F.size("tokens") > 0).toArrow()
+        both = best_shared(documents, rows.column("query_id").to_pylist(), rows.column("tokens").to_pylist(), q.schema["query_id"].dataType.simpleString(), most)
     scored = both.select("query_id", "id", (F.col("n") / F.col("_all")).alias("sparse_score"))
     return scored.withColumn("sparse_rank", F.row_number().over(order)).where(F.col("sparse_rank") <= most)
 
 
+def shared_tokens(q: DataFrame, documents: DataFrame) -> DataFrame:
+    """(query_id, id, _all, n): how many tokens every question (query_id, tokens) shares with every document, where they share any; counted before the shuffle, as a document's tokens lie in one task."""
+    q = q.select("query_id", F.size("tokens").alias("_all"), F.explode("tokens").alias("_token"))
+    d = documents.select("id", F.explode(overlap_tokens(F.col("text"))).alias("token"))
+    return d.join(q, F.col("token") == F.col("_token")).groupBy("query_id", "id", "_all").agg(F.count(F.lit(1)).alias("n"))
+
+
+def best_shared(documents: DataFrame, names: list, tokens: list[list[str]], kind: str, most: int) -> DataFrame:
+    """The same of each task's `most` best documents for every question."""
+    postings: dict[str, list[int]] = {}
+    for n, own in enumerate(tokens):
+        for t in own:
+            postings.setdefault(t, []).append(n)
+    index = {t: np.array(p, np.int32) for t, p in postings.items()}
+    sizes = np.array([len(t) for t in tokens], np.int64)
+    given = documents.sparkSession.sparkContext.broadcast((names, index, sizes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, index, sizes = given.value
+        step = max(1, MOST_COUNTS // max(1, len(names)))
+        best = [np.zeros(0, np.int64)] * 3  # question, shared tokens, id
+        least = np.ones(len(names), np.int64)
+        for batch in batches:
+            ids, lists = batch.column("id").to_numpy(zero_copy_only=False), batch.column("tokens").to_pylist()
+            for start in range(0, len(ids), step):
+                some = lists[start : start + step]
+                counts = np.zeros((len(some), len(names)), np.int64)
+                for row, own in enumerate(some):
+                    found = [index[t] for t in own if t in index]
+                    if found:
+                        counts[row] = np.bincount(np.concatenate(found), minlength=len(names))
+                rows, cols = np.nonzero(counts >= least)
+                q, n, i = (np.concatenate([a, b]) for a, b in zip(best, (cols, counts[rows, cols], ids[start + rows])))
+                order = np.lexsort((i, -n, q))
+                q, n, i = q[order], n[order], i[order]
+                first = np.searchsorted(q, q)  # where each question's rows begin
+                kept = np.arange(len(q)) - first < most
+                best = [q[kept], n[kept], i[kept]]
+                held = np.bincount(best[0], minlength=len(names))
+                last = np.cumsum(held) - 1
+                least = np.where(held >= most, best[1][np.maximum(last, 0)] if len(best[1]) else 1, 1)
+        q, n, i = best
+        yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in q], QUERY_KINDS.get(kind, pa.string())), pa.array(i), pa.array(sizes[q]), pa.array(n)], ["query_id", "id", "_all", "n"])
+
+    return documents.select("id", overlap_tokens(F.col("text")).alias("tokens")).mapInArrow(run, f"query_id {kind}, id bigint, _all bigint, n bigint")
+
+
+QUERY_KINDS = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+
+
 def fused(dense_hits: DataFrame, sparse_hits: DataFrame, most: int) -> DataFrame:
     """(query_id, id, fused_score, fused_rank): both lists' points by the sum of their reciprocal ranks."""
     both = dense_hits.select("query_id", "id", F.col("rank").alias("dense_rank")).join(sparse_hits.select("query_id", "id", "sparse_rank"), ["query_id", "id"], "full")

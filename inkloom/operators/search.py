@@ -9,7 +9,7 @@ from inkloom.functions.keys import cosine
 from inkloom.functions.text import coverage, query_terms
 from inkloom.models import Embedder, Reranker, hashed_embedding, overlap_reranker
 from inkloom.operators import evidence, retrieval
-from inkloom.operators.components import checkpointed
+from inkloom.operators.components import written
 
 #: What makes a question complex for the relevance filter, and the words that a question's terms leave out.
 COMPLEX = ("为什么", "原因", "动机", "时间线", "演变", "完整", "全过程", "结局", "影响", "意义")
@@ -20,16 +20,17 @@ def hybrid(questions: DataFrame, points: DataFrame, collection: str = "chapters"
     """(query_id, id, dense_score, sparse_score, fused_score, rerank_score, final_rank) for questions (query_id, book_id, query) over points (id, book_id, text).
 
     The pool is the dense top of each question's book; its points are scored again by token overlap, both ranks are fused, the best are reranked and padded in fused order. Points meet a
-    question by an equality on the book, and only the pool's texts go on.
+    question by an equality on the book as ids and vectors; only the pool's texts are fetched. A question has one row, and so has a point.
     """
     keep, pool, few = retrieval.LIMITS[collection]
     embed = embed or hashed_embedding()
-    q = questions.select("query_id", F.col("book_id").alias("_book"), "query", embed(F.col("query")).alias("_q"))
-    met = points.withColumn("_v", embed(F.col("text"))).join(q, F.col("book_id") == F.col("_book"))
-    scored = met.select("query_id", "id", "query", "text", F.coalesce(cosine(F.col("_v"), F.col("_q")), F.lit(0.0)).alias("score"))
-    # Several branches read the pool: it is computed once.
-    dense = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= pool)
-    dense = checkpointed(dense)
+    q = questions.select("query_id", F.col("book_id").alias("_book"), embed(F.col("query")).alias("_q"))
+    met = points.select("id", "book_id", embed(F.col("text")).alias("_v")).join(q, F.col("book_id") == F.col("_book"))
+    scored = met.select("query_id", "id", F.coalesce(cosine(F.col("_v"), F.col("_q")), F.lit(0.0)).alias("score"))
+    # Ids and vectors are ranked; several branches read the pool, which is computed once and then gets its texts.
+    best = written(scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= pool))
+    asked = questions.select(F.col("query_id").alias("_asked"), "query")
+    dense = written(points.select(F.col("id").alias("_id"), "text").join(best, F.col("_id") == F.col("id")).join(asked, F.col("query_id") == F.col("_asked")).drop("_id", "_asked"))
     fused = retrieval.fused(dense, retrieval.sparse(dense, few), keep)
     texts = dense.select("query_id", "id", "score", rerank(F.col("query"), F.col("text")).alias("rerank_score"))
     best = retrieval.reranked(fused, texts, top or keep)

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
+
+from inkloom.sources.tables import scope
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -36,7 +39,12 @@ def query(sql: str | None = None) -> Callable:
     """Registers a query under its function's name, with its SQL if it has one."""
 
     def add(f: Callable) -> Callable:
-        QUERIES[f.__name__] = f
+        @wraps(f)
+        def scoped(spark, sf_dir):
+            with scope():
+                return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = scoped
         if sql:
             SQL[f.__name__] = sql
         return f

@@ -12,15 +12,15 @@ from inkloom.sources import tables
 
 
 def _plots(spark, sf_dir) -> DataFrame:
-    rows = tables.with_hierarchy(tables.chapters(spark, sf_dir).select("book_id", "chapter_index", "chapter_summary"))
+    rows = tables.with_hierarchy(tables.cards(spark, sf_dir).select("book_id", "chapter_index", "chapter_summary"))
     volume = F.floor((F.col("plot_id") - 1) / 4) + 1
     return hierarchy.plots_of(rows).withColumn("volume_id", volume)
 
 
 def _entries(spark, sf_dir) -> DataFrame:
     """Characters are languages, their chapters the documents in that language: (character_id, chapter_index, volume_id, text, chars)."""
-    rows = tables.with_hierarchy(tables.chapters(spark, sf_dir))
-    return rows.select(F.col("book_id").alias("character_id"), "chapter_index", "volume_id", F.col("content").alias("text"), F.col("word_count").alias("chars"))
+    rows = tables.with_hierarchy(tables.contents(spark, sf_dir))
+    return rows.select(F.col("book_id").alias("character_id"), "chapter_index", "volume_id", F.col("content").alias("text"), text.word_count(F.col("content")).cast("bigint").alias("chars"))
 
 
 @query("SELECT doc_id, lang, source, n_chars FROM documents ORDER BY n_chars DESC, doc_id DESC")
@@ -72,7 +72,7 @@ l AS (SELECT *, lag(tokens) OVER (PARTITION BY book_id, batch_no ORDER BY chapte
 s AS (SELECT *, sum(CASE WHEN len(tokens) > 3 AND len(prev) > 3 AND NOT list_has_any(tokens, prev) THEN 1 ELSE 0 END) OVER (PARTITION BY book_id, batch_no ORDER BY chapter_index) AS seg FROM l)
 SELECT book_id, batch_no, min(chapter_index) AS start_chapter, max(chapter_index) AS end_chapter FROM s GROUP BY book_id, batch_no, seg""")
 def stage1_segments(spark, sf_dir):
-    rows = tables.chapters(spark, sf_dir).select("book_id", "chapter_index", "chapter_summary")
+    rows = tables.cards(spark, sf_dir).select("book_id", "chapter_index", "chapter_summary")
     return hierarchy.segments(rows)
 
 
@@ -102,19 +102,19 @@ def volume_of_chapter(spark, sf_dir):
 
 @query(f"WITH {CHAPTERS} SELECT book_id, chapter_index, sha256(CASE WHEN length(content) > 6000 THEN substr(content, 1, 6000) || '...' ELSE content END) AS content_sha256 FROM chapters WHERE chapter_index BETWEEN 3 AND 13")
 def chapter_range(spark, sf_dir):
-    rows = tables.chapters(spark, sf_dir).where(F.col("chapter_index").between(3, 13))
+    rows = tables.contents(spark, sf_dir).where(F.col("chapter_index").between(3, 13))
     return rows.select("book_id", "chapter_index", F.sha2(text.truncated(F.col("content"), 6000), 256).alias("content_sha256"))
 
 
 @query(f"WITH {CHAPTERS} SELECT book_id, chapter_index, chapter_summary FROM chapters WHERE chapter_index BETWEEN greatest(1, 40 - 75) AND 40 + 75")
 def chapter_directory(spark, sf_dir):
-    return tables.chapters(spark, sf_dir).where(F.col("chapter_index").between(F.greatest(F.lit(1), F.lit(40 - 75)), F.lit(40 + 75))).select("book_id", "chapter_index", "chapter_summary")
+    return tables.cards(spark, sf_dir).where(F.col("chapter_index").between(F.greatest(F.lit(1), F.lit(40 - 75)), F.lit(40 + 75))).select("book_id", "chapter_index", "chapter_summary")
 
 
 @query(f"""WITH {CHAPTERS}, hits AS (SELECT book_id, chapter_index FROM chapters WHERE word_count > 3000), near AS (SELECT DISTINCT book_id, chapter_index + d AS chapter_index FROM hits, (VALUES (-1), (0), (1)) t(d))
 SELECT book_id, chapter_index FROM near SEMI JOIN chapters USING (book_id, chapter_index)""")
 def context_expand(spark, sf_dir):
-    rows = tables.chapters(spark, sf_dir).select("book_id", "chapter_index", "word_count")
+    rows = tables.word_counts(spark, sf_dir).select("book_id", "chapter_index", "word_count")
     return hierarchy.neighbourhood(rows.where("word_count > 3000"), rows)
 
 

@@ -136,7 +136,7 @@ def _confirmed(spark, sf_dir):
     k = F.col("query_id") % 4
     intent = F.when(k == 0, "existence_check").when(k == 1, "timeline_evolution").otherwise("general_fact")
     rows = _ranked(spark, sf_dir).select(F.col("query_id").alias("subquery_id"), "book_id", intent.alias("intent"), "source", "chapter_index", F.when(F.col("rank") % 5 == 0, "未提及").otherwise(F.col("chapter_summary")).alias("snippet"), "score", "rank")
-    return answers.confirmed(rows, tables.chapters(spark, sf_dir).select("book_id", "chapter_index", "content"))
+    return answers.confirmed(rows, tables.contents(spark, sf_dir).select("book_id", "chapter_index", "content"))
 
 
 @query(f"WITH {_CONFIRMED} SELECT query_id AS subquery_id, chapter_index, snippet AS claim, sha256(CASE WHEN trim(content) <> '' THEN trim(content) ELSE snippet END) AS excerpt_sha256, score AS confidence, nth FROM ok")
@@ -186,7 +186,7 @@ def tool_evidence(spark, sf_dir):
 SELECT DISTINCT book_id, 'chapter' AS kind, chapter_index AS place FROM e WHERE chapter_index > 0 UNION ALL SELECT DISTINCT book_id, 'plot', plot_id FROM e WHERE plot_id > 0 UNION ALL SELECT DISTINCT book_id, 'volume', volume_id FROM e WHERE volume_id > 0""")
 def coordinate_sets(spark, sf_dir):
     n = F.col("word_count")
-    rows = tables.with_hierarchy(tables.chapters(spark, sf_dir).select("book_id", "chapter_index", "word_count"))
+    rows = tables.with_hierarchy(tables.word_counts(spark, sf_dir).select("book_id", "chapter_index", "word_count"))
     rows = rows.select("book_id", F.when(n % 2 == 0, F.col("chapter_index")).alias("chapter_index"), F.when(n % 3 == 0, F.col("plot_id")).alias("plot_id"), F.when(n % 5 == 0, F.col("volume_id")).alias("volume_id"))
     return evidence.coordinates(rows, "book_id")
 

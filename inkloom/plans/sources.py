@@ -50,7 +50,7 @@ def json_records(spark, sf_dir):
   row_number() OVER (ORDER BY l, lower(src)) AS entity_id FROM (SELECT ci.*, lang AS l, source AS src FROM ci JOIN documents USING (doc_id)) GROUP BY l, lower(src)""")
 def entity_registry(spark, sf_dir):
     docs = tables.table(spark, sf_dir, "documents", "doc_id", "lang", "source")
-    core = tables.chapters(spark, sf_dir).select("doc_id", (F.col("word_count") % 2 == 0).alias("is_core"))
+    core = tables.word_counts(spark, sf_dir).select("doc_id", (F.col("word_count") % 2 == 0).alias("is_core"))
     rows = tables.chapter_index(spark, sf_dir).join(docs, "doc_id").join(core, "doc_id")
     return facts.with_ids(facts.registry(rows.select(F.col("lang").alias("entity_type"), F.col("source").alias("name"), "chapter_index", "plot_id", "is_core")))
 

@@ -85,7 +85,7 @@ def parsed_times(spark, sf_dir):
 @query(f"""WITH {CHAPTERS}, n AS (SELECT *, lead(chapter_index) OVER w AS nx, lead(chapter_summary) OVER w AS nh FROM chapters WINDOW w AS (PARTITION BY book_id ORDER BY chapter_index))
 SELECT book_id, chapter_index, chapter_index || '|' || chapter_index || '|' || nx || '|' || nx || '|' || left(sha1(trim(chapter_summary)), 16) || '|' || left(sha1(trim(nh)), 16) AS boundary FROM n WHERE nx IS NOT NULL""")
 def boundary_hashes(spark, sf_dir):
-    rows = tables.chapters(spark, sf_dir).select("book_id", "chapter_index", "chapter_summary")
+    rows = tables.cards(spark, sf_dir).select("book_id", "chapter_index", "chapter_summary")
     after = rows.select(F.col("book_id").alias("b"), (F.col("chapter_index") - 1).alias("c"), F.col("chapter_summary").alias("head"))
     both = rows.join(after, (F.col("book_id") == F.col("b")) & (F.col("chapter_index") == F.col("c")))
     at = F.col("chapter_index")
@@ -99,7 +99,7 @@ _TOKENED = f"{INDEX}, tk AS (SELECT book_id, chapter_index, [(word_count % 3)::V
 
 def _single(spark, sf_dir):
     """Every chapter as a range of its own; two neighbours share a token if their word counts are equal modulo 3."""
-    rows = tables.chapters(spark, sf_dir).select("book_id", "chapter_index", "word_count")
+    rows = tables.word_counts(spark, sf_dir).select("book_id", "chapter_index", "word_count")
     token = F.array((F.col("word_count") % 3).cast("string"))
     return rows.select("book_id", F.col("chapter_index").alias("start"), F.col("chapter_index").alias("end"), token.alias("head"), token.alias("tail"))
 
@@ -129,7 +129,7 @@ def stitched_plots(spark, sf_dir):
 g AS (SELECT DISTINCT book_id, batch_no, greatest(low, CASE WHEN s = 0 THEN low ELSE s END) AS "start", least(high, CASE WHEN e = 0 THEN high ELSE e END) AS "end" FROM ra JOIN ba USING (book_id, batch_no)), ok AS (SELECT * FROM g WHERE "start" <= "end")
 SELECT * FROM ok UNION ALL SELECT book_id, batch_no, low, high FROM ba WHERE (book_id, batch_no) NOT IN (SELECT (book_id, batch_no) FROM ok)""")
 def clamped_ranges(spark, sf_dir):
-    rows = tables.chapters(spark, sf_dir).select("book_id", "chapter_index", "word_count").withColumn("batch_no", F.floor((F.col("chapter_index") - 1) / 10))
+    rows = tables.word_counts(spark, sf_dir).select("book_id", "chapter_index", "word_count").withColumn("batch_no", F.floor((F.col("chapter_index") - 1) / 10))
     n, at = F.col("word_count"), F.col("chapter_index")
     ranges = rows.select("book_id", "batch_no", F.when(n % 5 == 0, 0).otherwise(at - n % 4).alias("start"), F.when(n % 7 == 0, 0).otherwise(at + n % 9 - 4).alias("end"))
     return hierarchy.clamped(ranges, rows.groupBy("book_id", "batch_no").agg(F.min("chapter_index").alias("low"), F.max("chapter_index").alias("high")))
@@ -183,7 +183,7 @@ def complete_sets(spark, sf_dir):
 x AS (SELECT *, regexp_extract_all(t, '[^.!?。！？]+[.!?。！？]*') AS s FROM w), y AS (SELECT *, trim(left(trim(s[1]), 120)) AS a, trim(left(trim(list_reduce(s, lambda p, q: CASE WHEN length(q) > length(p) THEN q ELSE p END)), 120)) AS b, trim(left(trim(s[-1]), 120)) AS c FROM x)
 SELECT book_id, batch_no, first_chapter, last_chapter, trim(a || CASE WHEN b NOT IN (a, '') THEN ' ' || b ELSE '' END || CASE WHEN c NOT IN (a, b, '') THEN ' ' || c ELSE '' END) AS packet FROM y""")
 def compressed_context(spark, sf_dir):
-    rows = tables.chapters(spark, sf_dir).select("book_id", "chapter_index", F.col("chapter_summary").alias("text"))
+    rows = tables.cards(spark, sf_dir).select("book_id", "chapter_index", F.col("chapter_summary").alias("text"))
     return hierarchy.compressed(rows, 5, edge_sentences())
 
 
@@ -219,7 +219,7 @@ def plot_cards(spark, sf_dir):
 
 @query(f"""WITH {CHAPTERS}, b AS (SELECT book_id, count(*) AS docs, count(*) FILTER (WHERE word_count % 2 = 0) AS headed, max(chapter_index) % 3 AS sliced FROM chapters GROUP BY 1) SELECT book_id, headed >= greatest(3, docs // 3) OR sliced <= 1 AS takes_docs FROM b""")
 def docs_or_slices(spark, sf_dir):
-    rows = tables.chapters(spark, sf_dir).select("book_id", "chapter_index", "word_count").groupBy("book_id").agg(F.count(F.lit(1)).alias("docs"), F.count_if(F.col("word_count") % 2 == 0).alias("headed"), (F.max("chapter_index") % 3).alias("sliced"))
+    rows = tables.word_counts(spark, sf_dir).select("book_id", "chapter_index", "word_count").groupBy("book_id").agg(F.count(F.lit(1)).alias("docs"), F.count_if(F.col("word_count") % 2 == 0).alias("headed"), (F.max("chapter_index") % 3).alias("sliced"))
     return rows.select("book_id", text.takes_docs(F.col("headed"), F.col("docs"), F.col("sliced")).alias("takes_docs"))
 
 
@@ -250,5 +250,5 @@ def in_list_fetch(spark, sf_dir):
     """The chapters that lists of (book, chapter) ask for; every benchmark passage's number makes one entry, some of them no chapters."""
     books = tables.with_book(tables.table(spark, sf_dir, "documents", "source").distinct()).agg(F.count(F.lit(1))).scalar()
     wanted = tables.table(spark, sf_dir, "benchmark", "item_id").select((F.col("item_id") % books + 1).alias("book_id"), (F.col("item_id") % 40 - 3).alias("chapter_index"))
-    found = jdbc.among(tables.chapters(spark, sf_dir).select("book_id", "chapter_index", "content"), wanted, ["book_id", "chapter_index"])
+    found = jdbc.among(tables.contents(spark, sf_dir).select("book_id", "chapter_index", "content"), wanted, ["book_id", "chapter_index"])
     return found.select("book_id", "chapter_index", F.sha2("content", 256).alias("content_sha256"))

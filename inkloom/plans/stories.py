@@ -242,7 +242,7 @@ _EV = f"""{INDEX}, ev AS (SELECT book_id, CASE WHEN word_count % 4 = 0 THEN 'cha
 
 def _evidence(spark, sf_dir):
     n = F.col("word_count") % 4
-    rows = tables.with_hierarchy(tables.chapters(spark, sf_dir).select("book_id", "chapter_index", "word_count"))
+    rows = tables.with_hierarchy(tables.word_counts(spark, sf_dir).select("book_id", "chapter_index", "word_count"))
     source = F.when(n == 0, "chapters").when(n == 1, "plots").when(n == 2, "volumes").otherwise("characters")
     return rows.select("book_id", source.alias("source"), F.when(n == 0, F.col("chapter_index")).alias("chapter_index"), F.when(n == 1, F.col("plot_id")).alias("plot_id"), F.when(n == 2, F.col("volume_id")).alias("volume_id"), F.col("chapter_index").alias("rank"), F.concat(F.lit("sq"), (F.col("word_count") % 3).cast("string")).alias("subquery_id"))
 
@@ -265,7 +265,7 @@ _PLACES = ["chapter_index", "plot_id", "volume_id", "start_chapter", "end_chapte
   row_number() OVER (PARTITION BY book_id ORDER BY score DESC, first_rank, st) AS nth FROM m""")
 def evidence_merge(spark, sf_dir):
     """Two passes over every book's evidence as one pool: the second finds long pieces again with a higher score and a longer text, a third finds every other piece again."""
-    summaries = tables.with_hierarchy(tables.chapters(spark, sf_dir).select("book_id", "chapter_index", "chapter_summary"))
+    summaries = tables.with_hierarchy(tables.cards(spark, sf_dir).select("book_id", "chapter_index", "chapter_summary"))
     places = summaries.select(F.col("book_id").alias("_b"), F.col("chapter_index").alias("_c"), F.col("plot_id").alias("_p"), F.substring_index("chapter_summary", " ", 1).alias("source_name"), F.col("chapter_summary").alias("snippet"))
     pool = _scored(spark, sf_dir).join(places, (F.col("book_id") == F.col("_b")) & (F.col("rank") == F.col("_c")))
     ranged = lambda c: F.when(F.col("plot_id").isNotNull(), c)
@@ -520,7 +520,7 @@ def _asked(spark, sf_dir):
 @query()
 def hybrid_search(spark, sf_dir):
     """Every benchmark passage as a question to the book of its number, over all chapters."""
-    chapters = tables.chapters(spark, sf_dir)
+    chapters = tables.contents(spark, sf_dir)
     asked = _asked(spark, sf_dir)
     found = search.hybrid(asked, chapters.select(F.col("doc_id").alias("id"), "book_id", F.col("content").alias("text")), "volumes")
     return found.select("query_id", "id", F.round("fused_score", 9).alias("fused_score"), F.round("rerank_score", 6).alias("rerank_score"), F.col("final_rank").cast("bigint").alias("final_rank"))
@@ -529,14 +529,14 @@ def hybrid_search(spark, sf_dir):
 @query()
 def deep_search(spark, sf_dir):
     """The windows, confidence and citations of every benchmark passage as a question."""
-    chapters = tables.chapters(spark, sf_dir).select(F.col("doc_id").alias("id"), "book_id", "chapter_index", F.col("content").alias("text"))
+    chapters = tables.contents(spark, sf_dir).select(F.col("doc_id").alias("id"), "book_id", "chapter_index", F.col("content").alias("text"))
     return search.research(_asked(spark, sf_dir), chapters)
 
 
 @query()
 def plot_entity_merge(spark, sf_dir):
     """The distinct capitalised words of whole chapters as named entries, with the word that follows each as an alias, merged within each plot."""
-    rows = tables.with_hierarchy(tables.chapters(spark, sf_dir).select("book_id", "chapter_index", "content"))
+    rows = tables.with_hierarchy(tables.contents(spark, sf_dir).select("book_id", "chapter_index", "content"))
     found = F.array_distinct(F.regexp_extract_all("content", F.lit(r"(\p{Lu}\p{Ll}{3,}) (\p{L}{4,})"), F.lit(0)))
     words = rows.select("book_id", "plot_id", "chapter_index", F.posexplode(found).alias("pos", "w"))
     named = words.select("book_id", "plot_id", "chapter_index", "pos", F.concat(F.substring_index("w", " ", 1), F.lit("（"), F.substring_index("w", " ", -1), F.lit("）")).alias("name"), F.concat(F.lit("seen in "), F.col("chapter_index").cast("string")).alias("description"))
@@ -547,7 +547,7 @@ def plot_entity_merge(spark, sf_dir):
 @query(f"""WITH {CHAPTERS}, b AS (SELECT book_id, (chapter_index - 1) // 5 AS batch, list(chapter_index ORDER BY chapter_index) FILTER (WHERE word_count % 3 = 0) AS hits, arg_max(chapter_summary, word_count * 1000 + chapter_index) AS ev, bool_or(word_count % 5 = 0) AS full_text, bool_or(word_count > 4000) AS has_long FROM chapters GROUP BY 1, 2)
 SELECT book_id, array_to_string(list_sort(list_distinct(flatten(list(coalesce(hits, []))))), ',') AS hit_chapters, arg_max(trim(ev), (length(trim(ev)), -batch)) AS best_evidence, bool_or(full_text) AS needs_fulltext, count(*) FILTER (WHERE hits IS NOT NULL) AS matched_batches, bool_or(has_long) AS has_long, CASE WHEN sum(coalesce(len(hits), 0)) > 0 THEN 'HIT' ELSE 'MISS' END AS status FROM b GROUP BY 1""")
 def structured_agg(spark, sf_dir):
-    c = tables.chapters(spark, sf_dir)
+    c = tables.cards(spark, sf_dir)
     hit = F.array_sort(F.collect_list(F.when(F.col("word_count") % 3 == 0, F.col("chapter_index"))))
     b = c.groupBy("book_id", F.floor((F.col("chapter_index") - 1) / 5).alias("batch")).agg(hit.alias("hit_chapters"), F.max_by("chapter_summary", F.col("word_count") * 1000 + F.col("chapter_index")).alias("best_evidence"), F.bool_or(F.col("word_count") % 5 == 0).alias("needs_fulltext"), F.bool_or(F.col("word_count") > 4000).alias("has_long"))
     found = evidence.structured(b.withColumn("status", F.when(F.size("hit_chapters") > 0, "hit").otherwise("miss")), "book_id", ["has_long"])
@@ -573,7 +573,7 @@ def _relations(spark, sf_dir):
 
 
 def _related(spark, sf_dir):
-    rows = tables.with_hierarchy(tables.chapters(spark, sf_dir)).select("book_id", "chapter_index", "volume_id", F.col("content").alias("text"))
+    rows = tables.with_hierarchy(tables.contents(spark, sf_dir)).select("book_id", "chapter_index", "volume_id", F.col("content").alias("text"))
     histories, aliases = _relations(spark, sf_dir)
     return relations.chapter_scores(rows, histories, ((6, ("was", "ist"), "存在明确互动"),), ["book_id"], aliases).withColumn("score", F.col("score").cast("bigint"))
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkloom.functions.text import word_count
 from inkloom.models import edge_sentences
+from inkloom.operators.components import written
 from inkloom.operators.ranks import numbered
 
 
@@ -21,22 +26,76 @@ def with_book(rows: DataFrame) -> DataFrame:
     return rows.join(names, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
 
 
-def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(book_id, chapter_index, doc_id, content, chapter_summary, word_count): a source is a book, its documents are its chapters.
+_scope: ContextVar[dict | None] = ContextVar("scope", default=None)
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Inside it, what `once` makes is made once."""
+    token = _scope.set({})
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+
+
+def once(name: str, sf_dir: str, make: Callable[[], DataFrame]) -> DataFrame:
+    known = _scope.get()
+    if known is None:
+        return make()
+    if (name, sf_dir) not in known:
+        known[name, sf_dir] = make()
+    return known[name, sf_dir]
+
+
+def numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(book_id, chapter_index, doc_id), written: a source is a book, its documents by id are its chapters. Only ids and sources are numbered; everything else finds its number by doc_id, which is the documents' key."""
+
+    def make() -> DataFrame:
+        rows = with_book(table(spark, sf_dir, "documents", "doc_id", "source"))
+        return written(numbered(rows, "book_id", "doc_id", "chapter_index").select("book_id", "chapter_index", "doc_id"))
+
+    return once("numbers", sf_dir, make)
+
 
-    The summary and the count are made of the whole text before the chapters are numbered: a query that needs only them sends no texts through the numbering.
-    """
-    rows = table(spark, sf_dir, "documents", "doc_id", "text", "source")
-    text = F.coalesce("text", F.lit(""))
-    rows = rows.select("doc_id", "source", text.alias("content"), edge_sentences()(text).alias("chapter_summary"), word_count(text).cast("bigint").alias("word_count"))
-    return numbered(with_book(rows), "book_id", "doc_id", "chapter_index").select("book_id", "chapter_index", "doc_id", "content", "chapter_summary", "word_count")
+def placed(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """`rows` (doc_id, ...) with the columns of `places` (doc_id, ...)."""
+    places = places.withColumnRenamed("doc_id", "_doc")
+    return rows.join(places, F.col("doc_id").eqNullSafe(F.col("_doc"))).drop("_doc")
+
+
+def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(book_id, chapter_index, doc_id, word_count)."""
+    rows = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", word_count(F.coalesce("text", F.lit(""))).cast("bigint").alias("word_count"))
+    return placed(rows, numbers(spark, sf_dir)).select("book_id", "chapter_index", "doc_id", "word_count")
+
+
+def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(book_id, chapter_index, doc_id, chapter_summary, word_count), written: what is made of a chapter's whole text, without it."""
+
+    def make() -> DataFrame:
+        text = F.coalesce("text", F.lit(""))
+        rows = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", edge_sentences()(text).alias("chapter_summary"), word_count(text).cast("bigint").alias("word_count"))
+        return written(placed(rows, numbers(spark, sf_dir)).select("book_id", "chapter_index", "doc_id", "chapter_summary", "word_count"))
+
+    return once("cards", sf_dir, make)
+
+
+def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(book_id, chapter_index, doc_id, content)."""
+    rows = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("content"))
+    return placed(rows, numbers(spark, sf_dir)).select("book_id", "chapter_index", "doc_id", "content")
+
+
+def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(book_id, chapter_index, doc_id, content, chapter_summary, word_count): the texts with their cards."""
+    rows = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("content"))
+    return placed(rows, cards(spark, sf_dir)).select("book_id", "chapter_index", "doc_id", "content", "chapter_summary", "word_count")
 
 
 def chapter_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(book_id, chapter_index, plot_id, volume_id) without the texts: five chapters a plot, four plots a volume."""
-    rows = with_book(table(spark, sf_dir, "documents", "doc_id", "source"))
-    rows = numbered(rows, "book_id", "doc_id", "chapter_index").select("book_id", "chapter_index", "doc_id")
-    return with_hierarchy(rows)
+    return with_hierarchy(numbers(spark, sf_dir))
 
 
 def with_hierarchy(rows: DataFrame, plot_chapters: int = 5, volume_plots: int = 4) -> DataFrame:
