@@ -32,10 +32,15 @@ def name_key(name: Column, lower: bool = True) -> Column:
 
 def overlap_tokens(text: Column) -> Column:
     """Distinct tokens: Latin words, CJK runs, and the character pairs inside CJK runs."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(OVERLAP_TOKEN), F.lit(0))
+    lower = F.lower(F.coalesce(text, F.lit("")))
     is_cjk = lambda w: w.rlike(f"^[{CJK}]") & (F.length(w) >= 2)
-    pairs = F.flatten(F.transform(F.filter(words, is_cjk), lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(2)))))
-    return F.array_distinct(F.concat(words, pairs))
+
+    def with_pairs(words: Column) -> Column:
+        pairs = F.flatten(F.transform(F.filter(words, is_cjk), lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(2)))))
+        # Only a text that has such characters at all is looked through word by word.
+        return F.array_distinct(F.when(F.exists(words, lambda w: w >= "\u4e00"), F.concat(words, pairs)).otherwise(words))
+
+    return F.transform(F.array(F.regexp_extract_all(lower, F.lit(OVERLAP_TOKEN), F.lit(0))), with_pairs)[0]
 
 
 def query_terms(text: Column, stopwords: list[str]) -> Column:

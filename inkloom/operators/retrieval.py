@@ -36,7 +36,7 @@ def sparse(hits: DataFrame, most: int, query: str = "query", text: str = "text")
 
 
 #: What the tokens of the questions of one pass may take, and how many counts a task holds at a time.
-MOST_BYTES, MOST_COUNTS = 16 << 20, 4_000_000
+MOST_BYTES, MOST_COUNTS = 16 << 20, 200_000
 
 
 def overlap_topk(questions: DataFrame, documents: DataFrame, most: int, most_bytes: int = MOST_BYTES) -> DataFrame:
