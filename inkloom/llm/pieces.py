@@ -4,10 +4,9 @@ Words are the text's stretches of a blank (or more) and what follows it up to th
 piece crosses into the next word, which is checked when a model is read. A word is encoded once, however often it occurs: its substrings of bounded length are exploded and joined with the piece
 table on equality, the matches are the edges of the word's lattice, and the edges, grouped by word, are folded with higher-order functions.
 
-The relational lattice (lattice) is the dealt method, and every word of up to SHORT characters goes through it; its fold follows the model's type. A unigram model's
-is Viterbi (fold_viterbi): the best score of each place over the edges that end there. A BPE
-model's encoder is not a best path but a row of merges, best score first, and Viterbi over its scores gives other ids than the model's; so there the fold
-over the same lattice merges (fold_merges): its state is the set of places where tokens end, and each step removes the place inside the best edge that spans exactly two tokens.
+The relational lattice (lattice) is the dealt method, and every word of up to SHORT characters goes through it. Its edges are folded by Viterbi (fold_viterbi): the best score of each place over the edges that end there. A unigram
+model's ids are this path. A BPE model's encoder is not a best path but a row of merges, best score first, and for many words its ids are others; so there token_ids comes from a second fold
+over the same lattice (fold_merges), whose state is the set of places where tokens end and whose steps remove the place inside the best edge that spans exactly two tokens, and the path stands beside it as path_ids (`paths`).
 Characters without a piece become their bytes' pieces. The rare words of more than SHORT characters are encoded by a helper with the same rules where they
 are met, so that no lattice grows with a text. Models whose rules are not these (a normaliser that changes characters or blanks, user-defined pieces, blanks as suffixes) are refused when read.
 
@@ -307,14 +306,16 @@ def _codes(part: str, known: dict[str, tuple[int, float]], of_bytes: list[int])
     return [known[part][0]] if part in known else [of_bytes[b] for b in part.encode("utf-8", "surrogatepass")]
 
 
-def encode_words(words: DataFrame, model: PieceModel) -> DataFrame:
-    """(at, ids) of each word of `words` (word: distinct, of 1 to SHORT characters, at: its number)."""
+def encode_words(words: DataFrame, model: PieceModel, paths: bool = False) -> DataFrame:
+    """(at, ids) of each word of `words` (word: distinct, of 1 to SHORT characters, at: its number); with `paths` also path, the ids of its best path, which a unigram model's ids are."""
     spark = words.sparkSession
     edges = lattice(words, model).withColumn("chars", model.char_table(spark).scalar())
-    if model.kind == BPE:
-        return edges.select("at", fold_merges(F.col("word"), F.col("edges"), F.col("chars"), model).alias("ids"))
+    merges = fold_merges(F.col("word"), F.col("edges"), F.col("chars"), model)
+    if model.kind == BPE and not paths:
+        return edges.select("at", merges.alias("ids"))
     scores = spark.createDataFrame(pa.table({"scores": pa.array([model.scores], pa.list_(pa.float64()))})).scalar()
-    return edges.withColumn("scores", scores).select("at", fold_viterbi(F.col("word"), F.col("edges"), F.col("chars"), model, F.col("scores")).alias("ids"))
+    best = fold_viterbi(F.col("word"), F.col("edges"), F.col("chars"), model, F.col("scores"))
+    return edges.withColumn("scores", scores).select("at", (merges if model.kind == BPE else best).alias("ids"), *([best.alias("path")] if paths else []))
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -347,9 +348,9 @@ class Numbering(dict):
         return n
 
 
-def packets(docs: DataFrame, model: PieceModel, id_col: str, text_col: str, block_bytes: int, groups: int) -> DataFrame:
+def packets(docs: DataFrame, model: PieceModel, id_col: str, text_col: str, block_bytes: int, groups: int, paths: bool) -> DataFrame:
     """(key, block, ids, payload): for each block its documents (key: the block; payload: sizes, word numbers, each word's count of parts
-    and their numbers, and the numbers, lengths and ids of long parts), and its list of parts for each word group (key: -1 - group; payload: the words' numbers and, after them, the words)."""
+    and their numbers, and the numbers, lengths and ids of long parts, with `paths` their paths' lengths and ids too), and its list of parts for each word group (key: -1 - group; payload: the words' numbers and, after them, the words)."""
     kind = docs.schema[id_col].dataType.simpleString()
     pairs, known, of_bytes, dummy, lines, longest, worst, bpe = model.pairs, model.vocabulary(), model.bytes, model.dummy_prefix, model.cut_lines, model.longest, model.worst, model.kind == BPE
     names = ["key", "block", "ids", "payload"]
@@ -366,8 +367,10 @@ def packets(docs: DataFrame, model: PieceModel, id_col: str, text_col: str, bloc
                 made.extend(map(parts.__getitem__, found))
             listed = list(parts)
             long = [i for i, w in enumerate(listed) if len(w) > SHORT or "\0" in w]  # the zero character parts the words of a list
-            codes = [merges_of(listed[i], known, of_bytes) if bpe else viterbi_of(listed[i], known, of_bytes, longest, worst) for i in long]
-            own = _blob(np.array(sizes), np.concatenate(seq), np.array(counts), np.array(made), np.array(long, np.int32), np.array([len(c) for c in codes], np.int32), np.array([t for c in codes for t in c], np.int32))
+            best = [viterbi_of(listed[i], known, of_bytes, longest, worst) for i in long] if paths or not bpe else []
+            codes = [merges_of(listed[i], known, of_bytes) for i in long] if bpe else best
+            flat = [x for c in ((codes, best) if paths else (codes,)) for x in (np.array([len(w) for w in c], np.int32), np.array([t for w in c for t in w], np.int32))]
+            own = _blob(np.array(sizes), np.concatenate(seq), np.array(counts), np.array(made), np.array(long, np.int32), *flat)
             keys, payloads = [block], [own]
             group = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % groups for w in listed), np.int64, len(listed))
             group[long] = groups
@@ -409,12 +412,12 @@ def _listed(payload: bytes) -> tuple[np.ndarray, list[str]]:
     return np.cumsum(_numbers(data[8 : 8 + 4 * n])), data[8 + 4 * n :].decode("utf-8", "surrogatepass").split("\0")
 
 
-def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 32 << 20, group_bytes: int = 6 << 20) -> DataFrame:
-    """(id, token_ids, decoded_sha256) of every row; the digest is that of the text that the ids decode to."""
+def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 32 << 20, group_bytes: int = 6 << 20, paths: bool = False) -> DataFrame:
+    """(id, token_ids, decoded_sha256) of every row; the digest is that of the text that the ids decode to. With `paths` also path_ids, the ids of the words' best paths by Viterbi."""
     total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     groups = max(1, min(MOST_GROUPS, -(-total // group_bytes)))
     # One exchange serves all three readers below: what they don't need they pass over themselves.
-    sent = packets(docs, model, id_col, text_col, block_bytes, groups).repartition(groups, "key")
+    sent = packets(docs, model, id_col, text_col, block_bytes, groups, paths).repartition(groups, "key")
     shown, skip = model.byte_table(), int(model.dummy_prefix)
     id_type = docs.schema[id_col].dataType
 
@@ -429,14 +432,16 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([pa.array(sorted(words), pa.string()), pa.array((np.int64(-1 - key) << 32) + np.arange(len(words)))], ["word", "at"])
 
     words = sent.mapInArrow(distinct, "word string, at bigint").repartition(groups, "word")
-    codes = encode_words(words, model).select((-1 - F.shiftright("at", 32)).alias("to"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).alias("no"), "ids")
+    streams = ["ids", "path"] if paths else ["ids"]
+    codes = encode_words(words, model, paths).select((-1 - F.shiftright("at", 32)).alias("to"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).alias("no"), *streams)
 
     def answer(codes: pa.Table, asked: pa.Table) -> pa.Table:
         """For each block that asked a group: the numbers, lengths and ids of its words."""
         if not codes.num_rows:
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.binary())], ["of_block", "blob"])
-        lists = codes.column("ids").combine_chunks().take(pa.array(np.argsort(codes.column("no").to_numpy())))
-        offset, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
+        order = pa.array(np.argsort(codes.column("no").to_numpy()))
+        lists = [codes.column(c).combine_chunks().take(order) for c in streams]
+        known = [(x.offsets.to_numpy().astype(np.int64), x.values.to_numpy()) for x in lists]
         # Numbers follow the order of the words, which the packed lists hold.
         place: dict[str, int] = {}
         for packed in asked.column("payload"):
@@ -446,22 +451,18 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
         for packed in asked.column("payload"):
             nth, ws = _listed(packed.as_buffer().to_pybytes())
             mine = np.array([place[w] for w in ws])
-            length = offset[mine + 1] - offset[mine]
-            ends = np.concatenate([[0], np.cumsum(length)])
-            blobs.append(_blob(np.diff(nth, prepend=0), length, flat[np.repeat(offset[mine] - ends[:-1], length) + np.arange(ends[-1])]))
+            sent_back = []
+            for offset, flat in known:
+                length = offset[mine + 1] - offset[mine]
+                ends = np.concatenate([[0], np.cumsum(length)])
+                sent_back += [length, flat[np.repeat(offset[mine] - ends[:-1], length) + np.arange(ends[-1])]]
+            blobs.append(_blob(np.diff(nth, prepend=0), *sent_back))
         return pa.table([asked.column("block").combine_chunks(), pa.array(blobs, pa.binary())], ["of_block", "blob"])
 
     answers = codes.groupBy("to").cogroup(sent.groupBy("key")).applyInArrow(answer, "of_block bigint, blob binary")
 
-    def assemble(codes: pa.Table, block: pa.Table) -> pa.Table:
-        names = ["id", "token_ids", "decoded_sha256"]
-        if block.column("key")[0].as_py() < 0:
-            return pa.table([pa.array([], block.schema.field("ids").type.value_type), pa.array([], pa.list_(pa.int32())), pa.array([], pa.string())], names)
-        row = block.slice(0, 1)
-        sizes, seq, counts, made, *long = _parts(row.column("payload")[0].as_py(), 7)
-        parts = [long]
-        for step, *more in (_parts(b, 3) for b in codes.column("blob").to_pylist()):
-            parts.append([np.cumsum(step), *more])
+    def assembled(parts: list[tuple], sizes: np.ndarray, seq: np.ndarray, counts: np.ndarray, made: np.ndarray, digests: bool) -> tuple[pa.ListArray, list[str]]:
+        """The documents' ids, and the digests of what they decode to, from the parts' numbers, lengths and ids."""
         nth, length, flat = (np.concatenate(x) for x in zip(*parts))
         begin, size = np.empty(len(nth), np.int64), np.empty(len(nth), np.int64)
         begin[nth] = np.cumsum(length, dtype=np.int64) - length
@@ -482,13 +483,30 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
             ends = np.concatenate([[0], np.cumsum(size[mine])])
             found = flat[np.repeat(begin[mine] - ends[:-1], size[mine]) + np.arange(ends[-1])]
             cuts = ends[last[low : d + 2] - last[low]].tolist()
-            digest += [hashlib.sha256(b"".join([shown[t] for t in found[a:b].tolist()])[skip:]).hexdigest() for a, b in zip(cuts, cuts[1:])]
+            if digests:
+                digest += [hashlib.sha256(b"".join([shown[t] for t in found[a:b].tolist()])[skip:]).hexdigest() for a, b in zip(cuts, cuts[1:])]
             tokens[stops[-1] : stops[-1] + len(found)] = found
             stops += [stops[-1] + c for c in cuts[1:]]
             low = d + 1
-        return pa.table([row.column("ids")[0].values, pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(tokens)), pa.array(digest, pa.string())], names)
+        return pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(tokens)), digest
 
-    out = T.StructType([T.StructField("id", id_type), T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded_sha256", T.StringType())])
+    def assemble(codes: pa.Table, block: pa.Table) -> pa.Table:
+        lists = [pa.list_(pa.int32())] * len(streams)
+        if block.column("key")[0].as_py() < 0:
+            return pa.table([pa.array([], block.schema.field("ids").type.value_type), pa.array([], lists[0]), pa.array([], pa.string()), *(pa.array([], x) for x in lists[1:])], columns)
+        row = block.slice(0, 1)
+        sizes, seq, counts, made, long, *own = _parts(row.column("payload")[0].as_py(), 5 + 2 * len(streams))
+        parts = [[(long, *own[2 * k : 2 * k + 2])] for k in range(len(streams))]
+        for step, *more in (_parts(b, 1 + 2 * len(streams)) for b in codes.column("blob").to_pylist()):
+            nth = np.cumsum(step)
+            for k, mine in enumerate(parts):
+                mine.append((nth, *more[2 * k : 2 * k + 2]))
+        ids, digest = assembled(parts[0], sizes, seq, counts, made, True)
+        return pa.table([row.column("ids")[0].values, ids, pa.array(digest, pa.string()), *(assembled(x, sizes, seq, counts, made, False)[0] for x in parts[1:])], columns)
+
+    columns = ["id", "token_ids", "decoded_sha256", *(["path_ids"] if paths else [])]
+    kinds = [id_type, T.ArrayType(T.IntegerType()), T.StringType(), *([T.ArrayType(T.IntegerType())] if paths else [])]
+    out = T.StructType([T.StructField(c, k) for c, k in zip(columns, kinds)])
     return answers.groupBy("of_block").cogroup(sent.groupBy("key")).applyInArrow(assemble, out)
 
 
@@ -504,6 +522,6 @@ def decode(rows: DataFrame, model: PieceModel, ids_col: str = "token_ids", into:
 
 
 def op4_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    """All documents' token ids, and the digest of the text they decode to."""
-    found = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), PieceModel())
-    return found.select(F.col("id").alias("doc_id"), F.size("token_ids").cast("bigint").alias("n_tokens"), "token_ids", "decoded_sha256")
+    """All documents' token ids as the model's own encoder has them, the digest of the text they decode to, and the ids of the best path through each word's lattice."""
+    found = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), PieceModel(), paths=True)
+    return found.select(F.col("id").alias("doc_id"), F.size("token_ids").cast("bigint").alias("n_tokens"), "token_ids", "decoded_sha256", "path_ids")
