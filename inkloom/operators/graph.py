@@ -65,8 +65,17 @@ def latest(rows: DataFrame, keys: list[str], version: str) -> DataFrame:
     return best.select(*keys, "_b.*")
 
 
-def resolve_nodes(wanted: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(want_id, graph_key, how): by character id; else the only stub that shares a name or alias; else a new key."""
+def resolve_nodes(wanted: DataFrame, nodes: DataFrame, scope: str | None = None) -> DataFrame:
+    """(want_id, graph_key, how): by character id; else the only stub that shares a name or alias; else a new key. With `scope` (a column of both, such as book_id) only nodes of one value of it are the same."""
+    if scope:
+        within = lambda c: F.concat_ws("\x1f", F.col(scope).cast("string"), c)
+        names = lambda df: df.withColumns({"name": within(F.col("name")), "aliases": F.transform("aliases", within)})
+        wanted, nodes = names(wanted), names(nodes)
+        of = lambda df: F.when(F.coalesce("character_id", F.lit(0)) > 0, within(F.col("character_id").cast("string")))  # noqa: E731, ARG005
+        ids = wanted.select("want_id", of(wanted).alias("_w")).join(nodes.select("graph_key", of(nodes).alias("_c")), F.col("_w") == F.col("_c")).groupBy("want_id").agg(F.min("graph_key").alias("_by_id"))
+        rest = resolve_nodes(wanted.withColumn("character_id", F.lit(0)), nodes).withColumnsRenamed({"graph_key": "_other", "how": "_how"})
+        rows = rest.join(ids, "want_id", "left")
+        return rows.select("want_id", F.coalesce("_by_id", "_other").alias("graph_key"), F.when(F.col("_by_id").isNotNull(), "id").otherwise(F.col("_how")).alias("how"))
     named = nodes.select("graph_key", F.explode(F.array_append("aliases", F.col("name"))).alias("alias"), F.col("character_id").alias("_c"))
     by_id = wanted.where("character_id > 0").join(nodes.where("character_id > 0").select(F.col("character_id").alias("_c"), "graph_key"), F.col("character_id") == F.col("_c")).groupBy("want_id").agg(F.min("graph_key").alias("by_id"))
     asked = wanted.select("want_id", F.explode(F.array_append("aliases", F.col("name"))).alias("alias"))

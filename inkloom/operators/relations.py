@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkloom.functions.text import name_key
@@ -51,6 +51,38 @@ def deduped(rows: DataFrame) -> DataFrame:
     return rows.groupBy("source_id", "target_id").agg(*[first(c).alias(c) for c in KIND], F.array_sort(F.collect_set("chapter_start")).alias("chapters"), F.min("chapter_start").alias("chapter_start"), F.max("chapter_end").alias("chapter_end"))
 
 
+def stored_rows(rows: DataFrame, lists: list[str], firsts: list[str]) -> DataFrame:
+    """(source_id, name_key, target_id, target_name, summary, lists, firsts, first_chapter, last_chapter, history) of relation rows (source_id, ord, target_id, target_name, summary, lists, firsts, history) as they are stored: one for
+    each source and name of a target (blanks and case aside).
+
+    The target is the first with an id, else the first; summaries are joined, each once; lists are united in order, each entry trimmed, once and not empty; of `firsts` the first that isn't blank counts. Histories (arrays of
+    chapter_start, chapter_end, relation_type, polarity, strength, summary) are merged as `islands` does, over all rows of the target at once; without any, the chapters are 0.
+    """
+    keys = ["source_id", "name_key"]
+    rows = rows.withColumn("name_key", name_key(F.coalesce("target_name", F.lit("")))).where("name_key <> ''")
+    # An entry of a list counts where it is first: so lists are united without a row's list being carried past that.
+    none = F.array().cast("array<string>")
+
+    def elements(c: str) -> Column:
+        given = F.array("summary") if c == "summary" else F.col(c)
+        return F.transform(F.coalesce(given, none), lambda x, i: F.struct(F.lit(c).alias("list"), F.trim(x).alias("entry"), i.alias("i")))
+
+    entries = rows.select(*keys, "ord", F.explode(F.concat(*[elements(c) for c in ["summary", *lists]])).alias("e")).where("coalesce(e.entry, '') <> ''")
+    once = entries.groupBy(*keys, "e.list", "e.entry").agg(F.min(F.struct("ord", "e.i")).alias("at"))
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col("list") == c, F.struct("at", "entry")))), lambda x: x["entry"])
+    united = once.groupBy(*keys).agg(*[listed(c).alias(c) for c in ["summary", *lists]])
+    with_id, filled = F.when(F.col("target_id") > 0, F.col("ord")), lambda c: F.when(F.coalesce(F.trim(F.col(c)), F.lit("")) != "", F.col("ord"))
+    heads = rows.groupBy(*keys).agg(
+        F.coalesce(F.min_by("target_id", with_id), F.lit(0)).alias("target_id"), F.coalesce(F.min_by("target_name", with_id), F.min_by("target_name", "ord")).alias("target_name"),
+        *[F.coalesce(F.min_by(F.trim(F.col(c)), filled(c)), F.lit("")).alias(c) for c in firsts],
+    )
+    events = islands(rows.select(*keys, F.explode("history").alias("h")).select(*keys, "h.*"), keys)
+    entry = F.struct("island", "chapter_start", "chapter_end", *KIND, F.col("first_summary").alias("summary"))
+    merged = events.groupBy(*keys).agg(F.min("chapter_start").alias("first_chapter"), F.max("chapter_end").alias("last_chapter"), F.array_sort(F.collect_list(entry)).alias("history"))
+    out = heads.join(united, keys, "left").join(merged, keys, "left")
+    return out.select(*keys, "target_id", "target_name", F.array_join(F.coalesce("summary", none), "；").alias("summary"), *[F.coalesce(c, none).alias(c) for c in lists], *firsts, F.coalesce("first_chapter", F.lit(0)).alias("first_chapter"), F.coalesce("last_chapter", F.lit(0)).alias("last_chapter"), "history")
+
+
 def emotion_scores(candidates: DataFrame, keys: list[str], least: int = 3) -> DataFrame:
     """The sum over candidates of intensity (high 3, medium 2, other 1) and confidence (high 1, low 0, other 1); groups of `least` and more stay."""
     intensity = F.when(F.col("intensity") == "high", 3).when(F.col("intensity") == "medium", 2).otherwise(1)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from inkloom.operators.components import shared_dir
 from inkloom.plans.base import EVENTS, query
 from inkloom.sources import stored, tables
+from inkloom.streaming import embeddings
 
 
 def new_store(spark) -> stored.Store:
@@ -56,3 +57,37 @@ def stored_graph(spark, sf_dir):
         stored.merge_graph(store, ends, edges, part.select("book_id", "edge_key", "chapter_start", "chapter_end", "summary")).commit()
     events = store.read("edge_events").groupBy("book_id", "edge_key").agg(F.count(F.lit(1)).alias("n_events"), F.sum("chapter_end").alias("ends"))
     return store.read("edges").join(events, ["book_id", "edge_key"]).select("book_id", "edge_key", "status", "n_events", "ends")
+
+
+@query("""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN trim(text) || ' again' ELSE trim(text) END AS text, doc_id % 7 + 1 AS book_id, lang, trim(text) AS first FROM documents WHERE doc_id % 3 <> 0),
+s AS (SELECT *, sha256('hashed-64' || chr(10) || text) AS hash FROM d) SELECT doc_id, book_id, hash FROM s WHERE text <> ''""")
+def embedding_sync(spark, sf_dir):
+    """Three uploads of documents: the English ones; all, some of them changed; without every third, which then goes."""
+    store = new_store(spark)
+    docs = tables.table(spark, sf_dir, "documents", "doc_id", "text", "lang").select((F.col("doc_id") % 7 + 1).alias("book_id"), F.col("doc_id").alias("source_id"), F.trim("text").alias("text"), "lang")
+    changed = docs.withColumn("text", F.when(F.col("source_id") % 10 == 0, F.concat("text", F.lit(" again"))).otherwise(F.col("text")))
+    for rows, reset in ((docs.where("lang = 'en'"), False), (changed, False), (changed.where("source_id % 3 <> 0"), True)):
+        embeddings.sync(store, rows.drop("lang"), reset=reset)
+    return store.read("chapters").select(F.col("source_id").alias("doc_id"), "book_id", "hash")
+
+
+@query(r"""WITH p AS (SELECT a.c_custkey AS k, (a.c_custkey - 1) // 2 % 5 AS book_id, b.c_custkey AS e, 'stub:' || ((a.c_custkey - 1) // 2 % 5) || ':' || substr(sha1(lower(regexp_replace(b.c_name, '\s+', '', 'g'))), 1, 12) AS stub FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 1 WHERE a.c_custkey % 2 = 1),
+n AS (SELECT book_id, 'character:' || book_id || ':' || k AS node_key, k AS character_id, 1 + CASE WHEN e % 4 = 2 THEN 1 ELSE 0 END AS n_edges FROM p UNION ALL SELECT book_id, stub, CASE WHEN e % 4 = 2 THEN e ELSE 0 END, 1 + CASE WHEN e % 4 = 2 THEN 1 ELSE 0 END FROM p)
+SELECT book_id::BIGINT AS book_id, node_key, character_id::BIGINT AS character_id, n_edges::BIGINT AS n_edges FROM n""")
+def subgraph_sync(spark, sf_dir):
+    """Every odd customer is synced with the next one as a mere name; then half of the others with their ids, which the stubs of their names take over."""
+    store = new_store(spark)
+    c = tables.table(spark, sf_dir, "customer", "c_custkey", "c_name")
+    n = F.col("c_custkey").cast("bigint")
+    people = c.select((F.floor((n - 1) / 2) % 5).cast("bigint").alias("book_id"), n.alias("want_id"), n.alias("character_id"), F.col("c_name").alias("name"), F.array(F.concat(F.lit(" "), F.upper("c_name"))).alias("aliases"))
+    pairs = c.where("c_custkey % 2 = 1").join(c.select((F.col("c_custkey") - 1).alias("_k")), F.col("c_custkey") == F.col("_k")).select((F.floor((n - 1) / 2) % 5).cast("bigint").alias("book_id"), n.alias("source"), (n + 1).alias("target"))
+    ends = pairs.select(F.explode(F.array("source", "target")).alias("want_id"))
+    people = people.join(ends, "want_id", "left_semi")
+    events = pairs.select("source", "target", F.lit(1).alias("chapter_start"))
+    stubs = people.withColumn("character_id", F.when(F.col("want_id") % 2 == 1, F.col("character_id")))
+    stored.sync_subgraph(store, stubs, pairs, events).commit()
+    again = pairs.where("target % 4 = 2").select("book_id", F.col("target").alias("source"), F.col("source").alias("target"))
+    known = people.join(again.select(F.explode(F.array("source", "target")).alias("want_id")), "want_id", "left_semi")
+    stored.sync_subgraph(store, known, again, again.select("source", "target", F.lit(2).alias("chapter_start"))).commit()
+    degree = store.read("edges").select("book_id", F.explode(F.array("source_key", "target_key")).alias("node_key")).groupBy("book_id", "node_key").agg(F.count(F.lit(1)).alias("n_edges"))
+    return store.read("nodes").join(degree, ["book_id", "node_key"], "left").select("book_id", "node_key", F.coalesce("character_id", F.lit(0)).alias("character_id"), F.coalesce("n_edges", F.lit(0).cast("bigint")).alias("n_edges"))

@@ -54,6 +54,35 @@ def relation_rows(spark, sf_dir):
     return found.withColumn("chapters", F.size("chapters").cast("bigint"))
 
 
+@query(f"""WITH {_ISLANDS}, rw AS (SELECT s_nationkey::BIGINT AS source_id, lower(n_name) AS name_key, l_orderkey * 10 + l_linenumber AS ord, CASE WHEN l_orderkey % 3 = 0 THEN n_nationkey ELSE 0 END::BIGINT AS target_id, CASE WHEN l_orderkey % 2 = 0 THEN lower(n_name) ELSE n_name END AS target_name,
+    CASE WHEN l_linenumber = 1 THEN 's' || (l_orderkey % 5) ELSE '' END AS summary, ['t' || l_suppkey % 7, ' t' || l_linenumber || ' ', ''] AS acts, CASE WHEN l_quantity > 25 THEN [l_returnflag, l_linestatus] END AS moods, CASE WHEN l_orderkey % 4 = 0 THEN ' d' || l_linenumber ELSE ' ' END AS stability
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON c_nationkey = n_nationkey),
+el AS (SELECT source_id, name_key, ord, 'summary' AS list, trim(summary) AS e, 0 AS i FROM rw UNION ALL SELECT source_id, name_key, ord, 'acts', trim(unnest(acts)), generate_subscripts(acts, 1) FROM rw UNION ALL SELECT source_id, name_key, ord, 'moods', trim(unnest(moods)), generate_subscripts(moods, 1) FROM rw),
+on_ AS (SELECT source_id, name_key, list, e, min(ord * 10 + i) AS place FROM el WHERE e <> '' GROUP BY ALL), li AS (SELECT source_id, name_key, string_agg(e, '；' ORDER BY place) FILTER (WHERE list = 'summary') AS summary, string_agg(e, '/' ORDER BY place) FILTER (WHERE list = 'acts') AS acts, string_agg(e, '/' ORDER BY place) FILTER (WHERE list = 'moods') AS moods FROM on_ GROUP BY ALL),
+he AS (SELECT source_id, name_key, coalesce(arg_min(target_id, CASE WHEN target_id > 0 THEN ord END), 0) AS target_id, coalesce(arg_min(target_name, CASE WHEN target_id > 0 THEN ord END), arg_min(target_name, ord)) AS target_name, coalesce(arg_min(trim(stability), CASE WHEN trim(stability) <> '' THEN ord END), '') AS stability FROM rw GROUP BY ALL),
+hi AS (SELECT source_id, lower(n_name) AS name_key, min(chapter_start) AS first_chapter, max(chapter_end) AS last_chapter, sha256(string_agg(chapter_start || '-' || chapter_end || relation_type || polarity || strength || first_summary, ';' ORDER BY island)) AS history_sha256 FROM islands JOIN nation ON n_nationkey = target_id GROUP BY ALL)
+SELECT he.*, coalesce(summary, '') AS summary, coalesce(acts, '') AS acts, coalesce(moods, '') AS moods, first_chapter, last_chapter, history_sha256 FROM he LEFT JOIN li USING (source_id, name_key) LEFT JOIN hi USING (source_id, name_key)""")
+def stored_relations(spark, sf_dir):
+    """Every line of an order as a row of a relation between nations, with overlapping histories, as the rows are stored."""
+    li = tables.table(spark, sf_dir, "lineitem", "l_orderkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus", "l_shipdate")
+    o, c, s, n = (tables.table(spark, sf_dir, *t) for t in (("orders", "o_orderkey", "o_custkey"), ("customer", "c_custkey", "c_nationkey"), ("supplier", "s_suppkey", "s_nationkey"), ("nation", "n_nationkey", "n_name")))
+    rows = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    k, line, text = F.col("l_orderkey"), F.col("l_linenumber"), lambda x: x.cast("string")
+    month = ((F.year("l_shipdate") - 1992) * 12 + F.month("l_shipdate")).cast("bigint")
+    event = F.struct(
+        month.alias("chapter_start"), (month + line % 2).cast("bigint").alias("chapter_end"), F.col("l_linestatus").alias("relation_type"), F.when(F.col("l_returnflag") == "R", "negative").when(F.col("l_returnflag") == "A", "positive").otherwise("neutral").alias("polarity"),
+        F.when(F.col("l_quantity") > 33, "high").when(F.col("l_quantity") > 16, "medium").otherwise("low").alias("strength"), F.concat(F.lit("order "), text(k)).alias("summary"),
+    )
+    rows = rows.select(
+        F.col("s_nationkey").cast("bigint").alias("source_id"), (k * 10 + line).alias("ord"), F.when(k % 3 == 0, F.col("n_nationkey")).otherwise(0).cast("bigint").alias("target_id"), F.when(k % 2 == 0, F.lower("n_name")).otherwise(F.col("n_name")).alias("target_name"),
+        F.when(line == 1, F.concat(F.lit("s"), text(k % 5))).otherwise("").alias("summary"), F.array(F.concat(F.lit("t"), text(F.col("l_suppkey") % 7)), F.concat(F.lit(" t"), text(line), F.lit(" ")), F.lit("")).alias("acts"),
+        F.when(F.col("l_quantity") > 25, F.array("l_returnflag", "l_linestatus")).alias("moods"), F.when(k % 4 == 0, F.concat(F.lit(" d"), text(line))).otherwise(" ").alias("stability"), F.array(event).alias("history"),
+    )
+    found = relations.stored_rows(rows, ["acts", "moods"], ["stability"])
+    line = lambda h: F.concat(text(h["chapter_start"]), F.lit("-"), text(h["chapter_end"]), h["relation_type"], h["polarity"], h["strength"], h["summary"])
+    return found.withColumn("history_sha256", F.sha2(F.array_join(F.transform("history", line), ";"), 256)).withColumns({c: F.array_join(c, "/") for c in ("acts", "moods")}).drop("history")
+
+
 @query("""SELECT o_custkey, sum(CASE WHEN o_totalprice > 300000 THEN 3 WHEN o_totalprice > 150000 THEN 2 ELSE 1 END + CASE WHEN o_orderpriority = '5-LOW' THEN 0 ELSE 1 END)::BIGINT AS score, count(*) AS n,
   min(year(o_orderdate))::BIGINT AS chapter_start, max(year(o_orderdate))::BIGINT AS chapter_end FROM orders GROUP BY o_custkey HAVING score >= 3""")
 def emotion_score(spark, sf_dir):

@@ -17,7 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from inkloom.operators import sync
+from inkloom.functions.keys import edge_key, graph_key
+from inkloom.functions.text import name_key
+from inkloom.operators import graph, sync
 from inkloom.operators.components import written
 
 BUCKETS = 32
@@ -159,6 +161,21 @@ class Change:
                 self._put(table, written(rows.join(units.select(UNIT).distinct(), UNIT, "left_anti").select(*rows.columns)), own)
         return self
 
+    def note(self, name: str, value: int | str) -> Change:
+        """Writes a fact about the store into the version."""
+        self.next.setdefault("notes", {})[name] = value
+        return self
+
+    def notes(self) -> dict:
+        return self.next.get("notes", {})
+
+    def exchange(self, table: str, rows: DataFrame, gone: DataFrame, keys: list[str]) -> Change:
+        """Upserts `rows` by their keys (book_id among them), and takes out the rows whose keys are in `gone`."""
+        old = [rows.select(*keys), gone.select(*keys)]
+        out = reduce(DataFrame.unionByName, old).distinct()
+        self._merged(table, rows, self._touched(*old), lambda kept: kept.join(out, keys, "left_anti").select(*kept.columns))
+        return self
+
     def commit(self) -> int:
         """Makes the version; its number. Raises Conflict if another change was first."""
         self.store._publish(self.next)
@@ -198,3 +215,35 @@ def merge_graph(store: Store, nodes: DataFrame, edges: DataFrame, events: DataFr
 def save_profiles(store: Store, profiles: DataFrame) -> Change:
     """A change that stores profiles (book_id, character_id, ...) by character, all columns replaced."""
     return store.begin().upsert("profiles", profiles, ["book_id", "character_id"])
+
+
+def sync_subgraph(store: Store, characters: DataFrame, relations: DataFrame, events: DataFrame) -> Change:
+    """A change that merges what is known of some characters into a book's graph.
+
+    characters: (book_id, want_id, character_id, name, aliases), want_id being a number within the change; relations: (book_id, source, target, ...) and events: (source, target, ...) name them by it. A character is the stored node
+    of its id, else the only stored stub that has one of its names, which then takes over the id and the names but keeps its key, so that edges stay; else it is a new node. Of a node that several characters of the change are, the one
+    with an id counts. An edge takes the place of the stored one with all its events.
+    """
+    change = store.begin()
+    stored = change.read("nodes")
+    empty = characters.sparkSession.createDataFrame([], "book_id bigint, node_key string, character_id bigint, name string, aliases array<string>")
+    known = (empty if stored is None else stored).withColumnRenamed("node_key", "graph_key")
+    tidy = lambda df: df.withColumns({"name": name_key(F.col("name")), "aliases": F.transform("aliases", lambda a: name_key(a))})
+    found = graph.resolve_nodes(tidy(characters), tidy(known), UNIT)
+    fresh = graph_key(F.col(UNIT), F.coalesce("character_id", F.lit(0)), F.col("name"))
+    placed = written(characters.join(found, "want_id").withColumn("node_key", F.when(F.col("how") == "new", fresh).otherwise(F.col("graph_key"))).drop("graph_key", "how"))
+    best = placed.groupBy(UNIT, "node_key").agg(F.max_by(F.struct("character_id", "name", "aliases"), F.struct(F.coalesce("character_id", F.lit(0)), -F.col("want_id"))).alias("b")).select(UNIT, "node_key", "b.*")
+    old = known.select(F.col(UNIT).alias("_b"), F.col("graph_key").alias("_k"), F.col("character_id").alias("_id"), F.col("name").alias("_name"), F.col("aliases").alias("_aliases"))
+    both = best.join(old, (F.col(UNIT) == F.col("_b")) & (F.col("node_key") == F.col("_k")), "left")
+    # A node with an id isn't renamed by a mention without one.
+    keeps = (F.coalesce("character_id", F.lit(0)) == 0) & (F.coalesce("_id", F.lit(0)) > 0)
+    nodes = written(both.select(UNIT, "node_key", F.when(keeps, F.col("_id")).otherwise(F.col("character_id")).alias("character_id"), F.when(keeps, F.col("_name")).otherwise(F.col("name")).alias("name"), F.array_distinct(F.concat(F.coalesce("_aliases", F.array().cast("array<string>")), "aliases")).alias("aliases")))
+    ends = placed.select("want_id", "node_key")
+    side = lambda rows, c: rows.join(ends.withColumnsRenamed({"want_id": f"_{c}", "node_key": f"{c}_key"}), F.col(c) == F.col(f"_{c}")).drop(c, f"_{c}")
+    keyed = lambda rows: side(side(rows, "source"), "target").withColumn("edge_key", edge_key(F.col("source_key"), F.col("target_key")))
+    edges = written(keyed(relations).dropDuplicates([UNIT, "edge_key"]))
+    keys = edges.select(UNIT, "edge_key")
+    lines = keyed(events).join(keys, "edge_key", "left_semi") if UNIT in events.columns else keyed(events).join(keys, "edge_key")
+    change.upsert("nodes", nodes, [UNIT, "node_key"]).upsert("edges", edges, [UNIT, "edge_key"])
+    change._merged("edge_events", lines.drop("source_key", "target_key"), change._touched(keys), lambda kept: kept.join(keys, [UNIT, "edge_key"], "left_anti").select(*kept.columns))
+    return change

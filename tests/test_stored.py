@@ -89,3 +89,42 @@ def test_edges_take_their_events_with_them(spark, store):
     stored.merge_graph(store, nodes.where("node_key = 'n1'").selectExpr("book_id", "node_key", "'z' AS name"), edges.where("edge_key = 'e1'").selectExpr("book_id", "edge_key", "'new' AS status"), events.where("chapter = 2")).commit()
     assert rows(store.read("edges"), "edge_key", "status") == [("e1", "new"), ("e2", "old")] and rows(store.read("nodes"), "name") == [("y",), ("z",)]
     assert rows(store.read("edge_events"), "edge_key", "chapter") == [("e1", 2), ("e2", 3)]
+
+
+def people(spark, *rows):
+    return spark.createDataFrame(rows, "book_id bigint, want_id bigint, character_id bigint, name string, aliases array<string>")
+
+
+def test_two_syncs_give_one_node_and_edges_stay(spark, store):
+    pairs = lambda *r: spark.createDataFrame(r, "book_id bigint, source bigint, target bigint, summary string")
+    lines = lambda *r: spark.createDataFrame(r, "source bigint, target bigint, chapter int")
+    stored.sync_subgraph(store, people(spark, (1, 1, 7, "甲", []), (1, 2, None, "阿乙", []), (2, 3, None, "阿乙", [])), pairs((1, 1, 2, "old"), (2, 3, 3, "self")), lines((1, 2, 4), (1, 2, 5))).commit()
+    stub = next(r.node_key for r in store.read("nodes").collect() if r.name == "阿乙" and r.book_id == 1)
+    assert stub.startswith("stub:1:")
+    # The mere name gets an id under another name with the old one as an alias; the other book's stub of that name stays.
+    stored.sync_subgraph(store, people(spark, (1, 1, 9, "乙姑娘", [" 阿 乙"]), (1, 2, 7, "甲", ["甲甲"])), pairs((1, 1, 2, "back")), lines((1, 2, 8))).commit()
+    nodes = {(r.book_id, r.node_key): (r.character_id, r.name) for r in store.read("nodes").collect()}
+    assert nodes[1, stub] == (9, "乙姑娘") and len(nodes) == 3 and nodes[1, "character:1:7"] == (7, "甲")
+    assert sorted((r.source_key, r.target_key, r.summary) for r in store.read("edges").where("book_id = 1").collect()) == sorted([("character:1:7", stub, "old"), (stub, "character:1:7", "back")])
+    # A mention by the new name finds the node by that name no more as a stub, but a mention with the id does; and a name alone doesn't rename it.
+    stored.sync_subgraph(store, people(spark, (1, 1, 7, "甲", []), (1, 2, 9, "乙", [])), pairs((1, 1, 2, "new")), lines((1, 2, 6))).commit()
+    assert rows(store.read("edge_events").where("book_id = 1"), "edge_key", "chapter") == sorted([(f"character:1:7|{stub}", 6), (f"{stub}|character:1:7", 8)])
+    assert {r.name for r in store.read("nodes").where(f"node_key = '{stub}'").collect()} == {"乙"}
+
+
+def test_rows_are_stored_as_one(spark):
+    from inkloom.operators import relations
+
+    kind = "source_id bigint, ord bigint, target_id bigint, target_name string, summary string, acts array<string>, stability string, history array<struct<chapter_start:bigint,chapter_end:bigint,relation_type:string,polarity:string,strength:string,summary:string>>"
+    event = lambda a, z, t="ally", s="x": (a, z, t, "positive", "high", s)
+    given = [
+        (1, 1, 0, "A b", " first ", ["x", " y ", "", None, "x"], None, [event(5, 7)]), (1, 2, 8, "a B", "first", ["z", "y"], " firm ", [event(8, 9, s="later"), event(20, 21)]), (1, 3, 9, "AB", "", None, "loose", [event(20, 21, "foe")]),
+        (1, 4, 0, "  ", "nobody", [], "", []), (1, 5, 0, None, "nobody", [], "", []), (2, 1, 0, "C", None, None, None, None),
+    ]
+    got = {(r.source_id, r.name_key): r for r in relations.stored_rows(spark.createDataFrame(given, kind), ["acts"], ["stability"]).collect()}
+    assert set(got) == {(1, "ab"), (2, "c")}
+    r = got[1, "ab"]
+    assert (r.target_id, r.target_name, r.summary, r.acts, r.stability, r.first_chapter, r.last_chapter) == (8, "a B", "first", ["x", "y", "z"], "firm", 5, 21)
+    assert [(h.chapter_start, h.chapter_end, h.relation_type) for h in r.history] == [(5, 9, "ally"), (20, 21, "ally"), (20, 21, "foe")]
+    c = got[2, "c"]
+    assert (c.target_id, c.target_name, c.summary, c.acts, c.stability, c.first_chapter, c.last_chapter, c.history) == (0, "C", "", [], "", 0, 0, None)
