@@ -97,3 +97,64 @@ def latest_asset(stored: DataFrame, new: DataFrame) -> DataFrame:
     """(book_id, asset_id, path): where a book's cover goes: the new path at its latest stored asset, or a new one (no id yet)."""
     held = stored.where("asset_type = 'cover'").groupBy("book_id").agg(F.max("asset_id").alias("asset_id")).withColumnRenamed("book_id", "_book")
     return new.join(held, F.col("book_id") == F.col("_book"), "left").select("book_id", "asset_id", "path")
+
+
+#: The lists of a chapter's index and what each says of whom it names; the lists of other names, and the keys that an entry may have.
+LISTS = (
+    ("character", "character_index", "mentioned_characters", "is_mentioned"), ("character", "character_index", "active_characters", "is_active"), ("character", "character_index", "key_dialogue_speakers", "is_dialogue_speaker"),
+    ("character", "character_index", "candidate_focus_characters", "is_focus_candidate"), ("faction", "faction_index", "mentioned_factions", "is_mentioned"), ("faction", "faction_index", "active_factions", "is_active"),
+    ("faction", "faction_index", "candidate_focus_factions", "is_focus_candidate"),
+)
+OTHER_NAMES = (
+    ("character", "character_index", "aliases_or_appellations", ("standard_name", "character_name", "name"), ("alias", "appellation", "title")),
+    ("faction", "faction_index", "faction_aliases_or_titles", ("standard_name", "faction_name", "organization_name", "name"), ("alias", "title", "appellation", "organization_alias")),
+)
+FLAGS = ("is_mentioned", "is_active", "is_dialogue_speaker", "is_focus_candidate")
+
+
+def named_in(payload: Column) -> Column:
+    """array<struct<entity_type, flag, name, alias, alias_type>> of a chapter's index, a JSON text of any shape: who is in which list, and under which other names. The index may lie under entity_index; what isn't a list is none."""
+    parsed = F.try_parse_json(payload)
+
+    def listed(v: Column, index: str, name: str) -> Column:
+        inside = lambda path: F.try_variant_get(v, path, "array<variant>")
+        own = F.try_variant_get(v, f"$.{index}", "variant")
+        return F.coalesce(F.when(own.isNotNull(), inside(f"$.{index}.{name}")).otherwise(inside(f"$.entity_index.{index}.{name}")), F.array().cast("array<variant>"))
+
+    text = lambda e, path="$": canonical(F.try_variant_get(e, path, "string"))
+    none = F.lit(None).cast("string")
+
+    def entry(kind: str, flag: Column, name: Column, alias: Column, alias_type: Column) -> Column:
+        return F.struct(F.lit(kind).alias("entity_type"), flag.alias("flag"), name.alias("name"), alias.alias("alias"), alias_type.alias("alias_type"))
+
+    def first(e: Column, keys: tuple[str, ...]) -> Column:
+        return F.coalesce(*[F.nullif(text(e, f"$.{k}"), F.lit("")) for k in keys], F.lit(""))
+
+    def other(kind: str, names: tuple[str, ...], aliases: tuple[str, ...]):
+        def of(e: Column) -> Column:
+            is_object = F.schema_of_variant(e).startswith("OBJECT")
+            alias = F.when(is_object, first(e, aliases)).otherwise(text(e))
+            name = F.when(is_object, first(e, names)).otherwise(F.lit(""))
+            kinds = F.coalesce(*[F.nullif(F.trim(F.try_variant_get(e, f"$.{k}", "string")), F.lit("")) for k in ("type", "kind")], F.lit(""))
+            return entry(kind, none, F.when(name != "", name).otherwise(alias), alias, F.when(is_object, kinds).otherwise(F.lit("")))
+
+        return of
+
+    def flagged(items: Column, kind: str, flag: str) -> Column:
+        return F.filter(F.transform(items, lambda e: entry(kind, F.lit(flag), text(e), none, none)), lambda s: s["name"] != "")
+
+    def all_of(v: Column) -> Column:
+        flags = [flagged(listed(v, index, name), kind, flag) for kind, index, name, flag in LISTS]
+        others = [F.filter(F.transform(listed(v, index, name), other(kind, names, aliases)), lambda s: s["alias"] != "") for kind, index, name, names, aliases in OTHER_NAMES]
+        return F.concat(*flags, *others)
+
+    return F.transform(F.array(parsed), all_of)[0]
+
+
+def index_mentions(chapters: DataFrame, key: str, payload: str) -> DataFrame:
+    """(key, entity_type, name_key, name, flags, source_aliases) of chapters' indexes: a row for each entity that a chapter names, as first spelled, with which lists have it and its other names in order."""
+    rows = chapters.select(key, F.posexplode(named_in(F.col(payload))).alias("at", "n")).select(key, "at", "n.*").withColumn("name_key", entity_key(F.col("name")))
+    keys = [key, "entity_type", "name_key"]
+    aliases = rows.where("alias <> ''").groupBy(*keys, "alias").agg(F.min("at").alias("at")).groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "alias"))), lambda x: x["alias"]).alias("source_aliases"))
+    found = rows.groupBy(*keys).agg(F.min_by("name", "at").alias("name"), *[F.max((F.coalesce("flag", F.lit("")) == f).cast("int")).alias(f) for f in FLAGS])
+    return found.join(aliases, keys, "left").withColumn("source_aliases", F.coalesce("source_aliases", F.array().cast("array<string>")))

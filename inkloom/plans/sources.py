@@ -63,6 +63,26 @@ def chapter_mentions(spark, sf_dir):
     return facts.mentions(rows.select(F.col("l_suppkey").alias("chapter_index"), F.col("l_returnflag").alias("name"), flag.alias("flag")))
 
 
+@query(r"""WITH d AS (SELECT doc_id, source, list_distinct(regexp_extract_all(coalesce(text, ''), '\p{Lu}\p{Ll}{3,}')) AS ws FROM documents), w AS (SELECT doc_id, unnest(ws) AS w FROM d), k AS (SELECT doc_id, w, lower(w) AS k, length(w) AS n FROM w),
+m AS (SELECT doc_id, 'character' AS entity_type, k AS name_key, 1 AS is_mentioned, (n % 2 = 0)::INT AS is_active, (n % 3 = 0)::INT AS is_dialogue_speaker, (n > 9)::INT AS is_focus_candidate, NULL AS a FROM k
+  UNION ALL SELECT doc_id, 'character', k, 0, 0, 0, 0, w || 'x' FROM k WHERE n % 5 = 0 UNION ALL SELECT doc_id, 'character', k || 'y', 0, 0, 0, 0, w || 'y' FROM k WHERE n = 7 UNION ALL SELECT doc_id, 'faction', lower(source), 1, 0, 0, 0, NULL FROM d WHERE source IS NOT NULL)
+SELECT doc_id, entity_type, name_key, max(is_mentioned) AS is_mentioned, max(is_active) AS is_active, max(is_dialogue_speaker) AS is_dialogue_speaker, max(is_focus_candidate) AS is_focus_candidate, coalesce(array_to_string(list_sort(list_distinct(list(a) FILTER (WHERE a IS NOT NULL))), '/'), '') AS aliases FROM m GROUP BY 1, 2, 3""")
+def index_mentions(spark, sf_dir):
+    """Every document's index as JSON: its capitalised words as characters in lists by their length, some with another name as an object, some as a bare one, and its source as a faction in a deeper place."""
+    docs = tables.table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    of = lambda test: F.filter("w", lambda x: test(F.length(x)))
+    named = F.transform(of(lambda n: n % 5 == 0), lambda x: F.to_json(F.struct(F.lit("  ").alias("standard_name"), F.concat(F.lit("<"), x, F.lit(">")).alias("name"), F.concat(x, F.lit("x - y")).alias("appellation"), F.lit("nick").alias("kind"))))
+    bare = F.transform(of(lambda n: n == 7), lambda x: F.to_json(F.struct(F.concat(x, F.lit("y")).alias("v"))))
+    bare = F.transform(bare, lambda x: F.regexp_extract(x, r'^\{"v":(.*)\}$', 1))
+    inner = lambda **lists: F.regexp_replace(F.to_json(F.struct(*[c.alias(k) for k, c in lists.items()])), r"\}$", "")
+    characters = F.concat(inner(mentioned_characters=F.col("w"), active_characters=of(lambda n: n % 2 == 0), key_dialogue_speakers=of(lambda n: n % 3 == 0), candidate_focus_characters=of(lambda n: n > 9)), F.lit(', "aliases_or_appellations": ['), F.array_join(F.concat(named, bare), ", "), F.lit("]}"))
+    factions = F.to_json(F.struct(F.struct(F.array_compact(F.array("source")).alias("mentioned_factions"), F.lit("no list").alias("active_factions")).alias("faction_index")))
+    rows = docs.withColumn("w", F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\p{Lu}\p{Ll}{3,}"), F.lit(0))))
+    rows = rows.select("doc_id", F.concat(F.lit('{"character_index": '), characters, F.lit(', "entity_index": '), factions, F.lit("}")).alias("payload"))
+    found = facts.index_mentions(rows, "doc_id", "payload")
+    return found.select("doc_id", "entity_type", "name_key", *facts.FLAGS, F.array_join(F.array_sort("source_aliases"), "/").alias("aliases"))
+
+
 @query("""SELECT p_partkey, 'brand' AS kind, 0 AS place, p_brand AS fact FROM part UNION ALL SELECT p_partkey, 'words', generate_subscripts(string_split(p_type, ' '), 1) - 1, unnest(string_split(p_type, ' ')) FROM part""")
 def fact_unpivot(spark, sf_dir):
     rows = tables.table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_type")
