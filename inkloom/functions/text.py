@@ -86,6 +86,25 @@ def escaped_html(text: Column) -> Column:
     return text
 
 
+#: How a claim stands out inside its excerpt, and above one that hasn't got it.
+MARK = "color:#67e8f9;font-weight:700;background:rgba(8,145,178,0.16);padding:0 0.14rem;border-radius:0.22rem;"
+HEAD = "color:#67e8f9;font-weight:700;margin-bottom:0.45rem;"
+
+
+def highlighted(excerpt: Column, claim: Column) -> Column:
+    """An excerpt as HTML with the first place of its claim marked; a claim that isn't in it stands above it."""
+    shown = lambda c: F.replace(escaped_html(trimmed(c)), F.lit("\n"), F.lit("<br>"))
+
+    def whole(pair: Column) -> Column:
+        e, c = pair["e"], pair["c"]
+        at = F.instr(e, c)
+        marked = F.concat(F.substring(e, F.lit(1), at - 1), F.lit(f'<span style="{MARK}">'), c, F.lit("</span>"), F.substring(e, at + F.length(c), F.length(e)))
+        above = F.concat(F.lit(f'<div style="{HEAD}">'), c, F.lit("</div><div>"), e, F.lit("</div>"))
+        return F.when((e == "") | (c == ""), e).when(at > 0, marked).otherwise(above)
+
+    return F.transform(F.array(F.struct(shown(excerpt).alias("e"), shown(claim).alias("c"))), whole)[0]
+
+
 def question(text: Column) -> Column:
     """A trimmed question, ended by a question mark."""
     clean = trimmed(text)

@@ -146,15 +146,33 @@ def answers(found: DataFrame) -> DataFrame:
     return rows.select("query_id", summary.alias("summary"), F.concat(F.lit("总述："), summary, F.lit("\n\n"), "body").alias("answer"))
 
 
-def packets(evidence: DataFrame, most: int = 4, chars: int = 320, hits: int = 8) -> DataFrame:
-    """(query_id, evidence, chapter_hits) of evidence (query_id, rank, source, chapter_index, snippet, score): the first four pieces with short snippets, and the first eight chapters."""
-    order = Window.partitionBy("query_id").orderBy("rank")
-    rows = evidence.withColumn("_n", F.row_number().over(order))
-    few = F.struct(F.col("_n").alias("nth"), "source", "chapter_index", F.substring(F.trim("snippet"), 1, chars).alias("snippet"), "score")
-    first = rows.where(F.col("_n") <= most).groupBy("query_id").agg(F.sort_array(F.collect_list(few)).alias("evidence"))
-    seen = rows.where("chapter_index > 0").groupBy("query_id", "chapter_index").agg(F.min("_n").alias("_n")).withColumn("_k", F.row_number().over(Window.partitionBy("query_id").orderBy("_n"))).where(F.col("_k") <= hits)
-    listed = seen.groupBy(F.col("query_id").alias("_q")).agg(F.transform(F.sort_array(F.collect_list(F.struct("_k", "chapter_index"))), lambda s: s["chapter_index"]).alias("chapter_hits"))
-    return first.join(listed, F.col("query_id") == F.col("_q"), "left").select("query_id", "evidence", F.coalesce("chapter_hits", F.array().cast("array<bigint>")).alias("chapter_hits"))
+def packets(evidence: DataFrame, confirmed: DataFrame | None = None, grounding: DataFrame | None = None, most: int = 4, chars: int = 320, hits: int = 8, sure: int = 6) -> DataFrame:
+    """(query_id, evidence, confirmed, chapter_hits, plot_hits, volume_hits, grounding): what a search hands on, kept short.
+
+    evidence: (query_id, rank, source, chapter_index, plot_id, volume_id, source_name, snippet, score): the first four pieces, their snippets cut, and the first eight places of each kind in order of rank, repeated ones too;
+    confirmed: (query_id, subquery_id, label, chapter_index, source_name, claim, excerpt, confidence, nth): the first six by part and place; grounding: (query_id, applied, entity_type, source_ids, reason, selected): with eight ids and
+    three chosen names at most.
+    """
+    by_rank = Window.partitionBy("query_id").orderBy("rank")
+    ordered = lambda c, keep: F.slice(F.transform(F.sort_array(F.collect_list(c)), lambda x: x["v"]), 1, keep)
+    places = {c: f"_n_{c}" for c in ("chapter_index", "plot_id", "volume_id")}
+    rows = evidence.withColumn("_n", F.row_number().over(by_rank))
+    # Of each kind only the first few are gathered.
+    rows = rows.withColumns({n: F.count(F.when(F.col(c) > 0, 1)).over(by_rank.rowsBetween(Window.unboundedPreceding, 0)) for c, n in places.items()})
+    few = F.struct("source", "chapter_index", "plot_id", "volume_id", F.coalesce("source_name", F.lit("")).alias("source_name"), F.substring(F.coalesce("snippet", F.lit("")), 1, chars).alias("snippet"), "score")
+    first = lambda c: ordered(F.when((F.col(c) > 0) & (F.col(places[c]) <= hits), F.struct("_n", F.col(c).alias("v"))), hits)
+    out = rows.groupBy("query_id").agg(
+        ordered(F.when(F.col("_n") <= most, F.struct("_n", few.alias("v"))), most).alias("evidence"), first("chapter_index").alias("chapter_hits"), first("plot_id").alias("plot_hits"), first("volume_id").alias("volume_hits")
+    )
+    if confirmed is not None:
+        good = F.struct("subquery_id", F.coalesce("label", F.lit("")).alias("label"), "chapter_index", F.coalesce("source_name", F.lit("")).alias("source_name"), F.coalesce("claim", F.lit("")).alias("claim"), F.coalesce("excerpt", F.lit("")).alias("excerpt"), "confidence")
+        kept = confirmed.withColumn("_k", F.row_number().over(Window.partitionBy("query_id").orderBy("subquery_id", "nth"))).where(F.col("_k") <= sure)
+        lists = kept.groupBy(F.col("query_id").alias("_q")).agg(ordered(F.struct("_k", good.alias("v")), sure).alias("confirmed"))
+        out = out.join(lists, F.col("query_id") == F.col("_q"), "left").drop("_q")
+    if grounding is not None:
+        short = F.struct(F.coalesce("applied", F.lit(False)).alias("applied"), F.coalesce("entity_type", F.lit("")).alias("entity_type"), F.slice("source_ids", 1, hits).alias("source_ids"), F.coalesce("reason", F.lit("")).alias("reason"), F.slice("selected", 1, 3).alias("selected"))
+        out = out.join(grounding.select(F.col("query_id").alias("_g"), short.alias("grounding")), F.col("query_id") == F.col("_g"), "left").drop("_g")
+    return out
 
 
 def searches(text: Column) -> Column:

@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 from inkloom.operators.components import components
 
 
+def valid_characters(rows: DataFrame) -> DataFrame:
+    """Characters (character_id, name, need_delete) that have an id and a name and aren't to be deleted."""
+    return rows.where((F.coalesce(F.lower("need_delete"), F.lit("")) != "yes") & (F.col("character_id") > 0) & (F.trim(F.coalesce("name", F.lit(""))) != ""))
+
+
+def with_single_record(rows: DataFrame, records: DataFrame) -> DataFrame:
+    """The rows (character_id) that have exactly one of the records (character_id, record), equal ones counting once."""
+    sole = records.distinct().groupBy(F.col("character_id").alias("_c")).agg(F.count(F.lit(1)).alias("_n")).where("_n = 1")
+    return rows.join(sole, F.col("character_id") == F.col("_c"), "left_semi")
+
+
 def alias_components(items: DataFrame) -> DataFrame:
     """(item_id, component) of `items` (item_id, aliases): items that share an alias, directly or over others, are one; a component's id is its smallest item.
 

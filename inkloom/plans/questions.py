@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from inkloom.functions.text import highlighted
 from inkloom.functions.text import question as ended
 from inkloom.operators import answers, evidence, planner, rounds, search
+from inkloom.operators.components import written
 from inkloom.plans.base import CHAPTERS, INDEX, MESSAGES, query
 from inkloom.plans.stories import _SPARSE, _sparse
 from inkloom.sources import tables
@@ -116,18 +118,12 @@ _RANKED = f"{CHAPTERS}, {_SPARSE}, ev AS (SELECT query_id, sparse_rank AS rank,
 def _ranked(spark, sf_dir):
     """What every benchmark passage finds, as evidence in order."""
     rows = tables.chapters(spark, sf_dir).select("doc_id", "book_id", "chapter_index", "content", "chapter_summary")
-    hits = _sparse(spark, sf_dir).join(rows, F.col("id") == F.col("doc_id"))
+    found = tables.once("sparse", sf_dir, lambda: written(_sparse(spark, sf_dir)))  # several uses of it read it
+    hits = found.join(rows, F.col("id") == F.col("doc_id"))
     source = F.when(F.col("sparse_rank") % 3 == 0, "chapter_summaries").otherwise("chapters")
     return hits.select("query_id", F.col("sparse_rank").cast("bigint").alias("rank"), source.alias("source"), "book_id", "chapter_index", "content", "chapter_summary", F.round("sparse_score", 6).alias("score"))
 
 
-@query(f"""WITH {_RANKED}, f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM ev), c AS (SELECT query_id, chapter_index, min(n) AS n FROM f GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY min(n)) <= 8)
-SELECT query_id, (SELECT string_agg(source || ' ' || chapter_index || ' ' || left(trim(chapter_summary), 320), '; ' ORDER BY n) FROM f WHERE n <= 4 AND f.query_id = q.query_id) AS evidence, (SELECT string_agg(chapter_index::VARCHAR, ',' ORDER BY n) FROM c WHERE c.query_id = q.query_id) AS chapter_hits FROM (SELECT DISTINCT query_id FROM f) q""")
-def search_packets(spark, sf_dir):
-    found = answers.packets(_ranked(spark, sf_dir).select("query_id", "rank", "source", "chapter_index", F.col("chapter_summary").alias("snippet"), "score"))
-    return found.select("query_id", F.array_join(F.transform("evidence", lambda e: F.concat_ws(" ", e["source"], e["chapter_index"].cast("string"), e["snippet"])), "; ").alias("evidence"), F.array_join(F.transform("chapter_hits", lambda x: x.cast("string")), ",").alias("chapter_hits"))
-
-
 _CONFIRMED = f"""{_RANKED}, g AS (SELECT query_id, book_id, chapter_index, content, CASE query_id % 4 WHEN 0 THEN 'existence_check' WHEN 1 THEN 'timeline_evolution' ELSE 'general_fact' END AS intent, CASE WHEN rank % 5 = 0 THEN '未提及' ELSE chapter_summary END AS snippet, score, rank FROM ev WHERE source = 'chapters'),
 ok AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS nth FROM g WHERE snippet <> '' AND NOT contains(snippet, '未提及') QUALIFY nth <= CASE query_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 2 END)"""
 
@@ -144,6 +140,39 @@ def confirmed_chapters(spark, sf_dir):
     return _confirmed(spark, sf_dir).withColumn("excerpt_sha256", F.sha2("excerpt", 256)).drop("excerpt")
 
 
+@query(f"""WITH {_CONFIRMED}, f AS (SELECT *, CASE WHEN rank % 3 = 1 THEN (chapter_index - 1) // 5 + 1 END AS plot_id, CASE WHEN rank % 4 = 1 THEN (chapter_index - 1) // 20 + 1 END AS volume_id FROM ev),
+h AS (SELECT query_id, (list(chapter_index ORDER BY rank))[:8] AS c, coalesce((list(plot_id ORDER BY rank) FILTER (WHERE plot_id > 0))[:8], []) AS p, coalesce((list(volume_id ORDER BY rank) FILTER (WHERE volume_id > 0))[:8], []) AS v, (list_sort(list(DISTINCT book_id)))[:8] AS ids, count(DISTINCT book_id) = 1 AS applied FROM f GROUP BY 1),
+e AS (SELECT query_id, string_agg(source || ' ' || chapter_index || ' ' || coalesce(plot_id::VARCHAR, '-') || ' ' || coalesce(volume_id::VARCHAR, '-') || ' ' || split_part(chapter_summary, ' ', 1) || ' ' || left(chapter_summary, 320), '; ' ORDER BY rank) AS evidence FROM f WHERE rank <= 4 GROUP BY 1),
+k AS (SELECT query_id, string_agg(query_id || ' ' || chapter_index || ' ' || snippet || ' ' || sha256(CASE WHEN trim(content) <> '' THEN trim(content) ELSE snippet END), '; ' ORDER BY nth) AS confirmed FROM ok GROUP BY 1)
+SELECT h.query_id, evidence, coalesce(confirmed, '') AS confirmed, array_to_string(c, ',') AS chapter_hits, array_to_string(p, ',') AS plot_hits, array_to_string(v, ',') AS volume_hits, applied, array_to_string(ids, ',') AS source_ids FROM h JOIN e USING (query_id) LEFT JOIN k USING (query_id)""")
+def search_packets(spark, sf_dir):
+    """What every benchmark passage's search hands on: evidence, confirmed chapters, places, and the books that it was found in as its grounding."""
+    ranked = _ranked(spark, sf_dir)
+    at, n = F.col("chapter_index"), F.col("rank")
+    rows = ranked.select("query_id", n, "source", "book_id", at, F.when(n % 3 == 1, F.floor((at - 1) / 5) + 1).alias("plot_id"), F.when(n % 4 == 1, F.floor((at - 1) / 20) + 1).alias("volume_id"), F.substring_index("chapter_summary", " ", 1).alias("source_name"), F.col("chapter_summary").alias("snippet"), "score")
+    sure = _confirmed(spark, sf_dir).select(F.col("subquery_id").alias("query_id"), "subquery_id", F.lit("").alias("label"), "chapter_index", F.lit("").alias("source_name"), "claim", F.sha2("excerpt", 256).alias("excerpt"), "confidence", "nth")
+    ids = F.array_sort(F.collect_set("book_id"))
+    homes = rows.groupBy("query_id").agg(ids.alias("source_ids"), (F.count_distinct("book_id") == 1).alias("applied")).select("query_id", "applied", F.lit("books").alias("entity_type"), "source_ids", F.lit("").alias("reason"), F.transform("source_ids", lambda x: x.cast("string")).alias("selected"))
+    found = answers.packets(rows, sure, homes)
+    text = lambda x: F.coalesce(x.cast("string"), F.lit("-"))
+    shown = F.transform("evidence", lambda e: F.concat_ws(" ", e["source"], text(e["chapter_index"]), text(e["plot_id"]), text(e["volume_id"]), e["source_name"], e["snippet"]))
+    kept = F.transform("confirmed", lambda c: F.concat_ws(" ", text(c["subquery_id"]), text(c["chapter_index"]), c["claim"], c["excerpt"]))
+    listed = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return found.select("query_id", F.array_join(shown, "; ").alias("evidence"), F.coalesce(F.array_join(kept, "; "), F.lit("")).alias("confirmed"), *[listed(c).alias(c) for c in ("chapter_hits", "plot_hits", "volume_hits")], "grounding.applied", listed("grounding.source_ids").alias("source_ids"))
+
+
+_SAFE = lambda c: f"replace(replace(replace(replace(replace(replace(trim({c}, chr(10) || chr(13) || chr(9) || ' '), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;'), chr(10), '<br>')"
+
+
+@query(f"""WITH {_CONFIRMED}, x AS (SELECT query_id, chapter_index, {_SAFE("CASE WHEN trim(content) <> '' THEN trim(content) ELSE snippet END")} AS e, {_SAFE("split_part(snippet, '.', 1)")} AS c FROM ok)
+SELECT query_id, chapter_index, sha256(CASE WHEN e = '' OR c = '' THEN e WHEN contains(e, c) THEN left(e, instr(e, c) - 1) || '<span style="color:#67e8f9;font-weight:700;background:rgba(8,145,178,0.16);padding:0 0.14rem;border-radius:0.22rem;">' || c || '</span>' || substr(e, instr(e, c) + length(c))
+  ELSE '<div style="color:#67e8f9;font-weight:700;margin-bottom:0.45rem;">' || c || '</div><div>' || e || '</div>' END) AS html_sha256 FROM x""")
+def highlighted_excerpts(spark, sf_dir):
+    """The excerpts of confirmed chapters as HTML, with the claim's first sentence marked."""
+    found = _confirmed(spark, sf_dir)
+    return found.select(F.col("subquery_id").alias("query_id"), "chapter_index", F.sha2(highlighted(F.col("excerpt"), F.substring_index("claim", ".", 1)), 256).alias("html_sha256"))
+
+
 @query(f"""WITH {_CONFIRMED}, se AS (SELECT query_id // 3 AS query_id, query_id AS subquery_id, string_agg('Chapter ' || chapter_index, ', ' ORDER BY nth) AS cited, list(snippet ORDER BY nth) AS sn, query_id % 5 > 0 AS resolved FROM ok GROUP BY ok.query_id),
 tx AS (SELECT query_id, subquery_id, resolved, 'L' || subquery_id || '：' || chr(10) || CASE WHEN resolved THEN sn[1] ELSE '证据不足，暂时无法稳定回答这一子问题。' END || CASE WHEN NOT resolved THEN chr(10) || '补充依据：' || sn[1] WHEN len(sn) > 1 THEN chr(10) || '补充依据：' || sn[2] ELSE '' END || chr(10) || '定位：' || cited || CASE WHEN NOT resolved THEN chr(10) || '状态：证据不足' ELSE '' END AS text FROM se),
 an AS (SELECT query_id, bool_or(resolved) AS any_, bool_and(resolved) AS all_, coalesce(string_agg('L' || subquery_id, '、' ORDER BY subquery_id) FILTER (WHERE resolved), '') AS labels, string_agg(text, chr(10) || chr(10) ORDER BY subquery_id) AS body FROM tx GROUP BY 1)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from inkloom.functions import text
 from inkloom.models import edge_sentences
-from inkloom.operators import graph, hierarchy, states, sync
+from inkloom.operators import entities, graph, hierarchy, states, sync
 from inkloom.plans.base import CHAPTERS, INDEX, VOLUMES, query
 from inkloom.sources import jdbc, tables
 
@@ -165,10 +165,9 @@ def listed_books(spark, sf_dir):
 @query("SELECT c_custkey FROM customer WHERE c_acctbal <= 5000 AND c_custkey > 0 AND trim(c_name) <> '' AND c_custkey IN (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(DISTINCT year(o_orderdate)) = 1)")
 def single_record_people(spark, sf_dir):
     """Valid characters (not to be deleted, with id and name) that have one record only; a record is a year with orders."""
-    people = tables.table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_acctbal").withColumn("need_delete", F.when(F.col("c_acctbal") > 5000, "yes").otherwise("no"))
-    valid = people.where("need_delete <> 'yes' AND c_custkey > 0 AND trim(c_name) <> ''")
-    records = tables.table(spark, sf_dir, "orders", "o_custkey", "o_orderdate").groupBy("o_custkey").agg(F.count_distinct(F.year("o_orderdate")).alias("n")).where("n = 1")
-    return valid.join(records, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
+    people = tables.table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_acctbal").select(F.col("c_custkey").alias("character_id"), F.col("c_name").alias("name"), F.when(F.col("c_acctbal") > 5000, "yes").otherwise("no").alias("need_delete"))
+    records = tables.table(spark, sf_dir, "orders", "o_custkey", "o_orderdate").select(F.col("o_custkey").alias("character_id"), F.year("o_orderdate").alias("record"))
+    return entities.with_single_record(entities.valid_characters(people), records).select(F.col("character_id").alias("c_custkey"))
 
 
 @query("SELECT l_suppkey, bool_and(l_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')) AS complete FROM lineitem GROUP BY 1")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkloom.operators import sessions, sync
@@ -25,6 +25,17 @@ def append_messages(messages: DataFrame, path: str) -> None:
     sessions.sanitised(messages).write.mode("append").parquet(path)
 
 
+def log_page(query: Column, status: Column, confidence: Column, answer: Column, citations: Column) -> Column:
+    """A search's result as a page of Markdown; parts without content are left out."""
+    line = lambda head, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"- {head}: "), c))
+    facts = F.concat_ws("\n", line("status", status), line("confidence", confidence.cast("string")), line("citations", F.array_join(citations, ", ")))
+    part = lambda head, c: F.when(F.coalesce(F.trim(c), F.lit("")) != "", F.concat(F.lit(f"## {head}\n\n"), F.trim(c)))
+    return F.concat(F.concat_ws("\n\n", F.concat(F.lit("# "), F.regexp_replace(F.trim(query), "\\s+", " ")), F.nullif(facts, F.lit("")), part("Answer", answer)), F.lit("\n"))
+
+
 def append_log(results: DataFrame, path: str) -> None:
-    """Search results as JSON lines, a folder for each day."""
-    results.withColumn("day", F.current_date()).write.mode("append").partitionBy("day").json(path)
+    """Search results (request_id, query, status, confidence, answer, citations, ...) as JSON lines and as pages of Markdown, a folder for each day."""
+    rows = results.withColumn("day", F.current_date())
+    rows.write.mode("append").partitionBy("day").json(f"{path}/json")
+    page = log_page(*[F.col(c) for c in ("query", "status", "confidence", "answer", "citations")])
+    rows.select("day", page.alias("page")).write.mode("append").partitionBy("day").option("lineSep", "\n---\n").text(f"{path}/markdown")
