@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from inkloom.operators import cells
 from inkloom.operators.components import shared_dir
 from inkloom.plans.base import EVENTS, query
 from inkloom.sources import stored, tables
@@ -91,3 +92,12 @@ def subgraph_sync(spark, sf_dir):
     stored.sync_subgraph(store, known, again, again.select("source", "target", F.lit(2).alias("chapter_start"))).commit()
     degree = store.read("edges").select("book_id", F.explode(F.array("source_key", "target_key")).alias("node_key")).groupBy("book_id", "node_key").agg(F.count(F.lit(1)).alias("n_edges"))
     return store.read("nodes").join(degree, ["book_id", "node_key"], "left").select("book_id", "node_key", F.coalesce("character_id", F.lit(0)).alias("character_id"), F.coalesce("n_edges", F.lit(0).cast("bigint")).alias("n_edges"))
+
+
+@query("""WITH d AS (SELECT q.vec_id AS query_id, p.vec_id AS id, round(list_cosine_similarity(p.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS s FROM embeddings q JOIN embeddings p ON q.label = p.label AND q.vec_id % 20 = 0)
+SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank, round(s, 6) + 0.0 AS score FROM d QUALIFY rank <= 10""")
+def dense_cells(spark, sf_dir):
+    """Every twentieth vector's nearest ones of its label, by cells that can hold them."""
+    rows = tables.table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label").select(F.col("vec_id").alias("id"), F.col("label").alias("book_id"), F.col("embedding").alias("vector"))
+    found = cells.dense(rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), "book_id", "vector"), cells.index(rows), 10)
+    return found.select("query_id", "id", F.col("rank").cast("bigint").alias("rank"), (F.round("score", 6) + 0.0).alias("score"))
