@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from inkloom.functions.text import highlighted
 from inkloom.functions.text import question as ended
 from inkloom.operators import answers, evidence, planner, rounds, search
-from inkloom.operators.components import written
 from inkloom.plans.base import CHAPTERS, INDEX, MESSAGES, query
 from inkloom.plans.stories import _SPARSE, _sparse
 from inkloom.sources import tables
@@ -118,8 +117,7 @@ _RANKED = f"{CHAPTERS}, {_SPARSE}, ev AS (SELECT query_id, sparse_rank AS rank,
 def _ranked(spark, sf_dir):
     """What every benchmark passage finds, as evidence in order."""
     rows = tables.chapters(spark, sf_dir).select("doc_id", "book_id", "chapter_index", "content", "chapter_summary")
-    found = tables.once("sparse", sf_dir, lambda: written(_sparse(spark, sf_dir)))  # several uses of it read it
-    hits = found.join(rows, F.col("id") == F.col("doc_id"))
+    hits = _sparse(spark, sf_dir).join(rows, F.col("id") == F.col("doc_id"))
     source = F.when(F.col("sparse_rank") % 3 == 0, "chapter_summaries").otherwise("chapters")
     return hits.select("query_id", F.col("sparse_rank").cast("bigint").alias("rank"), source.alias("source"), "book_id", "chapter_index", "content", "chapter_summary", F.round("sparse_score", 6).alias("score"))
 
@@ -281,7 +279,8 @@ def round_parts(spark, sf_dir):
     asked = tables.table(spark, sf_dir, "benchmark", "item_id", "text").join(home, n == F.col("query_id")).drop("query_id")
     question = F.floor(n / 3)
     budget = planner.budget(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: kind(question * 3 + i)), F.lit(4), F.lit(1))
-    return asked.select(question.alias("query_id"), n.alias("part_id"), (n % 3).alias("priority"), (n % 2 == 0).alias("explicit"), F.col("_book").alias("book_id"), kind(n).alias("intent"), F.col("text").alias("question"), (budget["tool_calls"] - 3).cast("bigint").alias("tool_calls"), budget["fulltext_windows"].cast("bigint").alias("fulltext_windows")), hits
+    parts = asked.select(question.alias("query_id"), n.alias("part_id"), (n % 3).alias("priority"), (n % 2 == 0).alias("explicit"), F.col("_book").alias("book_id"), kind(n).alias("intent"), F.col("text").alias("question"), (budget["tool_calls"] - 3).cast("bigint").alias("tool_calls"), budget["fulltext_windows"].cast("bigint").alias("fulltext_windows"))
+    return parts, hits
 
 
 @query()

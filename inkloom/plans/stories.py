@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from inkloom.functions import keys, text
 from inkloom.operators import dataset, entities, entries, evidence, graph, profiles, ranks, relations, retrieval, search, sessions, sync
+from inkloom.operators.components import written
 from inkloom.plans.base import CHAPTERS, EVENTS, INDEX, MESSAGES, query
 from inkloom.sources import tables
 
@@ -212,9 +213,13 @@ s AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sparse_score D
 
 
 def _sparse(spark, sf_dir):
-    """Every benchmark passage as a question to all documents."""
-    q = tables.table(spark, sf_dir, "benchmark", "item_id", "text").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return retrieval.overlap_topk(q, tables.table(spark, sf_dir, "documents", "doc_id", "text").withColumnRenamed("doc_id", "id"), 25)
+    """Every benchmark passage as a question to all documents; written, as most queries use it more than once."""
+
+    def make():
+        q = tables.table(spark, sf_dir, "benchmark", "item_id", "text").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+        return written(retrieval.overlap_topk(q, tables.table(spark, sf_dir, "documents", "doc_id", "text").withColumnRenamed("doc_id", "id"), 25))
+
+    return tables.once("sparse", sf_dir, make)
 
 
 @query(f"WITH {_SPARSE} SELECT * FROM s")
