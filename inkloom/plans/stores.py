@@ -94,8 +94,8 @@ def subgraph_sync(spark, sf_dir):
     return store.read("nodes").join(degree, ["book_id", "node_key"], "left").select("book_id", "node_key", F.coalesce("character_id", F.lit(0)).alias("character_id"), F.coalesce("n_edges", F.lit(0).cast("bigint")).alias("n_edges"))
 
 
-@query("""WITH d AS (SELECT q.vec_id AS query_id, p.vec_id AS id, round(list_cosine_similarity(p.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS s FROM embeddings q JOIN embeddings p ON q.label = p.label AND q.vec_id % 20 = 0)
-SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank, round(s, 6) + 0.0 AS score FROM d QUALIFY rank <= 10""")
+@query("""WITH d AS (SELECT q.vec_id AS query_id, p.vec_id AS id, list_cosine_similarity(p.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s FROM embeddings q JOIN embeddings p ON q.label = p.label AND q.vec_id % 20 = 0)
+SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, id) AS rank, round(s, 6) + 0.0 AS score FROM d QUALIFY rank <= 10""")
 def dense_cells(spark, sf_dir):
     """Every twentieth vector's nearest ones of its label, by cells that can hold them."""
     rows = tables.table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label").select(F.col("vec_id").alias("id"), F.col("label").alias("book_id"), F.col("embedding").alias("vector"))
