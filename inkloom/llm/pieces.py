@@ -247,7 +247,8 @@ def fold_viterbi(word: Column, edges: Column, chars: Column, model: PieceModel,
 
     def place(state: Column, j: Column) -> Column:
         wide = F.transform(F.filter(edges, lambda e: _end(e) == j), lambda e: F.struct(_start(e).alias("from"), F.array(_id(e)).alias("ids"), F.get(scores, _id(e)).alias("w")))
-        single = let(char_codes(word, j - 1, chars, model), lambda c: F.struct((j - 1).alias("from"), c.alias("ids"), F.when(is_piece(word, j - 1, chars), F.get(scores, c[0])).otherwise(F.lit(model.worst)).alias("w")))
+        # A character's bytes are only made where it is no piece.
+        single = let(F.coalesce(F.get(chars, F.ascii(F.substring(word, j, F.lit(1)))), F.lit(-1)), lambda i: F.struct((j - 1).alias("from"), F.when(i >= 0, F.array(i)).otherwise(char_codes(word, j - 1, chars, model)).alias("ids"), F.when(i >= 0, F.get(scores, i)).otherwise(F.lit(model.worst)).alias("w")))
         ways = F.transform(F.array_append(wide, single), lambda e: F.struct((F.get(state, e["from"])["score"] + e["w"]).alias("score"), (-e["from"]).alias("s"), e["from"].alias("from"), e["ids"].alias("ids")))
         return let(F.array_max(ways), lambda w: F.array_append(state, F.struct(w["score"].alias("score"), F.concat(F.get(state, w["from"])["ids"], w["ids"]).alias("ids")).cast(best)))
 
@@ -255,11 +256,6 @@ def fold_viterbi(word: Column, edges: Column, chars: Column, model: PieceModel,
     return F.element_at(F.aggregate(F.sequence(F.lit(1), n), empty, place), -1)["ids"]
 
 
-def is_piece(word: Column, at: Column, chars: Column) -> Column:
-    code = F.conv(F.hex(F.encode(F.substring(word, at + 1, F.lit(1)), "utf-32")), 16, 10).cast("int")
-    return F.coalesce(F.get(chars, code), F.lit(-1)) >= 0
-
-
 def merges_of(word: str, known: dict[str, tuple[int, float]], of_bytes: list[int]) -> list[int]:
     """fold_merges for words of any length, with a heap."""
     n = len(word)
