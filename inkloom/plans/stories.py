@@ -59,7 +59,7 @@ def relation_rows(spark, sf_dir):
     CASE WHEN l_linenumber = 1 THEN 's' || (l_orderkey % 5) ELSE '' END AS summary, ['t' || l_suppkey % 7, ' t' || l_linenumber || ' ', ''] AS acts, CASE WHEN l_quantity > 25 THEN [l_returnflag, l_linestatus] END AS moods, CASE WHEN l_orderkey % 4 = 0 THEN ' d' || l_linenumber ELSE ' ' END AS stability
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON c_nationkey = n_nationkey),
 el AS (SELECT source_id, name_key, ord, 'summary' AS list, trim(summary) AS e, 0 AS i FROM rw UNION ALL SELECT source_id, name_key, ord, 'acts', trim(unnest(acts)), generate_subscripts(acts, 1) FROM rw UNION ALL SELECT source_id, name_key, ord, 'moods', trim(unnest(moods)), generate_subscripts(moods, 1) FROM rw),
-on_ AS (SELECT source_id, name_key, list, e, min(ord * 10 + i) AS place FROM el WHERE e <> '' GROUP BY ALL), li AS (SELECT source_id, name_key, string_agg(e, '；' ORDER BY place) FILTER (WHERE list = 'summary') AS summary, string_agg(e, '/' ORDER BY place) FILTER (WHERE list = 'acts') AS acts, string_agg(e, '/' ORDER BY place) FILTER (WHERE list = 'moods') AS moods FROM on_ GROUP BY ALL),
+on_ AS (SELECT source_id, name_key, list, e, min(ord * 10 + i) AS place FROM el WHERE e <> '' GROUP BY ALL), li AS (SELECT source_id, name_key, string_agg(e, '；' ORDER BY place, e) FILTER (WHERE list = 'summary') AS summary, string_agg(e, '/' ORDER BY place, e) FILTER (WHERE list = 'acts') AS acts, string_agg(e, '/' ORDER BY place, e) FILTER (WHERE list = 'moods') AS moods FROM on_ GROUP BY ALL),
 he AS (SELECT source_id, name_key, coalesce(arg_min(target_id, CASE WHEN target_id > 0 THEN ord END), 0) AS target_id, coalesce(arg_min(target_name, CASE WHEN target_id > 0 THEN ord END), arg_min(target_name, ord)) AS target_name, coalesce(arg_min(trim(stability), CASE WHEN trim(stability) <> '' THEN ord END), '') AS stability FROM rw GROUP BY ALL),
 hi AS (SELECT source_id, lower(n_name) AS name_key, min(chapter_start) AS first_chapter, max(chapter_end) AS last_chapter, sha256(string_agg(chapter_start || '-' || chapter_end || relation_type || polarity || strength || first_summary, ';' ORDER BY island)) AS history_sha256 FROM islands JOIN nation ON n_nationkey = target_id GROUP BY ALL)
 SELECT he.*, coalesce(summary, '') AS summary, coalesce(acts, '') AS acts, coalesce(moods, '') AS moods, first_chapter, last_chapter, history_sha256 FROM he LEFT JOIN li USING (source_id, name_key) LEFT JOIN hi USING (source_id, name_key)""")
@@ -140,7 +140,7 @@ def alias_components(spark, sf_dir):
 @query(f"""WITH RECURSIVE {_ITEMS}, pairs AS (SELECT DISTINCT item_id, unnest(aliases) AS alias FROM items), edges AS (SELECT DISTINCT a.item_id AS a, b.item_id AS b FROM pairs a JOIN pairs b USING (alias)),
 reach(item_id, r) AS (SELECT item_id, item_id FROM items UNION SELECT e.b, reach.r FROM reach JOIN edges e ON e.a = reach.item_id AND reach.r < e.b), comp AS (SELECT item_id, min(r) AS component FROM reach GROUP BY item_id),
 al AS (SELECT component, alias, min(item_id * 10 + pos) AS place FROM (SELECT item_id, unnest(aliases) AS alias, generate_subscripts(aliases, 1) AS pos FROM items) JOIN comp USING (item_id) GROUP BY component, alias)
-SELECT component, (SELECT name FROM items WHERE item_id = component) AS name, (SELECT count(*) FROM comp c WHERE c.component = al.component) AS n_items, sha256(string_agg(alias, '/' ORDER BY place)) AS aliases_sha256 FROM al GROUP BY component""")
+SELECT component, (SELECT name FROM items WHERE item_id = component) AS name, (SELECT count(*) FROM comp c WHERE c.component = al.component) AS n_items, sha256(string_agg(alias, '/' ORDER BY place, e)) AS aliases_sha256 FROM al GROUP BY component""")
 def alias_merge(spark, sf_dir):
     items = _items(spark, sf_dir)
     found = entities.merged(items, entities.alias_components(items))
