@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkloom.functions.names import BRIDGE_QUOTES, BRIDGES, HONORIFICS, TITLES, root, tight
 from inkloom.operators.components import components
-from inkloom.operators.evidence import contained
+from inkloom.operators.evidence import GRAMS, beginning, begun, contained
 
 
 def _names(items: DataFrame) -> DataFrame:
@@ -28,15 +28,27 @@ def shared_roots(items: DataFrame, titles: tuple[str, ...] = HONORIFICS) -> Data
 def bridged(items: DataFrame) -> DataFrame:
     """(source_id, target_id): the item whose records (records: array<struct<chapter, text>>) name the other one after a bridge such as `called`, bare or quoted.
 
-    Every name with every bridge is a passage, and passages meet the records as `contained` does.
+    What follows a bridge, or a bridge and an opening quote, meets the names by `begun`; after a quoted name its closing quote follows.
     """
-    names = _names(items).select(F.col("item_id").alias("target_id"), F.trim("name").alias("target"))
-    forms = F.array(*[F.concat(F.lit(b + q), F.col("target"), F.lit(BRIDGE_QUOTES[q])) for b in BRIDGES for q in BRIDGE_QUOTES])
-    forms = names.select("target_id", F.explode(forms).alias("passage"))
-    texts = items.select(F.col("item_id").alias("doc_id"), F.explode("records").alias("r")).select("doc_id", F.trim("r.text").alias("text")).where("text <> ''")
-    held = contained(forms.select(F.col("passage").alias("item_id"), "passage").distinct(), texts)
-    met = held.select(F.col("item_id").alias("passage"), F.col("doc_id").alias("source_id")).join(forms, "passage")
-    return met.where("source_id != target_id").select("source_id", "target_id").distinct()
+    names = _names(items).select(F.col("item_id").alias("target_id"), F.trim("name").alias("passage"))
+    records = items.select(F.col("item_id").alias("source_id"), F.explode("records").alias("r")).select("source_id", F.trim("r.text").alias("text")).where("text <> ''")
+    texts = records.select(F.col("text").alias("doc_id"), "text").distinct()
+    # Where a bridge ends, a piece does; the pieces' lengths give the places.
+    pieces = F.split("text", "(?<=" + "|".join(BRIDGES) + ")")
+    ends = F.aggregate(F.transform(pieces, F.length), F.array(F.lit(1)), lambda a, n: F.array_append(a, F.element_at(a, -1) + n))
+    after = texts.select("doc_id", "text", F.explode(F.slice(ends, 2, F.size(ends) - 2)).alias("at"))
+    one = F.col("text").substr(F.col("at"), F.lit(1))
+    quoted = F.array(*[F.when(one == q if q else F.lit(True), F.struct((F.col("at") + len(q)).alias("at"), F.lit(BRIDGE_QUOTES[q]).alias("close"))) for q in BRIDGE_QUOTES])
+    places = after.select("doc_id", "text", F.explode(F.array_compact(quoted)).alias("p")).select("doc_id", "text", "p.at", "p.close")
+    whole = names.select(F.col("passage").alias("item_id"), "passage").distinct().withColumn("_k", beginning())
+    met = None
+    for k in GRAMS:
+        starts = places.where(F.length("text") - F.col("at") + 1 >= k).select("doc_id", "at", F.col("text").substr(F.col("at"), F.lit(k)).alias("start")).distinct()
+        found = begun(starts, whole.where(F.col("_k") == k), texts, k).select("doc_id", "at", "passage")
+        met = found if met is None else met.unionByName(found)
+    closed = met.join(places.select("doc_id", "at", "close"), ["doc_id", "at"]).where(F.col("doc_id").substr(F.col("at") + F.length("passage"), F.length("close")) == F.col("close"))
+    held = closed.select(F.col("doc_id").alias("text"), "passage").distinct()
+    return held.join(records, "text").join(names, "passage").where("source_id != target_id").select("source_id", "target_id").distinct()
 
 
 def groups(items: DataFrame) -> DataFrame:
