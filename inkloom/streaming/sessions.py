@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,19 +26,17 @@ def sessions(events: DataFrame, gap: str = "10 minutes", late: str = "1 hour") -
 
 
 def due(events: DataFrame, more_than: int = 10) -> DataFrame:
-    """(user_id, upto, n): a row whenever a user has more than that many events since the last row; the count is kept as state."""
+    """(user_id, upto, n): a row whenever a user has more than that many events since the last row; the count is kept as state.
+
+    A run's events of a user come in several parts and in any order. They count by event_id, so their ids, and nothing else of them, are held and sorted together.
+    """
 
     def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = state.get[0] if state.exists else 0
-        out = []
-        for pdf in batches:
-            for event in sorted(pdf["event_id"]):
-                held += 1
-                if held > more_than:
-                    out.append((key[0], event, held))
-                    held = 0
-        state.update((held,))
-        yield pd.DataFrame(out, columns=["user_id", "upto", "n"])
+        ids = np.sort(np.concatenate([pdf["event_id"].to_numpy() for pdf in batches]))
+        upto = ids[more_than - held :: more_than + 1]
+        state.update(((held + len(ids)) % (more_than + 1),))
+        yield pd.DataFrame({"user_id": key[0], "upto": upto, "n": more_than + 1})
 
     return events.select("user_id", "event_id").groupBy("user_id").applyInPandasWithState(step, "user_id bigint, upto bigint, n bigint", "held bigint", "append", "NoTimeout")
 

@@ -3,6 +3,7 @@
 import json
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from inkloom.operators import dataset, entities, evidence, graph, hierarchy, profiles, ranks, relations, retrieval, sessions, sync
@@ -194,6 +195,16 @@ def test_streams(spark, small, tmp_path):
     assert rows and all(r.ended > r.started and r.n >= 1 for r in rows)
 
 
+def test_summaries_of_users_with_many_events(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    ids = list(range(30_000))
+    random.Random(3).shuffle(ids)
+    pd.DataFrame({"event_id": ids, "ts": pd.Timestamp("2024-01-01"), "user_id": [i % 2 for i in ids], "event_type": "view", "value": 1.0, "props": "{}"}).to_parquet(tmp_path / "in" / "events.parquet", coerce_timestamps="us")
+    streams.run_once(streams.due(streams.read(spark, str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "state"))
+    got = sorted((r.user_id, r.upto, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == sorted((u, own[k], 11) for u in (0, 1) for own in [sorted(i for i in ids if i % 2 == u)] for k in range(10, len(own), 11))
+
+
 def test_hybrid_search(spark):
     from inkloom.operators import search
 
