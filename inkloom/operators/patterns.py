@@ -1,7 +1,7 @@
 """Many fixed strings in many texts: one automaton over all of them finds every pattern in one pass over a text.
 
 The patterns go to every task as a broadcast, if they are MOST_BYTES at most, which is checked before; a larger set has another way, for which the caller falls back on a shuffle. A task holds the automaton (about 40 times its patterns),
-a batch of texts and one text's hits.
+a batch of texts, and as Python objects SLICE of its texts with their hits at a time.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MOST_BYTES = 16 << 20
+#: How many rows of a batch are Python objects at a time: a batch's texts and what is found in them take many times its size.
+SLICE = 256
 HITS = pa.list_(pa.struct([("pattern", pa.string()), ("n", pa.int64())]))
 
 
@@ -52,8 +54,10 @@ def counted(rows: DataFrame, text: str, patterns: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = automaton_of(given.value)
         for batch in batches:
-            hits = [[] if t is None else [{"pattern": p, "n": n} for p, n in sorted(counts(t, automaton).items())] for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hits, HITS)], ["row", "hits"])
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                hits = [[] if t is None else [{"pattern": p, "n": n} for p, n in sorted(counts(t, automaton).items())] for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hits, HITS)], ["row", "hits"])
 
     keep = [c for c in rows.columns if c not in (text, "hits")]
     packed = rows.select(F.struct(*keep).alias("row"), F.col(text).alias("text"))

@@ -47,3 +47,18 @@ def test_relations_count_all_names_and_give_reasons(spark):
     summaries = entries.select("book_id", "chapter_index", "volume_id", F.lit("s").alias("chapter_summary"), F.col("text").alias("content"))
     packs = relations.packets(near, summaries, spark.createDataFrame([(1, ["合作"])], "book_id int, own array<string>"), aliases, ["book_id"], 9)
     assert {r.excerpt for r in packs.where("target = '阿明' AND chapter_index = 4").collect()} == {"明哥合作\n...\n"}
+
+
+def test_slices_of_batches(spark, monkeypatch):
+    from inkloom.operators import retrieval
+
+    monkeypatch.setattr(patterns, "SLICE", 3)
+    monkeypatch.setattr(retrieval, "MOST_DOCUMENTS", 3)
+    rows = [(k, " ".join(f"w{(k * j) % 11}" for j in range(6))) for k in range(40)]
+    docs = spark.createDataFrame(rows, "id bigint, text string").coalesce(1)
+    got = {r.id: {h.pattern: h.n for h in r.hits} for r in patterns.counted(docs, "text", ["w1", "w3"]).collect()}
+    assert got == {k: {p: t.count(p) for p in ("w1", "w3") if p in t} for k, t in rows}
+    found = [(r.query_id, r.id, r.n) for r in retrieval.best_shared(docs, [1, 2], [["w1", "w3", "w5"], ["w10"]], "bigint", 5).collect()]
+    shared = [(q, k, len(set(words) & set(t.split()))) for q, words in ((1, ["w1", "w3", "w5"]), (2, ["w10"])) for k, t in rows]
+    expected = [x for q in (1, 2) for x in sorted((s for s in shared if s[0] == q and s[2]), key=lambda s: (-s[2], s[1]))[:5]]
+    assert sorted(found) == sorted(expected)
