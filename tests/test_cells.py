@@ -35,3 +35,14 @@ def test_the_given_vectors(spark, small):
     rows = tables.table(spark, small, "embeddings", "vec_id", "embedding", "label").select(F.col("vec_id").alias("id"), F.col("label").alias("book_id"), F.col("embedding").alias("vector"))
     queries = rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), "book_id", "vector")
     assert rows_of(cells.dense(queries, cells.index(rows), 10)) == rows_of(retrieval.dense(queries, rows, 10))
+
+
+def test_blocks_and_parts(spark, monkeypatch):
+    monkeypatch.setattr(cells, "BLOCK", 7)
+    monkeypatch.setattr(cells, "PART", 3)
+    draw = random.Random(6)
+    points = [(i, i % 2, [float(draw.randrange(-3, 4)) for _ in range(4)]) for i in range(200)]
+    given = spark.createDataFrame(points, "id bigint, book_id int, vector array<double>")
+    queries = given.where("id < 20").select(F.col("id").alias("query_id"), "book_id", "vector")
+    for most in (1, 5, 150):
+        assert rows_of(cells.dense(queries, cells.index(given, cells=3), most)) == rows_of(retrieval.dense(queries, given, most))
