@@ -281,6 +281,23 @@ def test_similar_components(spark, leaders):
     assert {r.key: least[r.root] for r in found} == labels_of([i for i, _ in rows], similar_texts)
 
 
+def test_links_of_a_large_band(spark, monkeypatch):
+    monkeypatch.setattr(similar, "bands", lambda found: np.ones(1, np.uint64))
+    rng = random.Random(4)
+    texts = [[f"v{rng.randrange(9000)}" for _ in range(100)] for _ in range(40)]
+    for k in range(4):
+        edited = list(texts[k])
+        edited[30] = edited[70] = f"new{k}"
+        texts.append(edited)
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "key bigint, text string")
+    for leaders in (1, 2):
+        found = similar.similar_components(docs, leaders).collect()
+        groups = {}
+        for r in found:
+            groups.setdefault(r.root, []).append(r.key)
+        assert sorted(sorted(g) for g in groups.values() if len(g) > 1) == [[k, 40 + k] for k in range(4)]
+
+
 def test_pipeline_removes_edited_copies(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
