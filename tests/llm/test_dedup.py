@@ -298,6 +298,32 @@ def test_links_of_a_large_band(spark, monkeypatch):
         assert sorted(sorted(g) for g in groups.values() if len(g) > 1) == [[k, 40 + k] for k in range(4)]
 
 
+def test_strangers_of_a_band(spark, monkeypatch):
+    """Texts of one band that are just too far apart meet once, by their parities, and not with their shingles."""
+    monkeypatch.setattr(similar, "bands", lambda found: np.ones(1, np.uint64))
+    monkeypatch.setattr(similar, "SHARE", 7)
+    rng, compared = random.Random(5), []
+    base = [f"v{k}" for k in range(200)]
+    texts = [base] + [[f"new{k}x{i}" if rng.random() < (0.01 if k % 2 else 0.05) else w for i, w in enumerate(base)] for k in range(40)]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "key bigint, text string")
+    sets = {k: shingles(" ".join(t)) for k, t in enumerate(texts)}
+    close = lambda a, b: 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))
+    verified = similar.verified
+    monkeypatch.setattr(similar, "verified", lambda pairs, of: (compared.append(pairs.count()), verified(pairs, of))[1])
+    found = similar.similar_components(docs, 1).collect()
+    least = {}
+    for r in found:
+        least[r.root] = min(least.get(r.root, r.key), r.key)
+    assert {r.key: least[r.root] for r in found} == labels_of(list(sets), close)
+    linked = sum(close(a, b) for a in sets for b in sets if a < b)
+    assert len(compared) == 2 and sum(compared) <= linked + 60 < 41 * 40 // 2
+    for _ in range(50):
+        a, b = rng.sample(sorted(sets), 2)
+        x, y = (np.array(sorted({hash(s) % 2**32 for s in sets[k]}), np.uint32) for k in (a, b))
+        apart = sum(int(u).bit_count() for u in (similar.parity(x) ^ similar.parity(y)).view(np.uint64))
+        assert apart <= len(np.setxor1d(x, y))
+
+
 def test_pipeline_removes_edited_copies(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
