@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 def salvaged(raw: Column, opening: str = "{", closing: str = "}") -> Column:
     """The stretch from the first opening to the last closing bracket, without code fences around it."""
-    return F.regexp_extract(F.coalesce(raw, F.lit("")), rf"(?s)(\{opening}.*\{closing})", 1)
+    text = F.coalesce(raw, F.lit(""))
+    # A text in brackets is its own stretch.
+    return F.when(text.startswith(opening) & text.endswith(closing), text).otherwise(F.regexp_extract(text, rf"(?s)(\{opening}.*\{closing})", 1))
 
 
 def parsed(raw: Column, schema: str) -> Column:

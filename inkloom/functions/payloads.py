@@ -34,7 +34,7 @@ def clean(text: Column) -> Column:
 
 def fields(raw: Column, *names: str) -> Column:
     """The named fields of a JSON object as raw texts; all null for what is no object."""
-    return F.from_json(F.nullif(salvaged(raw), F.lit("")), "struct<" + ",".join(f"`{n}`:string" for n in names) + ">")
+    return F.from_json(salvaged(raw), "struct<" + ",".join(f"`{n}`:string" for n in names) + ">")
 
 
 def first_text(of: Column, names: tuple[str, ...]) -> Column:
@@ -54,7 +54,7 @@ def texts(raw: Column) -> Column:
 
 def integer(raw: Column, other: Column) -> Column:
     """A whole number that is not 0, else another one."""
-    return F.coalesce(F.nullif(F.trim(raw).try_cast("bigint"), F.lit(0)), other)
+    return let(F.trim(raw).try_cast("bigint"), lambda n: F.when(n != 0, n).otherwise(other))
 
 
 def positive(raw: Column) -> Column:
@@ -150,7 +150,7 @@ def relation_candidates(raw: Column, low: Column, high: Column) -> Column:
         return let(F.greatest(low, start), lambda a: F.struct(
             clean(o["target_character"]).alias("target_character"), clean(o["primary_relation_type"]).alias("primary_relation_type"), texts(o["emotional_signals"]).alias("emotional_signals"), texts(o["interaction_signals"]).alias("interaction_signals"),
             word(o["explicitness"], "implicit").alias("explicitness"), word(o["confidence"], "low").alias("confidence"), word(o["intensity"], "medium").alias("intensity"), a.alias("chapter_start"), F.least(high, F.greatest(a, integer(o["chapter_end"], start))).alias("chapter_end"),
-            F.when(F.size(positive(o["evidence_chapters"])) > 0, positive(o["evidence_chapters"])).otherwise(F.array(a)).alias("evidence_chapters"), clean(o["summary"]).alias("summary"),
+            let(positive(o["evidence_chapters"]), lambda c: F.when(F.size(c) > 0, c).otherwise(F.array(a))).alias("evidence_chapters"), clean(o["summary"]).alias("summary"),
         ))
 
     given = let(fields(raw, "emotional_relation_candidates"), lambda o: elements(o["emotional_relation_candidates"]))
@@ -188,7 +188,7 @@ def profile(raw: Column, first: Column, last: Column, aliases: Column) -> Column
 def key_entities(raw: Column) -> Column:
     """struct of a plot's five lists of names; an older field stands in for an empty one."""
     known = fields(raw, *dict.fromkeys(n for ns in KEY_ENTITIES.values() for n in ns))
-    first = lambda o, names: F.coalesce(*[F.when(F.size(texts(o[n])) > 0, texts(o[n])) for n in names], F.array().cast("array<string>"))
+    first = lambda o, names: F.coalesce(*[let(texts(o[n]), lambda t: F.when(F.size(t) > 0, t)) for n in names], F.array().cast("array<string>"))
     return let(known, lambda o: F.struct(*[first(o, names).alias(n) for n, names in KEY_ENTITIES.items()]))
 
 
@@ -214,7 +214,7 @@ def plot_facts(raw: Column, older: Column) -> Column:
     now = fields(raw, "foreshadowing", "world_rules", "major_rewards", "major_losses")
     then = fields(older, "foreshadowing", "items_obtained", "skills_learned", "status_change")
     marked = lambda mark, xs: F.transform(xs, lambda x: F.concat(F.lit(mark), x))
-    either = lambda a, b: F.when(F.size(a) > 0, a).otherwise(b)
+    either = lambda a, b: let(a, lambda x: F.when(F.size(x) > 0, x).otherwise(b))
     return let(now, lambda n: let(then, lambda t: F.struct(
         either(texts(n["foreshadowing"]), texts(t["foreshadowing"])).alias("foreshadowing"), texts(n["world_rules"]).alias("world_rules"),
         either(texts(n["major_rewards"]), F.array_distinct(F.concat(texts(t["items_obtained"]), marked("技能成长: ", texts(t["skills_learned"]))))).alias("major_rewards"), either(texts(n["major_losses"]), marked("状态变化: ", texts(t["status_change"]))).alias("major_losses"),

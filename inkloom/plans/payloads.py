@@ -73,7 +73,7 @@ def roleplay_candidates(spark, sf_dir):
 @query("""SELECT p_partkey, p_brand AS protagonists, CASE WHEN p_size % 2 = 0 THEN p_type ELSE 'new' END AS important, CASE WHEN p_size % 3 = 0 THEN p_brand ELSE 'f' END AS organizations, CASE WHEN p_size % 3 = 0 THEN p_brand ELSE 'f' END AS factions, p_name AS present, p_name || '+' || p_brand || ' ' || p_type AS interaction,
   CASE WHEN p_size % 2 = 0 THEN p_type ELSE p_brand || '|技能成长: ' || p_type END AS rewards, '状态变化: ' || p_brand AS losses FROM part""")
 def plot_metadata(spark, sf_dir):
-    rows = tables.table(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    rows = tables.spread(tables.table(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size"))
     name, brand, kind, size = (F.col(c) for c in ("p_name", "p_brand", "p_type", "p_size"))
     none = F.array().cast("array<string>")
     keys = payloads.key_entities(_json(protagonists=F.array(brand, F.concat(brand, F.lit(" "))), important_characters=F.when(size % 2 == 0, F.array(kind)).otherwise(none), new_characters=F.array(F.lit("new")), organizations=F.when(size % 3 == 0, F.array(brand)).otherwise(none), factions=F.array(F.lit("f"))))

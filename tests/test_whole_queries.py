@@ -160,3 +160,11 @@ def test_edge_records(spark, small, chapters):
     expected |= {(b, "last", c, n, h) for b, own in books.items() for n, (c, h) in enumerate(sorted(own)[:-4:-1], 1)}
     got = [(r.character_id, r.edge, r.chapter_index, r.nth, r.record_sha256) for r in registry.queries()["edge_records"](spark, small).collect()]
     assert sorted(got) == sorted(expected)
+
+
+def test_costly_rows_are_dealt_over_tasks(spark, small):
+    """Tables of one split don't go through one task where each row takes much work."""
+    from inkloom.plans import registry
+
+    for name in ("plot_metadata", "question_plans"):
+        assert registry.queries()[name](spark, small).rdd.getNumPartitions() > 1
