@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,33 +18,47 @@ def merged_entries(entries: DataFrame) -> DataFrame:
     """(book_id, plot_id, place, name, aliases, records) of entries (book_id, plot_id, chapter_index, pos, name, description).
 
     Entries come in order of chapter and place. Each joins the earliest merged entry that has one of its names (blanks and case aside), or begins one; so where an entry goes
-    depends on those before it. Only this numbering is done plot by plot in Python, on name keys; names, aliases and records are aggregated. Records are distinct (chapter, description), in order.
+    depends on those before it. A task walks through its plots' entries in order and holds the name keys of one plot; what it finds, the place and which names are new there, is
+    aggregated. The first spelling of each name counts. Records are distinct (chapter, description), in order.
     """
     keys = ["book_id", "plot_id"]
-    named = entries.withColumn("_n", primary_and_aliases(F.col("name")))
-    names = F.filter(F.concat(F.array("_n.primary"), "_n.aliases"), lambda x: name_key(x) != "")
-    named = named.select(*keys, F.struct("chapter_index", "pos").alias("at"), names.alias("names"), F.trim(F.coalesce("description", F.lit(""))).alias("description")).where(F.size("names") > 0)
-
-    def places(pdf: pd.DataFrame) -> pd.DataFrame:
-        home: dict[str, int] = {}
-        out, begun = [], 0
-        for tokens in pdf.sort_values(["chapter_index", "pos"])["tokens"]:
-            here = min((home[t] for t in tokens if t in home), default=begun)
+    every = lambda n: F.transform(F.concat(F.array(n["primary"]), n["aliases"]), lambda x: F.struct(x.alias("name"), name_key(x).alias("token")))
+    names = F.filter(F.transform(F.array(primary_and_aliases(F.col("name"))), every)[0], lambda x: x["token"] != "")
+    named = entries.select(*keys, F.col("chapter_index").cast("bigint").alias("chapter_index"), F.col("pos").cast("int").alias("pos"), names.alias("names"), F.trim(F.coalesce("description", F.lit(""))).alias("description"))
+    dealt = named.repartition(*keys).sortWithinPartitions(*keys, F.asc_nulls_last("chapter_index"), F.asc_nulls_last("pos"), "names", "description")
+    types = {f.name: f.dataType.simpleString() for f in named.schema.fields}
+    rows = dealt.mapInArrow(_placed, f"book_id {types['book_id']}, plot_id {types['plot_id']}, chapter_index bigint, pos int, place int, fresh array<string>, description string")
+    spelled = F.sort_array(F.collect_list(F.when(F.size("fresh") > 0, F.struct("chapter_index", "pos", "fresh"))))
+    records = F.sort_array(F.collect_set(F.struct(F.col("chapter_index").alias("chapter"), F.col("description").alias("text"))))
+    found = rows.groupBy(*keys, "place").agg(F.flatten(F.transform(spelled, lambda x: x["fresh"])).alias("aliases"), records.alias("records"))
+    primary, others = F.col("aliases")[0], F.slice("aliases", 2, F.size("aliases"))
+    shown = F.when(F.size("aliases") > 1, F.concat(primary, F.lit("（"), F.array_join(others, "/"), F.lit("）"))).otherwise(primary)
+    return found.select(*keys, "place", shown.alias("name"), "aliases", "records")
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries in order, with their places and the names that their places didn't have before; entries without a name go."""
+    plot, home, seen, begun = None, {}, set(), 0
+    for batch in batches:
+        batch = batch.filter(pc.greater(pc.list_value_length(batch.column("names")), 0))
+        names = batch.column("names")
+        flat, sizes = names.flatten(), pc.list_value_length(names).to_numpy(zero_copy_only=False)
+        tokens = flat.field("token").to_pylist()
+        places, new, at = [], [], 0
+        for now, size in zip(zip(batch.column("book_id").to_pylist(), batch.column("plot_id").to_pylist()), sizes.tolist()):
+            if now != plot:
+                plot, home, seen, begun = now, {}, set(), 0
+            own = tokens[at : at + size]
+            at += size
+            here = min((home[t] for t in own if t in home), default=begun)
             begun += here == begun
-            home |= {t: min(home.get(t, here), here) for t in tokens}
-            out.append(here)
-        return pdf.sort_values(["chapter_index", "pos"]).assign(place=out).drop(columns="tokens")
-
-    tokens = named.select(*keys, "at.chapter_index", "at.pos", F.transform("names", lambda x: name_key(x)).alias("tokens"))
-    placed = tokens.groupBy(*keys).applyInPandas(places, "book_id bigint, plot_id bigint, chapter_index bigint, pos int, place int")
-    placed = placed.select(*keys, F.struct("chapter_index", "pos").alias("at"), "place")
-    rows = named.join(placed, [*keys, "at"])
-    home = [*keys, "place"]
-    # The first spelling of each name counts.
-    spelled = rows.select(*home, "at", F.posexplode("names").alias("nth", "spelling")).groupBy(*home, name_key(F.col("spelling")).alias("token")).agg(F.min(F.struct("at", "nth", "spelling")).alias("first"))
-    lists = spelled.groupBy(*home).agg(F.transform(F.sort_array(F.collect_list("first")), lambda x: x["spelling"]).alias("aliases"))
-    records = rows.groupBy(*home).agg(F.sort_array(F.collect_set(F.struct(F.col("at.chapter_index").cast("bigint").alias("chapter"), F.col("description").alias("text")))).alias("records"))
-    primary = F.col("aliases")[0]
-    others = F.filter("aliases", lambda a: name_key(a) != name_key(primary))
-    shown = F.when(F.size(others) > 0, F.concat(primary, F.lit("（"), F.array_join(others, "/"), F.lit("）"))).otherwise(primary)
-    return lists.join(records, home).select(*home, shown.alias("name"), "aliases", "records")
+            for t in own:
+                home[t] = min(home.get(t, here), here)
+                new.append((here, t) not in seen)
+                seen.add((here, t))
+            places.append(here)
+        mask = np.array(new, bool)
+        counts = np.concatenate([[0], np.cumsum(mask)])[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)]
+        fresh = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), flat.field("name").filter(pa.array(mask)))
+        columns = [batch.column(c) for c in ("book_id", "plot_id", "chapter_index", "pos")]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(places, pa.int32()), fresh, batch.column("description")], ["book_id", "plot_id", "chapter_index", "pos", "place", "fresh", "description"])

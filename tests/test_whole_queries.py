@@ -168,3 +168,14 @@ def test_costly_rows_are_dealt_over_tasks(spark, small):
 
     for name in ("plot_metadata", "question_plans"):
         assert registry.queries()[name](spark, small).rdd.getNumPartitions() > 1
+
+
+def test_entries_are_read_and_placed_once(spark, small):
+    """The texts are gone through once, and entries of one place in a chapter keep their own names."""
+    from inkloom.operators.entries import merged_entries
+
+    plan = registry.queries()["plot_entity_merge"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    rows = [(1, 1, 1, 0, "Anna", "a"), (1, 1, 1, 0, "Bob", "b"), (1, 1, 2, 0, "bob（C）", "c")]
+    got = {r.place: (r.name, [x.text for x in r.records]) for r in merged_entries(spark.createDataFrame(rows, "book_id bigint, plot_id bigint, chapter_index bigint, pos int, name string, description string")).collect()}
+    assert got == {0: ("Anna", ["a"]), 1: ("Bob（C）", ["b", "c"])}
