@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkloom.functions.payloads import let
 from inkloom.operators.ranks import numbered_whole
 
 
@@ -36,17 +37,13 @@ def unpivoted(rows: DataFrame, key: str, lists: list[str]) -> DataFrame:
 
 def unwrapped(name: Column) -> Column:
     """A trimmed name without the brackets around it."""
-    clean = F.trim(F.coalesce(name, F.lit("")))
-    for pattern in ("(?s)^<(.+)>$", "(?s)^《(.+)》$"):
-        clean = F.when(clean.rlike(pattern), F.trim(F.regexp_replace(clean, pattern, "$1"))).otherwise(clean)
-    return clean
+    bare = lambda mark, pattern: lambda t: F.when(t.startswith(mark) & t.rlike(pattern), F.trim(F.regexp_replace(t, pattern, "$1"))).otherwise(t)
+    return let(let(F.trim(F.coalesce(name, F.lit(""))), bare("<", "(?s)^<(.+)>$")), bare("《", "(?s)^《(.+)》$"))
 
 
 def canonical(name: Column) -> Column:
     """An entity's name without brackets and what follows a dash."""
-    clean = unwrapped(name)
-    head = F.trim(F.substring_index(clean, " - ", 1))
-    return F.when(head != "", head).otherwise(clean)
+    return let(unwrapped(name), lambda clean: let(F.trim(F.substring_index(clean, " - ", 1)), lambda head: F.when(head != "", head).otherwise(clean)))
 
 
 def entity_key(name: Column) -> Column:
@@ -116,10 +113,11 @@ def named_in(payload: Column) -> Column:
     """array<struct<entity_type, flag, name, alias, alias_type>> of a chapter's index, a JSON text of any shape: who is in which list, and under which other names. The index may lie under entity_index; what isn't a list is none."""
     parsed = F.try_parse_json(payload)
 
-    def listed(v: Column, index: str, name: str) -> Column:
-        inside = lambda path: F.try_variant_get(v, path, "array<variant>")
-        own = F.try_variant_get(v, f"$.{index}", "variant")
-        return F.coalesce(F.when(own.isNotNull(), inside(f"$.{index}.{name}")).otherwise(inside(f"$.entity_index.{index}.{name}")), F.array().cast("array<variant>"))
+    def index_of(v: Column, index: str) -> Column:
+        return F.coalesce(F.try_variant_get(v, f"$.{index}", "variant"), F.try_variant_get(v, f"$.entity_index.{index}", "variant"))
+
+    def listed(own: Column, name: str) -> Column:
+        return F.coalesce(F.try_variant_get(own, f"$.{name}", "array<variant>"), F.array().cast("array<variant>"))
 
     text = lambda e, path="$": canonical(F.try_variant_get(e, path, "string"))
     none = F.lit(None).cast("string")
@@ -128,33 +126,36 @@ def named_in(payload: Column) -> Column:
         return F.struct(F.lit(kind).alias("entity_type"), flag.alias("flag"), name.alias("name"), alias.alias("alias"), alias_type.alias("alias_type"))
 
     def first(e: Column, keys: tuple[str, ...]) -> Column:
-        return F.coalesce(*[F.nullif(text(e, f"$.{k}"), F.lit("")) for k in keys], F.lit(""))
+        return F.coalesce(*[let(text(e, f"$.{k}"), lambda t: F.when(t != "", t)) for k in keys], F.lit(""))
 
     def other(kind: str, names: tuple[str, ...], aliases: tuple[str, ...]):
         def of(e: Column) -> Column:
-            is_object = F.schema_of_variant(e).startswith("OBJECT")
-            alias = F.when(is_object, first(e, aliases)).otherwise(text(e))
-            name = F.when(is_object, first(e, names)).otherwise(F.lit(""))
-            kinds = F.coalesce(*[F.nullif(F.trim(F.try_variant_get(e, f"$.{k}", "string")), F.lit("")) for k in ("type", "kind")], F.lit(""))
-            return entry(kind, none, F.when(name != "", name).otherwise(alias), alias, F.when(is_object, kinds).otherwise(F.lit("")))
+            found = F.when(F.schema_of_variant(e).startswith("OBJECT"), named(e)).otherwise(F.struct(text(e).alias("alias"), F.lit("").alias("name"), F.lit("").alias("kinds")))
+            return let(found, lambda o: entry(kind, none, F.when(o["name"] != "", o["name"]).otherwise(o["alias"]), o["alias"], o["kinds"]))
+
+        def named(e: Column) -> Column:
+            kinds = F.coalesce(*[let(F.trim(F.try_variant_get(e, f"$.{k}", "string")), lambda t: F.when(t != "", t)) for k in ("type", "kind")], F.lit(""))
+            return F.struct(first(e, aliases).alias("alias"), first(e, names).alias("name"), kinds.alias("kinds"))
 
         return of
 
     def flagged(items: Column, kind: str, flag: str) -> Column:
         return F.filter(F.transform(items, lambda e: entry(kind, F.lit(flag), text(e), none, none)), lambda s: s["name"] != "")
 
-    def all_of(v: Column) -> Column:
-        flags = [flagged(listed(v, index, name), kind, flag) for kind, index, name, flag in LISTS]
-        others = [F.filter(F.transform(listed(v, index, name), other(kind, names, aliases)), lambda s: s["alias"] != "") for kind, index, name, names, aliases in OTHER_NAMES]
+    def all_of(own: Column) -> Column:
+        flags = [flagged(listed(own[index], name), kind, flag) for kind, index, name, flag in LISTS]
+        others = [F.filter(F.transform(listed(own[index], name), other(kind, names, aliases)), lambda s: s["alias"] != "") for kind, index, name, names, aliases in OTHER_NAMES]
         return F.concat(*flags, *others)
 
-    return F.transform(F.array(parsed), all_of)[0]
+    indexes = dict.fromkeys(index for _, index, _, _ in LISTS)
+    return let(let(parsed, lambda v: F.struct(*[index_of(v, index).alias(index) for index in indexes])), all_of)
 
 
 def index_mentions(chapters: DataFrame, key: str, payload: str) -> DataFrame:
     """(key, entity_type, name_key, name, flags, source_aliases) of chapters' indexes: a row for each entity that a chapter names, as first spelled, with which lists have it and its other names in order."""
     rows = chapters.select(key, F.posexplode(named_in(F.col(payload))).alias("at", "n")).select(key, "at", "n.*").withColumn("name_key", entity_key(F.col("name")))
     keys = [key, "entity_type", "name_key"]
-    aliases = rows.where("alias <> ''").groupBy(*keys, "alias").agg(F.min("at").alias("at")).groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "alias"))), lambda x: x["alias"]).alias("source_aliases"))
-    found = rows.groupBy(*keys).agg(F.min_by("name", "at").alias("name"), *[F.max((F.coalesce("flag", F.lit("")) == f).cast("int")).alias(f) for f in FLAGS])
-    return found.join(aliases, keys, "left").withColumn("source_aliases", F.coalesce("source_aliases", F.array().cast("array<string>")))
+    # A key's other names are one chapter's, so they are put in order where they meet.
+    aliases = F.sort_array(F.collect_list(F.when(F.col("alias") != "", F.struct("at", "alias"))))
+    flags = [F.max((F.coalesce("flag", F.lit("")) == f).cast("int")).alias(f) for f in FLAGS]
+    return rows.groupBy(*keys).agg(F.min_by("name", "at").alias("name"), *flags, F.array_distinct(F.transform(aliases, lambda x: x["alias"])).alias("source_aliases"))

@@ -85,3 +85,9 @@ def test_layouts_colours_and_summaries(spark):
     r = one(spark, payloads.relation_summary(F.lit(raw)))
     assert (r.target_character, r.relation_summary, r.intensity, r.current_status) == ("甲", "好", "high", "")
     assert [tuple(t) for t in r.timeline] == [(2, 2, "a"), (9, 9, "b")]
+
+
+def test_indexes_are_gone_through_once(spark):
+    """Names, lists and other names of an index come of one pass over it."""
+    found = facts.index_mentions(spark.createDataFrame([(1, "{}")], "k int, p string"), "k", "p")
+    assert found._jdf.queryExecution().executedPlan().toString().count("Generate posexplode") == 1
