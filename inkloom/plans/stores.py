@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from inkloom.operators import cells
-from inkloom.operators.components import shared_dir
+from inkloom.operators.components import shared_dir, written
 from inkloom.plans.base import EVENTS, query
 from inkloom.sources import stored, tables
 from inkloom.streaming import embeddings
@@ -51,10 +51,15 @@ SELECT book_id, edge_key, arg_max(polarity, (chapter_end, summary, polarity, str
 def stored_graph(spark, sf_dir):
     """A graph merged twice: the second merge replaces the edges that it has, with all their events."""
     store = new_store(spark)
-    rel = tables.relation_events(spark, sf_dir).withColumns({"book_id": F.col("source_id") % 5, "edge_key": F.concat_ws("-", F.col("source_id").cast("string"), F.col("target_id").cast("string"))})
+    # The lines meet their orders once; the rest goes over what is left of them.
+    rel = written(tables.relation_events(spark, sf_dir).select("source_id", "target_id", "chapter_start", "chapter_end", "polarity", "strength", "summary"))
+    rel = rel.withColumns({"book_id": F.col("source_id") % 5, "edge_key": F.concat_ws("-", F.col("source_id").cast("string"), F.col("target_id").cast("string"))})
     for part in (rel.where("chapter_start <= 40"), rel.where("chapter_start > 40 AND polarity = 'positive'")):
         ends = part.select("book_id", F.explode(F.array("source_id", "target_id")).alias("node")).select("book_id", F.col("node").cast("string").alias("node_key")).distinct()
-        edges = part.groupBy("book_id", "edge_key").agg(F.max_by("polarity", F.struct("chapter_end", "summary", "polarity", "strength")).alias("status"))
+        # An edge's last events decide, so only they are sorted.
+        last = part.groupBy(F.col("book_id").alias("_b"), F.col("edge_key").alias("_e")).agg(F.max("chapter_end").alias("_end"))
+        decisive = part.join(F.broadcast(written(last)), (F.col("book_id") == F.col("_b")) & (F.col("edge_key") == F.col("_e")) & F.col("chapter_end").eqNullSafe(F.col("_end")))
+        edges = decisive.groupBy("book_id", "edge_key").agg(F.max_by("polarity", F.struct("chapter_end", "summary", "polarity", "strength")).alias("status"))
         stored.merge_graph(store, ends, edges, part.select("book_id", "edge_key", "chapter_start", "chapter_end", "summary")).commit()
     events = store.read("edge_events").groupBy("book_id", "edge_key").agg(F.count(F.lit(1)).alias("n_events"), F.sum("chapter_end").alias("ends"))
     return store.read("edges").join(events, ["book_id", "edge_key"]).select("book_id", "edge_key", "status", "n_events", "ends")

@@ -206,6 +206,7 @@ def add_books(store: Store, books: DataFrame, chapters: DataFrame, reuse: bool =
 
 def merge_graph(store: Store, nodes: DataFrame, edges: DataFrame, events: DataFrame) -> Change:
     """A change that merges nodes (book_id, node_key, ...) and edges (book_id, edge_key, ...) by key; the events (book_id, edge_key, ...) of a merged edge are replaced as a whole."""
+    nodes, edges = written(nodes), written(edges)  # each is asked several times, and how few they are decides how events meet them
     change = store.begin().upsert("nodes", nodes, ["book_id", "node_key"]).upsert("edges", edges, ["book_id", "edge_key"])
     keys = edges.select("book_id", "edge_key").distinct()
     change._merged("edge_events", events.join(keys, ["book_id", "edge_key"], "left_semi"), change._touched(keys), lambda old: old.join(keys, ["book_id", "edge_key"], "left_anti").select(*old.columns))

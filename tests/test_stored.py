@@ -1,6 +1,7 @@
 """Stored tables: versions, units, conflicts, lost jobs, tombstones."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from inkloom.sources import stored
 
@@ -128,3 +129,18 @@ def test_rows_are_stored_as_one(spark):
     assert [(h.chapter_start, h.chapter_end, h.relation_type) for h in r.history] == [(5, 9, "ally"), (20, 21, "ally"), (20, 21, "foe")]
     c = got[2, "c"]
     assert (c.target_id, c.target_name, c.summary, c.acts, c.stability, c.first_chapter, c.last_chapter, c.history) == (0, "C", "", [], "", 0, 0, None)
+
+
+def test_merged_edges_are_made_once(spark, store):
+    """What a merge asks of its nodes and edges doesn't make them again."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def name(i):
+        seen.add(1)
+        return f"e{i}"
+
+    edges = spark.range(1, 4).select(F.lit(1).cast("bigint").alias("book_id"), F.udf(name, "string")("id").alias("edge_key"), F.lit("new").alias("status"))
+    nodes = spark.createDataFrame([(1, "n1", "x")], "book_id bigint, node_key string, name string")
+    stored.merge_graph(store, nodes, edges, spark.createDataFrame([(1, "e1", 1), (1, "e9", 4)], "book_id bigint, edge_key string, chapter int")).commit()
+    assert rows(store.read("edges"), "edge_key") == [("e1",), ("e2",), ("e3",)] and rows(store.read("edge_events"), "edge_key", "chapter") == [("e1", 1)]
+    assert seen.value == 3
