@@ -27,3 +27,16 @@ def test_previous_rows(spark, width):
     got = {(r.k, r.n): r.before for r in ranks.previous(spark.createDataFrame(rows, "k int, n int, v string"), "k", "n", "v", "before", width).collect()}
     want = {(k, n): next((v for kk, m, v in reversed(rows) if kk == k and m < n), None) for k, n, _ in rows}
     assert got == want and ranks.previous(spark.createDataFrame([], "k int, n int, v string"), "k", "n", "v", "before").where(F.lit(True)).count() == 0
+
+
+def test_products_of_sparse_vectors_are_dealt_over_tasks(spark, monkeypatch):
+    """More products take more tasks, none of which holds more than its share."""
+    monkeypatch.setattr(retrieval, "MOST_PRODUCTS", 100, raising=False)
+    rows = spark.range(2000).selectExpr("id DIV 10 AS id", "id % 50 AS index", "id % 7 AS value")
+    found = retrieval.sparse_dot(rows.where("id % 20 = 0"), rows)
+    vectors = {}
+    for r in rows.collect():
+        vectors.setdefault(r.id, {})[r["index"]] = r.value
+    expected = {(a, b): sum(x * y[i] for i, x in v.items() if i in y) for a, v in vectors.items() if a % 20 == 0 for b, y in vectors.items() if set(v) & set(y)}
+    assert {(r.left_id, r.right_id): r.dot for r in found.collect()} == expected
+    assert found.rdd.getNumPartitions() == 4000 // 100
