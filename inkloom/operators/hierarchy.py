@@ -111,12 +111,17 @@ def labelled_by_ranges(rows: DataFrame, ranges: DataFrame, coordinate: str = "ch
     return rows.join(best, (F.col("book_id") == F.col("_b")) & (F.col(coordinate) == F.col("_c")), "left").withColumn(label, F.coalesce("_best", F.lit(0))).drop("_b", "_c", "_best")
 
 
-def containing_range(rows: DataFrame, ranges: DataFrame, coordinate: str = "chapter_index", number: str = "volume_id", start: str = "start_chapter", end: str = "end_chapter") -> DataFrame:
-    """`rows` with `number` of the first range (by number) of the same book that holds the coordinate, 0 for none. The book is an equality, the range a residual condition."""
-    r = ranges.select(F.col("book_id").alias("_book"), F.col(number).alias("_n"), F.col(start).alias("_a"), F.col(end).alias("_z"))
-    met = rows.select("book_id", coordinate).distinct().join(r, (F.col("book_id") == F.col("_book")) & F.col(coordinate).between(F.col("_a"), F.col("_z"))).groupBy("book_id", coordinate).agg(F.min("_n").alias("_first"))
-    met = met.withColumnsRenamed({"book_id": "_b", coordinate: "_c"})
-    return rows.join(met, (F.col("book_id") == F.col("_b")) & (F.col(coordinate) == F.col("_c")), "left").withColumn(number, F.coalesce("_first", F.lit(0))).drop("_b", "_c", "_first")
+def containing_range(rows: DataFrame, ranges: DataFrame, coordinate: str = "chapter_index", number: str = "volume_id", start: str = "start_chapter", end: str = "end_chapter", width: int = 64) -> DataFrame:
+    """`rows` with `number` of the first range (by number) of the same book that holds the coordinate, 0 for none.
+
+    Both sides meet on the book and a cell of `width` coordinates, as in `labelled_by_ranges`: a book's rows don't meet all its ranges.
+    """
+    r = ranges.select(F.col("book_id").alias("_book"), F.col(number).alias("_n"), F.col(start).alias("_a"), F.col(end).alias("_z")).where("_a <= _z")
+    r = r.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_a") / width), F.floor(F.col("_z") / width))))
+    met = (F.col("book_id") == F.col("_book")) & (F.floor(F.col(coordinate) / width) == F.col("_cell")) & F.col(coordinate).between(F.col("_a"), F.col("_z"))
+    first = rows.select("book_id", coordinate).distinct().join(r, met).groupBy("book_id", coordinate).agg(F.min("_n").alias("_first"))
+    first = first.withColumnsRenamed({"book_id": "_b", coordinate: "_c"})
+    return rows.join(first, (F.col("book_id") == F.col("_b")) & (F.col(coordinate) == F.col("_c")), "left").withColumn(number, F.coalesce("_first", F.lit(0))).drop("_b", "_c", "_first")
 
 
 def compressed(rows: DataFrame, size: int, summarise: Summariser) -> DataFrame:

@@ -267,3 +267,16 @@ def test_sinks_and_models(spark, tmp_path):
     one = spark.createDataFrame([("One two. Three four",)], "t string")
     assert one.select(models.first_sentences(15)(F.col("t")).alias("x")).first().x == "One two."
     assert sum(one.select(models.hashed_embedding(8)(F.col("t")).alias("x")).first().x) == 4
+
+
+def test_ranges_meet_the_rows_of_their_cell(spark):
+    """A row takes the first range that holds it, over cells' borders too, and a book's rows don't meet all its ranges."""
+    from inkloom.operators import hierarchy
+
+    rows = spark.range(1, 200).selectExpr("id % 2 + 1 AS book_id", "id AS chapter_index")
+    given = [(1, 4, 60, 70), (1, 2, 64, 64), (1, 9, 1, 199), (2, 3, 5, 3), (2, 5, 120, 130), (3, 1, 1, 9)]
+    ranges = spark.createDataFrame(given, "book_id bigint, volume_id bigint, start_chapter bigint, end_chapter bigint")
+    found = hierarchy.containing_range(rows, ranges)
+    expected = {(b, c, min((v for k, v, a, z in given if k == b and a <= c <= z), default=0)) for b, c in ((i % 2 + 1, i) for i in range(1, 200))}
+    assert {tuple(r) for r in found.select("book_id", "chapter_index", "volume_id").collect()} == expected
+    assert "_cell" in found._jdf.queryExecution().executedPlan().toString()
