@@ -280,3 +280,15 @@ def test_ranges_meet_the_rows_of_their_cell(spark):
     expected = {(b, c, min((v for k, v, a, z in given if k == b and a <= c <= z), default=0)) for b, c in ((i % 2 + 1, i) for i in range(1, 200))}
     assert {tuple(r) for r in found.select("book_id", "chapter_index", "volume_id").collect()} == expected
     assert "_cell" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sentences_are_found_as_by_the_plain_pattern(spark):
+    import re
+
+    from pyspark.sql import functions as F
+
+    from inkloom.models import SENTENCE
+
+    texts = ["", "...", "a. b!? c", "。！一二。三？！ é\u00ff\u0100. x", "\U0001f600a.\U00020000。\uffff!", "\n\t. \x7f\x80", "w " * 500_000 + ".", "字" * 500_000]
+    got = [r.x for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(F.regexp_extract_all("t", F.lit(SENTENCE), F.lit(0)).alias("x")).collect()]
+    assert got == [re.findall("[^.!?。！？]+[.!?。！？]*", t) for t in texts]
