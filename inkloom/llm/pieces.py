@@ -2,7 +2,7 @@
 
 Words are the text's stretches of a blank (or more) and what follows it up to the next blank, cut further between characters that are neighbours in no piece; no
 piece crosses into the next word, which is checked when a model is read. A word is encoded once, however often it occurs: its substrings of bounded length are exploded and joined with the piece
-table on equality, the matches are the edges of the word's lattice, and the edges, grouped by word, are folded with higher-order functions.
+table on equality, the matches are the edges of the word's lattice, and the edges, grouped by word, are folded, the words of an Arrow batch side by side.
 
 The relational lattice (lattice) is the dealt method, and every word of up to SHORT characters goes through it. Its edges are folded by Viterbi (fold_viterbi): the best score of each place over the edges that end there. A unigram
 model's ids are this path. A BPE model's encoder is not a best path but a row of merges, best score first, and for many words its ids are others; so there token_ids comes from a second fold
@@ -28,7 +28,7 @@ import re
 import struct
 import zlib
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from operator import add
 from pathlib import Path
 
@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,6 +48,8 @@ MOST_GROUPS = 8192
 #: Fixed values of the model file's format: piece types, model types.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+#: Stands for a piece's id where a character is none and becomes its bytes' pieces.
+SPELLED = (1 << 20) - 1
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -103,6 +105,8 @@ class PieceModel:
                     raise ValueError("the model's normaliser removes blanks or doesn't escape them")
         if self.kind not in (UNIGRAM, BPE):
             raise ValueError("the model is neither unigram nor BPE")
+        if len(self.pieces) > SPELLED:
+            raise ValueError("the model has more pieces than an edge's number can tell apart")
         if USER_DEFINED in self.types:
             raise ValueError("the model has user-defined pieces, which come before all others")
         self.bytes = [0] * 256
@@ -126,13 +130,6 @@ class PieceModel:
         piece, number, score = map(list, zip(*rows))
         return spark.createDataFrame(pa.table({"piece": piece, "piece_id": number, "score": score, "place": [place[s] for s in score]}))
 
-    def char_table(self, spark: SparkSession) -> DataFrame:
-        """One row: an array with the id of each one-character piece at its code point, -1 for others, up to the last one's."""
-        chars = {ord(p): i for i, (p, t) in enumerate(zip(self.pieces, self.types)) if t in (NORMAL, USER_DEFINED) and len(p) == 1}
-        ids = np.full(max(chars) + 1, -1, np.int32)
-        ids[list(chars)] = list(chars.values())
-        return spark.createDataFrame(pa.table({"chars": pa.array([ids.tolist()], pa.list_(pa.int32()))}))
-
     def vocabulary(self) -> dict[str, tuple[int, float]]:
         return {p: (i, s) for i, (p, s, t) in enumerate(zip(self.pieces, self.scores, self.types)) if t in (NORMAL, USER_DEFINED)}
 
@@ -167,93 +164,101 @@ def cut_apart(word: str, pairs: set[str]) -> list[str]:
 
 
 def lattice(words: DataFrame, model: PieceModel) -> DataFrame:
-    """`words` (word: distinct, 1 to SHORT characters, at) with `edges`: the pieces of two or more characters found in each, best first, as one number each.
+    """`words` (word: distinct, 1 to SHORT characters, at) with what each holds, as one number for each edge.
 
-    An edge's number is place, start, end and id, 17, 6, 6 and 20 bits from the top, so that numbers sort by place and then by start.
+    `edges`: the pieces of two or more characters, best first: place, start, end and id, 17, 6, 6 and 20 bits from the top. `singles`: the characters in order: start, end and id, 6, 6 and 20 bits, the id SPELLED where the character
+    is no piece. So a row has all that its folds ask for; a table of all characters beside it would be copied for each word.
     """
     # Bounded by the vocabulary, which doesn't grow with the input. The hash is the join's key (no two pieces share one), the strings are compared after it.
     table = F.broadcast(model.table(words.sparkSession).select(F.xxhash64("piece").alias("h"), "piece", "piece_id", "place"))
     n = F.length("word")
-    spans = words.select("word", "at", F.explode(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)))).alias("a"))
-    spans = spans.select("word", "at", "a", F.explode(F.sequence(F.least(F.lit(2), n), F.least(F.lit(model.longest), n - F.col("a") + 1))).alias("k"))
+    spans = words.select("word", "at", F.explode(F.sequence(F.lit(1), n)).alias("a"))
+    spans = spans.select("word", "at", "a", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), n - F.col("a") + 1))).alias("k"))
     spans = spans.withColumn("part", F.expr("substring(word, a, k)"))
     found = spans.join(table, F.xxhash64("part") == F.col("h"), "left")
-    hit = (F.col("part") == F.col("piece")) & (F.col("k") > 1)
-    number = F.expr("shiftleft(cast(place AS bigint), 32) | shiftleft(cast(a - 1 AS bigint), 26) | shiftleft(cast(a + k - 1 AS bigint), 20) | piece_id")
-    # A word's first span stays even if it is no piece, so no word is lost; as a null it is not collected.
-    found = found.where(hit | ((F.col("a") == 1) & (F.col("k") <= 2))).select("word", "at", F.when(hit, number).alias("edge"))
-    return found.groupBy("word", "at").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
-
-
-def _start(x: Column) -> Column:
-    return F.shiftright(x, 26).bitwiseAND(F.lit(63)).cast("int")
-
-
-def _end(x: Column) -> Column:
-    return F.shiftright(x, 20).bitwiseAND(F.lit(63)).cast("int")
-
-
-def _id(x: Column) -> Column:
-    return x.bitwiseAND(F.lit((1 << 20) - 1)).cast("int")
-
-
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with the value computed once."""
-    return F.transform(F.array(value), use)[0]
-
+    hit, one = F.col("part") == F.col("piece"), F.col("k") == 1
+    span = F.expr("shiftleft(cast(a - 1 AS bigint), 26) | shiftleft(cast(a + k - 1 AS bigint), 20)")
+    edge = F.expr("shiftleft(cast(place AS bigint), 32)").bitwiseOR(span).bitwiseOR(F.col("piece_id"))
+    single = span.bitwiseOR(F.when(hit, F.col("piece_id")).otherwise(F.lit(SPELLED)))
+    found = found.where(hit | one).select("word", "at", F.when(~one, edge).alias("edge"), F.when(one, single).alias("single"))
+    return found.groupBy("word", "at").agg(*[F.sort_array(F.collect_list(c)).alias(f"{c}s") for c in ("edge", "single")])
 
-def char_codes(word: Column, at: Column, chars: Column, model: PieceModel) -> Column:
-    """The ids of the character of a word at a place: its piece's, or its bytes'."""
-    char = F.substring(word, at + 1, F.lit(1))
-    code = F.conv(F.hex(F.encode(char, "utf-32")), 16, 10).cast("int")
-    digits = F.hex(F.encode(char, "utf-8"))
-    as_bytes = F.transform(F.sequence(F.lit(1), F.length(digits), F.lit(2)), lambda i: F.get(F.array(*map(F.lit, model.bytes)), F.conv(F.substring(digits, i, F.lit(2)), 16, 10).cast("int")))
-    return let(F.coalesce(F.get(chars, code), F.lit(-1)), lambda i: F.when(i >= 0, F.array(i)).otherwise(as_bytes))
 
+class Edges:
+    """The edges of many words' lattices side by side: of which word, start, end, id. Numbers as `lattice` has them."""
 
-def fold_merges(word: Column, edges: Column, chars: Column, model: PieceModel) -> Column:
-    """The ids of a word after all merges, best first."""
-    one, n = F.lit(1).cast("bigint"), F.length(word)
-    shift = lambda k: F.call_function("shiftleft", one, k)
+    def __init__(self, lists: pa.ListArray):
+        number = lists.flatten().to_numpy()
+        self.sizes = lists.value_lengths().to_numpy()
+        self.of, self.start, self.end, self.id = np.repeat(np.arange(len(lists)), self.sizes), number >> 26 & 63, number >> 20 & 63, number & SPELLED
 
-    def wide(x: Column) -> Column:
-        s, e = _start(x), _end(x)
-        return F.struct(shift(s).bitwiseOR(shift(e)).alias("ends"), (shift(e) - shift(s + 1)).alias("mid"), s.alias("s"), _id(x).alias("id"))
 
-    both = lambda b, e: b.bitwiseAND(e["ends"]) == e["ends"]
+def _read(words: pa.Array, of: np.ndarray, start: np.ndarray, ids: np.ndarray, of_bytes: list[int]) -> pa.ListArray:
+    """The words' ids from tokens in any order; SPELLED characters become their bytes' pieces."""
+    order = np.argsort(of << 6 | start)
+    of, start, ids = of[order], start[order], ids[order].astype(np.int32)
+    rare = np.flatnonzero(ids == SPELLED)
+    if len(rare):
+        codes = [[of_bytes[b] for b in w[a].encode("utf-8", "surrogatepass")] for w, a in zip(words.take(pa.array(of[rare])).to_pylist(), start[rare].tolist())]
+        times = np.ones(len(of), np.int64)
+        times[rare] = list(map(len, codes))
+        of, ids = np.repeat(of, times), np.repeat(ids, times)
+        ids[ids == SPELLED] = [i for c in codes for i in c]
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(len(words) + 1)), pa.int32()), pa.array(ids))
 
-    def merged(b: Column, multi: Column) -> Column:
-        best = F.get(F.filter(multi, lambda e: both(b, e) & (F.bit_count(b.bitwiseAND(e["mid"])) == 1)), F.lit(0))["mid"]
-        return b.bitwiseAND(F.bitwise_not(F.coalesce(best, F.lit(0).cast("bigint"))))
 
-    def ids(multi: Column) -> Column:
-        rounds = F.sequence(F.lit(1), F.greatest(F.least(n - 1, F.size(multi)), F.lit(1)))
-        places = F.aggregate(rounds, shift(n + 1) - 1, lambda b, _: merged(b, multi))
-        return let(places, lambda b: read(b, multi))
+def fold_merges(words: pa.Array, edges: pa.ListArray, singles: pa.ListArray, of_bytes: list[int]) -> pa.ListArray:
+    """The ids of many words at once after all merges, best first, from their lattices.
 
-    def read(b: Column, multi: Column) -> Column:
-        tokens = F.transform(F.filter(multi, lambda e: both(b, e) & (b.bitwiseAND(e["mid"]) == 0)), lambda e: F.struct(e["s"].alias("s"), F.array(e["id"]).alias("ids")))
-        alone = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.call_function("shiftright", b, i).bitwiseAND(F.lit(3)) == 3)
-        singles = F.transform(alone, lambda i: F.struct(i.alias("s"), char_codes(word, i, chars, model).alias("ids")))
-        return F.flatten(F.transform(F.sort_array(F.concat(tokens, singles)), lambda x: x["ids"]))
-
-    return let(F.transform(edges, wide), ids)
-
-
-def fold_viterbi(word: Column, edges: Column, chars: Column, model: PieceModel, scores: Column) -> Column:
-    """The ids of a word's path of the best score sum (ties: the longer last piece). scores: an array of the pieces' scores by id."""
-    best = "struct<score:double,ids:array<int>>"
-    n = F.length(word)
-
-    def place(state: Column, j: Column) -> Column:
-        wide = F.transform(F.filter(edges, lambda e: _end(e) == j), lambda e: F.struct(_start(e).alias("from"), F.array(_id(e)).alias("ids"), F.get(scores, _id(e)).alias("w")))
-        # A character's bytes are only made where it is no piece.
-        single = let(F.coalesce(F.get(chars, F.ascii(F.substring(word, j, F.lit(1)))), F.lit(-1)), lambda i: F.struct((j - 1).alias("from"), F.when(i >= 0, F.array(i)).otherwise(char_codes(word, j - 1, chars, model)).alias("ids"), F.when(i >= 0, F.get(scores, i)).otherwise(F.lit(model.worst)).alias("w")))
-        ways = F.transform(F.array_append(wide, single), lambda e: F.struct((F.get(state, e["from"])["score"] + e["w"]).alias("score"), (-e["from"]).alias("s"), e["from"].alias("from"), e["ids"].alias("ids")))
-        return let(F.array_max(ways), lambda w: F.array_append(state, F.struct(w["score"].alias("score"), F.concat(F.get(state, w["from"])["ids"], w["ids"]).alias("ids")).cast(best)))
-
-    empty = F.array(F.struct(F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("ids")).cast(best))
-    return F.element_at(F.aggregate(F.sequence(F.lit(1), n), empty, place), -1)["ids"]
+    A word's places where tokens end are the bits of a number. In each round the best edge of each word that spans exactly two tokens takes away the place inside it; edges that lost an end, and words without such an edge, leave the rounds.
+    """
+    e, c, one = Edges(edges), Edges(singles), np.int64(1)
+    ends, inside = one << e.start | one << e.end, (one << e.end) - (one << e.start + 1)
+    places = (one << c.sizes + one) - 1
+    live = np.arange(len(e.of))
+    while len(live):
+        now = places[e.of[live]]
+        there = (now & ends[live]) == ends[live]
+        live, now = live[there], now[there]
+        two = live[np.bitwise_count(now & inside[live]) == 1]
+        best = two[np.diff(e.of[two], prepend=-1) != 0]
+        places[e.of[best]] &= ~inside[best]
+        going = np.zeros(len(words), bool)
+        going[e.of[best]] = True
+        live = live[going[e.of[live]]]
+    now = places[e.of]
+    token, alone = ((now & ends) == ends) & (now & inside == 0), (places[c.of] >> c.start & 3) == 3
+    return _read(words, *(np.concatenate([x[token], y[alone]]) for x, y in ((e.of, c.of), (e.start, c.start), (e.id, c.id))), of_bytes)
+
+
+def fold_viterbi(words: pa.Array, edges: pa.ListArray, singles: pa.ListArray, of_bytes: list[int], scores: np.ndarray, worst: float) -> pa.ListArray:
+    """The ids of many words' paths of the best score sum (ties: the longer last piece), from their lattices. scores: the pieces' by id; `worst`: a character's that is no piece.
+
+    The fold goes from place to place, over all words at once: an edge's worth is its score and the best of its start, and the best edge that ends at a place is kept. From these the path is read back.
+    """
+    both = [Edges(edges), Edges(singles)]
+    of, start, end, ids = (np.concatenate([getattr(x, c) for x in both]) for c in ("of", "start", "end", "id"))
+    order = np.lexsort((start, of, end))
+    of, start, end, ids = of[order], start[order], end[order], ids[order]
+    score = np.where(ids == SPELLED, worst, scores[np.where(ids == SPELLED, 0, ids)])
+    size, last = both[1].sizes, int(end[-1]) if len(end) else 0
+    best, came = np.zeros((len(words), last + 1)), np.zeros((len(words), last + 1), np.int64)
+    stops = np.searchsorted(end, np.arange(1, last + 2))
+    for j, (a, z) in enumerate(zip(stops.tolist(), stops[1:].tolist()), 1):
+        mine = of[a:z]
+        worth = best[mine, start[a:z]] + score[a:z]
+        first = np.flatnonzero(np.diff(mine, prepend=-1))
+        top = np.maximum.reduceat(worth, first)
+        chosen = np.flatnonzero(worth == np.repeat(top, np.diff(first, append=z - a)))
+        chosen = chosen[np.diff(mine[chosen], prepend=-1) != 0]  # of equal ones that with the smallest start
+        best[mine[first], j], came[mine[first], j] = top, a + chosen
+    path, going, at = [], np.arange(len(words)), size
+    while len(going):
+        path.append(came[going, at])
+        at = start[path[-1]]
+        going, at = going[at > 0], at[at > 0]
+    path = np.concatenate(path) if path else np.array([], np.int64)
+    return _read(words, of[path], start[path], ids[path], of_bytes)
 
 
 def merges_of(word: str, known: dict[str, tuple[int, float]], of_bytes: list[int]) -> list[int]:
@@ -304,14 +309,16 @@ def _codes(part: str, known: dict[str, tuple[int, float]], of_bytes: list[int])
 
 def encode_words(words: DataFrame, model: PieceModel, paths: bool = False) -> DataFrame:
     """(at, ids) of each word of `words` (word: distinct, of 1 to SHORT characters, at: its number); with `paths` also path, the ids of its best path, which a unigram model's ids are."""
-    spark = words.sparkSession
-    edges = lattice(words, model).withColumn("chars", model.char_table(spark).scalar())
-    merges = fold_merges(F.col("word"), F.col("edges"), F.col("chars"), model)
-    if model.kind == BPE and not paths:
-        return edges.select("at", merges.alias("ids"))
-    scores = spark.createDataFrame(pa.table({"scores": pa.array([model.scores], pa.list_(pa.float64()))})).scalar()
-    best = fold_viterbi(F.col("word"), F.col("edges"), F.col("chars"), model, F.col("scores"))
-    return edges.withColumn("scores", scores).select("at", (merges if model.kind == BPE else best).alias("ids"), *([best.alias("path")] if paths else []))
+    of_bytes, bpe, scores, worst = model.bytes, model.kind == BPE, np.array(model.scores), model.worst
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, *of = batch.columns
+            best = fold_viterbi(*of, of_bytes, scores, worst) if paths or not bpe else None
+            yield pa.RecordBatch.from_arrays([at, fold_merges(*of, of_bytes) if bpe else best, *([best] if paths else [])], names)
+
+    names = ["at", "ids", *(["path"] if paths else [])]
+    return lattice(words, model).select("at", "word", "edges", "singles").mapInArrow(folded, "at bigint, ids array<int>" + (", path array<int>" if paths else ""))
 
 
 def _planes(x: np.ndarray) -> bytes:

@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
@@ -51,3 +52,19 @@ def test_paths_of_odd_texts(spark):
     plain = {r.id: r.token_ids for r in pieces.encode(docs, model).collect()}
     assert {r.id: r.token_ids for r in got.collect()} == plain
     assert pieces.encode(docs.limit(0), model, paths=True).columns == ["id", "token_ids", "decoded_sha256", "path_ids"]
+
+
+def test_words_of_a_batch_are_folded_side_by_side(spark):
+    model = pieces.PieceModel()
+    known = model.vocabulary()
+    words = ["▁the", "▁interesting", "a", "▁", "日本語", "\U0001f9ffx\U0001f9ff", "\U0001f9ff", "aaaaaaaaaaaaa", "▁mississippi", "z" * pieces.SHORT, "é́ß"]
+    rows = pieces.lattice(spark.createDataFrame(list(zip(words, range(len(words)))), "word string, at bigint").coalesce(1), model)
+    assert rows.columns == ["word", "at", "edges", "singles"]  # no table of characters or scores, which would be copied for each word
+    of = rows.toArrow().combine_chunks().to_batches()[0]
+    got = of.column("word").to_pylist()
+    assert sorted(got) == sorted(words)
+    columns = [of.column(c) for c in ("word", "edges", "singles")]
+    assert pieces.fold_merges(*columns, model.bytes).to_pylist() == [pieces.merges_of(w, known, model.bytes) for w in got]
+    assert pieces.fold_viterbi(*columns, model.bytes, np.array(model.scores), model.worst).to_pylist() == [pieces.viterbi_of(w, known, model.bytes, model.longest, model.worst) for w in got]
+    none = [c.slice(0, 0) for c in columns]
+    assert len(pieces.fold_merges(*none, model.bytes)) == len(pieces.fold_viterbi(*none, model.bytes, np.array(model.scores), model.worst)) == 0
