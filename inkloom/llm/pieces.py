@@ -48,6 +48,8 @@ MOST_GROUPS = 8192
 #: Fixed values of the model file's format: piece types, model types.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+#: How many words are folded at once: what a fold holds beside its batch is bounded by these.
+SIDE_BY_SIDE = 1024
 #: Stands for a piece's id where a character is none and becomes its bytes' pieces.
 SPELLED = (1 << 20) - 1
 
@@ -312,7 +314,7 @@ def encode_words(words: DataFrame, model: PieceModel, paths: bool = False) -> Da
     of_bytes, bpe, scores, worst = model.bytes, model.kind == BPE, np.array(model.scores), model.worst
 
     def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, SIDE_BY_SIDE) for b in batches for k in range(0, b.num_rows, SIDE_BY_SIDE)):
             at, *of = batch.columns
             best = fold_viterbi(*of, of_bytes, scores, worst) if paths or not bpe else None
             yield pa.RecordBatch.from_arrays([at, fold_merges(*of, of_bytes) if bpe else best, *([best] if paths else [])], names)
@@ -467,6 +469,7 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
     def assembled(parts: list[tuple], sizes: np.ndarray, seq: np.ndarray, counts: np.ndarray, made: np.ndarray, digests: bool) -> tuple[pa.ListArray, list[str]]:
         """The documents' ids, and the digests of what they decode to, from the parts' numbers, lengths and ids."""
         nth, length, flat = (np.concatenate(x) for x in zip(*parts))
+        parts.clear()
         begin, size = np.empty(len(nth), np.int64), np.empty(len(nth), np.int64)
         begin[nth] = np.cumsum(length, dtype=np.int64) - length
         size[nth] = length
@@ -504,8 +507,13 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
             nth = np.cumsum(step)
             for k, mine in enumerate(parts):
                 mine.append((nth, *more[2 * k : 2 * k + 2]))
-        ids, digest = assembled(parts[0], sizes, seq, counts, made, True)
-        return pa.table([row.column("ids")[0].values, ids, pa.array(digest, pa.string()), *(assembled(x, sizes, seq, counts, made, False)[0] for x in parts[1:])], columns)
+        lists, digest = [], []
+        while parts:  # one stream's numbers are let go before the next one's are put together
+            ids, digests = assembled(parts.pop(0), sizes, seq, counts, made, not lists)
+            lists.append(ids)
+            digest += digests
+        whole = pa.table([row.column("ids")[0].values, lists[0], pa.array(digest, pa.string()), *lists[1:]], columns)
+        return pa.Table.from_batches(whole.to_batches(max_chunksize=256))  # a block goes back in pieces, so that the JVM never holds it as one batch
 
     columns = ["id", "token_ids", "decoded_sha256", *(["path_ids"] if paths else [])]
     kinds = [id_type, T.ArrayType(T.IntegerType()), T.StringType(), *([T.ArrayType(T.IntegerType())] if paths else [])]
